@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import ship
@@ -40,6 +40,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """_rank: the place of a row in a total order, from 0, without any single-task sort."""
+    rows = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))  # a row per partition
+    sizes = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return rows.withColumn("_part", part).join(F.broadcast(sizes), "_part").withColumn("_rank", F.col("_base") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_base")
+
+
 def doc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, mod folds; a null id is in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
@@ -52,6 +61,9 @@ def n_words(text: Column) -> Column:
 
 # ---- numpy kernels -------------------------------------------------------------------------------------------------
 
+#: Bytes of letters and digits, and of all other characters beyond ASCII.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _WS = np.zeros(256, bool)
 _WS[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -102,12 +114,14 @@ def _place(n: int) -> np.ndarray:
     return np.concatenate([_PLACE, mix(np.arange(len(_PLACE), n, dtype=np.uint64)) | np.uint64(1)])
 
 
-def words(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, at: np.ndarray, lower: bool = False, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per word a 64-bit hash, its first byte and its end; per text the index of its first word (one more at the end).
 
-    Works piece by piece, cut at white space, so that memory stays bounded however long a text is.
+    Words are runs of the bytes in `inside`, by default of all but white space. Works piece by piece, cut at white
+    space, so that memory stays bounded however long a text is.
     """
-    value = _BYTE_LOWER if lower else _BYTE_EXACT
+    inside = ~_WS if inside is None else inside
+    value = np.where(inside, _BYTE_LOWER if lower else _BYTE_EXACT, np.uint64(0))
     heads, ends, hashes, pos, n = [], [], [], 0, len(data)
     while pos < n:
         end = min(pos + PIECE_BYTES, n)
@@ -115,7 +129,7 @@ def words(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.nda
             gap = np.flatnonzero(_WS[data[end : end + 65536]])
             end = end + int(gap[0]) if len(gap) else min(end + 65536, n)
         part = data[pos:end]
-        solid = ~_WS[part]
+        solid = inside[part]
         first = solid.copy()
         first[1:] &= ~solid[:-1]
         inner = at[np.searchsorted(at, pos) : np.searchsorted(at, end)] - pos

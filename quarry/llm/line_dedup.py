@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, saved
+from .common import WORD, n_words, saved
 
 MIN_LINES = 4
 MIN_WORDS = 10
@@ -67,3 +67,11 @@ def clean(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORD
     count = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
     rows = rows.withColumn("n_lines", count).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
     return rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).drop("_gone", "_sum")
+
+
+def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents with their columns; those go of which the deletion left no word."""
+    rows = clean(docs, min_lines, min_words).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, saved
+from .common import WORD, n_words, saved
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -73,14 +73,18 @@ def schedule(mixed: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def take(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """The mix as documents: each as often as it is taken, the last one cut to the words that are left for it."""
-    mixed = mix(docs, weights, share, most).where("taken > 0").select("doc_id", "size", "taken", F.col("source").alias("_s")).dropDuplicates()
-    size = n_words(F.col("text"))
-    rows = docs.withColumn("_size", size).alias("d").join(mixed.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d._size") == F.col("m.size")) & F.col("d.source").eqNullSafe(F.col("m._s")))
-    rows = rows.select("d.*", F.col("m.taken").alias("_taken")).withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    rows = rows.withColumn("_left", F.least(F.col("_size"), F.col("_taken") - F.col("_turn") * F.col("_size"))).where("_left > 0")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({r'[^\x20\x09-\x0D]+'})"), F.lit(1)), F.lit(1), F.col("_left").cast("int")), " ")
+    """The mix as documents, with the columns of docs: each as often as it is taken, the last time cut to the words left."""
+    keys = ["_doc", "_size", "_source"]
+    mixed = mix(docs.select("doc_id", "source", "text"), weights, share, most).where("taken > 0")
+    mixed = saved(mixed.groupBy(F.col("doc_id").alias("_doc"), F.col("size").alias("_size"), F.col("source").alias("_source")).agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows")))
+    rows = docs.withColumn("_n", n_words(F.col("text")))
+    if mixed.where("_rows > 1").limit(1).count():  # rows that look alike share what is taken of them
+        rows = rows.dropDuplicates(["doc_id", "_n", "source"])
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_n") == F.col("_size")) & F.col("source").eqNullSafe(F.col("_source"))
+    rows = rows.join(mixed, same).withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(_taken - 1) div _size"))))
+    rows = rows.withColumn("_left", F.least(F.col("_size"), F.col("_taken") - F.col("_turn") * F.col("_size")))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_left").cast("int")), " ")
     rows = rows.withColumn("text", F.when(F.col("_left") < F.col("_size"), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

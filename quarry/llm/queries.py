@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, token_files
+from . import ann, importance, langid, line_dedup, mixing, ngram_join, packing, pitman_yor, quality_rules, token_files
 from .common import table
 
 
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -26,4 +30,74 @@ def op5_token_files(spark, sf_dir):
     return token_files.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_line_dedup, op4_fair_queue_mixing, op5_token_files)}
+def op6_importance_resampling(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op8_pitman_yor_scoring(spark, sf_dir):
+    return pitman_yor.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_anisotropic_ann(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_line_dedup, op4_fair_queue_mixing, op5_token_files, op6_importance_resampling, op7_language_id, op8_pitman_yor_scoring, op9_quality_rules, op10_anisotropic_ann)}
+_WORDS = r"len(regexp_extract_all({}, '[^\x20\x09-\x0D]+'))"
+
+ORACLE = {
+    "op3_line_dedup": f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
+  FROM documents WHERE text IS NOT NULL
+), ahead AS (
+  SELECT *, lead(line, 1) OVER d AS l1, lead(line, 2) OVER d AS l2, lead(line, 3) OVER d AS l3
+  FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+), later AS (
+  SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AND {_WORDS.format('line')} >= 10 AS one,
+    l3 IS NOT NULL AND row_number() OVER (PARTITION BY line, l1, l2, l3 ORDER BY doc_id, pos) > 1 AS four
+  FROM ahead
+), flagged AS (
+  SELECT *, one OR max(CAST(four AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) = 1 AS gone FROM later
+), kept AS (
+  SELECT doc_id, count(*) AS n_lines, sum(CAST(gone AS INT)) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
+  FROM flagged GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(length(k.text) AS BIGINT) AS kept_chars, md5(k.text) AS kept_md5
+FROM documents d LEFT JOIN kept k USING (doc_id)
+""",
+    "op4_fair_queue_mixing": f"""
+WITH sizes AS (
+  SELECT doc_id, source, CAST(coalesce({_WORDS.format('text')}, 0) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS key FROM documents
+), per AS (
+  SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM sizes GROUP BY source
+), weighed AS (
+  SELECT *, CASE (sid - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 2.0::DOUBLE * source_size AS cap,
+    1.5::DOUBLE * sum(source_size) OVER () AS budget FROM per
+), filled AS (
+  SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed
+), marked AS (SELECT *, cap <= level * weight AS capped FROM filled),
+targets AS (
+  SELECT source, CAST(source_size AS BIGINT) AS source_size, CASE WHEN capped THEN cap ELSE
+    (budget - coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0)) / sum(CASE WHEN NOT capped THEN weight END) OVER () * weight END AS target FROM marked
+), queued AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target,
+    coalesce(sum(s.size) OVER (PARTITION BY t.source ORDER BY s.key, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  CAST(greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - source_size - before)) AS BIGINT) AS taken
+FROM queued
+""",
+}
