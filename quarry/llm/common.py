@@ -98,7 +98,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def runs(at: np.ndarray, most: int = 4 * PIECE_BYTES):
+def runs(at: np.ndarray, most: int = 2 * PIECE_BYTES):
     """Consecutive texts (i, j) of at most so many bytes together, or one longer text."""
     i, n = 0, len(at) - 1
     while i < n:
