@@ -138,31 +138,46 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = SH
     def encode(group: pa.Table) -> pa.Table:
         group = group.sort_by("vec_id")
         codes = model.value.packed(_matrix(group["embedding"], dim).astype(np.float64))
-        return pa.table({"c": group["c"][:1], "ids": pa.array([group["vec_id"].to_numpy().astype("<i8").tobytes()], pa.binary()), "codes": pa.array([codes.tobytes()], pa.binary())})
+        return pa.table({"c": group["c"][:1], "ids": pa.array([group["vec_id"].to_numpy().astype("<i8").tobytes()], pa.binary()), "body": pa.array([codes.tobytes()], pa.binary())})
 
     def gather(group: pa.Table) -> pa.Table:
         group = group.sort_by("vec_id")
-        return pa.table({"q": group["q"][:1], "asks": pa.array([group["vec_id"].to_numpy().astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([_matrix(group["embedding"], dim).astype("<f4").tobytes()], pa.binary())})
+        return pa.table({"q": group["q"][:1], "ids": pa.array([group["vec_id"].to_numpy().astype("<i8").tobytes()], pa.binary()), "body": pa.array([_matrix(group["embedding"], dim).astype("<f4").tobytes()], pa.binary())})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by query block and span: first the queries, then block after block of codes."""
+        who = luts = None
+        best: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if who is not None:
+                size = [len(b[0]) for b in best]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who, size)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], ["query_id", "vec_id", "near"])
+
         for batch in batches:
             for r in range(batch.num_rows):
                 get = lambda c, kind: np.frombuffer(batch.column(c)[r].as_buffer(), kind)  # noqa: B023, E731
-                ids, who = get("ids", "<i8"), get("asks", "<i8")
-                codes = get("codes", np.uint8).reshape(len(ids), -1).T.copy()
-                q = get("vectors", "<f4").reshape(len(who), -1)
-                for a in range(0, len(who), 128):
-                    lut = model.value.tables(q[a : a + 128].astype(np.float64))
-                    scores = np.zeros((lut.shape[0], len(ids)), np.float32)
+                ids = get("ids", "<i8")
+                if batch.column("kind")[r].as_py() == 0:
+                    yield from done()
+                    who = ids
+                    vectors = get("body", "<f4").reshape(len(who), -1).astype(np.float64)
+                    luts = [model.value.tables(vectors[a : a + 128]) for a in range(0, len(who), 128)]
+                    best = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(who)
+                    continue
+                codes = get("body", np.uint8).reshape(len(ids), -1).T.copy()
+                for b, lut in enumerate(luts):
+                    scores = np.zeros((len(lut), len(ids)), np.float32)
                     for j, byte in enumerate(codes):
                         scores += np.take(lut[:, j], byte, axis=1)
-                    scores[who[a : a + 128, None] == ids] = -np.inf
-                    best = _best(scores, shortlist)
-                    size = [len(b) for b in best]
-                    flat = np.concatenate(best)
-                    found = scores[np.repeat(np.arange(len(best)), size), flat]
-                    real = found > -np.inf
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who[a : a + 128], size)[real]), pa.array(ids[flat][real]), pa.array(found[real])], ["query_id", "vec_id", "near"])
+                    scores[who[128 * b : 128 * b + 128, None] == ids] = -np.inf
+                    for k, found in enumerate(_best(scores, shortlist), 128 * b):
+                        near = scores[k - 128 * b, found]
+                        real = near > -np.inf
+                        names, near = np.concatenate([best[k][0], ids[found][real]]), np.concatenate([best[k][1], near[real]])
+                        keep = np.lexsort((names, -near))[:shortlist]
+                        best[k] = names[keep], near[keep]
+        yield from done()
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,9 +185,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = SH
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(s)], ["query_id", "vec_id", "score"])
 
     deal = lambda m: F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(m))
-    coded = rows.withColumn("c", deal(blocks)).groupBy("c").applyInArrow(encode, "c long, ids binary, codes binary")
-    asked = asking.withColumn("q", deal(turns)).groupBy("q").applyInArrow(gather, "q long, asks binary, vectors binary")
-    pairs = coded.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long")))).join(asked.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), ["q", "c"])
+    coded = rows.withColumn("c", deal(blocks)).groupBy("c").applyInArrow(encode, "c long, ids binary, body binary")
+    asked = asking.withColumn("q", deal(turns)).groupBy("q").applyInArrow(gather, "q long, ids binary, body binary")
+    # a query block goes over all codes in as many tasks as keep the cluster busy, and each task gives one shortlist
+    spans = max(1, min(blocks, -(-2 * spark.sparkContext.defaultParallelism // turns)))
+    up_to = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    asked = asked.select("q", up_to(spans).alias("s"), F.lit(0).alias("kind"), "ids", "body")
+    coded = coded.select(up_to(turns).alias("q"), (F.col("c") % spans).alias("s"), F.lit(1).alias("kind"), "ids", "body")
+    pairs = asked.unionByName(coded).repartition("q", "s").sortWithinPartitions("q", "s", "kind")
     near = pairs.mapInArrow(scan, "query_id long, vec_id long, near float")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("near").desc(), "vec_id"))
     short = near.withColumn("r", place).where(F.col("r") <= shortlist).select("query_id", "vec_id").distinct()
