@@ -16,7 +16,7 @@ from quarry import ship
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text handled at once by the numpy kernels; bounds their working memory.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,7 +98,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def runs(at: np.ndarray, most: int = 2 * PIECE_BYTES):
+def runs(at: np.ndarray, most: int = 4 * PIECE_BYTES):
     """Consecutive texts (i, j) of at most so many bytes together, or one longer text."""
     i, n = 0, len(at) - 1
     while i < n:
@@ -162,3 +162,39 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of values per text; first as from words()."""
     total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
     return total[first[1:]] - total[first[:-1]]
+
+
+class Slots:
+    """A hash table from 64-bit hashes to numbers, with open addressing and whole arrays as arguments."""
+
+    def __init__(self, bits: int = 12):
+        self.keys, self.values, self.count = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 if it has none."""
+        out, mask = np.full(len(h), -1, np.int64), np.uint64(len(self.keys) - 1)
+        live, at = np.arange(len(h)), h & mask
+        while len(live):
+            key = self.keys[at]
+            hit = key == h[live]
+            out[live[hit]] = self.values[at[hit]]
+            go = ~hit & (key != 0)
+            live, at = live[go], (at[go] + np.uint64(1)) & mask
+        return out
+
+    def add(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        """Distinct hashes that aren't there yet."""
+        self.count += len(h)
+        if 2 * self.count > len(self.keys):
+            old = self.keys != 0
+            h, numbers = np.concatenate([self.keys[old], h]), np.concatenate([self.values[old], numbers])
+            bits = max(12, int(3 * self.count).bit_length())
+            self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
+        mask = np.uint64(len(self.keys) - 1)
+        live, at = np.arange(len(h)), h & mask
+        while len(live):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[live[free]]
+            mine = free & (self.keys[at] == h[live])
+            self.values[at[mine]] = numbers[live[mine]]
+            live, at = live[~mine], (at[~mine] + np.uint64(1)) & mask

@@ -1,6 +1,6 @@
 """Token ids in binary files with Elias-Fano encoded document boundaries.
 
-A file holds some 4 million ids of documents in ascending id order: a header, the document ids and the document ends,
+A file holds some 2 million ids of documents in ascending id order: a header, the document ids and the document ends,
 both as Elias-Fano sequences (low bits packed, high bits in unary), then the concatenated token ids in 16 or 32 bits.
 `select(i)` finds the i-th set bit of the unary part with counts kept per 512 bits, so the offset of a document comes
 from about 2 + log2(ids / documents) bits per document and no 64-bit table. Files are written and read by Spark (text
@@ -26,12 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import Slots, buffers, runs, shared_dir, words
 
 END_ID = 1
-FILE_IDS = 4_000_000
+FILE_IDS = 2_000_000
 #: Distinct space-delimited strings whose ids a worker remembers; others are encoded again.
-CACHE = 1_500_000
+CACHE = 600_000
 _HEAD = struct.Struct(">4sB3x9Q")
 
 
@@ -84,55 +84,99 @@ class EliasFano:
         return (high << self.shift) + (low << np.arange(self.shift)).sum(1)
 
 
+_PLAIN, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_PLAIN[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[ord(c) for c in ".,!?;:|#*$%&"]] = True
+
+
 class Encoder:
-    """Token ids of whole texts. No token spans white space, so ids of space-delimited strings are kept and joined."""
+    """Token ids of whole texts. No token spans white space, so the ids of each space-delimited string are kept by its
+    hash and joined. Strings not yet known are encoded many at a time, and cut apart again where words end: a string of
+    ASCII letters is one word for the tokenizer, letters and then marks are two; others are parted by a special token."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids, self.store, self.starts, self.used = Tokenizer.from_file(path), {}, np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
-        self.wide = self.tokenizer.get_vocab_size(True) > 1 << 16
-
-    def learn(self, parts: set[bytes]) -> None:
-        fresh = sorted(parts - self.ids.keys())
-        if not fresh:
-            return
-        if len(self.ids) + len(fresh) > CACHE:
-            self.ids, self.used, fresh = {}, 0, sorted(parts)
-        coded = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in fresh], add_special_tokens=False)
-        rows = [c.ids for c in coded]
-        flat = np.fromiter((i for r in rows for i in r), np.uint32)
-        ends = np.cumsum([len(r) for r in rows])
-        n = len(self.ids)
-        if self.used + len(flat) > len(self.store):
-            self.store = np.concatenate([self.store[: self.used], np.zeros(max(len(flat), self.used), np.uint32)])
-        if n + len(fresh) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts[: n + 1], np.zeros(max(len(fresh) + 1, n), np.int64)])
-        self.store[self.used : self.used + len(flat)] = flat
-        self.starts[n] = self.used
-        self.starts[n + 1 : n + 1 + len(fresh)] = self.used + ends
-        self.ids.update(zip(fresh, range(n, n + len(fresh))))
-        self.used += len(flat)
-
-    def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(True)
+        self.wide = max(vocabulary.values()) >= 1 << 16
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.bar = "<|startoftext|>"
+        self.bar_id = vocabulary[self.bar]
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots, self.store, self.starts = Slots(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.more: list[np.ndarray] = []
+
+    def _code(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(c.ids, np.uint32) for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, strings: list[bytes], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings of so many words, and how many of each string."""
+        ids = np.concatenate(self._code([b" ".join(strings[k : k + 400]).decode() for k in range(0, len(strings), 400)]))
+        ends = np.flatnonzero(self.final[ids]) + 1
+        ends = ends[np.cumsum(parts) - 1]
+        return ids, np.diff(np.concatenate([[0], ends]))
+
+    def _other(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [s.decode("utf-8", "replace") for s in strings]
+        odd = [k for k, t in enumerate(texts) if "<|" in t]
+        own = dict(zip(odd, self._code([texts[k] for k in odd])))
+        rest = [t for t in texts if "<|" not in t]
+        ids = np.concatenate([np.append(c, np.uint32(self.bar_id)) for c in self._code([f" {self.bar} ".join(rest[k : k + 200]) for k in range(0, len(rest), 200)])] or [np.zeros(0, np.uint32)])
+        cuts = np.flatnonzero(ids == self.bar_id)
+        sizes = np.diff(np.concatenate([[-1], cuts])) - 1
+        ids = ids[ids != self.bar_id]
+        if not odd:
+            return ids, sizes
+        pieces, k, edge = [], 0, np.concatenate([[0], np.cumsum(sizes)])
+        for n in range(len(texts)):
+            pieces.append(own[n] if n in own else ids[edge[k] : edge[k + 1]])
+            k += n not in own
+        return np.concatenate(pieces), np.array([len(x) for x in pieces], np.int64)
+
+    def learn(self, h: np.ndarray, data: np.ndarray, head: np.ndarray, end: np.ndarray) -> None:
+        """Encode new strings, h distinct."""
+        raw = data.tobytes()
+        size = end - head
+        inside = np.concatenate([[0], np.cumsum(_PLAIN[data])])
+        marks = np.concatenate([[0], np.cumsum(_MARK[data])])
+        letters, marked = inside[end] - inside[head], marks[end] - marks[head]
+        plain = (letters + marked == size) & (inside[np.minimum(head + letters, end)] - inside[head] == letters)
+        parts = (letters > 0).astype(np.int64) + (marked > 0)
+        for chosen, code in ((np.flatnonzero(plain), lambda x, c: self._plain(x, parts[c])), (np.flatnonzero(~plain), lambda x, c: self._other(x))):
+            if len(chosen):
+                ids, n = code([raw[a:b] for a, b in zip(head[chosen].tolist(), end[chosen].tolist())], chosen)
+                first = len(self.starts) - 1
+                self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
+                self.more.append(ids.astype(np.uint32))
+                self.slots.add(h[chosen], np.arange(first, first + len(chosen)))
+        self.store, self.more = np.concatenate([self.store, *self.more]), []
+
+    def encode(self, data: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and the number of ids of each."""
-        split = [x.split() for x in texts]
-        self.learn(set().union(*split))
-        number = self.ids.__getitem__
-        index = np.fromiter((number(p) for s in split for p in s), np.int64)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        a = self.starts[index]
-        size = self.starts[index + 1] - a
-        stop = np.cumsum(size)
-        docs = np.cumsum(counts)
-        ids_before = np.concatenate([[0], stop])[docs]
-        n = np.diff(np.concatenate([[0], ids_before])) + 1
+        h, head, stop, first = words(data, at)
+        distinct, index, back = np.unique(h, return_index=True, return_inverse=True)
+        spot = self.slots.find(distinct)
+        new = spot < 0
+        if new.any():
+            if self.slots.count + int(new.sum()) > CACHE:
+                self.clear()
+                new[:] = True
+            self.learn(distinct[new], data, head[index[new]], stop[index[new]])
+            spot = self.slots.find(distinct)
+        spot = spot[back]
+        a = self.starts[spot]
+        size = self.starts[spot + 1] - a
+        upto = np.cumsum(size)
+        before = np.concatenate([[0], upto])[first]
+        n = np.diff(before) + 1
         out = np.full(int(n.sum()), end, np.uint32)
-        total = int(stop[-1]) if len(stop) else 0
-        source = np.arange(total) + np.repeat(a - (stop - size), size)
         body = np.ones(len(out), bool)
         body[np.cumsum(n) - 1] = False
-        out[body] = self.store[source]
+        out[body] = self.store[np.arange(len(out) - len(n)) + np.repeat(a - (upto - size), size)]
         return out, n
 
 
@@ -183,14 +227,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END_ID) -> str:
             return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["value"])
 
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            size = 256
-            for i in range(0, len(texts), size):
-                part = [x or b"" for x in texts.slice(i, size).to_pylist()]
-                a, n = encoder.encode(part, end)
+            data, at = buffers(batch.column("text"))
+            for i, j in runs(at):
+                a, n = encoder.encode(data[at[i] : at[j]], at[i : j + 1] - at[i], end)
                 ids.append(a)
                 counts.append(n)
-                names += batch.column("doc_id").slice(i, size).to_pylist()
+                names += batch.column("doc_id").slice(i, j - i).to_pylist()
                 held += len(a)
                 if held >= FILE_IDS:
                     yield flush()
