@@ -53,17 +53,14 @@ def _trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, at
 
 
-def features(text: str | None) -> dict[int, tuple[float, float]]:
-    """Bucket -> (share of its kind, count) of one text; the kinds have their own ranges."""
-    data, at = buffers(pa.array([text or ""]))
-    out: dict[int, tuple[float, float]] = {}
+def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Of one text: distinct buckets and their counts, word n-grams before character n-grams; how many of each kind."""
+    at = np.array([0, len(data)])
     both, _ = _buckets(data, at)
     tri, _ = _trigrams(data, at)
-    for base, found in ((0, both.ravel()), (WORD_BUCKETS, tri)):
-        found = found[found >= 0]
-        ids, n = np.unique(found, return_counts=True)
-        out.update({int(i) + base: (c / len(found), float(c)) for i, c in zip(ids, n.tolist())})
-    return out
+    word, char = both[both >= 0], tri[tri >= 0]
+    (a, n), (b, m) = np.unique(word, return_counts=True), np.unique(char, return_counts=True)
+    return np.concatenate([a, b + WORD_BUCKETS]).astype(np.int32), np.concatenate([n, m]).astype(np.int32), len(word), len(char)
 
 
 def _descend(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, steps: int, rate: float, lasso: float) -> tuple[np.ndarray, float]:
@@ -106,19 +103,19 @@ class Head:
     def __init__(self, mean: bool):
         self.mean, self.w, self.b, self.a, self.c = mean, np.zeros(WORD_BUCKETS + CHAR_BUCKETS, np.float32), 0.0, 1.0, 0.0
 
-    def fit(self, texts: list[dict], y: np.ndarray, apart: np.ndarray) -> Head:
+    def fit(self, rows: np.ndarray, cols: np.ndarray, counts: np.ndarray, kinds: np.ndarray, y: np.ndarray, apart: np.ndarray) -> Head:
+        """rows, cols, counts: the n-grams of all texts; kinds: n-grams of both kinds by text; apart: for calibration."""
         if not len(y) or y.min() == y.max():
             self.b = 0.0 if not len(y) else 40.0 * (1 if y[0] else -1)
             self.a = 0.0 if not len(y) else 1.0
             return self
-        rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        cols = np.fromiter((k for t in texts for k in t), np.int64)
-        vals = np.fromiter((v[0 if self.mean else 1] for t in texts for v in t.values()), np.float64)
-        vals = vals * 30 if self.mean else np.minimum(vals, 3)
-        use = cols >= 0 if self.mean else cols < WORD_BUCKETS
-        rows, cols, vals = rows[use], cols[use], vals[use]
+        if self.mean:
+            vals = counts * np.float32(30) / kinds[rows, (cols >= WORD_BUCKETS).astype(np.int8)]
+        else:
+            use = cols < WORD_BUCKETS
+            rows, cols, vals = rows[use], cols[use], np.minimum(counts[use], np.float32(3))
         old = ~apart[rows]
-        at = np.cumsum(~apart) - 1
+        at = (np.cumsum(~apart) - 1).astype(np.int32)
         w, b = _descend(at[rows[old]], cols[old], vals[old], y[~apart], 200, 0.3 if self.mean else 0.15, 1e-5 if self.mean else 4e-4)
         z = np.bincount(rows, vals * w[cols], len(y)) + b
         if apart.any() and y[apart].min() != y[apart].max():
@@ -144,16 +141,20 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            data, at = buffers(batch.column("text"))
             for k in range(batch.num_rows):
-                found = features(batch.column("text")[k].as_py())
-                cols = np.fromiter(found, np.int32, len(found))
-                vals = np.array(list(found.values()), np.float32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in ("_doc", "quality", "toxic")), pa.array([cols.tobytes()]), pa.array([vals.tobytes()])], ["doc", "quality", "toxic", "cols", "vals"])
-
-    got = sorted(rows.mapInArrow(extract, "doc long, quality int, toxic int, cols binary, vals binary").collect(), key=lambda r: (r.doc, bytes(r.cols)))
-    texts = [dict(zip(np.frombuffer(r.cols, np.int32).tolist(), map(tuple, np.frombuffer(r.vals, np.float32).reshape(-1, 2).tolist()))) for r in got]
-    apart = np.arange(len(got)) % 4 == 3
-    return (Head(mean=True).fit(texts, np.array([r.quality > 0 for r in got], float), apart), Head(mean=False).fit(texts, np.array([r.toxic > 0 for r in got], float), apart))
+                cols, counts, n, m = features(data[at[k] : at[k + 1]])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in ("_doc", "quality", "toxic")), pa.array([n]), pa.array([m]), pa.array([cols.tobytes()]), pa.array([counts.tobytes()])], ["doc", "quality", "toxic", "words", "chars", "cols", "counts"])
+
+    got = rows.mapInArrow(extract, "doc long, quality int, toxic int, words long, chars long, cols binary, counts binary").toArrow().sort_by([("doc", "ascending"), ("words", "ascending"), ("chars", "ascending")])
+    size = np.array([len(x) // 4 for x in got["cols"].to_pylist()], np.int64)
+    at = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    cols, counts = (np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in got[c]] or [np.zeros(0, np.int32)]) for c in ("cols", "counts"))
+    kinds = np.maximum(1, np.stack([got["words"].to_numpy(), got["chars"].to_numpy()], 1)).astype(np.float32)
+    quality, toxic = (got[c].to_numpy().astype(np.float64) > 0 for c in ("quality", "toxic"))
+    del got
+    counts, apart = counts.astype(np.float32), np.arange(len(size)) % 4 == 3
+    return tuple(Head(mean).fit(at, cols, counts, kinds, y.astype(np.float64), apart) for mean, y in ((True, quality), (False, toxic)))
 
 
 def repeats(h: np.ndarray, first: np.ndarray) -> np.ndarray:
