@@ -114,10 +114,10 @@ def _place(n: int) -> np.ndarray:
     return np.concatenate([_PLACE, mix(np.arange(len(_PLACE), n, dtype=np.uint64)) | np.uint64(1)])
 
 
-def words(data: np.ndarray, at: np.ndarray, lower: bool = False, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, at: np.ndarray, lower: bool = False, inside: np.ndarray | None = None, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per word a 64-bit hash, its first byte and its end; per text the index of its first word (one more at the end).
 
-    Words are runs of the bytes in `inside`, by default of all but white space. Works piece by piece, cut at white
+    Words are runs of the bytes in `inside`, by default of all but white space, parted before the bytes of `cuts`. Works piece by piece, cut at white
     space, so that memory stays bounded however long a text is.
     """
     inside = ~_WS if inside is None else inside
@@ -133,6 +133,8 @@ def words(data: np.ndarray, at: np.ndarray, lower: bool = False, inside: np.ndar
         first = solid.copy()
         first[1:] &= ~solid[:-1]
         inner = at[np.searchsorted(at, pos) : np.searchsorted(at, end)] - pos
+        if cuts is not None:
+            inner = np.union1d(inner, np.flatnonzero(cuts[pos:end]))
         first[inner] = solid[inner]
         start = np.flatnonzero(first)
         if len(start):

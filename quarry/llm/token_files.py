@@ -16,6 +16,7 @@ null id come first; an empty table gives no file and no rows; white space only s
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ END_ID = 1
 FILE_IDS = 2_000_000
 #: Distinct space-delimited strings whose ids a worker remembers; others are encoded again.
 CACHE = 600_000
+#: Text encoded at once.
+RUN_BYTES = 2 << 20
 _HEAD = struct.Struct(">4sB3x9Q")
 
 
@@ -84,17 +87,28 @@ class EliasFano:
         return (high << self.shift) + (low << np.arange(self.shift)).sum(1)
 
 
-_PLAIN, _MARK = np.zeros(256, bool), np.zeros(256, bool)
-_PLAIN[[*range(65, 91), *range(97, 123)]] = True
-_MARK[[ord(c) for c in ".,!?;:|#*$%&"]] = True
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[[ord(c) for c in '!"#$%&()*+,-./:;=?@[\\]^_`{|}~']] = 2
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """1: letters of ASCII and Latin-1, 2: marks of ASCII that join no letter, 0: the rest."""
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # the two signs among them
+    kind[lead] = kind[lead + 1] = 1
+    return kind
 
 
 class Encoder:
     """Token ids of whole texts. No token spans white space, so the ids of each space-delimited string are kept by its
-    hash and joined. Strings not yet known are encoded many at a time, and cut apart again where words end: a string of
-    ASCII letters is one word for the tokenizer, letters and then marks are two; others are parted by a special token."""
+    hash and joined; case doesn't matter, and letters and marks beside each other are strings of their own. Strings not yet
+    known are encoded many at a time and cut apart again: one of letters or of marks where the tokenizer's word ends, any
+    other where a special token parts it from the next. Texts with special tokens aren't split at marks."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -111,14 +125,14 @@ class Encoder:
         self.more: list[np.ndarray] = []
 
     def _code(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(c.ids, np.uint32) for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """A few texts at a time: what the tokenizer returns holds much more than ids."""
+        batches = (self.tokenizer.encode_batch_fast(texts[k : k + 16], add_special_tokens=False) for k in range(0, len(texts), 16))
+        return [np.array(c.ids, np.uint32) for batch in batches for c in batch]
 
-    def _plain(self, strings: list[bytes], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of strings of so many words, and how many of each string."""
+    def _plain(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings of one word each, and how many of each string."""
         ids = np.concatenate(self._code([b" ".join(strings[k : k + 400]).decode() for k in range(0, len(strings), 400)]))
-        ends = np.flatnonzero(self.final[ids]) + 1
-        ends = ends[np.cumsum(parts) - 1]
-        return ids, np.diff(np.concatenate([[0], ends]))
+        return ids, np.diff(np.concatenate([[0], np.flatnonzero(self.final[ids]) + 1]))
 
     def _other(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [s.decode("utf-8", "replace") for s in strings]
@@ -139,16 +153,13 @@ class Encoder:
 
     def learn(self, h: np.ndarray, data: np.ndarray, head: np.ndarray, end: np.ndarray) -> None:
         """Encode new strings, h distinct."""
-        raw = data.tobytes()
+        raw, kind = data.tobytes(), _kinds(data)
+        letters, marks = np.concatenate([[0], np.cumsum(kind == 1)]), np.concatenate([[0], np.cumsum(kind == 2)])
         size = end - head
-        inside = np.concatenate([[0], np.cumsum(_PLAIN[data])])
-        marks = np.concatenate([[0], np.cumsum(_MARK[data])])
-        letters, marked = inside[end] - inside[head], marks[end] - marks[head]
-        plain = (letters + marked == size) & (inside[np.minimum(head + letters, end)] - inside[head] == letters)
-        parts = (letters > 0).astype(np.int64) + (marked > 0)
-        for chosen, code in ((np.flatnonzero(plain), lambda x, c: self._plain(x, parts[c])), (np.flatnonzero(~plain), lambda x, c: self._other(x))):
+        plain = (letters[end] - letters[head] == size) | (marks[end] - marks[head] == size)
+        for chosen, code in ((np.flatnonzero(plain), self._plain), (np.flatnonzero(~plain), self._other)):
             if len(chosen):
-                ids, n = code([raw[a:b] for a, b in zip(head[chosen].tolist(), end[chosen].tolist())], chosen)
+                ids, n = code([raw[a:b] for a, b in zip(head[chosen].tolist(), end[chosen].tolist())])
                 first = len(self.starts) - 1
                 self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
                 self.more.append(ids.astype(np.uint32))
@@ -157,7 +168,11 @@ class Encoder:
 
     def encode(self, data: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and the number of ids of each."""
-        h, head, stop, first = words(data, at)
+        kind, cuts = _kinds(data), None
+        if b"<|" not in data.tobytes():
+            cuts = np.zeros(len(data), bool)
+            cuts[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        h, head, stop, first = words(data, at, lower=True, cuts=cuts)
         distinct, index, back = np.unique(h, return_index=True, return_inverse=True)
         spot = self.slots.find(distinct)
         new = spot < 0
@@ -228,7 +243,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END_ID) -> str:
 
         for batch in batches:
             data, at = buffers(batch.column("text"))
-            for i, j in runs(at):
+            for i, j in runs(at, RUN_BYTES):
                 a, n = encoder.encode(data[at[i] : at[j]], at[i : j + 1] - at[i], end)
                 ids.append(a)
                 counts.append(n)
