@@ -15,7 +15,7 @@ clean() and may have any name that does not start with an underscore.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, n_words, saved
@@ -24,19 +24,20 @@ MIN_LINES = 4
 MIN_WORDS = 10
 
 
-_PLACE = F.struct("_doc", "_sum", "_pos")
+def _place() -> Column:
+    return F.struct("_doc", "_sum", "_pos")
 
 
 def _ranked(suffixes: DataFrame, name: list[str]) -> DataFrame:
     """Per repeated name its rank in suffix-array order and the place where it occurs first."""
-    groups = suffixes.groupBy(*name).agg(F.count("*").alias("_n"), F.min(_PLACE).alias("_first")).where("_n > 1").drop("_n")
+    groups = suffixes.groupBy(*name).agg(F.count("*").alias("_n"), F.min(_place()).alias("_first")).where("_n > 1").drop("_n")
     return saved(groups.repartitionByRange(*name).sortWithinPartitions(*name).withColumn("_new", F.monotonically_increasing_id()))
 
 
 def _interval(suffixes: DataFrame, name: list[str]) -> DataFrame:
     """The suffixes that share their name with another one, with the new rank; _later: they aren't the first of them."""
     both = suffixes.join(_ranked(suffixes, name), name)
-    return saved(both.select("_doc", "_sum", "_pos", "_long", F.col("_new").alias("_rank"), (_PLACE > F.col("_first")).alias("_later")))
+    return saved(both.select("_doc", "_sum", "_pos", "_long", F.col("_new").alias("_rank"), (_place() > F.col("_first")).alias("_later")))
 
 
 def repeated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
