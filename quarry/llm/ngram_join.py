@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, trees: int
     chained = leaf.join(heads.select("tree", "label", "head"), ["tree", "label"])
     comp = saved(components(chained.select(F.col("node").alias("a"), F.col("head").alias("b"))))
     sizes = nodes.join(comp, "node").groupBy("comp").agg(F.sum("n").alias("weight"), F.count("*").alias("k"))
-    sizes = sizes.withColumn("whole", (F.col("weight") <= item) & (F.col("k") <= 1 << 13))
+    sizes = sizes.withColumn("whole", (F.col("weight") <= item) & (F.col("k") <= 1 << 13) | (F.col("k") <= 2))
     member = saved(nodes.join(comp, "node").join(sizes.select("comp", "whole"), "comp"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, trees: int
     # Where each node is verified: once with its component, or once per shared prefix and pair of blocks.
     whole = member.where("whole").select("node", F.hash("comp").cast("long").alias("deal"), F.col("comp").alias("key"), F.lit(-1).alias("tree"), F.lit(3).alias("side"))
     large = member.where("not whole").select("node", "n", F.posexplode("labels").alias("tree", "label")).join(heads.select("tree", "label", "weight", "k"), ["tree", "label"])
-    blocks = F.greatest(F.ceil(F.col("weight") * 2 / item), F.ceil(F.col("k") / (1 << 11)))
+    blocks = F.least(F.col("k"), F.greatest(F.ceil(F.col("weight") * 2 / item), F.ceil(F.col("k") / (1 << 11))))
     large = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     one, two = F.least("block", "other"), F.greatest("block", "other")

@@ -2,8 +2,8 @@
 
 The regression is trained on labelled documents (a sample of at most `max_labelled` of them, by least hash of the id),
 calibrated on a part of the sample kept apart, and applied in Arrow batches against fixed thresholds. It has two heads
-over the same features: quality, on the mean weight of a text's n-grams, and toxicity, on their sum, because a few words
-decide it. A document is kept if no base rule fails, its quality is likely and its toxicity is not.
+over the same features: quality, on the mean weight of a text's n-grams, and toxicity, on the sum over its distinct word
+n-grams, because a few words decide it. A document is kept if no base rule fails, its quality is likely and its toxicity is not.
 
 Defined results: null text has no words, so it fails; labels with null quality or of unknown documents are ignored, null
 toxic counts as 0; without labels of both kinds a head gives the verdict of its only kind, without any label it passes
@@ -98,7 +98,7 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Head:
-    """A calibrated probability: sigmoid(a * z + c) of z = bias + sum or mean of the weights of a text's n-grams."""
+    """A calibrated probability: sigmoid(a * z + c) of z = bias + the mean weight of a text's n-grams, or the sum over the distinct ones."""
 
     def __init__(self, mean: bool):
         self.mean, self.w, self.b, self.a, self.c = mean, np.zeros(WORD_BUCKETS + CHAR_BUCKETS, np.float32), 0.0, 1.0, 0.0
@@ -113,10 +113,10 @@ class Head:
             vals = counts * np.float32(30) / kinds[rows, (cols >= WORD_BUCKETS).astype(np.int8)]
         else:
             use = cols < WORD_BUCKETS
-            rows, cols, vals = rows[use], cols[use], np.minimum(counts[use], np.float32(3))
+            rows, cols, vals = rows[use], cols[use], np.ones(int(use.sum()), np.float32)
         old = ~apart[rows]
         at = (np.cumsum(~apart) - 1).astype(np.int32)
-        w, b = _descend(at[rows[old]], cols[old], vals[old], y[~apart], 200, 0.3 if self.mean else 0.15, 1e-5 if self.mean else 4e-4)
+        w, b = _descend(at[rows[old]], cols[old], vals[old], y[~apart], 200, 0.3 if self.mean else 0.15, 1e-5 if self.mean else 1e-3)
         z = np.bincount(rows, vals * w[cols], len(y)) + b
         if apart.any() and y[apart].min() != y[apart].max():
             self.a, self.c = _calibrate(z[apart], y[apart])
@@ -125,9 +125,13 @@ class Head:
 
     def score(self, both, first, tri, at) -> np.ndarray:
         value = np.append(self.w[:WORD_BUCKETS], np.float32(0))
-        word = value[both].sum(1, dtype=np.float64)
-        z = sums(word, first)
-        if self.mean:
+        if not self.mean:
+            which, side = np.nonzero(value[both])
+            text = np.searchsorted(first, which, "right") - 1
+            pair = np.unique(text * np.int64(WORD_BUCKETS) + both[which, side])
+            z = np.bincount(pair // WORD_BUCKETS, value[pair % WORD_BUCKETS], len(first) - 1)
+        else:
+            z = sums(value[both].sum(1, dtype=np.float64), first)
             n = np.maximum(1, sums((both >= 0).sum(1), first))
             value = np.append(self.w[WORD_BUCKETS:], np.float32(0))
             z = z / n + sums(value[tri].astype(np.float64), at) / np.maximum(1, sums((tri >= 0).astype(np.int64), at))
