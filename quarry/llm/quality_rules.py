@@ -25,6 +25,7 @@ MAX_LABELLED = 4000
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 18, 1 << 16
 MIN_QUALITY, MAX_TOXICITY = 0.5, 0.5
 MIN_WORDS, MAX_REPEAT = 50, 50
+LASSO, CALM = 1e-3, 1e-2
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -63,9 +64,10 @@ def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
     return np.concatenate([a, b + WORD_BUCKETS]).astype(np.int32), np.concatenate([n, m]).astype(np.int32), len(word), len(char)
 
 
-def _descend(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, steps: int, rate: float, lasso: float) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adagrad with an L1 step; classes weigh the same."""
-    w, b, grown, grown_b = np.zeros(WORD_BUCKETS + CHAR_BUCKETS), 0.0, np.full(WORD_BUCKETS + CHAR_BUCKETS, 1e-8), 1e-8
+def _descend(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, steps: int, rate: float, lasso: float, calm: float = 1e-8) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adagrad with an L1 step; classes weigh the same. calm: squared gradients to begin with, so
+    that n-grams of weak evidence move less."""
+    w, b, grown, grown_b = np.zeros(WORD_BUCKETS + CHAR_BUCKETS), 0.0, np.full(WORD_BUCKETS + CHAR_BUCKETS, calm), 1e-8
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
     for _ in range(steps):
         z = np.bincount(rows, vals * w[cols], len(y)) + b
@@ -116,7 +118,7 @@ class Head:
             rows, cols, vals = rows[use], cols[use], np.ones(int(use.sum()), np.float32)
         old = ~apart[rows]
         at = (np.cumsum(~apart) - 1).astype(np.int32)
-        w, b = _descend(at[rows[old]], cols[old], vals[old], y[~apart], 200, 0.3 if self.mean else 0.15, 1e-5 if self.mean else 1e-3)
+        w, b = _descend(at[rows[old]], cols[old], vals[old], y[~apart], 200, 0.3 if self.mean else 0.5, 1e-5 if self.mean else LASSO, 1e-8 if self.mean else CALM)
         z = np.bincount(rows, vals * w[cols], len(y)) + b
         if apart.any() and y[apart].min() != y[apart].max():
             self.a, self.c = _calibrate(z[apart], y[apart])

@@ -460,7 +460,7 @@ def test_rules_against_brute_force(odd, labels):
 
 def test_rules_learn(spark):
     rng = np.random.default_rng(8)
-    plain = [f"word{k}" for k in range(200)]
+    plain = [f"word{k}" for k in range(2000)]
     docs, marks = [], []
     for k in range(1200):
         w = rng.choice(plain, 80).tolist()
