@@ -1,9 +1,10 @@
 """Approximate nearest neighbours for the largest inner product, with score-aware anisotropic quantisation.
 
-Vectors are product-quantised, two components and 4 bits a subspace. Codebooks and codes minimise the anisotropic loss
+Vectors are product-quantised, one component and 4 bits a subspace. Codebooks and codes minimise the anisotropic loss
 |r|^2 + (eta - 1) (u.r)^2 with u = x / |x|: an error parallel to the vector, which changes large inner products, costs
 eta times as much as one across it. Every row is encoded; queries scan the 4-bit codes in blocks through their tables of
-partial products, two codes a lookup; the `SHORTLIST` best of a query are ranked again by exact products in doubles.
+partial products, two codes a lookup; the best of a block are scored again with four more bits of what the codes left, and the
+`SHORTLIST` best of a query are ranked by exact products in doubles.
 
 Codebooks are fitted on the `SAMPLE` vectors of least id hash. Each scan task takes one block of codes and one of
 queries, both of bounded size and dealt by a hash of the id.
@@ -27,19 +28,24 @@ from .common import saved
 
 SAMPLE, ROUNDS, THRESHOLD = 8192, 8, 0.2
 CODES = 16
+#: Components of a subspace.
+WIDTH = 1
 SHORTLIST = 100
+#: Times the shortlist that the scan of a block keeps for the finer codes.
+WIDER = 4
 BLOCK, QUERY_BLOCK = 16_384, 512
 
 
 class Quantiser(NamedTuple):
-    books: np.ndarray  # (subspace, code, 2)
+    books: np.ndarray  # (subspace, code, WIDTH)
     eta: float
     dim: int
+    fine: np.ndarray  # (component, code): what is left of a component, in 4 more bits
 
     def padded(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), 2 * len(self.books)))
+        out = np.zeros((len(x), WIDTH * len(self.books)))
         out[:, : self.dim] = x
-        return out.reshape(len(x), -1, 2)
+        return out.reshape(len(x), -1, WIDTH)
 
     def assign(self, x: np.ndarray, sweeps: int = 3) -> np.ndarray:
         """Codes (row, subspace) by coordinate descent on the anisotropic loss."""
@@ -59,9 +65,26 @@ class Quantiser(NamedTuple):
                 total = other + along[:, j]
         return code.astype(np.uint8)
 
-    def packed(self, x: np.ndarray) -> np.ndarray:
+    def packed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both levels of codes, two a byte."""
         code = self.assign(x)
-        return code[:, 0::2] | code[:, 1::2] << 4
+        return code[:, 0::2] | code[:, 1::2] << 4, self.refined(x, code)
+
+    def rest(self, x: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """What the codes leave of the vectors."""
+        return x - self.books[np.arange(len(self.books)), code].reshape(len(x), -1)[:, : self.dim]
+
+    def refined(self, x: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Packed 4-bit codes of the rest."""
+        rest = self.rest(x, code)
+        out = np.zeros((len(x), 2 * -(-self.dim // 2)), np.uint8)
+        for j in range(self.dim):
+            out[:, j] = np.searchsorted((self.fine[j, 1:] + self.fine[j, :-1]) / 2, rest[:, j])
+        return out[:, 0::2] | out[:, 1::2] << 4
+
+    def unrefined(self, packed: np.ndarray) -> np.ndarray:
+        code = np.stack([packed & 15, packed >> 4], -1).reshape(len(packed), -1)[:, : self.dim]
+        return self.fine[np.arange(self.dim), code].astype(np.float32)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Partial products by query, byte of code and its 256 values."""
@@ -72,25 +95,28 @@ class Quantiser(NamedTuple):
 def fit(x: np.ndarray, rounds: int = ROUNDS, seed: int = 3) -> Quantiser:
     """Codebooks by turns: codes for the books, then all books at once by least squares."""
     n, dim = x.shape
-    spaces = -(-dim // 4) * 2  # an even number: two codes a byte
+    spaces = -(-dim // (2 * WIDTH)) * 2  # an even number: two codes a byte
     eta = max(1.0, (dim - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
     rng = np.random.default_rng(seed)
-    q = Quantiser(np.zeros((spaces, CODES, 2)), eta, dim)
+    q = Quantiser(np.zeros((spaces, CODES, WIDTH)), eta, dim, np.zeros((dim, CODES)))
     padded = q.padded(x)
     for j in range(spaces):
-        q.books[j] = padded[rng.integers(0, n, CODES), j] + rng.normal(0, 1e-6, (CODES, 2))
+        q.books[j] = padded[rng.integers(0, n, CODES), j] + rng.normal(0, 1e-6, (CODES, WIDTH))
     norm = np.maximum(np.sqrt((padded**2).sum((1, 2), keepdims=True)), 1e-300)
     u = padded / norm
-    slots = spaces * CODES * 2
+    slots = spaces * CODES * WIDTH
     for _ in range(rounds):
         code = q.assign(x, 2)
-        at = ((np.arange(spaces) * CODES + code)[:, :, None] * 2 + np.arange(2)).reshape(n, -1)
+        at = ((np.arange(spaces) * CODES + code)[:, :, None] * WIDTH + np.arange(WIDTH)).reshape(n, -1)
         v = np.zeros((n, slots))
         v[np.arange(n)[:, None], at] = u.reshape(n, -1)
         gram = (eta - 1) * (v.T @ v)
         gram[np.arange(slots), np.arange(slots)] += np.bincount(at.ravel(), minlength=slots) + 1e-6
         right = np.bincount(at.ravel(), (eta * padded).reshape(-1), slots) + 1e-6 * q.books.ravel()
         q.books[:] = np.linalg.solve(gram, right).reshape(q.books.shape)
+    rest = np.sort(q.rest(x, q.assign(x)), axis=0)
+    for k, part in enumerate(np.array_split(rest, CODES)):
+        q.fine[:, k] = part.mean(0) if len(part) else q.fine[:, k - 1]
     return q
 
 
@@ -121,24 +147,29 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("embedding") == (length[0].k if length else 0))
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = SHORTLIST) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = SHORTLIST + 1) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row for which `queries` (on vec_id) holds."""
     spark = vectors.sparkSession
     rows = usable(vectors)
-    n = rows.count()
-    if not n:
+    asking = rows.where(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    if rows.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = rows.select(F.size("embedding")).first()[0]
+    # Equal vectors are one entry of the index; no more than k + 1 of their rows, of least ids, can be among the k nearest.
+    copy = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    rows = rows.withColumn("copy", copy).where(F.col("copy") <= k + 1).withColumn("g", F.xxhash64("embedding"))
+    members = saved(rows)
+    rows = members.where("copy = 1")
+    n = rows.count()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).toArrow()
     model = spark.sparkContext.broadcast(fit(_matrix(sample["embedding"], dim).astype(np.float64)))
-    asking = rows.where(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asks = asking.count()
     blocks, turns = -(-n // BLOCK), max(1, -(-asks // QUERY_BLOCK))
 
     def encode(group: pa.Table) -> pa.Table:
         group = group.sort_by("vec_id")
-        codes = model.value.packed(_matrix(group["embedding"], dim).astype(np.float64))
-        return pa.table({"c": group["c"][:1], "ids": pa.array([group["vec_id"].to_numpy().astype("<i8").tobytes()], pa.binary()), "body": pa.array([codes.tobytes()], pa.binary())})
+        codes, fine = model.value.packed(_matrix(group["embedding"], dim).astype(np.float64))
+        return pa.table({"c": group["c"][:1], "ids": pa.array([group["g"].to_numpy().astype("<i8").tobytes()], pa.binary()), "body": pa.array([codes.tobytes()], pa.binary()), "fine": pa.array([fine.tobytes()], pa.binary())})
 
     def gather(group: pa.Table) -> pa.Table:
         group = group.sort_by("vec_id")
@@ -146,13 +177,13 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = SH
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by query block and span: first the queries, then block after block of codes."""
-        who = luts = None
+        who = luts = asked32 = None
         best: list[tuple[np.ndarray, np.ndarray]] = []
 
         def done() -> Iterator[pa.RecordBatch]:
             if who is not None:
                 size = [len(b[0]) for b in best]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who, size)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], ["query_id", "vec_id", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who, size)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], ["query_id", "g", "near"])
 
         for batch in batches:
             for r in range(batch.num_rows):
@@ -161,20 +192,20 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = SH
                 if batch.column("kind")[r].as_py() == 0:
                     yield from done()
                     who = ids
-                    vectors = get("body", "<f4").reshape(len(who), -1).astype(np.float64)
+                    asked32 = get("body", "<f4").reshape(len(who), -1)
+                    vectors = asked32.astype(np.float64)
                     luts = [model.value.tables(vectors[a : a + 128]) for a in range(0, len(who), 128)]
                     best = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(who)
                     continue
                 codes = get("body", np.uint8).reshape(len(ids), -1).T.copy()
+                rest = model.value.unrefined(get("fine", np.uint8).reshape(len(ids), -1))
                 for b, lut in enumerate(luts):
                     scores = np.zeros((len(lut), len(ids)), np.float32)
                     for j, byte in enumerate(codes):
                         scores += np.take(lut[:, j], byte, axis=1)
-                    scores[who[128 * b : 128 * b + 128, None] == ids] = -np.inf
-                    for k, found in enumerate(_best(scores, shortlist), 128 * b):
-                        near = scores[k - 128 * b, found]
-                        real = near > -np.inf
-                        names, near = np.concatenate([best[k][0], ids[found][real]]), np.concatenate([best[k][1], near[real]])
+                    for k, found in enumerate(_best(scores, WIDER * shortlist), 128 * b):
+                        score = scores[k - 128 * b, found] + rest[found] @ asked32[k]
+                        names, near = np.concatenate([best[k][0], ids[found]]), np.concatenate([best[k][1], score])
                         keep = np.lexsort((names, -near))[:shortlist]
                         best[k] = names[keep], near[keep]
         yield from done()
@@ -185,18 +216,18 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = SH
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(s)], ["query_id", "vec_id", "score"])
 
     deal = lambda m: F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(m))
-    coded = rows.withColumn("c", deal(blocks)).groupBy("c").applyInArrow(encode, "c long, ids binary, body binary")
+    coded = rows.withColumn("c", deal(blocks)).groupBy("c").applyInArrow(encode, "c long, ids binary, body binary, fine binary")
     asked = asking.withColumn("q", deal(turns)).groupBy("q").applyInArrow(gather, "q long, ids binary, body binary")
     # a query block goes over all codes in as many tasks as keep the cluster busy, and each task gives one shortlist
     spans = max(1, min(blocks, -(-2 * spark.sparkContext.defaultParallelism // turns)))
     up_to = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
-    asked = asked.select("q", up_to(spans).alias("s"), F.lit(0).alias("kind"), "ids", "body")
-    coded = coded.select(up_to(turns).alias("q"), (F.col("c") % spans).alias("s"), F.lit(1).alias("kind"), "ids", "body")
+    asked = asked.select("q", up_to(spans).alias("s"), F.lit(0).alias("kind"), "ids", "body", F.lit(b"").alias("fine"))
+    coded = coded.select(up_to(turns).alias("q"), (F.col("c") % spans).alias("s"), F.lit(1).alias("kind"), "ids", "body", "fine")
     pairs = asked.unionByName(coded).repartition("q", "s").sortWithinPartitions("q", "s", "kind")
-    near = pairs.mapInArrow(scan, "query_id long, vec_id long, near float")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("near").desc(), "vec_id"))
-    short = near.withColumn("r", place).where(F.col("r") <= shortlist).select("query_id", "vec_id").distinct()
-    both = short.join(asking.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x")), "query_id").join(rows.withColumnRenamed("embedding", "y"), "vec_id")
+    near = pairs.mapInArrow(scan, "query_id long, g long, near float")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("near").desc(), "g"))
+    short = near.withColumn("r", place).where(F.col("r") <= shortlist).select("query_id", "g").distinct()
+    both = short.join(asking.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x")), "query_id").join(members.select("g", "vec_id", F.col("embedding").alias("y")), "g").where("vec_id <> query_id")
     ranked = both.mapInArrow(exact, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return ranked.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
