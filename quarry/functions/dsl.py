@@ -11,6 +11,29 @@ EDGE = r"""(?U)edge\(\s*["'](n\d+)["']\s*,\s*["'](n\d+)["']\s*,\s*relation\s*=\s
 ID_DEF = r"""(?U)\bid\s*=\s*['"](n\d+)['"]"""
 ID_USE = r"(?U)\b(n\d+)\b"
 SECTIONS = ("think", "answer", "explain", "dag")
+# The action primitives of the language.
+VOCABULARY = (
+    "set_context",
+    "binds_to",
+    "modulates_molecule_activity",
+    "modulates_pathway_activity",
+    "modulates_complex",
+    "regulates_expression",
+    "regulates_translation",
+    "post_translational_modification",
+    "localises_to",
+    "converts_substrate",
+    "degrades_or_stabilises",
+    "gain_of_function",
+    "loss_of_function",
+    "induces_phenotype",
+    "alleviates_phenotype",
+    "similar_to",
+    "correlates_with",
+    "participates_in",
+    "cell_cell_interaction",
+    "chromatin_modification",
+)
 
 
 def primitives(text: Column) -> Column:
@@ -82,7 +105,7 @@ def known_targets(text: Column) -> Column:
 
 
 def index_tag(path: Column) -> Column:
-    """the prefix that a data set's path gives to indexes."""
+    """the prefix that a data set's path gives to indexes. The names of the data sets."""
     number = F.regexp_extract(path, r"(\d+)", 1)
     return F.when(path.contains("tahoe"), F.lit("tahoe_")).when(path.contains("rxrx"), F.concat(F.lit("rxrx_"), number, F.lit("_"))).otherwise(F.lit(""))
 

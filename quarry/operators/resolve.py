@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.graph import cut
+
 
 def last_wins(df: DataFrame, keys: list[str], value: str, *order: str) -> DataFrame:
     """Per key the value that comes last in the order (max_by: partial aggregation, no sort)."""
@@ -103,12 +105,7 @@ def first_n(df: DataFrame, group: list[str], n: int, *order: Column) -> DataFram
 
 def positions(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """0-based places in a total order, from a range sort and prefix sums of partition sizes."""
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
-        rows = rows.checkpoint()
-    else:
-        rows = rows.persist()
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
     sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return rows.withColumn("_part", part).join(F.broadcast(sizes.select("_part", "_base")), "_part").withColumn(name, F.col("_base") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_base")
