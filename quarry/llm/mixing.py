@@ -5,8 +5,8 @@ cumulative words of its source divided by the source's target. Served in the glo
 run out of budget at virtual time 1; what a document has been served by then is what the mix takes of it.
 
 Defined results: null text has size 0 and is never taken; a null source is a source of its own, last in order; equal
-rows are separate documents, ordered by (md5 of id, id, size); an empty table gives an empty result; other columns of
-the input are ignored.
+rows are separate documents; the order in a source is by (md5 of id, id, size, hash of text), so rows that share an id
+are told apart by their texts; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -42,11 +42,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, virtual_finish (of the first pass), one row per document.
+    """doc_id, source, size, source_size, target, taken, virtual_finish (of the first pass), text_hash; a row per document.
 
     A hot source is dealt by hash into buckets that one task can sort: prefix sums over the buckets, then inside each.
     """
-    sizes = saved(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key")))
+    sizes = saved(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"), F.xxhash64("text").alias("text_hash")))
     per = saved(targets(sizes, weights, share, most))
     buckets = max(1, -(-sizes.count() // BUCKET_ROWS))
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
@@ -54,13 +54,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     parts = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("part"))
     earlier = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("sid", "bucket", F.coalesce(F.sum("part").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(parts, ["sid", "bucket"]).withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     budget = F.floor("target")
     served = lambda turn: F.greatest(F.lit(0), F.least(F.col("size"), budget - turn * F.col("source_size") - F.col("before")))
     taken = sum((served(F.lit(k)) for k in range(1, most)), served(F.lit(0)))
     finish = F.when(F.col("target") > 0, (F.col("before") + F.col("size")) / F.col("target"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), finish.alias("virtual_finish"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), finish.alias("virtual_finish"), "text_hash")
 
 
 def schedule(mixed: DataFrame, most: int = MOST) -> DataFrame:
@@ -74,13 +74,12 @@ def schedule(mixed: DataFrame, most: int = MOST) -> DataFrame:
 
 def take(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The mix as documents, with the columns of docs: each as often as it is taken, the last time cut to the words left."""
-    keys = ["_doc", "_size", "_source"]
     mixed = mix(docs.select("doc_id", "source", "text"), weights, share, most).where("taken > 0")
-    mixed = saved(mixed.groupBy(F.col("doc_id").alias("_doc"), F.col("size").alias("_size"), F.col("source").alias("_source")).agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows")))
-    rows = docs.withColumn("_n", n_words(F.col("text")))
-    if mixed.where("_rows > 1").limit(1).count():  # rows that look alike share what is taken of them
-        rows = rows.dropDuplicates(["doc_id", "_n", "source"])
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_n") == F.col("_size")) & F.col("source").eqNullSafe(F.col("_source"))
+    mixed = saved(mixed.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_sum"), F.col("source").alias("_source")).agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken"), F.count("*").alias("_rows")))
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    if mixed.where("_rows > 1").limit(1).count():  # equal rows share what is taken of them
+        rows = rows.dropDuplicates(["doc_id", "_hash", "source"])
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_sum")) & F.col("source").eqNullSafe(F.col("_source"))
     rows = rows.join(mixed, same).withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(_taken - 1) div _size"))))
     rows = rows.withColumn("_left", F.least(F.col("_size"), F.col("_taken") - F.col("_turn") * F.col("_size")))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_left").cast("int")), " ")

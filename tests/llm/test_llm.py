@@ -293,6 +293,16 @@ def test_taken_documents_have_the_words(spark):
     assert got == +Counter(taken)
 
 
+def test_rows_that_share_an_id_are_taken_by_their_texts(spark):
+    rows = [(1, "a b c", "en", "x", 0), (1, "d e f", "en", "x", 0), (1, "d e f", "en", "x", 0), (None, "g h", "en", None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    taken = Counter()
+    for r in mixing.mix(docs, weights=(1,), share=2.0).collect():
+        taken[r.doc_id] += r.taken
+    got = Counter(r.text for r in mixing.take(docs, weights=(1,), share=2.0).collect())
+    assert taken == {1: 18, None: 4} and got == {"a b c": 2, "d e f": 4, "g h": 2}
+
+
 # ---- 5 ------------------------------------------------------------------------------------------------------------------
 
 
