@@ -417,6 +417,22 @@ def test_lm_base_and_counts(odd, monkeypatch):
         assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_lm_knows_what_follows_rare_words(spark, monkeypatch):
+    """Words far beyond the most frequent ones, all of one ending, have contexts of their own, looked up or joined."""
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:20]
+    free = [i for i in range(200) if i not in held][:2]
+    rows = [(i, " ".join(f"a{k}zzz b{k}zzz" for k in range(1500))) for i in free]
+    rows += [(i, f"a{1400 + k}zzz b{1400 + k + k % 2}zzz") for k, i in enumerate(held)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for top in (pitman_yor.TOP, 40):
+        monkeypatch.setattr(pitman_yor, "TOP", top)
+        found.append({r.doc_id: r.score for r in pitman_yor.score(df).collect()})
+    assert found[0] == pytest.approx(found[1], abs=1e-6)
+    right, wrong = ([found[0][i] for k, i in enumerate(held) if k % 2 == odd] for odd in (0, 1))
+    assert min(right) > max(wrong) + 0.5
+
+
 def test_gibbs_gives_probabilities_and_beats_the_unigram():
     rng = np.random.default_rng(3)
     k = 12
