@@ -242,7 +242,7 @@ def induced_subgraph(spark, sf_dir):
 
 @query()
 def graph_steiner_edges(spark, sf_dir):
-    return graph.connecting_subgraph(_edges(Tables(spark, sf_dir)).where("dst < 1000000"), [100, 101, 105, 0], 4)
+    return graph.connecting_subgraph(_edges(Tables(spark, sf_dir)), [100, 101, 105, 0], 4)
 
 
 @query(f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import dsl, metrics
 from quarry.operators import evidence, graph, providers, resolve, vectors
-from quarry.plans import lifecycle
+from quarry.plans import catalogue, lifecycle
 from quarry.sources import readers, sinks
 from quarry.streaming import resume
 
@@ -218,3 +218,14 @@ def test_stream_processes_files_once(spark, tmp_path):
     spark.range(3, 5).write.mode("append").parquet(source)
     resume.process_new(spark, source, "id long", lambda df: df.withColumn("twice", F.col("id") * 2), target, str(tmp_path / "check"))
     assert spark.read.parquet(target).count() == 5
+
+
+def test_steiner_query_takes_all_edges(spark, monkeypatch, tmp_path):
+    sizes = {"nation": ("n_nationkey int, n_regionkey int", [(0, 0), (1, 0), (5, 0)]), "customer": ("c_nationkey int, c_custkey long", [(0, 1), (1, 2)]), "supplier": ("s_nationkey int, s_suppkey long", [(5, 1)])}
+    for name, (schema, rows) in sizes.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    asked = []
+    find = graph.connecting_subgraph
+    monkeypatch.setattr(graph, "connecting_subgraph", lambda edges, *more: asked.append(edges.count()) or find(edges, *more))
+    rows = catalogue.QUERIES["graph_steiner_edges"](spark, str(tmp_path)).collect()
+    assert asked == [6] and sorted((r.src, r.dst) for r in rows) == [(0, 100), (0, 101), (0, 105)]
