@@ -65,16 +65,16 @@ def gene_sets(names: DataFrame, make, most: int = 20) -> DataFrame:
     return evidence.related_genes(found, "name", "symbol", "pos", most)
 
 
-def pages(start: str, make, most: int = 1000) -> list[str]:
+def pages(start: str, make) -> list[str]:
     """The requests of a cursor, page after page; stops at a missing link, a failure or a loop."""
-    provider, request, seen = make(), start, []
-    while request and request not in seen and len(seen) < most:
-        seen.append(request)
+    provider, request, seen = make(), start, {}  # in order
+    while request and request not in seen:
+        seen[request] = True
         try:
             request = json.loads(provider([request])[0]).get("next")
         except Exception:  # the failing page is the last one
             break
-    return seen
+    return list(seen)
 
 
 def compounds(keys: DataFrame, make, replay: DataFrame | None = None) -> DataFrame:

@@ -32,6 +32,11 @@ def test_genes(spark):
     assert remote.pages("p1", SERVICE) == ["p1", "p2"]
 
 
+def test_pages_has_no_last_page_of_its_own():
+    book = table_lookup({f"p{k}": {"next": f"p{k + 1}"} if k < 1500 else {} for k in range(1501)})
+    assert remote.pages("p0", book) == [f"p{k}" for k in range(1501)]
+
+
 def test_compounds_papers_encyclopedia(spark):
     keys = spark.createDataFrame([("n", "s", "K"), (None, None, None)], "name string, smiles string, inchikey string")
     rows = {r.name: r for r in remote.compounds(keys, SERVICE).collect()}
