@@ -7,6 +7,27 @@ import zipfile
 from pathlib import Path
 
 _SHIPPED: set[str] = set()
+_OWN: dict[str, str] = {}
+
+
+def shared_base(spark) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine (tests) a folder of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if "base" not in _OWN:
+        _OWN["base"] = tempfile.mkdtemp(prefix="quarry-")
+    return _OWN["base"]
+
+
+def cut(df):
+    """Materialise in the shared folder: later reads survive lost executors and don't recompute."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_base(df.sparkSession))
+    return df.checkpoint(eager=True)
 
 
 def ship(spark) -> None:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.graph import cut
+from quarry import cut
 
 
 def last_wins(df: DataFrame, keys: list[str], value: str, *order: str) -> DataFrame:
