@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry import ship
+from quarry import cut, shared_base, ship
 
 #: A word is a maximal run of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,19 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; without that setting (tests) under a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="quarry-")
-    return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    """A new folder in the folder that driver and executors share."""
+    return f"{shared_base(spark)}/quarry-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder: later reads survive lost executors and don't recompute."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
-    return df.checkpoint(eager=True)
+    return cut(df)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """As saved(), for wide tables: compressed columns, of which later reads take what they need."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ranked(df: DataFrame, *order: Column) -> DataFrame:

@@ -58,19 +58,26 @@ ORACLE = {
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
   FROM documents WHERE text IS NOT NULL
-), ahead AS (
-  SELECT *, lead(line, 1) OVER d AS l1, lead(line, 2) OVER d AS l2, lead(line, 3) OVER d AS l3
-  FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+), units AS (
+  SELECT *, {_WORDS.format('line')} AS words, sum(CAST({_WORDS.format('line')} > 0 AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS unit FROM lines
+), heads AS (
+  SELECT doc_id, unit, line, words, sum(words) OVER (PARTITION BY doc_id ORDER BY unit) AS upto FROM units WHERE words > 0
+), whole AS (SELECT doc_id, list(line ORDER BY unit) AS content FROM heads GROUP BY doc_id
+), runs AS (
+  SELECT a.doc_id, a.unit AS first, b.unit AS last, md5(array_to_string(list_slice(content, CAST(a.unit AS BIGINT), CAST(b.unit AS BIGINT)), chr(10))) AS run
+  FROM heads a JOIN heads b ON a.doc_id = b.doc_id AND b.unit BETWEEN a.unit AND a.unit + 9 JOIN whole ON a.doc_id = whole.doc_id
+  WHERE b.upto - a.upto + a.words >= 10 AND b.upto - a.upto + a.words - greatest(a.words, b.words) < 10
 ), later AS (
-  SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AND {_WORDS.format('line')} >= 10 AS one,
-    l3 IS NOT NULL AND row_number() OVER (PARTITION BY line, l1, l2, l3 ORDER BY doc_id, pos) > 1 AS four
-  FROM ahead
-), flagged AS (
-  SELECT *, one OR max(CAST(four AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) = 1 AS gone FROM later
+  SELECT doc_id, first, last FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, first) AS n FROM runs) WHERE n > 1
+  UNION ALL
+  SELECT doc_id, unit, unit FROM (
+    SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, unit) AS n, count(*) OVER (PARTITION BY line) AS places FROM heads
+  ) WHERE n > 1 AND words >= 5 AND places >= 50
+), gone AS (SELECT DISTINCT doc_id, unnest(range(CAST(first AS BIGINT), CAST(last AS BIGINT) + 1)) AS unit FROM later
 ), kept AS (
-  SELECT doc_id, count(*) AS n_lines, sum(CAST(gone AS INT)) AS n_removed,
-    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
-  FROM flagged GROUP BY doc_id
+  SELECT u.doc_id, max(u.unit) AS n_lines, count(DISTINCT g.unit) AS n_removed,
+    coalesce(string_agg(u.line, chr(10) ORDER BY pos) FILTER (WHERE g.unit IS NULL), '') AS text
+  FROM units u LEFT JOIN gone g ON u.doc_id = g.doc_id AND u.unit = g.unit GROUP BY u.doc_id
 )
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
   CAST(length(k.text) AS BIGINT) AS kept_chars, md5(k.text) AS kept_md5
@@ -78,7 +85,8 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 """,
     "op4_fair_queue_mixing": f"""
 WITH sizes AS (
-  SELECT doc_id, source, CAST(coalesce({_WORDS.format('text')}, 0) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS key FROM documents
+  SELECT doc_id, source, CAST(coalesce({_WORDS.format('text')}, 0) AS BIGINT) AS size, row_number() OVER () AS row_no,
+    md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '/', coalesce(md5(text), ''))) AS key FROM documents
 ), per AS (
   SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM sizes GROUP BY source
 ), weighed AS (
@@ -89,15 +97,21 @@ WITH sizes AS (
     / sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed
 ), marked AS (SELECT *, cap <= level * weight AS capped FROM filled),
 targets AS (
-  SELECT source, CAST(source_size AS BIGINT) AS source_size, CASE WHEN capped THEN cap ELSE
+  SELECT source, sid, budget, CAST(source_size AS BIGINT) AS source_size, CASE WHEN capped THEN cap ELSE
     (budget - coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0)) / sum(CASE WHEN NOT capped THEN weight END) OVER () * weight END AS target FROM marked
 ), queued AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
-    coalesce(sum(s.size) OVER (PARTITION BY t.source ORDER BY s.key, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT s.doc_id, s.row_no, s.size, t.sid, t.budget, t.source_size, t.target,
+    coalesce(sum(s.size) OVER (PARTITION BY t.source ORDER BY s.key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), packets AS (
+  SELECT row_no, sid, budget, target, least(256, size - pack * 256) AS words,
+    CAST(turn * source_size + before + least((pack + 1) * 256, size) AS DOUBLE) AS served
+  FROM queued, (VALUES (0), (1)) turns(turn), LATERAL (SELECT unnest(range(CAST(ceil(size / 256) AS BIGINT))) AS pack)
+), timed AS (
+  SELECT row_no, words, budget, sum(words) OVER (ORDER BY served / target, sid, served) AS upto FROM packets
+), mixed AS (
+  SELECT row_no, sum(greatest(0, least(words, floor(budget) - (upto - words)))) AS taken FROM timed GROUP BY row_no
 )
-SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - source_size - before)) AS BIGINT) AS taken
-FROM queued
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM queued LEFT JOIN mixed USING (row_no)
 """,
 }

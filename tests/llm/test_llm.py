@@ -217,53 +217,108 @@ def test_packing_fits_and_covers(spark, odd):
         assert {r["capacity"] for r in content} == {min(c for c in lengths if c >= used)}
 
 
-def test_best_fit_takes_the_tightest_bin():
+def test_best_fit_against_a_plain_packer():
+    """The kernel against the rule written plainly, at the shipped lengths."""
     rng = np.random.default_rng(0)
-    sizes = sorted(rng.integers(1, 60, 200).tolist(), reverse=True)
-    bins, offsets, caps = packing.best_fit(sizes, (16, 64))
-    opened, rest = {}, sum(sizes)
-    for n, b in zip(sizes, bins):
-        fits = [r for r in opened.values() if r >= n]
-        if fits:
-            assert opened[b] == min(fits)
-        else:
-            assert b not in opened
-            opened[b] = min((packing.cost(c) / min(c, rest), c) for c in (16, 64) if c >= n)[1]
-        opened[b] -= n
-        rest -= n
-    assert sum(caps) < 1.1 * sum(sizes) + 64
+    for lengths, top in ((packing.LENGTHS, 4000), (packing.LENGTHS, 700), ((16, 64), 60)):
+        sizes = sorted(rng.integers(1, top, 400).tolist(), reverse=True)
+        bins, offsets, caps, opened = packing.best_fit(sizes, lengths)
+        room, want = {}, []
+        for k, n in enumerate(sizes):
+            fits = [(r, -b) for b, r in room.items() if r >= n]
+            if fits:
+                assert room[bins[k]] == min(fits)[0]
+            else:
+                choice = []
+                for c in lengths:
+                    if c >= n:
+                        full = n + min(c - n, sum(x for x in sizes[k + 1 :] if x <= c - n))
+                        choice.append((packing.cost(min(x for x in lengths if x >= full)) / full, c))
+                assert bins[k] not in room
+                room[bins[k]] = opened[bins[k]]
+                assert packing.cost(opened[bins[k]]) and min(choice)[0] == pytest.approx(next(p for p, c in choice if c == opened[bins[k]]))
+            room[bins[k]] -= n
+        used = Counter()
+        for n, b, at in zip(sizes, bins, offsets):
+            assert used[b] == at
+            used[b] += n
+        assert [min(c for c in lengths if c >= used[b]) for b in range(len(caps))] == caps
+
+
+def test_lengths_are_chosen_jointly_and_bins_shrink():
+    """At the shipped lengths some bin opens longer than its first piece needs, some shrinks, and no single way of opening is cheaper."""
+    rng = np.random.default_rng(1)
+    sizes = sorted(np.minimum(8192, rng.lognormal(5.3, 1.1, 5000).astype(int) + 1).tolist(), reverse=True)
+    bins, _, caps, opened = packing.best_fit(sizes)
+    first = {b: n for n, b in reversed(list(zip(sizes, bins)))}
+    assert any(opened[b] > min(c for c in packing.LENGTHS if c >= n) for b, n in first.items())
+    assert any(c < o for c, o in zip(caps, opened)) and len(set(opened)) > 3
+    total = sum(map(packing.cost, caps))
+    for alone in packing.LENGTHS:
+        one = [alone] + [c for c in packing.LENGTHS if c > alone]
+        assert total <= 1.01 * sum(map(packing.cost, packing.best_fit(sizes, one[:1])[2])) if alone >= sizes[0] else True
+    assert sum(sizes) / sum(caps) > 0.97
 
 
 # ---- 3 ------------------------------------------------------------------------------------------------------------------
 
 
-def plain_lines(docs, m=line_dedup.MIN_LINES, w=line_dedup.MIN_WORDS):
-    """Texts of {id: lines} without the runs that occurred before."""
-    seen, gone = set(), defaultdict(set)
-    for d, p, n in [(d, p, n) for d in sorted(docs) for p in range(len(docs[d])) for n in {1, m}]:
-        run = tuple(docs[d][p : p + n])
-        if len(run) == n:
-            if (n, run) in seen and (n == m or len(WORD.findall(run[0])) >= w):
-                gone[d] |= set(range(p, p + n))
-            seen.add((n, run))
+def plain_lines(docs, least=line_dedup.MIN_WORDS, words_=line_dedup.COMMON_WORDS, places=line_dedup.COMMON_PLACES):
+    """Texts of {id: lines} without the lines of runs of enough words that occurred before; runs of all lengths."""
+    heads = {d: [k for k, x in enumerate(lines) if WORD.search(x)] for d, lines in docs.items()}
+    count = Counter(docs[d][k] for d in docs for k in heads[d])
+    first, gone = {}, defaultdict(set)
+    for d in sorted(docs):
+        at = heads[d]
+        for i in range(len(at)):
+            for j in range(i + 1, len(at) + 1):
+                run = tuple(docs[d][k] for k in at[i:j])
+                first.setdefault(run, (d, i))
+                n = sum(len(WORD.findall(x)) for x in run)
+                if first[run] < (d, i) and (n >= least or j == i + 1 and n >= words_ and count[run[0]] >= places):
+                    for k in range(i, j):
+                        gone[d] |= set(range(at[k], at[k + 1] if k + 1 < len(at) else len(docs[d])))
     return {d: "\n".join(x for k, x in enumerate(lines) if k not in gone[d]) for d, lines in docs.items()}
 
 
-@pytest.mark.parametrize(("m", "w"), [(1, 1), (2, 100), (3, 10), (4, 10), (5, 3)])
-def test_lines_against_brute_force(spark, m, w):
-    rng = np.random.default_rng(m)
-    docs = {k: [" ".join(["w"] * int(rng.integers(0, 6))) + str(rng.integers(4)) for _ in range(int(rng.integers(1, 14)))] for k in range(25)}
-    docs[30] = docs[3] + docs[4]
-    want = plain_lines(docs, m, w)
+@pytest.mark.parametrize(("least", "words_", "places"), [(1, 1, 1), (4, 2, 6), (10, 5, 50), (10, 2, 9), (25, 9, 9)])
+def test_lines_against_brute_force(spark, least, words_, places):
+    rng = np.random.default_rng(least)
+    docs = {k: [" ".join(["w"] * int(rng.integers(0, 6))) + str(rng.integers(4)) if rng.random() < 0.8 else " " for _ in range(int(rng.integers(1, 14)))] for k in range(25)}
+    docs |= {30: docs[3] + docs[4], 31: docs[5], 32: docs[5], 33: ["", *docs[7][2:]], 34: ["", "x 1", "", "x 1"]}
+    docs[35] = docs[30] + docs[30]
+    want = plain_lines(docs, least, words_, places)
     df = spark.createDataFrame([(d, "\n".join(x)) for d, x in docs.items()], "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.text for r in line_dedup.clean(df, m, w).collect()}
-    assert got == want
+    got = {r.doc_id: r for r in line_dedup.clean(df, least, words_, places).collect()}
+    assert {d: r.text for d, r in got.items()} == want
+    assert {d: r.n_lines for d, r in got.items()} == {d: sum(bool(WORD.search(x)) for x in lines) for d, lines in docs.items()}
+    assert all(r.n_lines - r.n_removed == sum(bool(WORD.search(x)) for x in want[d].split("\n")) for d, r in got.items())
+
+
+def test_hot_lines_go_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_PLACES", 5)
+    monkeypatch.setattr(line_dedup, "HOT", 4)
+    docs = {k: [f"a line of its own in document {k} and no other one of them", "the same long line that stands in all of the documents here", "short one", f"end {k}"] for k in range(30)}
+    df = spark.createDataFrame([(d, "\n".join(x)) for d, x in docs.items()], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in line_dedup.clean(df).collect()} == plain_lines(docs)
+
+
+def test_remnants_go_and_columns_stay(spark):
+    body = [f"line number {k} of a text that has quite a few words" for k in range(8)]
+    docs = [(1, "\n".join(body), 77, "x"), (2, "\n".join([*body[:7], "edited"]), 78, "y"), (3, "\n".join([body[2], *[f"some other words {k} that nobody wrote before" for k in range(3)]]), 79, "z"), (4, "\n".join(body), 80, "w")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_lines long, _sum string")
+    got = {r.doc_id: r for r in line_dedup.dedup(df).collect()}
+    assert sorted(got) == [1, 3]  # 2 is left with a word, 4 with none
+    assert got[1].asDict() == df.where("doc_id = 1").first().asDict()
+    assert (got[3].n_lines, got[3]["_sum"]) == (79, "z") and body[2] not in got[3].text
 
 
 # ---- 4 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_mixing(spark, odd):
+@pytest.mark.parametrize("packet", [mixing.PACKET, 3])
+def test_mixing(spark, odd, monkeypatch, packet):
+    monkeypatch.setattr(mixing, "PACKET", packet)
     got = mixing.mix(odd).collect()
     assert all(0 <= r.taken <= 2 * r["size"] for r in got)
     per = defaultdict(list)
@@ -271,16 +326,41 @@ def test_mixing(spark, odd):
         per[r.source].append(r)
     total = sum(r["size"] for r in got)
     assert sum(rows[0].target for rows in per.values()) == pytest.approx(1.5 * total)
+    assert sum(r.taken for r in got) == math.floor(1.5 * total)
     for rows in per.values():
-        assert sum(r.taken for r in rows) == math.floor(rows[0].target)
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= packet
         assert rows[0].target <= 2 * rows[0].source_size
     order = sorted(per, key=lambda s: (s is None, s))
     free = [rows[0].target / (5, 2, 1)[order.index(s) % 3] for s, rows in per.items() if rows[0].target < 2 * rows[0].source_size - 1e-6]
     assert max(free, default=0) == pytest.approx(min(free, default=0))
     assert sorted(map(str, mixing.mix(odd).collect())) == sorted(map(str, got))
-    plan = mixing.schedule(mixing.mix(odd)).collect()
-    assert [r.virtual_time for r in plan] == sorted(r.virtual_time for r in plan)
-    assert sum(r.words for r in plan) == sum(r.taken for r in got)
+
+
+def test_the_mix_is_the_order_up_to_the_cut(spark, odd):
+    """taken against serving the packets one by one in the order of virtual finish times."""
+    queued = mixing.queue(odd.select("doc_id", "source", "text"))
+    rows = queued.collect()
+    packets = []
+    for k, r in enumerate(rows):
+        for turn in range(mixing.MOST):
+            for at in range(0, r["size"], mixing.PACKET):
+                words_ = min(mixing.PACKET, r["size"] - at)
+                end = turn * r.source_size + r.before + at + words_
+                packets.append((end / r.target, r.sid, end, words_, k))
+    left, want = math.floor(mixing.SHARE * sum(r["size"] for r in rows)), Counter()
+    for *_, words_, k in sorted(packets):
+        want[k] += min(words_, left)
+        left -= min(words_, left)
+    got = Counter((r.doc_id, r.source, r["size"], r.taken) for r in mixing.mix(odd).collect())
+    assert got == Counter((r.doc_id, r.source, r["size"], want[k]) for k, r in enumerate(rows))
+    plan = [(r.virtual_finish, r.sid, r.end, r.words) for r in mixing.schedule(queued).orderBy("_id").collect()]
+    assert plan == [p[:4] for p in sorted(packets)]
+
+
+def test_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(k, f"word {k} and more", "s", 5, k) for k in range(6)], "doc_id long, text string, source string, _hash long, _sum long")
+    got = mixing.take(docs).collect()
+    assert {(r["_hash"], r["_sum"]) for r in got} == {(5, k) for k in range(6)}
 
 
 def test_taken_documents_have_the_words(spark):
@@ -551,7 +631,8 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
             assert all(r == before[r.doc_id] for r in after)
         elif k == 1:
             want = plain_lines({i: r.text.split("\n") for i, r in before.items()})
-            assert {r.doc_id: r.text for r in after} == {i: t for i, t in want.items() if t == before[i].text or WORD.search(t)}
+            count = lambda t: len(WORD.findall(t))
+            assert {r.doc_id: r.text for r in after} == {i: t for i, t in want.items() if t == before[i].text or count(t) and count(t) >= line_dedup.REMNANT * count(before[i].text)}
         elif k == 2:
             classes = jaccard_classes([(i, r.text) for i, r in before.items()])
             assert sorted(r.doc_id for r in after) == sorted(i for i, c, _ in classes if i == c)
