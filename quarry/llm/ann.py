@@ -2,16 +2,19 @@
 
 Vectors are product-quantised, one component and 4 bits a subspace. Codebooks and codes minimise the anisotropic loss
 |r|^2 + (eta - 1) (u.r)^2 with u = x / |x|: an error parallel to the vector, which changes large inner products, costs
-eta times as much as one across it. Every row is encoded; queries scan the 4-bit codes in blocks through their tables of
-partial products, two codes a lookup; the best of a block are scored again with four more bits of what the codes left, and the
-`SHORTLIST` best of a query are ranked by exact products in doubles.
+eta times as much as one across it. Every row is encoded and belongs to the part of its nearest centre; a part is held in
+blocks of bounded size. A query goes to the parts whose centres have the largest products with it, to as many as held
+`COVER` of the neighbours of sample queries. There it scans the 4-bit codes through its table of partial products, two
+codes a lookup; the best of a block are scored again with four more bits of what the codes left, and the `SHORTLIST` best
+of a query are ranked by exact products in doubles.
 
-Codebooks are fitted on the `SAMPLE` vectors of least id hash. Each scan task takes one block of codes and one of
-queries, both of bounded size and dealt by a hash of the id.
+So codes move once, and a query moves once for each block that it asks. Codebooks and centres are fitted on the `SAMPLE`
+and `CENTRE_SAMPLE` vectors of least id hash.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components
 take no part, nor do rows without an id; of equal queries by id one asks; rows that share an id are separate candidates,
 but never for the query of that id; ties go to the smaller id; other columns are ignored; an empty table gives no rows.
+Entries are named by a 64-bit hash of the vector: two vectors of one hash are candidates together, and both ranked exactly.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import kept, saved
 
 SAMPLE, ROUNDS, THRESHOLD = 8192, 8, 0.2
 CODES = 16
@@ -33,7 +36,12 @@ WIDTH = 1
 SHORTLIST = 100
 #: Times the shortlist that the scan of a block keeps for the finer codes.
 WIDER = 4
-BLOCK, QUERY_BLOCK = 16_384, 512
+BLOCK, QUERY_BLOCK = 32_768, 256
+#: Parts have so many rows on average, and are so many at most.
+PART_ROWS, PARTS = 2048, 1024
+CENTRE_SAMPLE, COVER = 32_768, 0.985
+#: What a block gives of each query, beside the neighbours asked for.
+SPARE = 20
 
 
 class Quantiser(NamedTuple):
@@ -120,6 +128,38 @@ def fit(x: np.ndarray, rounds: int = ROUNDS, seed: int = 3) -> Quantiser:
     return q
 
 
+def centres(x: np.ndarray, parts: int, rounds: int = 8, seed: int = 4) -> np.ndarray:
+    """k-means; a part that gets empty starts again at a vector of the sample."""
+    rng = np.random.default_rng(seed)
+    found = x[rng.choice(len(x), min(parts, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        near = nearest(x, found)
+        size = np.bincount(near, minlength=len(found))
+        total = np.zeros_like(found)
+        np.add.at(total, near, x)
+        found = np.where(size[:, None] > 0, total / np.maximum(1, size)[:, None], x[rng.integers(0, len(x), len(found))])
+    return found
+
+
+def nearest(x: np.ndarray, found: np.ndarray) -> np.ndarray:
+    return np.concatenate([((found**2).sum(1)[None, :] - 2 * x[a : a + 4096] @ found.T).argmin(1) for a in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+
+
+def probes(x: np.ndarray, found: np.ndarray, k: int, asked: int = 512) -> int:
+    """How many parts, in order of their centres' products, hold COVER of the k nearest of sample queries in the sample."""
+    if len(found) == 1:
+        return 1
+    home = nearest(x, found)
+    q = x[:asked]
+    scores = q @ x.T
+    scores[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    best = np.argpartition(-scores, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)]
+    place = np.empty((len(q), len(found)), np.int64)
+    place[np.arange(len(q))[:, None], np.argsort(-(q @ found.T), axis=1)] = np.arange(len(found))
+    needed = np.sort(place[np.arange(len(q))[:, None], home[best]].ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(COVER * len(needed))))]) + 1
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
@@ -161,73 +201,90 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = SH
     members = saved(rows)
     rows = members.where("copy = 1")
     n = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).toArrow()
-    model = spark.sparkContext.broadcast(fit(_matrix(sample["embedding"], dim).astype(np.float64)))
-    asks = asking.count()
-    blocks, turns = -(-n // BLOCK), max(1, -(-asks // QUERY_BLOCK))
-
-    def encode(group: pa.Table) -> pa.Table:
-        group = group.sort_by("vec_id")
-        codes, fine = model.value.packed(_matrix(group["embedding"], dim).astype(np.float64))
-        return pa.table({"c": group["c"][:1], "ids": pa.array([group["g"].to_numpy().astype("<i8").tobytes()], pa.binary()), "body": pa.array([codes.tobytes()], pa.binary()), "fine": pa.array([fine.tobytes()], pa.binary())})
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(CENTRE_SAMPLE).toArrow()
+    x = _matrix(sample["embedding"], dim).astype(np.float64)
+    middle = centres(x, max(1, min(PARTS, n // PART_ROWS)))
+    asks, most = probes(x, middle, k), k + SPARE
+    model = spark.sparkContext.broadcast((fit(x[:SAMPLE]), middle))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quantiser, found = model.value
+        for batch in batches:
+            if batch.num_rows:
+                v = _matrix(batch.column("embedding"), dim).astype(np.float64)
+                codes, fine = quantiser.packed(v)
+                yield pa.RecordBatch.from_arrays([pa.array(nearest(v, found).astype(np.int32)), batch.column("g"), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array([r.tobytes() for r in fine], pa.binary())], ["part", "id", "body", "fine"])
 
-    def gather(group: pa.Table) -> pa.Table:
-        group = group.sort_by("vec_id")
-        return pa.table({"q": group["q"][:1], "ids": pa.array([group["vec_id"].to_numpy().astype("<i8").tobytes()], pa.binary()), "body": pa.array([_matrix(group["embedding"], dim).astype("<f4").tobytes()], pa.binary())})
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, found = model.value
+        for batch in batches:
+            if batch.num_rows:
+                v = _matrix(batch.column("embedding"), dim).astype(np.float64)
+                parts = np.argsort(-(v @ found.T), axis=1, kind="stable")[:, :asks].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.list_(pa.int32())), batch.column("vec_id"), pa.array([r.tobytes() for r in v.astype("<f4")], pa.binary())], ["parts", "id", "body"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by query block and span: first the queries, then block after block of codes."""
-        who = luts = asked32 = None
-        best: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if who is not None:
-                size = [len(b[0]) for b in best]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who, size)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], ["query_id", "g", "near"])
+        """Rows come by block: first its codes, then the queries that ask it, some at a time."""
+        quantiser, _ = model.value
+        block, held, asked, ids, codes, rest = None, [], [], None, None, None
+
+        def answer() -> pa.RecordBatch:
+            x32 = np.frombuffer(b"".join(v for _, v in asked), "<f4").reshape(len(asked), dim)
+            lut = quantiser.tables(x32.astype(np.float64))
+            scores = np.zeros((len(asked), len(ids)), np.float32)
+            for j, byte in enumerate(codes):
+                scores += np.take(lut[:, j], byte, axis=1)
+            names, near = [], []
+            for r, found in enumerate(_best(scores, WIDER * most)):
+                score = scores[r, found] + rest[found] @ x32[r]
+                keep = np.lexsort((ids[found], -score))[:most]
+                names.append(ids[found][keep])
+                near.append(score[keep])
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in asked], pa.int64()), pa.array(names, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.float32()))], ["query_id", "g", "near"])
+
+        def close() -> None:
+            nonlocal ids, codes, rest, held
+            if held:
+                ids = np.array([i for i, _, _ in held], np.int64)
+                codes = np.frombuffer(b"".join(b for _, b, _ in held), np.uint8).reshape(len(ids), -1).T.copy()
+                rest = quantiser.unrefined(np.frombuffer(b"".join(f for _, _, f in held), np.uint8).reshape(len(ids), -1))
+                held = []
 
         for batch in batches:
-            for r in range(batch.num_rows):
-                get = lambda c, kind: np.frombuffer(batch.column(c)[r].as_buffer(), kind)  # noqa: B023, E731
-                ids = get("ids", "<i8")
-                if batch.column("kind")[r].as_py() == 0:
-                    yield from done()
-                    who = ids
-                    asked32 = get("body", "<f4").reshape(len(who), -1)
-                    vectors = asked32.astype(np.float64)
-                    luts = [model.value.tables(vectors[a : a + 128]) for a in range(0, len(who), 128)]
-                    best = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(who)
+            columns = [batch.column(c).to_pylist() for c in ("part", "block", "kind", "id", "body", "fine")]
+            for part, number, kind, i, body, fine in zip(*columns):
+                if (part, number) != block:
+                    if asked and ids is not None:
+                        yield answer()
+                    block, held, asked, ids = (part, number), [], [], None
+                if kind == 0:
+                    held.append((i, body, fine))
                     continue
-                codes = get("body", np.uint8).reshape(len(ids), -1).T.copy()
-                rest = model.value.unrefined(get("fine", np.uint8).reshape(len(ids), -1))
-                for b, lut in enumerate(luts):
-                    scores = np.zeros((len(lut), len(ids)), np.float32)
-                    for j, byte in enumerate(codes):
-                        scores += np.take(lut[:, j], byte, axis=1)
-                    for k, found in enumerate(_best(scores, WIDER * shortlist), 128 * b):
-                        score = scores[k - 128 * b, found] + rest[found] @ asked32[k]
-                        names, near = np.concatenate([best[k][0], ids[found]]), np.concatenate([best[k][1], score])
-                        keep = np.lexsort((names, -near))[:shortlist]
-                        best[k] = names[keep], near[keep]
-        yield from done()
+                close()
+                if ids is not None:
+                    asked.append((i, body))
+                if len(asked) >= QUERY_BLOCK:
+                    yield answer()
+                    asked = []
+        if asked and ids is not None:
+            yield answer()
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = np.einsum("nd,nd->n", _matrix(batch.column("x"), dim).astype(np.float64), _matrix(batch.column("y"), dim).astype(np.float64)) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(s)], ["query_id", "vec_id", "score"])
 
-    deal = lambda m: F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(m))
-    coded = rows.withColumn("c", deal(blocks)).groupBy("c").applyInArrow(encode, "c long, ids binary, body binary, fine binary")
-    asked = asking.withColumn("q", deal(turns)).groupBy("q").applyInArrow(gather, "q long, ids binary, body binary")
-    # a query block goes over all codes in as many tasks as keep the cluster busy, and each task gives one shortlist
-    spans = max(1, min(blocks, -(-2 * spark.sparkContext.defaultParallelism // turns)))
-    up_to = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
-    asked = asked.select("q", up_to(spans).alias("s"), F.lit(0).alias("kind"), "ids", "body", F.lit(b"").alias("fine"))
-    coded = coded.select(up_to(turns).alias("q"), (F.col("c") % spans).alias("s"), F.lit(1).alias("kind"), "ids", "body", "fine")
-    pairs = asked.unionByName(coded).repartition("q", "s").sortWithinPartitions("q", "s", "kind")
-    near = pairs.mapInArrow(scan, "query_id long, g long, near float")
+    coded = kept(rows.select("g", "embedding").mapInArrow(encode, "part int, id long, body binary, fine binary"))
+    sizes = coded.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # PARTS rows at most
+    up_to = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    asked = asking.mapInArrow(route, "parts array<int>, id long, body binary").select(F.explode("parts").alias("part"), "id", "body")
+    asked = asked.join(F.broadcast(sizes), "part").select("part", up_to, F.lit(1).alias("kind"), "id", "body", F.lit(None).cast("binary").alias("fine"))
+    coded = coded.join(F.broadcast(sizes), "part").select("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "body", "fine")
+    both = coded.unionByName(asked).repartition("part", "block").sortWithinPartitions("part", "block", "kind", "id")
+    near = both.mapInArrow(scan, "query_id long, g array<long>, near array<float>").select("query_id", F.explode(F.arrays_zip("g", "near")).alias("e")).select("query_id", "e.g", "e.near")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("near").desc(), "g"))
     short = near.withColumn("r", place).where(F.col("r") <= shortlist).select("query_id", "g").distinct()
-    both = short.join(asking.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x")), "query_id").join(members.select("g", "vec_id", F.col("embedding").alias("y")), "g").where("vec_id <> query_id")
-    ranked = both.mapInArrow(exact, "query_id long, vec_id long, score double")
+    pairs = short.join(asking.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x")), "query_id").join(members.select("g", "vec_id", F.col("embedding").alias("y")), "g").where("vec_id <> query_id")
+    ranked = pairs.mapInArrow(exact, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return ranked.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

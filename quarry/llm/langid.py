@@ -1,11 +1,13 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained here in numpy.
 
-The network reads a space-delimited string (in windows of at most `WINDOW` bytes) from both sides and gives every byte
-a distribution over the languages. A document's probabilities are the mean of those of all its letter bytes. As windows
-end at white space, equal strings get equal labels, and a worker labels each distinct string once; nothing is left out.
+The network reads the whole text, white space and all, from both sides and gives every byte a distribution over the
+languages; a document's probabilities are the mean of those of all its letter bytes. The bytes are labelled in windows of
+`WINDOW`, each read with `MARGIN` more on either side, by which the states of both directions have warmed up; beyond the
+ends of a text stand blanks.
 
 Training takes rows with text and lang outside the held-out fold: at most `MAX_DOCS` documents (least hashes of ids) and
-at most `DOC_WORDS` distinct strings of each. lang, source and id are never inputs of a prediction.
+`DOC_WINDOWS` stretches of `SPAN` bytes of each, from anywhere in the text. It stops when the loss on stretches kept apart
+no longer falls. lang, source and id are never inputs of a prediction.
 
 Defined results: null text and text without a letter are `und` with score 0; without any training row all text with a
 letter is `und`; a language is a non-null value of lang in the sample, ties go to the first by code point; equal rows
@@ -14,6 +16,7 @@ get equal results; an empty table gives none; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,17 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, doc_fold, mix, runs, saved, sums, words
+from .common import buffers, doc_fold, mix, runs, saved, sums
 
-MAX_DOCS, DOC_WORDS = 3000, 40
-WINDOW, HIDDEN = 32, 16
-STEPS, BATCH, RATE = 900, 256, 0.01
-#: Distinct strings whose labels a worker remembers at once.
-CACHE = 1_500_000
+MAX_DOCS, DOC_WINDOWS, SPAN = 3000, 10, 64
+WINDOW, MARGIN = 256, 16
+HIDDEN = 8
+STEPS, BATCH, RATE = 900, 192, 0.015
+#: Steps between looks at the loss on stretches kept apart, and how many looks without a fall end the training.
+LOOK, PATIENCE, FALL = 50, 3, 0.01
+#: Windows that are read side by side.
+ABREAST = 1024
 UNKNOWN = "und"
+_BLANK = 32
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_FOLD = np.arange(256)
+_FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
@@ -48,8 +55,8 @@ class Network:
         self.p = {f"{k}{d}": v.astype(np.float32) for d in (0, 1) for k, v in (("W", rng.normal(0, 0.3, (256, 3 * h))), ("U", rng.normal(0, 1 / np.sqrt(h), (h, 3 * h))), ("b", np.zeros(3 * h)), ("c", np.zeros(h)))}
         self.p |= {"V": rng.normal(0, 0.3, (2 * h, classes)).astype(np.float32), "v": np.zeros(classes, np.float32)}
 
-    def _run(self, x: np.ndarray, d: int, keep: list | None, mask: np.ndarray | None) -> np.ndarray:
-        """States after each position; x: (time, batch), already in the direction's order."""
+    def _run(self, x: np.ndarray, d: int, keep: list) -> np.ndarray:
+        """States after each position, with what training needs of each step; x: (time, batch), already in the direction's order."""
         h, p = self.h, self.p
         state = np.zeros((x.shape[1], h), np.float32)
         out = np.empty((*x.shape, h), np.float32)
@@ -60,12 +67,42 @@ class Network:
             z, r = gates[:, :h], gates[:, h:]
             s = r_in[:, 2 * h :] + c
             n = np.tanh(a[:, 2 * h :] + r * s)
-            new = n + z * (state - n)
-            if mask is not None:
-                new = np.where(mask[t][:, None], new, state)
-            if keep is not None:
-                keep.append((state, z, r, s, n))
-            out[t] = state = new
+            keep.append((state, z, r, s, n))
+            out[t] = state = n + z * (state - n)
+        return out
+
+    def _states(self, x: np.ndarray, d: int) -> np.ndarray:
+        """As _run(), for labelling: sigmoids as halves of tanh, the halves taken into the weights, no copies."""
+        h, p, half = self.h, self.p, np.float32(0.5)
+        table = p[f"W{d}"] + p[f"b{d}"]
+        wz, wr, wn = (np.ascontiguousarray(table[:, k * h : (k + 1) * h]) for k in range(3))
+        uz, ur, un = (np.ascontiguousarray(p[f"U{d}"][:, k * h : (k + 1) * h]) * half for k in range(3))
+        wz, wr, c = wz * half, wr * half, p[f"c{d}"] * half
+        out = np.empty((*x.shape, h), np.float32)
+        state = np.zeros((x.shape[1], h), np.float32)
+        z, r, n, m = (np.empty_like(state) for _ in range(4))
+        for t in range(len(x)):
+            np.take(wz, x[t], 0, z, "clip")
+            np.take(wr, x[t], 0, r, "clip")
+            np.take(wn, x[t], 0, n, "clip")
+            np.matmul(state, uz, m)
+            z += m
+            np.tanh(z, z)
+            np.matmul(state, ur, m)
+            r += m
+            np.tanh(r, r)
+            r += 1
+            np.matmul(state, un, m)
+            m += c
+            r *= m
+            n += r
+            np.tanh(n, n)
+            np.subtract(state, n, m)
+            m *= half
+            z += 1
+            m *= z
+            state = out[t]
+            np.add(n, m, state)
         return out
 
     def _softmax(self, f: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,116 +112,114 @@ class Network:
         return e / e.sum(-1, keepdims=True)
 
     def label(self, x: np.ndarray) -> np.ndarray:
-        """Distributions (time, batch, class) of strings of one length; x: bytes (time, batch)."""
-        f = self._run(x, 0, None, None)
-        b = self._run(x[::-1], 1, None, None)[::-1]
-        return self._softmax(f, b)
-
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Backpropagation through time of the mean cross entropy over all positions of padded strings."""
+        """Distributions (time, batch, class); x: bytes (time, batch)."""
+        return self._softmax(self._states(x, 0), self._states(x[::-1], 1)[::-1])
+
+    def sums(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Sums of the distributions at the positions of own, by string (batch, class)."""
+        v = self.p["V"]
+        e = self._states(x, 0).reshape(-1, self.h) @ v[: self.h]
+        e += self._states(x[::-1], 1)[::-1].reshape(-1, self.h) @ v[self.h :]
+        e += self.p["v"]
+        np.minimum(e, 60, e)  # no state is above 1, so this is beyond any logit of a trained network
+        np.exp(e, e)
+        share = own.astype(np.float32).ravel() / np.maximum(e @ np.ones(self.classes, np.float32), np.float32(1e-30))
+        e *= share[:, None]
+        return e.reshape(*x.shape, -1).sum(0)
+
+    def gradients(self, x: np.ndarray, weight: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Backpropagation through time of the weighted cross entropy over all positions; weight: (time, batch)."""
         h, p = self.h, self.p
         memory: list[list] = [[], []]
         order = (slice(None), slice(None, None, -1))
-        states = [self._run(x[order[d]], d, memory[d], mask[order[d]]) for d in (0, 1)]
+        states = [self._run(x[order[d]], d, memory[d]) for d in (0, 1)]
         f, b = states[0], states[1][::-1]
         dl = self._softmax(f, b)
         dl[:, np.arange(len(y)), y] -= 1
-        dl *= mask[:, :, None] / np.float32(mask.sum())
-        both = np.concatenate([f, b], -1)
-        g = {"V": np.einsum("tbi,tbc->ic", both, dl), "v": dl.sum((0, 1))}
+        dl *= weight[:, :, None]
+        both = np.concatenate([f, b], -1).reshape(-1, 2 * h)
+        g = {"V": both.T @ dl.reshape(-1, dl.shape[-1]), "v": dl.sum((0, 1))}
         up = dl @ p["V"].T
         for d in (0, 1):
-            gw, gu, gb, gc = (np.zeros_like(p[f"{k}{d}"]) for k in "WUbc")
-            top = up[:, :, d * h : (d + 1) * h][order[d]]
-            xs, ms = x[order[d]], mask[order[d]]
-            carry = np.zeros((x.shape[1], h), np.float32)
+            gu, gc = np.zeros_like(p[f"U{d}"]), np.zeros_like(p[f"c{d}"])
+            top, xs = up[:, :, d * h : (d + 1) * h][order[d]], x[order[d]]
+            inputs = np.empty((*xs.shape, 3 * h), up.dtype)
+            carry = np.zeros((x.shape[1], h), up.dtype)
             for t in range(len(xs) - 1, -1, -1):
                 state, z, r, s, n = memory[d][t]
                 whole = carry + top[t]
-                live = np.where(ms[t][:, None], whole, 0)
-                dn = live * (1 - z) * (1 - n * n)
-                dz = live * (state - n) * z * (1 - z)
+                dn = whole * (1 - z) * (1 - n * n)
+                dz = whole * (state - n) * z * (1 - z)
                 dr = dn * s * r * (1 - r)
-                da = np.concatenate([dz, dr, dn], 1)
+                inputs[t] = np.concatenate([dz, dr, dn], 1)
                 inner = np.concatenate([dz, dr, dn * r], 1)
-                np.add.at(gw, xs[t], da)
-                gb += da.sum(0)
                 gc += inner[:, 2 * h :].sum(0)
                 gu += state.T @ inner
-                carry = live * z + inner @ p[f"U{d}"].T + np.where(ms[t][:, None], 0, whole)
-            g |= {f"W{d}": gw, f"U{d}": gu, f"b{d}": gb, f"c{d}": gc}
+                carry = whole * z + inner @ p[f"U{d}"].T
+            flat, rows = inputs.reshape(-1, 3 * h), np.argsort(xs.ravel(), kind="stable")
+            byte = xs.ravel()[rows]
+            first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+            gw = np.zeros_like(p[f"W{d}"])
+            gw[byte[first]] = np.add.reduceat(flat[rows], first, axis=0)
+            g |= {f"W{d}": gw, f"U{d}": gu, f"b{d}": flat.sum(0), f"c{d}": gc}
         return g
 
 
-def train(strings: list[bytes], y: np.ndarray, classes: int, steps: int = STEPS, seed: int = 5) -> Network:
-    """Adam on batches in which every language has an equal share."""
+def _loss(net: Network, x: np.ndarray, weight: np.ndarray, y: np.ndarray) -> float:
+    p = net.label(x)[:, np.arange(len(y)), y]
+    return float(-(np.log(np.maximum(p, 1e-9)) * weight).sum() / max(1, weight.sum()))
+
+
+def train(stretches: np.ndarray, y: np.ndarray, classes: int, steps: int = STEPS, seed: int = 5) -> Network:
+    """Adam on batches in which every language has an equal share; stretches: bytes (row, SPAN)."""
     net, rng = Network(classes), np.random.default_rng(seed)
-    by = [np.flatnonzero(y == c) for c in range(classes)]
+    x, weight = _FOLD[stretches].T, _LETTER[stretches].T.astype(np.float32)
+    apart = np.arange(len(y)) % 8 == 7
+    test = np.flatnonzero(apart)[:2048]
+    by = [np.flatnonzero((y == c) & (~apart | ((y == c).sum() < 8))) for c in range(classes)]
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
+    least, since = np.inf, 0
     for step in range(1, steps + 1):
-        pick = np.array([by[c][rng.integers(len(by[c]))] for c in rng.integers(0, classes, BATCH)])
-        chosen = [strings[i][:WINDOW] if len(strings[i]) <= WINDOW else strings[i][(k := int(rng.integers(len(strings[i]) - WINDOW + 1))) : k + WINDOW] for i in pick]
-        n = max(map(len, chosen))
-        x = np.zeros((n, BATCH), np.int64)
-        mask = np.zeros((n, BATCH), bool)
-        for k, s in enumerate(chosen):
-            x[: len(s), k] = _FOLD[np.frombuffer(s, np.uint8)]
-            mask[: len(s), k] = True
+        pick = np.concatenate([own[rng.integers(0, len(own), -(-BATCH // classes))] for own in by])
+        own = weight[:, pick]
         rate = RATE * min(1, 2 * (1 - step / (steps + 1)))
-        for k, g in net.gradients(x, mask, y[pick]).items():
+        for k, g in net.gradients(x[:, pick], own / max(1, own.sum()), y[pick]).items():
             first[k] += 0.1 * (g - first[k])
             second[k] += 0.001 * (g * g - second[k])
             net.p[k] -= np.float32(rate) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + np.float32(1e-8))
+        if step % LOOK == 0 and len(test):
+            now = _loss(net, x[:, test], weight[:, test], y[test])
+            least, since = (now, 0) if now < (1 - FALL) * least else (least, since + 1)
+            if since >= PATIENCE:
+                break
     return net
 
 
-class Labeller:
-    """Sums of the position distributions of strings, kept by hash."""
-
-    def __init__(self, net: Network):
-        self.net, self.known, self.sums = net, np.zeros(0, np.uint64), np.zeros((0, net.classes + 1), np.float32)
-
-    def _compute(self, data: np.ndarray, head: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Per string: sum of the distributions of its letter bytes, and their number."""
-        size = end - head
-        windows = -(-size // WINDOW)
-        owner = np.repeat(np.arange(len(head)), windows)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        start = head[owner] + place * WINDOW
-        length = np.minimum(WINDOW, end[owner] - start)
-        out = np.zeros((len(head), self.net.classes + 1))
-        for n in np.unique(length):
-            these = np.flatnonzero(length == n)
-            for k in range(0, len(these), 4096):
-                part = these[k : k + 4096]
-                raw = data[start[part][None, :] + np.arange(n)[:, None]]
-                mask = _LETTER[raw]
-                if mask.any():
-                    np.add.at(out, owner[part], np.concatenate([(self.net.label(_FOLD[raw]) * mask[:, :, None]).sum(0), mask.sum(0)[:, None]], 1))
-        return out.astype(np.float32)
-
-    def __call__(self, h: np.ndarray, data: np.ndarray, head: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Rows of distinct strings; h: their hashes, ascending."""
-        at = np.searchsorted(self.known, h)
-        hit = at < len(self.known)
-        hit[hit] = self.known[at[hit]] == h[hit]
-        out = np.empty((len(h), self.net.classes + 1), np.float32)
-        out[hit] = self.sums[at[hit]]
-        new = ~hit
-        if new.any():
-            out[new] = self._compute(data, head[new], end[new])
-            if len(self.known) + int(new.sum()) > CACHE:
-                self.known, self.sums = h, out
-            else:
-                known = np.concatenate([self.known, h[new]])
-                order = np.argsort(known, kind="stable")
-                self.known, self.sums = known[order], np.concatenate([self.sums, out[new]])[order]
-        return out
-
-
-def sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> tuple[list[bytes], np.ndarray, list[str]]:
-    """Training strings, the class of each and the classes in code-point order."""
+def pooled(net: Network, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: the sum of the distributions of its letter bytes, and their number."""
+    total, number = np.zeros((len(at) - 1, net.classes)), np.zeros(len(at) - 1, np.int64)
+    count = -(-np.diff(at) // WINDOW)
+    owner = np.repeat(np.arange(len(count)), count)
+    start = at[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * WINDOW
+    length = np.minimum(WINDOW, at[owner + 1] - start)
+    order = np.argsort(length, kind="stable")  # windows of like length side by side: short ones take fewer steps
+    for k in range(0, len(order), ABREAST):
+        part = order[k : k + ABREAST]
+        span = int(length[part].max())
+        where = start[part] + np.arange(-MARGIN, span + MARGIN)[:, None]
+        inside = (where >= at[owner[part]]) & (where < at[owner[part] + 1])
+        x = np.where(inside, _FOLD[data[np.clip(where, 0, len(data) - 1)]], np.uint8(_BLANK))
+        own = _LETTER[x] & inside
+        own[:MARGIN] = own[MARGIN + span :] = False
+        own[MARGIN:-MARGIN] &= np.arange(span)[:, None] < length[part]
+        np.add.at(total, owner[part], net.sums(x, own))
+        np.add.at(number, owner[part], own.sum(0))
+    return total, number
+
+
+def sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Training stretches (row, SPAN), the class of each and the classes in code-point order."""
     rows = docs.where("text is not null and lang is not null and doc_id is not null").where(doc_fold(F.col("doc_id"), 3) != 1)
     some = saved(rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).distinct())
     rows = rows.join(F.broadcast(some), "doc_id").select("lang", "text")  # of max_docs ids at most
@@ -192,22 +227,21 @@ def sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> tuple[list[bytes], np.n
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = buffers(batch.column("text"))
-            h, head, end, first = words(data, at)
-            langs, strings = [], []
+            langs, found = [], []
             for k, lang in enumerate(batch.column("lang").to_pylist()):
-                own = slice(first[k], first[k + 1])
-                _, index = np.unique(h[own], return_index=True)
-                index = first[k] + index
-                index = index[np.argsort(mix(h[index] + np.uint64(3)))][: 3 * DOC_WORDS]
-                found = [data[head[i] : min(end[i], head[i] + 4 * WINDOW)].tobytes() for i in index if _LETTER[data[head[i] : end[i]]].any()][:DOC_WORDS]
-                strings += found
-                langs += [lang] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(strings, pa.binary())], ["lang", "string"])
-
-    got = rows.mapInArrow(pick, "lang string, string binary").toArrow()
-    pairs = sorted(zip(got["lang"].to_pylist(), got["string"].to_pylist()), key=lambda p: (p[0].encode(), p[1]))
+                text = data[at[k] : at[k + 1]]
+                seeds = mix(np.arange(DOC_WINDOWS, dtype=np.uint64) + np.uint64(zlib.crc32(text)) * np.uint64(1 << 16))
+                for first in np.unique(seeds % np.uint64(max(1, len(text) - SPAN + 1))).tolist():
+                    part = text[first : first + SPAN]
+                    if _LETTER[part].any():
+                        langs.append(lang)
+                        found.append(part.tobytes().ljust(SPAN))
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "part"])
+
+    got = rows.mapInArrow(pick, "lang string, part binary").toArrow()
+    pairs = sorted(zip(got["lang"].to_pylist(), got["part"].to_pylist()), key=lambda p: (zlib.crc32(p[1]), p[0].encode(), p[1]))
     classes = sorted({a for a, _ in pairs}, key=str.encode)
-    return [s for _, s in pairs], np.array([classes.index(a) for a, _ in pairs], np.int64), classes
+    return np.frombuffer(b"".join(s for _, s in pairs), np.uint8).reshape(-1, SPAN), np.array([classes.index(a) for a, _ in pairs], np.int64), classes
 
 
 def identify(docs: DataFrame, labelled: DataFrame | None = None, max_docs: int = MAX_DOCS, steps: int = STEPS, accept: float | None = None) -> DataFrame:
@@ -215,26 +249,19 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, max_docs: int =
 
     accept: give the documents, with their own columns, that have a language and at least this score.
     """
-    strings, y, classes = sample(docs if labelled is None else labelled, max_docs)
-    net = train(strings, y, len(classes), steps) if len(classes) > 1 else Network(max(1, len(classes)))
+    stretches, y, classes = sample(docs if labelled is None else labelled, max_docs)
+    net = train(stretches, y, len(classes), steps) if len(classes) > 1 else Network(max(1, len(classes)))
     names = classes or [UNKNOWN]
     model = docs.sparkSession.sparkContext.broadcast(net)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller, choice = Labeller(model.value), np.array(names, object)
+        choice = np.array(names, object)
         for batch in batches:
             data, at = buffers(batch.column("text"))
             for i, j in runs(at):
                 part, edge = data[at[i] : at[j]], at[i : j + 1] - at[i]
-                h, head, end, first = words(part, edge)
-                total = np.zeros((j - i, len(names) + 1))
-                if len(h):
-                    distinct, index, back = np.unique(h, return_index=True, return_inverse=True)
-                    each = labeller(distinct, part, head[index], end[index])
-                    for c in range(len(names) + 1):
-                        total[:, c] = sums(each[back, c].astype(np.float64), first)
-                n = total[:, -1]
-                mean = total[:, :-1] / np.maximum(1, n)[:, None]
+                total, n = pooled(model.value, part, edge)
+                mean = total / np.maximum(1, n)[:, None]
                 best = mean.argmax(1)
                 # beyond ASCII not every byte is of a letter: such texts are looked at again
                 letters = n > 0

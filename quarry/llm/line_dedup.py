@@ -43,14 +43,17 @@ def _lines(text: Column) -> Column:
     return F.split(text, r"\n(?=[^\n]*[^\x20\x09-\x0D])", -1)
 
 
-def _interval(rows: DataFrame, name: list[str], rank: str | None = "_rank") -> DataFrame:
-    """The rows whose name occurs more than once, with the rank of the name in suffix-array order, _later (not the first
-    of them) and _weight (all places of the name). Only names with their first place move to be ranked."""
+def _interval(rows: DataFrame, name: list[str], rank: str | None = "_rank") -> DataFrame | None:
+    """The rows whose name occurs more than once (None: there is none), with the rank of the name in suffix-array order,
+    _later (not the first of them) and _weight (all places of the name). Only names with their first place move to be ranked."""
     groups = rows.groupBy(*name).agg(F.count("*").alias("_n"), F.sum("_copies").alias("_weight"), F.min(F.struct(*_PLACE)).alias("_first")).where("_n > 1 or _weight > 1")
     if rank:
         groups = groups.repartitionByRange(*name).sortWithinPartitions(*name).withColumn("_new", F.monotonically_increasing_id())
     groups = saved(groups)
-    found, most = rows.join(groups, name), groups.agg(F.max("_n")).first()[0] or 0
+    most = groups.agg(F.max("_n")).first()[0]
+    if most is None:
+        return None
+    found = rows.join(groups, name)
     if most >= HOT_PLACES and most * HOT > (total := rows.count()):
         hot = groups.where(F.col("_n") * HOT > total)  # fewer than HOT rows
         found = rows.join(F.broadcast(hot), name).unionByName(rows.join(F.broadcast(hot.select(*name)), name, "left_anti").join(groups, name))
@@ -78,7 +81,10 @@ def _copies(docs: DataFrame, least: int) -> tuple[DataFrame, bool]:
     rows = docs.where("text is not null").select(F.col("doc_id").alias("_doc"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("_sum"), (n_words(F.col("text")) >= least).alias("_whole"))
     rows = kept(rows.groupBy("_doc", "_sum", "_whole").agg(F.count("*").alias("_rows")).withColumn("_pos", F.lit(0)).withColumn("_copies", F.lit(1).cast("long")))
     again = _interval(rows.where("_whole"), ["_sum"], None)
-    return kept(again.select("_doc", "_sum", F.when(F.col("_later"), F.lit(0)).otherwise(F.col("_weight")).cast("long").alias("_copies"))), not rows.where("_rows > 1").isEmpty()
+    twins = (rows.agg(F.max("_rows")).first()[0] or 0) > 1
+    if again is None:
+        return rows.where("false").select("_doc", "_sum", "_copies"), twins
+    return kept(again.select("_doc", "_sum", F.when(F.col("_later"), F.lit(0)).otherwise(F.col("_weight")).cast("long").alias("_copies"))), twins
 
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS, common_words: int = COMMON_WORDS, common_places: int = COMMON_PLACES) -> tuple[DataFrame, DataFrame]:
@@ -95,35 +101,42 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, common_words: int = CO
     lines = texts.select("_doc", "_sum", "_copies", "_counts", F.posexplode("_names").alias("_pos", "_name"))
     runs = [F.struct(start.alias("start"), size.alias("size")) for start, size in _shortest(F.col("_counts"), F.col("_pos"), min_words)]
     lines = lines.select("_doc", "_sum", "_copies", "_pos", "_name", F.get("_counts", F.col("_pos")).alias("_words"), F.array_distinct(F.filter(F.array(*runs), lambda r: r["size"] > 0)).alias("_runs")).where("_words > 0")
-    active = kept(_interval(kept(lines.dropDuplicates(_PLACE) if twins else lines), ["_name"]))
+    lines = kept(lines.dropDuplicates(_PLACE) if twins else lines)
+    whole = copies.where("_copies = 0").select("_doc", "_sum")
+    active = _interval(lines, ["_name"])
+    if active is None:
+        return lines.where("false").select("_doc", "_sum", F.col("_pos").alias("_from"), F.lit(1).alias("_lines")), whole
+    active = kept(active)
     found = [active.where(F.col("_later") & (F.col("_words") >= common_words) & (F.col("_weight") >= common_places)).select("_doc", "_sum", F.col("_pos").alias("_from"), F.lit(1).alias("_lines"))]
     wanted = active.select("_doc", "_sum", "_copies", F.explode("_runs").alias("_run")).select("_doc", "_sum", "_copies", F.col("_run.start").alias("_pos"), F.col("_run.size").alias("_lines"))
     wanted = kept(wanted.distinct())
     active = active.select("_doc", "_sum", "_pos", "_copies", "_rank", "_words", F.col("_words").alias("_head"), F.col("_words").alias("_last"))
-    length = 1
-    while True:
+    length, longest = 1, wanted.agg(F.max("_lines")).first()[0] or 0
+    while length <= longest:
         # runs of length to 2 * length - 1 lines, by the ranks of their first and of their last lines
         own = wanted.where((F.col("_lines") >= length) & (F.col("_lines") < 2 * length)).withColumn("_at", F.col("_pos") + F.col("_lines") - length)
         here = active.select(F.col("_doc").alias("_d"), F.col("_sum").alias("_s"), F.col("_pos").alias("_p"), F.col("_rank").alias("_r"))
         for at, name in (("_pos", "_one"), ("_at", "_two"))[: 1 if length == 1 else 2]:
             own = own.join(here, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_sum") == F.col("_s")) & (F.col(at) == F.col("_p"))).withColumnRenamed("_r", name).drop("_d", "_s", "_p")
-        later = _interval(kept(own), ["_lines", "_one", "_two"] if length > 1 else ["_lines", "_one"], None).where("_later")
-        found.append(kept(later.select("_doc", "_sum", F.col("_pos").alias("_from"), "_lines")))
-        if wanted.where(F.col("_lines") >= 2 * length).isEmpty():
+        later = _interval(kept(own), ["_lines", "_one", "_two"] if length > 1 else ["_lines", "_one"], None)
+        if later is not None:
+            found.append(later.where("_later").select("_doc", "_sum", F.col("_pos").alias("_from"), "_lines"))
+        if 2 * length > longest:
             break
         below = Window.partitionBy("_doc", "_sum").orderBy("_pos").rangeBetween(length, length)
         step = lambda c: F.max(c).over(below)
         pairs = active.select("_doc", "_sum", "_pos", "_copies", "_rank", step("_rank").alias("_next"), (F.col("_words") + step("_words")).alias("_words"), "_head", step("_last").alias("_last"))
         # within a shortest run: without its first or without its last line it has too few words
         pairs = pairs.where(F.col("_next").isNotNull() & (F.col("_words") - F.greatest("_head", "_last") < min_words))
-        active = kept(_interval(kept(pairs), ["_rank", "_next"]).drop("_next", "_later", "_weight"))
-        length *= 2
-        if active.isEmpty():
+        active = _interval(kept(pairs), ["_rank", "_next"])
+        if active is None:
             break
+        active = kept(active.drop("_next", "_later", "_weight"))
+        length *= 2
     runs_ = found[0]
     for more in found[1:]:
         runs_ = runs_.unionByName(more)
-    return runs_, copies.where("_copies = 0").select("_doc", "_sum")
+    return runs_, whole
 
 
 def _cleaned(docs: DataFrame, *limits: int) -> DataFrame:

@@ -2,17 +2,24 @@
 
 A document is the set of its five-word shingles (words are runs of anything but white space, in ASCII lower case; a text
 of one to four words is one shingle of all of them). Equal sets are one node, found by a digest, so copies meet as one row
-per node. Each node has a label of `DEPTH` MinHash values in each of `TREES` prefix trees. The matched prefix is shortened
-from the full label until a pair of the threshold's similarity meets in some tree with the target probability; nodes that
-share such a prefix are candidates. Chains of candidates are components; those up to `ITEM_SHINGLES` are verified in one
-piece, larger ones prefix by prefix, split into pairs of blocks of that size, so no task holds an unbounded group and
-pairs are never rows. Verification counts common shingles of all candidate pairs.
+per node. Each node has a label of `DEPTH` MinHash values in each of `TREES` prefix tries. The labels of all tries are
+range-sorted; neighbours in that order and the length of the prefix they share are all that is kept of the tries.
+
+Candidates are nodes that share a prefix in some trie: the full label at first, then shorter and shorter ones. A node stops
+shortening when the links found for it say that hardly any is missing: each link of similarity s is found by a prefix of
+d values with probability 1 - (1 - s^d)^TREES, so it stands for the inverse of that many, and the node is done when the
+links found reach the target recall of that sum. Pairs of two nodes that are done aren't compared any more. Nodes without
+a link go on to the prefix with which a pair of just the threshold's similarity meets with the target recall.
+
+Neighbours chain to components; those up to `ITEM_SHINGLES` are verified in one piece, larger ones prefix by prefix (or as
+one, if that is less work), split into pairs of blocks of that size, so no task holds an unbounded group and pairs are
+never rows. Verification counts the common shingles of all candidate pairs.
 
 Shingles are compared by 64-bit hashes and sets by 128-bit digests.
 
 Defined results: null text, text without a word and rows without id are linked to nothing and are their own class (a row
 without id has a null class); rows that share an id are compared by their texts; equal rows are linked copies; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored by near_duplicates() and kept, whatever their names, by one_of_each().
 """
 
 from __future__ import annotations
@@ -22,23 +29,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mix, runs, saved, words
+from .common import buffers, kept, mix, runs, saved, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-TREES, DEPTH, RECALL = 24, 8, 0.999
-ITEM_SHINGLES = 1 << 22
+TREES, DEPTH, RECALL = 24, 10, 0.999
+#: Values by which a prefix is shortened at a time.
+SHORTER = 2
+ITEM_SHINGLES, BLOCK_NODES = 1 << 22, 1 << 11
 #: Candidate texts are read again by id: by broadcast up to so many, by a shuffle beyond.
 BROADCAST_IDS = 1 << 21
 
 
-def prefix_length(similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix with which pairs of that similarity meet in one of the trees with the target probability."""
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def met(similarity, prefix: int, trees: int = TREES):
+    """Probability that a pair shares a prefix of so many values in some trie."""
+    return 1 - (1 - similarity**prefix) ** trees
+
+
+def prefixes(similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> list[int]:
+    """Lengths from the full label down to that with which a pair of just that similarity meets with the target recall."""
+    least = next((d for d in range(depth, 1, -1) if met(similarity, d, trees) >= recall), 1)
+    return sorted({*range(depth, least, -SHORTER), least}, reverse=True)
 
 
 def shingles(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -80,13 +94,13 @@ def _signature(own: np.ndarray, seeds: np.ndarray, odds: np.ndarray) -> np.ndarr
     return low
 
 
-def signatures(docs: DataFrame, depth: int, trees: int = TREES) -> DataFrame:
-    """doc_id, node, n, labels (a 64-bit prefix per tree); node is null where there is no shingle."""
-    seeds = np.random.default_rng(42).integers(0, 1 << 32, trees * depth, dtype=np.uint32)
-    odds = np.random.default_rng(43).integers(0, 1 << 31, trees * depth, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+def signatures(docs: DataFrame, trees: int = TREES) -> DataFrame:
+    """doc_id, key (of the text), node, n, labels (DEPTH values of 16 bits for each tree); node is null without a shingle."""
+    seeds = np.random.default_rng(42).integers(0, 1 << 32, trees * DEPTH, dtype=np.uint32)
+    odds = np.random.default_rng(43).integers(0, 1 << 31, trees * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[bytes, np.ndarray] = {}
+        memory: dict[bytes, bytes] = {}
         for batch in batches:
             data, at = buffers(batch.column("text"))
             for i, j in runs(at):
@@ -95,25 +109,68 @@ def signatures(docs: DataFrame, depth: int, trees: int = TREES) -> DataFrame:
                     node = digest(own) if len(own) else None
                     nodes.append(node)
                     sizes.append(len(own))
-                    if node is None:
-                        labels.append(None)
-                        continue
-                    if node not in memory:
-                        low = _signature(own, seeds, odds).reshape(trees, depth).astype(np.uint64)
-                        label = np.arange(trees, dtype=np.uint64)
-                        for k in range(depth):
-                            label = mix(label * np.uint64(0x9E3779B97F4A7C15) + low[:, k])
-                        if len(memory) > 50_000:
+                    if node is not None and node not in memory:
+                        if len(memory) > 20_000:
                             memory.clear()
-                        memory[node] = label.view(np.int64)
-                    labels.append(memory[node])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.list_(pa.int64()))], ["doc_id", "node", "n", "labels"])
+                        memory[node] = (_signature(own, seeds, odds) >> np.uint32(16)).astype(">u2").tobytes()
+                    labels.append(memory.get(node))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("doc_id", "key")), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.binary())], ["doc_id", "key", "node", "n", "labels"])
+
+    return docs.mapInArrow(sign, "doc_id long, key binary, node binary, n long, labels binary")
+
 
-    return docs.mapInArrow(sign, "doc_id long, node binary, n long, labels array<long>")
+def neighbours(nodes: DataFrame, least: int, trees: int = TREES) -> DataFrame:
+    """a, b, shared: neighbours in the sorted order of a trie's labels that share a prefix of `least` values or more.
+
+    nodes: node, labels. Tasks see their part of the order in a stream; what stands at the edges of the parts is compared
+    afterwards, two rows a part.
+    """
+    width = 2 * DEPTH
+    leaves = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "labels")
+    leaves = leaves.select(F.concat(F.unhex(F.lpad(F.hex("tree"), 4, "0")), F.substring("labels", F.col("tree") * width + 1, F.lit(width))).alias("label"), "node")
+    leaves = leaves.repartitionByRange("label", "node").sortWithinPartitions("label", "node")
+
+    def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Values that labels share from the front; -1: of different trees."""
+        same = (x == y).reshape(len(x), -1, 2).all(2)
+        return np.logical_and.accumulate(same, 1).sum(1) - 1
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, part = ["a", "b", "shared", "part", "label"], TaskContext.get().partitionId()
+        first = last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(-1, width + 2)
+            node = batch.column("node").to_pylist()
+            if last is None:
+                first = node[0], label[0].tobytes()
+            else:
+                label, node = np.concatenate([np.frombuffer(last[1], np.uint8)[None], label]), [last[0], *node]
+            shared = common(label[1:], label[:-1])
+            hit = np.flatnonzero(shared >= least)
+            null = pa.nulls(len(hit), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([node[k + 1] for k in hit], pa.binary()), pa.array([node[k] for k in hit], pa.binary()), pa.array(shared[hit].astype(np.int32)), null, pa.nulls(len(hit), pa.binary())], names)
+            last = node[-1], label[-1].tobytes()
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([first[0], last[0]], pa.binary()), pa.nulls(2, pa.binary()), pa.array([0, 1], pa.int32()), pa.array([part] * 2, pa.int32()), pa.array([first[1], last[1]], pa.binary())], names)
+
+    found = kept(leaves.mapInArrow(compare, "a binary, b binary, shared int, part int, label binary"))
+    edges = [(bytes(r.a), bytes(r.label)) for r in found.where("part is not null").orderBy("part", "shared").collect()]  # two a task
+    more = []
+    for (a, x), (b, y) in zip(edges[2::2], edges[1::2]):
+        n = int(common(np.frombuffer(x, np.uint8)[None], np.frombuffer(y, np.uint8)[None])[0])
+        if n >= least:
+            more.append((bytearray(a), bytearray(b), n))
+    links = found.where("part is null").select("a", "b", "shared")
+    return links.unionByName(nodes.sparkSession.createDataFrame(more, "a binary, b binary, shared int")) if more else links
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp of an edge list (a, b): the least node of its connected component, by alternating large and small stars."""
+    """node, comp of an edge list (a, b): the least node of its connected component, by alternating large and small stars.
+
+    Least neighbours are made a table before they are joined, so that the rows of a hot centre can be split among tasks.
+    """
     ends = edges.where("a <> b")
     edges = saved(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
@@ -123,9 +180,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = saved(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
+        large = saved(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = saved(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = saved(small.unionByName(least.withColumnRenamed("m", "b")).distinct())
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
@@ -171,11 +228,22 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return found
 
 
-def verify(sets: list[np.ndarray], labels: np.ndarray, copies: np.ndarray, side: np.ndarray, tree: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Per node: documents linked to it, and the node that leads its group. tree: -1, or the one whose pairs count here,
-    if they share no earlier label; side: bit 1 and bit 2, pairs are between the two."""
+def codes(labels: np.ndarray, prefix: int) -> np.ndarray:
+    """A 64-bit number for the first values of each label (row, tree, value)."""
+    out = np.zeros(labels.shape[:2], np.uint64)
+    for k in range(prefix):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + labels[:, :, k])
+    return out
+
+
+def verify(sets: list[np.ndarray], now: np.ndarray, before: np.ndarray | None, copies: np.ndarray, live: np.ndarray, side: np.ndarray, tree: int, similarity: float, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per node: documents linked to it, the node that leads its group, its links, and for each prefix length how many
+    links are likely missing beside them.
+
+    Compared are pairs that share a code of `now` but none of `before`, one of them live. tree: -1, or the one whose pairs
+    count here, if they share no earlier code; side: bit 1 and bit 2, pairs are between the two."""
     m = len(sets)
-    links, lead = np.zeros(m, np.int64), np.arange(m)
+    links, pairs, missing, lead = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros((m, len(lengths))), np.arange(m)
     size = np.array([len(s) for s in sets], np.int64)
 
     def root(i: int) -> int:
@@ -187,47 +255,72 @@ def verify(sets: list[np.ndarray], labels: np.ndarray, copies: np.ndarray, side:
     step = max(1, (1 << 21) // max(1, m))
     for a in range(0, m, step):
         rows = np.arange(a, min(a + step, m))
-        eq = np.zeros((len(rows), m), bool)
-        if tree < 0:
-            for t in range(labels.shape[1]):
-                eq |= labels[rows, t][:, None] == labels[None, :, t]
-        else:
-            eq = labels[rows, tree][:, None] == labels[None, :, tree]
-            for t in range(tree):
-                eq &= labels[rows, t][:, None] != labels[None, :, t]
-            eq &= ((side[rows][:, None] & 1) & (side[None, :] >> 1)).astype(bool) | ((side[rows][:, None] >> 1) & (side[None, :] & 1)).astype(bool)
-        eq &= np.arange(m)[None, :] > rows[:, None]
         low, high = np.minimum(size[rows][:, None], size[None, :]), np.maximum(size[rows][:, None], size[None, :])
-        eq &= low >= similarity * high - 1e-9
+        eq = (np.arange(m)[None, :] > rows[:, None]) & (low >= similarity * high - 1e-9) & (live[rows][:, None] | live[None, :])
+        eq &= ((side[rows][:, None] & 1) & (side[None, :] >> 1)).astype(bool) | ((side[rows][:, None] >> 1) & (side[None, :] & 1)).astype(bool)
+        if tree >= 0:
+            eq &= now[rows, tree][:, None] == now[None, :, tree]
+            for t in range(tree):
+                eq &= now[rows, t][:, None] != now[None, :, t]
+        else:
+            some = np.zeros(eq.shape, bool)
+            for t in range(now.shape[1]):
+                some |= now[rows, t][:, None] == now[None, :, t]
+            eq &= some
+        for t in range(now.shape[1] if before is not None else 0):
+            eq &= before[rows, t][:, None] != before[None, :, t]
         i, j = np.nonzero(eq)
         i = rows[i]
         both = common_counts(sets, i, j)
         good = both >= similarity * (size[i] + size[j] - both) - 1e-9
-        i, j = i[good], j[good]
+        i, j, both = i[good], j[good], both[good]
         np.add.at(links, i, copies[j])
         np.add.at(links, j, copies[i])
+        for x in (i, j):
+            np.add.at(pairs, x, 1)
+            for k, d in enumerate(lengths):
+                np.add.at(missing[:, k], x, 1 / met(both / (size[i] + size[j] - both), d, now.shape[1]) - 1)
         for x, y in zip(i.tolist(), j.tolist()):
             x, y = root(x), root(y)
             if x != y:
                 lead[max(x, y)] = min(x, y)
-    return links, np.array([root(i) for i in range(m)], np.int64)
+    return links, np.array([root(i) for i in range(m)], np.int64), pairs, missing
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, recall: float = RECALL, item: int = ITEM_SHINGLES) -> DataFrame:
-    """doc_id, class_id (the least id of its class), n_links (other documents at least that similar) per document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    depth = prefix_length(similarity, trees, DEPTH, recall)
-    signed = saved(signatures(docs, depth, trees))
-    named = signed.where("node is not null and doc_id is not null")
-    nodes = saved(named.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("labels").alias("labels")))
-    leaf = nodes.select("node", "n", F.posexplode("labels").alias("tree", "label"))
-    heads = leaf.groupBy("tree", "label").agg(F.min("node").alias("head"), F.count("*").alias("k"), F.sum("n").alias("weight")).where("k > 1")
-    heads = saved(heads)
-    chained = leaf.join(heads.select("tree", "label", "head"), ["tree", "label"])
-    comp = saved(components(chained.select(F.col("node").alias("a"), F.col("head").alias("b"))))
-    sizes = nodes.join(comp, "node").groupBy("comp").agg(F.sum("n").alias("weight"), F.count("*").alias("k"))
-    sizes = sizes.withColumn("whole", (F.col("weight") <= item) & (F.col("k") <= 1 << 13) | (F.col("k") <= 2))
-    member = saved(nodes.join(comp, "node").join(sizes.select("comp", "whole"), "comp"))
+def _check(lengths: list[int], step: int, trees: int, similarity: float):
+    """The kernel that verifies tasks: rows come by key."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            names = [r[0] for r in rows]
+            now = np.stack([r[6] for r in rows])
+            before = np.stack([r[7] for r in rows]) if step else None
+            numbers = [np.array([r[k] for r in rows]) for k in (2, 3, 4)]
+            links, lead, pairs, missing = verify([np.frombuffer(r[5], np.uint64) for r in rows], now, before, *numbers, rows[0][1], similarity, lengths)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([names[k] for k in lead], pa.binary()), pa.array(links), pa.array(pairs), pa.array(list(missing), pa.list_(pa.float64()))], ["node", "lead", "links", "pairs", "missing"])
+
+        key, rows = None, []
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                labels = np.frombuffer(b"".join(part.column("labels").to_pylist()), ">u2").reshape(part.num_rows, trees, DEPTH).astype(np.uint64)
+                now = codes(labels, lengths[step])
+                before = codes(labels, lengths[step - 1]) if step else now
+                columns = [part.column(c).to_pylist() for c in ("key", "node", "tree", "copies", "live", "side", "own")]
+                for k, (own_key, *rest) in enumerate(zip(*columns)):
+                    if own_key != key and rows:
+                        yield done(rows)
+                        rows = []
+                    key = own_key
+                    rows.append((*rest, now[k], before[k]))
+        if rows:
+            yield done(rows)
+
+    return check
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, own (shingle hashes) of the wanted nodes (doc_id, node), once each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,55 +330,91 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, trees: int
                 found = [(k, own) for k, own in zip(range(i, j), shingles(data[at[i] : at[j]], at[i : j + 1] - at[i])) if len(own) and digest(own) == want[k]]
                 yield pa.RecordBatch.from_arrays([pa.array([want[k] for k, _ in found], pa.binary()), pa.array([own.tobytes() for _, own in found], pa.binary())], ["node", "own"])
 
-    wanted = member.select(F.col("rep").alias("doc_id"), "node")
-    texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id").select("node", "text")
-    own = texts.mapInArrow(sets, "node binary, own binary").dropDuplicates(["node"])
-
-    # Where each node is verified: once with its component, or once per shared prefix and pair of blocks.
-    whole = member.where("whole").select("node", F.hash("comp").cast("long").alias("deal"), F.col("comp").alias("key"), F.lit(-1).alias("tree"), F.lit(3).alias("side"))
-    large = member.where("not whole").select("node", "n", F.posexplode("labels").alias("tree", "label")).join(heads.select("tree", "label", "weight", "k"), ["tree", "label"])
-    blocks = F.least(F.col("k"), F.greatest(F.ceil(F.col("weight") * 2 / item), F.ceil(F.col("k") / (1 << 11))))
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id").select("node", "text")
+    return texts.mapInArrow(sets, "node binary, own binary").dropDuplicates(["node"])
+
+
+def _tasks(nodes: DataFrame, links: DataFrame, prefix: int, longer: int | None, trees: int, item: int) -> DataFrame:
+    """node, deal, key, tree, side: where each node (node, n, labels, live) is verified. Links: neighbours that share the prefix.
+
+    Once with its component, or once per shared prefix and pair of blocks. Components without a live node or without a
+    pair that shares less than the longer prefix are left out.
+    """
+    comp = saved(components(links))
+    fresh = links.where(F.col("shared") < longer) if longer else links
+    fresh = fresh.select(F.col("a").alias("node"), F.lit(True).alias("new"))
+    member = nodes.join(comp, "node").join(fresh.distinct(), "node", "left")
+    member = saved(member.select("node", "n", "live", "comp", "new"))
+    sizes = member.groupBy("comp").agg(F.sum("n").alias("weight"), F.count("*").alias("k"), F.max("live").alias("any"), F.max("new").alias("new"))
+    sizes = saved(sizes.where("any and new").select("comp", "weight", "k", ((F.col("weight") <= item) & (F.col("k") <= 4 * BLOCK_NODES) | (F.col("k") <= 2)).alias("whole")))
+    whole = member.join(sizes.where("whole").select("comp"), "comp").select("node", F.hash("comp").cast("long").alias("deal"), F.col("comp").alias("key"), F.lit(-1).alias("tree"), F.lit(3).alias("side"))
+    big = sizes.where("not whole")
+    if big.isEmpty():
+        return whole
+    at = F.col("tree") * (2 * DEPTH) + 1
+    leaf = member.join(big.select("comp"), "comp").select("node", "n", "live", "comp").join(nodes.select("node", "labels"), "node")
+    leaf = leaf.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    leaf = saved(leaf.select("node", "n", "live", "comp", "tree", F.substring("labels", at, F.lit(2 * prefix)).alias("label"), F.substring("labels", at, F.lit(2 * (longer or prefix))).alias("long")))
+    groups = leaf.groupBy("comp", "tree", "label").agg(F.count("*").alias("k"), F.sum("n").alias("weight"), F.max("live").alias("any"), (F.min("long") < F.max("long")).alias("new")).where("k > 1 and any" + (" and new" if longer else ""))
+    groups = saved(groups)
+    dense = groups.groupBy("comp").agg(F.sum(F.col("k") * F.col("k")).alias("work")).join(big.select("comp", F.col("k").alias("all"), F.col("weight").alias("sum")), "comp")
+    dense = saved(dense.select("comp", "all", "sum", (F.col("all") * F.col("all") <= F.col("work")).alias("dense")))
+    one = member.join(dense.where("dense"), "comp").select("node", F.col("comp").alias("label"), F.lit(-1).alias("tree"), F.col("all").alias("k"), F.col("sum").alias("weight"))
+    each = leaf.join(groups.join(dense.where("not dense").select("comp"), "comp").select("tree", "label", "k", "weight"), ["tree", "label"]).select("node", "label", "tree", "k", "weight")
+    large = one.unionByName(each)
+    blocks = F.least(F.col("k"), F.greatest(F.ceil(F.col("weight") * 2 / item), F.ceil(F.col("k") / BLOCK_NODES)))
     large = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    one, two = F.least("block", "other"), F.greatest("block", "other")
+    low, high = F.least("block", "other"), F.greatest("block", "other")
     side = F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    split = large.select("node", F.xxhash64("tree", "label", one, two).alias("deal"), F.unhex(F.sha1(F.concat_ws("/", "tree", "label", one, two).cast("binary"))).alias("key"), F.col("tree").cast("int").alias("tree"), side.alias("side"))
-    tasks = whole.unionByName(split).join(member.select("node", "labels", "copies"), "node").join(own, "node")
-    tasks = tasks.repartition("deal").sortWithinPartitions("key", "node")
+    key = F.unhex(F.sha1(F.concat_ws("/", "tree", F.hex("label"), low, high).cast("binary")))
+    return whole.unionByName(large.select("node", F.xxhash64("tree", "label", low, high).alias("deal"), key.alias("key"), "tree", side.alias("side")))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(key: bytes, rows: list[dict]) -> pa.RecordBatch:
-            names = [r["node"] for r in rows]
-            links, lead = verify([np.frombuffer(r["own"], np.uint64) for r in rows], np.array([r["labels"] for r in rows], np.int64), np.array([r["copies"] for r in rows], np.int64), np.array([r["side"] for r in rows], np.int64), rows[0]["tree"], similarity)
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([names[k] for k in lead], pa.binary()), pa.array(links)], ["node", "lead", "links"])
 
-        key, rows = None, []
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                for r in batch.slice(start, 1024).to_pylist():
-                    if r["key"] != key and rows:
-                        yield done(key, rows)
-                        rows = []
-                    key = r["key"]
-                    rows.append(r)
-        if rows:
-            yield done(key, rows)
-
-    checked = saved(tasks.select("key", "node", "tree", "side", "labels", "copies", "own").mapInArrow(check, "node binary, lead binary, links long"))
+def classes(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, recall: float = RECALL, item: int = ITEM_SHINGLES) -> DataFrame:
+    """doc_id, key, node, comp, class_id, n_links per document; node and comp are null where nothing can be linked."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
+    lengths = prefixes(similarity, trees, DEPTH, recall)
+    signed = kept(signatures(docs, trees))
+    named = signed.where("node is not null and doc_id is not null")
+    nodes = kept(named.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("labels").alias("labels")))
+    links = kept(neighbours(nodes, lengths[-1], trees))
+    near = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    near = kept(nodes.join(near, "node"))
+    own = kept(_sets(docs, near.select(F.col("rep").alias("doc_id"), "node")))
+    checked, live = None, near.select("node", F.lit(True).alias("live"))
+    for step, prefix in enumerate(lengths):
+        now = near.join(live, "node")
+        tasks = _tasks(now, links.where(F.col("shared") >= prefix), prefix, lengths[step - 1] if step else None, trees, item)
+        tasks = tasks.join(now.select("node", "labels", "copies", "live"), "node").join(own, "node").repartition("deal").sortWithinPartitions("key", "node")
+        found = tasks.select("key", "node", "tree", "side", "labels", "copies", "live", "own").mapInArrow(_check(lengths, step, trees, similarity), "node binary, lead binary, links long, pairs long, missing array<double>")
+        checked = kept(found.where("pairs > 0")) if checked is None else checked.unionByName(kept(found.where("pairs > 0")))
+        if prefix != lengths[-1]:
+            state = checked.groupBy("node").agg(F.sum("pairs").alias("pairs"), F.sum(F.get("missing", F.lit(step))).alias("missing"))
+            done = state.where(F.col("missing") <= (1 - recall) * F.col("pairs")).select("node", F.lit(False).alias("live"))
+            live = saved(near.select("node").join(done, "node", "left").select("node", F.coalesce("live", F.lit(True)).alias("live")))
     groups = components(checked.select(F.col("node").alias("a"), F.col("lead").alias("b")))
-    links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = nodes.select("node", "rep", "copies").join(groups, "node", "left").join(links, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = classes.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    classes = classes.join(least, "comp").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(classes, "node", "left")
-    return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    count = checked.groupBy("node").agg(F.sum("links").alias("links"))
+    named = nodes.select("node", "rep", "copies").join(groups, "node", "left").join(count, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = saved(named.select("node", "rep", "comp", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    least = saved(named.groupBy("comp").agg(F.min("rep").alias("class_id")))
+    named = named.join(least, "comp").select("node", "comp", "class_id", "n_links")
+    rows = signed.select("doc_id", "key", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
+    return rows.select("doc_id", "key", "node", "comp", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, recall: float = RECALL, item: int = ITEM_SHINGLES) -> DataFrame:
+    """doc_id, class_id (the least id of its class), n_links (other documents at least that similar) per document."""
+    return classes(docs, similarity, trees, recall, item).select("doc_id", "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that lead their class; the columns of docs. Rows equal in id and text are one document."""
-    classes = saved(near_duplicates(docs, similarity))
-    by_id = classes.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.col("class_id") != F.col("doc_id")).alias("_gone"), F.count("*").alias("_rows"))
-    kept = docs.join(by_id.where("_gone").select("doc_id"), "doc_id", "left_anti")
-    if by_id.where("_rows > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns)
+    """The columns of docs; of each class the row of the least id, then of the least md5 of its text. Rows equal in both are one document."""
+    found = kept(classes(docs, similarity).where("comp is not null").groupBy("comp", "doc_id", "key").agg(F.count("*").alias("rows")))
+    first = saved(found.groupBy("comp").agg(F.min(F.struct("doc_id", "key")).alias("first")))
+    gone = found.join(first, "comp").where(F.struct("doc_id", "key") != F.col("first")).select(F.col("doc_id").alias("id"), "key")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
+    rows = rows.join(gone, ["id", "key"], "left_anti")
+    if found.where("rows > 1").limit(1).count():
+        rows = rows.where("id is not null").dropDuplicates(["id", "key"]).unionByName(rows.where("id is null"))
+    return rows.select("row.*")

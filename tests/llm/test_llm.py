@@ -178,9 +178,54 @@ def test_join_is_exact(spark, odd, item):
     assert got == jaccard_classes(rows)
 
 
-def test_prefix_reaches_recall():
-    k = ngram_join.prefix_length()
-    assert 1 - (1 - 0.8**k) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** ngram_join.TREES
+def test_prefixes_reach_recall():
+    lengths = ngram_join.prefixes()
+    assert lengths[0] == ngram_join.DEPTH and lengths == sorted(lengths, reverse=True)
+    assert ngram_join.met(0.8, lengths[-1]) >= ngram_join.RECALL > ngram_join.met(0.8, lengths[-1] + 1)
+
+
+def test_neighbours_are_those_of_the_sorted_tries(spark):
+    rng = np.random.default_rng(12)
+    nodes = [(bytes([k, 1]), rng.integers(0, 3, 4 * ngram_join.DEPTH).astype(">u2").tobytes()) for k in range(60)]
+    df = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in nodes], "node binary, labels binary").repartition(5)
+    got = Counter((bytes(r.a), bytes(r.b), r.shared) for r in ngram_join.neighbours(df, 2, trees=4).collect())
+    want, width = Counter(), 2 * ngram_join.DEPTH
+    for t in range(4):
+        order = sorted((b[t * width : (t + 1) * width], a) for a, b in nodes)
+        for (x, a), (y, b) in zip(order, order[1:]):
+            n = next((k for k in range(ngram_join.DEPTH) if x[2 * k : 2 * k + 2] != y[2 * k : 2 * k + 2]), ngram_join.DEPTH)
+            if n >= 2:
+                want[b, a, n] += 1
+    assert got == want
+
+
+def test_recall_near_the_threshold(spark):
+    """Links of pairs, and inside groups, that are barely similar enough."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for group in range(150):
+        base = [f"g{group}w{k}" for k in range(120)]
+        for c in range(2 if group % 3 else 5):
+            text = list(base)
+            for at in rng.choice(24, int(rng.integers(0, 3)), replace=False):
+                text[5 * int(at)] = f"edit{c}"
+            rows.append((len(rows), " ".join(text)))
+    want = jaccard_classes(rows)
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    true = sum(n for *_, n in want.elements())
+    assert true > 500
+    found = {i: n for i, _, n in got.elements()}
+    assert sum(min(found[i], n) for i, _, n in want.elements()) >= 0.99 * true
+    assert all(found[i] <= n for i, _, n in want.elements())
+
+
+def test_one_of_near_copies_that_share_an_id_stays(spark):
+    text = [f"word{k}" for k in range(60)]
+    rows = [(1, " ".join(text), 5), (1, " ".join([*text, "more"]), 6), (2, " ".join(text), 7), (2, "something else", 8), (2, "something else", 8), (None, " ".join(text), 9), (None, None, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key long")
+    got = ngram_join.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text)[:9]) for r in got.collect()) == [("1", "word0 wor"), ("2", "something"), ("None", "None"), ("None", "word0 wor")]
 
 
 def test_components(spark):
@@ -443,15 +488,15 @@ def test_gradients_are_right():
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     rng = np.random.default_rng(0)
     x, y = rng.integers(97, 110, (5, 4)), np.array([0, 1, 2, 1])
-    mask = np.arange(5)[:, None] < np.array([5, 3, 4, 1])
+    weight = rng.random((5, 4))
 
     def loss():
-        f = net._run(x, 0, None, mask)
-        b = net._run(x[::-1], 1, None, mask[::-1])[::-1]
+        f = net._run(x, 0, [])
+        b = net._run(x[::-1], 1, [])[::-1]
         p = net._softmax(f, b)
-        return -(np.log(p[:, np.arange(4), y]) * mask).sum() / mask.sum()
+        return -(np.log(p[:, np.arange(4), y]) * weight).sum()
 
-    grads = net.gradients(x, mask, y)
+    grads = net.gradients(x, weight, y)
     for k in grads:
         for at in [np.unravel_index(i, grads[k].shape) for i in np.argsort(-np.abs(grads[k]).ravel())[:2]]:
             old = net.p[k][at]
@@ -463,11 +508,40 @@ def test_gradients_are_right():
             assert (up - down) / 2e-2 == pytest.approx(grads[k][at], rel=0.05, abs=1e-4)
 
 
+def test_labels_of_both_ways_to_run_the_network():
+    net, rng = langid.Network(3, hidden=6, seed=2), np.random.default_rng(1)
+    x = rng.integers(32, 122, (40, 7)).astype(np.uint8)
+    slow = net._softmax(net._run(x, 0, []), net._run(x[::-1], 1, [])[::-1])
+    assert np.allclose(net.label(x), slow, atol=1e-4)
+    own = rng.random((40, 7)) < 0.5
+    assert np.allclose(net.sums(x, own), (slow * own[:, :, None]).sum(0), atol=1e-3)
+
+
+def test_pooling_sees_whole_texts_and_what_stands_around_a_byte(monkeypatch):
+    """Each letter byte counts once, whatever the windows; with margins as wide as the text, as the network on all of it."""
+    net, rng = langid.Network(3, hidden=6, seed=2), np.random.default_rng(4)
+    sample = [bytes(rng.integers(32, 123, n, dtype=np.uint8)) for n in (1, 5, 255, 256, 257, 700, 0, 3000)]
+    data, at = np.frombuffer(b"".join(sample), np.uint8), np.concatenate([[0], np.cumsum([len(s) for s in sample])])
+    total, number = langid.pooled(net, data, at)
+    assert number.tolist() == [sum(65 <= c <= 90 or 97 <= c <= 122 for c in s) for s in sample]
+    assert np.allclose(total.sum(1), number, rtol=1e-4)
+    monkeypatch.setattr(langid, "MARGIN", 400)
+    wide, _ = langid.pooled(net, data, at)
+    for k, s in enumerate(sample):
+        if len(s) < 300:
+            x = np.array([32] * 400 + [langid._FOLD[c] for c in s] + [32] * 400, np.uint8)[:, None]
+            p = net.label(x)[400 : 400 + len(s), 0]
+            own = np.array([langid._LETTER[c] for c in s], bool)
+            assert np.allclose(wide[k], p[own].sum(0), atol=0.05 + 0.01 * len(s))
+    one, other = (net.label(np.frombuffer(t, np.uint8)[:, None])[-3:, 0] for t in (b"ab cd xyz", b"qq rr xyz"))
+    assert not np.allclose(one, other, atol=1e-6)  # state crosses blanks
+
+
 def test_language_held_out(spark):
     rng = np.random.default_rng(6)
     spell = {"aa": "ka mo ri tu sa".split(), "bb": "sch ung eit ver ein".split(), "cc": "oux eau tre ment é".split()}
     docs = [(k, " ".join("".join(rng.choice(s, 3)) for _ in range(12)), g, None, 0) for k in range(300) for g, s in [list(spell.items())[k % 3]]]
-    got = langid.identify(spark.createDataFrame(docs, SCHEMA), steps=120).collect()
+    got = langid.identify(spark.createDataFrame(docs, SCHEMA), steps=300).collect()
     truth = {d[0]: d[2] for d in docs}
     held = [r for r in got if r.held_out]
     assert {r.doc_id for r in held} == {k for k in truth if zlib.crc32(str(k).encode()) % 3 == 1}
@@ -610,6 +684,26 @@ def test_nearest(spark):
     assert ann.search(spark.createDataFrame(bad, "vec_id long, embedding array<float>").where("vec_id = 20000"), F.lit(True)).count() == 0
 
 
+def test_parts_and_blocks_lose_nothing(spark, monkeypatch):
+    """Many parts, several blocks a part, a few queries at a time: recall against brute force stays."""
+    for name, value in (("PART_ROWS", 50), ("BLOCK", 40), ("QUERY_BLOCK", 7)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(10)
+    x = (rng.normal(size=(2000, 12)) + 3 * rng.normal(size=(25, 12))[rng.integers(25, size=2000)]) * rng.uniform(0.3, 2, (2000, 1))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>").repartition(3)
+    got = defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    x = x.astype(np.float32).astype(np.float64)
+    hits = 0
+    for q in range(0, 2000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+        assert len(got[q]) == 20
+    assert hits / (20 * len(got)) >= 0.93
+
+
 def test_fold(spark):
     got = [r.f for r in spark.createDataFrame([(5,), (None,)], "i long").select(doc_fold(F.col("i"), 3).alias("f")).collect()]
     assert got == [zlib.crc32(b"5") % 3, 0]
