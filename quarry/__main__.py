@@ -1,13 +1,18 @@
-"""python -m quarry normalise|evaluate: records to a table, or scores of a table of explanations."""
+"""python -m quarry normalise|generate|evaluate: records to a table, reports and explanations of records, or scores of explanations."""
 
 from __future__ import annotations
 
 import argparse
+import json
+import os
+from importlib import import_module
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from quarry import ship
 from quarry.functions import metrics
+from quarry.operators import resolve
 from quarry.plans import lifecycle
 from quarry.sources import readers, sinks
 
@@ -22,14 +27,39 @@ def main(args: list[str] | None = None) -> None:
     for name in ("truth", "found", "vocabulary", "output"):
         evaluate.add_argument(f"--{name}", required=True)
     evaluate.add_argument("--run", default="run")
+    evaluate.add_argument("--metrics", default=",".join(lifecycle.OFFLINE), help="names, by comma")
+    generate = commands.add_parser("generate")
+    for name in ("records", "output", "report-template", "explain-template", "primitives", "model"):
+        generate.add_argument(f"--{name}", required=True)
+    generate.add_argument("--question", default="How does the following perturbation influence the cell in the described context, mechanistically and functionally?")
+    generate.add_argument("--tools", type=json.loads, default={}, help="JSON: name of a tool to its table of index, info; in order")
+    generate.add_argument("--mode", choices=("report-explain", "explain-only"), default="report-explain")
+    generate.add_argument("--reports", help="reports of a former run, for explain-only")
+    generate.add_argument("--max-items", type=int, default=0)
     got = parser.parse_args(args)
     spark = SparkSession.builder.appName("quarry").getOrCreate()
     ship(spark)
     if got.command == "normalise":
         sinks.write_table(readers.records(readers.table(spark, got.input, readers.RECORD)), got.output)
         return
+    if got.command == "generate":
+        module, _, function = got.model.partition(":")  # module:function, which makes a provider
+        model = getattr(import_module(module), function)
+        records = readers.table(spark, got.records)
+        if "perturbations" in records.columns:
+            records = records.select("index", F.to_json("perturbations").alias("perturbation"))
+        records = records.orderBy("index").limit(got.max_items) if got.max_items else records
+        if os.path.exists(f"{got.output}/explanations") and "://" not in got.output:
+            records = resolve.remaining(records, spark.read.parquet(f"{got.output}/explanations"), "index")  # go on where a former run ended
+        tools = [(name, readers.table(spark, path)) for name, path in got.tools.items()]
+        templates = [readers.text_file(spark, p).first().value for p in (got.report_template, got.explain_template, got.primitives)]
+        reports = readers.table(spark, got.reports, readers.REPORT) if got.mode == "explain-only" else None
+        made = lifecycle.generate(records, tools, *templates, got.question, model, reports=reports)
+        for name, rows in zip(("reports", "explanations"), made):
+            sinks.write_table(rows, f"{got.output}/{name}", mode="append")
+        return
     words = [r.action for r in readers.json_list(spark, got.vocabulary, readers.PRIMITIVES).select("action").collect()]  # a small dictionary
-    scores = lifecycle.evaluate(readers.table(spark, got.truth, readers.EXPLANATION), readers.table(spark, got.found, readers.EXPLANATION), words)
+    scores = lifecycle.evaluate(readers.table(spark, got.truth, readers.EXPLANATION), readers.table(spark, got.found, readers.EXPLANATION), words, tuple(got.metrics.split(",")))
     sinks.write_table(scores, f"{got.output}/scores")
     sinks.write_metrics(metrics.means(scores, skip=("index",)), f"{got.output}/metrics", got.run)
 

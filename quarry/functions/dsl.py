@@ -7,33 +7,10 @@ from pyspark.sql import functions as F
 
 # The patterns of the language. (?U) makes \w, \d, \s and \b Unicode-aware.
 PRIMITIVE = r"(?Um)^[ \t]*([A-Za-z_][A-Za-z0-9_]*)\s*\("
-EDGE = r"""(?U)edge\(\s*["'](n\d+)["']\s*,\s*["'](n\d+)["']\s*,\s*relation\s*=\s*["'](\w+)["']\s*\)"""
+EDGE = r"""(?U)edge\("(n\d+)",\s*"(n\d+)",\s*relation="(\w+)"\)"""
 ID_DEF = r"""(?U)\bid\s*=\s*['"](n\d+)['"]"""
 ID_USE = r"(?U)\b(n\d+)\b"
 SECTIONS = ("think", "answer", "explain", "dag")
-# The action primitives of the language.
-VOCABULARY = (
-    "set_context",
-    "binds_to",
-    "modulates_molecule_activity",
-    "modulates_pathway_activity",
-    "modulates_complex",
-    "regulates_expression",
-    "regulates_translation",
-    "post_translational_modification",
-    "localises_to",
-    "converts_substrate",
-    "degrades_or_stabilises",
-    "gain_of_function",
-    "loss_of_function",
-    "induces_phenotype",
-    "alleviates_phenotype",
-    "similar_to",
-    "correlates_with",
-    "participates_in",
-    "cell_cell_interaction",
-    "chromatin_modification",
-)
 
 
 def primitives(text: Column) -> Column:
@@ -42,13 +19,21 @@ def primitives(text: Column) -> Column:
 
 
 def edges(dag: Column) -> Column:
-    """array of (src, tgt, relation); of repeated (src, tgt) the last relation stays, at the first place."""
-    calls = F.coalesce(F.regexp_extract_all(dag, F.lit(EDGE), F.lit(0)), F.array().cast("array<string>"))
-    part = lambda x, k: F.regexp_extract(x, EDGE, k)
-    parsed = F.transform(calls, lambda x: F.struct(part(x, 1).alias("src"), part(x, 2).alias("tgt"), part(x, 3).alias("relation")))
-    keys = F.array_distinct(F.transform(parsed, lambda e: F.struct(e["src"].alias("src"), e["tgt"].alias("tgt"))))
-    last = lambda k: F.element_at(F.filter(parsed, lambda e: (e["src"] == k["src"]) & (e["tgt"] == k["tgt"])), -1)
-    return F.transform(keys, last)
+    """array of (src, tgt, relation); of repeated (src, tgt) the last relation stays, at the first place.
+
+    Make it a column of its own before it is used more than once.
+    """
+    group = lambda k: F.coalesce(F.regexp_extract_all(dag, F.lit(EDGE), F.lit(k)), F.array().cast("array<string>"))
+    parsed = F.transform(F.arrays_zip(group(1).alias("src"), group(2).alias("tgt"), group(3).alias("relation")), lambda e: F.struct(e["src"].alias("src"), e["tgt"].alias("tgt"), e["relation"].alias("relation")))
+
+    def once(found: Column) -> Column:
+        # from the last to the first: an edge stays if its ends aren't there yet; its place is that of its first mention
+        ends = F.transform(found, lambda e: F.struct(e["src"], e["tgt"]))
+        last = F.transform(F.array_distinct(ends), lambda k: F.element_at(F.filter(found, lambda e: F.struct(e["src"], e["tgt"]) == k), -1))
+        return F.when(F.size(F.array_distinct(ends)) == F.size(found), found).otherwise(last)
+
+    # the parsed edges are bound to a variable, so they are extracted once
+    return F.get(F.transform(F.array(parsed), once), F.lit(0))
 
 
 def defined_ids(text: Column) -> Column:
@@ -93,10 +78,11 @@ def judge_scores(text: Column, keys: list[str]) -> Column:
     return F.struct(*(F.coalesce(score(k) / 10, F.lit(0.0)).alias(k) for k in keys))
 
 
-def natural_key(text: Column, width: int = 20) -> Column:
-    """Sorts digit runs as numbers and the rest in lower case."""
+def natural_key(text: Column) -> Column:
+    """Sorts digit runs as numbers of any size and the rest in lower case: digits stand behind their number of digits."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), width, "0")).otherwise(x))
+    digits = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    return F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(x)).cast("string"), 10, "0"), digits(x))).otherwise(x))
 
 
 def known_targets(text: Column) -> Column:
@@ -111,8 +97,9 @@ def index_tag(path: Column) -> Column:
 
 
 def quote(text: Column, plus: bool = False) -> Column:
-    """percent encoding, with + or %20 for a space."""
-    return F.url_encode(text) if plus else F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    """percent encoding as urllib's quote, which keeps / and ~, or with plus as its quote_plus, which keeps ~ alone."""
+    coded = F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    return coded if plus else F.replace(F.replace(coded, F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
 
 
 def prompt_key(prompt: Column) -> Column:

@@ -1,14 +1,11 @@
-"""Scores of explanations. A01-A06, A14 and A15 are Column expressions; BLEU and ROUGE are Arrow UDFs."""
-
-import math
-from collections import Counter
+"""Scores of explanations. A01-A06, A14, A15 and ROUGE-N are Column expressions; BLEU, ROUGE-L and METEOR are Arrow UDFs."""
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from . import dsl
+from . import dsl, text
 
 
 def f1(tp: Column, fp: Column, fn: Column, digits: int = 4) -> Column:
@@ -30,15 +27,14 @@ def multiset_f1(truth: Column, found: Column) -> Column:
 
 
 def edge_f1(truth: Column, found: Column) -> Column:
-    """Of the edge sets of two graphs; null graphs have no edges."""
-    a, b = dsl.edges(truth), dsl.edges(found)
-    tp = F.size(F.array_intersect(a, b))
-    return f1(tp, F.size(b) - tp, F.size(a) - tp)
+    """Of the edge sets of two graphs (arrays of dsl.edges, each once)."""
+    tp = F.size(F.array_intersect(truth, found))
+    return f1(tp, F.size(found) - tp, F.size(truth) - tp)
 
 
-def validity(text: Column, vocabulary: Column) -> Column:
+def validity(explain: Column, vocabulary: Column) -> Column:
     """Share of primitives, repeats included, in a vocabulary; 0 if there is none."""
-    found = dsl.primitives(text)
+    found = dsl.primitives(explain)
     return F.coalesce(F.try_divide(F.size(F.filter(found, lambda x: F.array_contains(vocabulary, x))), F.size(found)), F.lit(0.0))
 
 
@@ -51,9 +47,9 @@ def id_coherence(explain: Column, dag: Column) -> Column:
     return F.coalesce(good, F.lit(False)).cast("int")
 
 
-def schema_validity(text: Column) -> Column:
+def schema_validity(reply: Column) -> Column:
     """A06."""
-    return F.coalesce(F.reduce(F.array(*(text.rlike(f"(?s)<{t}>.*?</{t}>") for t in dsl.SECTIONS)), F.lit(True), lambda a, b: a & b), F.lit(False)).cast("int")
+    return F.coalesce(F.reduce(F.array(*(reply.rlike(f"(?s)<{t}>.*?</{t}>") for t in dsl.SECTIONS)), F.lit(True), lambda a, b: a & b), F.lit(False)).cast("int")
 
 
 def correctness(reply: Column) -> Column:
@@ -61,74 +57,44 @@ def correctness(reply: Column) -> Column:
     return F.when(F.lower(dsl.judge_answer(reply)) == "yes", 1.0).when(dsl.judge_answer(reply).isNotNull(), 0.0)
 
 
-def has_no_cycle(pairs: list[tuple[str, str]]) -> bool:
-    """Kahn's peeling."""
-    out: dict[str, list[str]] = {}
-    degree: Counter = Counter()
-    for a, b in set(pairs):
-        out.setdefault(a, []).append(b)
-        degree[b] += 1
-        degree[a] += 0
-    free = [n for n, d in degree.items() if not d]
-    seen = 0
-    while free:
-        seen += 1
-        for b in out.get(free.pop(), ()):
-            degree[b] -= 1
-            if not degree[b]:
-                free.append(b)
-    return seen == len(degree)
-
-
-def acyclic(dag: Column) -> Column:
-    """1 unless the graph has a cycle; no edges count as none. Edges whose source no edge enters are peeled off,
-    as often as there are edges; what stays lies on or behind a cycle."""
-    all_edges = dsl.edges(dag)
-    rounds = F.sequence(F.lit(0), F.size(all_edges))
-    rest = F.aggregate(rounds, all_edges, lambda s, _: F.filter(s, lambda e: F.exists(s, lambda x: x["tgt"] == e["src"])))
+def acyclic(edges: Column) -> Column:
+    """1 unless a graph (an array of dsl.edges) has a cycle; no edges count as none. Edges whose source no edge
+    enters, or whose target no edge leaves, are peeled off; what stays when nothing more can go holds a cycle."""
+
+    def peel(s: Column) -> Column:
+        targets, sources = F.transform(s, lambda e: e["tgt"]), F.transform(s, lambda e: e["src"])
+        both = F.array_intersect(targets, sources)  # nodes inside
+        return F.filter(s, lambda e: F.array_contains(both, e["src"]) & F.array_contains(both, e["tgt"]))
+
+    rest = F.aggregate(F.sequence(F.lit(0), F.size(edges)), edges, lambda s, _: F.when(F.size(s) > 0, peel(s)).otherwise(s))
     return (F.size(rest) == 0).cast("int")
 
 
-def tokens(text: Column) -> Column:
+def tokens(words: Column) -> Column:
     """Runs of a-z and 0-9 in lower case, as ROUGE splits words."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(F.lower(words), F.lit("([a-z0-9]+)"), F.lit(1)), F.array().cast("array<string>"))
 
 
-@F.pandas_udf(DoubleType())
-def _rouge_n(truth: pd.Series, found: pd.Series, n: pd.Series) -> pd.Series:
-    out = []
-    for a, b, k in zip(truth, found, n):
-        x, y = (Counter(tuple(t[i : i + k]) for i in range(len(t) - k + 1)) for t in (list(a), list(b)))
-        total = sum(x.values()) + sum(y.values())
-        out.append(2 * sum((x & y).values()) / total if total else 0.0)
-    return pd.Series(out)
+def rouge_n(truth: Column, found: Column, n: int = 1) -> Column:
+    """ROUGE-N F without stemming: multiset overlap of n-grams of tokens, in the JVM."""
 
+    def grams(t: Column) -> Column:
+        last = F.size(t) - n
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
-def rouge_n(truth: Column, found: Column, n: int = 1) -> Column:
-    """ROUGE-N F without stemming: multiset overlap of n-grams of tokens."""
-    return _rouge_n(tokens(truth), tokens(found), F.lit(n))
+    both = F.struct(grams(tokens(truth)).alias("a"), grams(tokens(found)).alias("b"))
 
+    def score(x: Column) -> Column:
+        at = lambda values, v: F.size(F.filter(values, lambda y: y == v))
+        hits = F.aggregate(_counts(x["a"]), F.lit(0), lambda s, c: s + F.least(c["n"], at(x["b"], c["v"])))
+        return F.coalesce(F.try_divide(2.0 * hits, F.size(x["a"]) + F.size(x["b"])), F.lit(0.0))
 
-def _lcs(a: list[str], b: list[str]) -> int:
-    """Longest common subsequence by bit-parallel rows."""
-    places: dict[str, int] = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    row = (1 << len(a)) - 1
-    full = row
-    for x in b:
-        hit = row & places.get(x, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return F.get(F.transform(F.array(both), score), F.lit(0))
 
 
 @F.pandas_udf(DoubleType())
 def _rouge_l(truth: pd.Series, found: pd.Series) -> pd.Series:
-    out = []
-    for a, b in zip(truth, found):
-        n = _lcs(list(a), list(b)) if len(a) and len(b) else 0
-        out.append(2 * n / (len(a) + len(b)) if n else 0.0)
-    return pd.Series(out)
+    return pd.Series([2 * n / (len(a) + len(b)) if (n := text.lcs(list(a), list(b))) else 0.0 for a, b in zip(truth, found)])
 
 
 def rouge_l(truth: Column, found: Column) -> Column:
@@ -136,55 +102,32 @@ def rouge_l(truth: Column, found: Column) -> Column:
     return _rouge_l(tokens(truth), tokens(found))
 
 
-def bleu(found: list[str], truth: list[str], most: int = 4) -> float:
-    """BLEU of one pair with effective order and exponential smoothing, from 0 to 1."""
-    scores, smooth = [], 1.0
-    for n in range(1, most + 1):
-        a = Counter(tuple(found[i : i + n]) for i in range(len(found) - n + 1))
-        b = Counter(tuple(truth[i : i + n]) for i in range(len(truth) - n + 1))
-        total = sum(a.values())
-        if not total:
-            break
-        hits = sum((a & b).values())
-        if not hits:
-            smooth *= 2
-            hits = 1 / smooth
-        scores.append(hits / total)
-    if not scores or not set(found) & set(truth):
-        return 0.0
-    brief = 1.0 if len(found) >= len(truth) else math.exp(1 - len(truth) / len(found))
-    return brief * math.exp(sum(map(math.log, scores)) / len(scores))
-
-
 @F.pandas_udf(DoubleType())
 def _bleu(truth: pd.Series, found: pd.Series) -> pd.Series:
-    return pd.Series([bleu((b or "").split(), (a or "").split()) for a, b in zip(truth, found)])
+    return pd.Series([text.corpus_bleu([b or ""], [a or ""]) for a, b in zip(truth, found)])
 
 
 def sentence_bleu(truth: Column, found: Column) -> Column:
+    """BLEU of one pair on 13a tokens, with effective order and exponential smoothing, from 0 to 1."""
     return _bleu(truth, found)
 
 
-def parts(text: Column, kind: str) -> Column:
-    """Lines of a structure or sentences of a paragraph, whose one trailing empty part is dropped."""
-    if kind == "structure_hypothesis":
-        return F.split(text, "\n")
-    if kind != "paragraph":
-        raise ValueError(f"Invalid type: {kind}")
-    split = F.split(text, r"\.")
-    return F.when(F.element_at(split, -1) == "", F.slice(split, F.lit(1), F.size(split) - 1)).otherwise(split)
+TOKEN_SCORES = ", ".join(f"{n}_{kind} double" for kind in ("micro", "macro") for n in text.NAMES)
+
+
+def token_accuracy(truth: Column, found: Column, kind: str) -> Column:
+    """A struct of ten scores: BLEU, stemmed ROUGE and METEOR of the joined parts, and their means over parts. Null counts as empty."""
+
+    @F.pandas_udf(TOKEN_SCORES)
+    def score(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text.scores(x or "", y or "", kind) for x, y in zip(a, b)], columns=[n.split()[0] for n in TOKEN_SCORES.split(", ")])
+
+    return score(truth, found)
 
 
 def token_scores(df, key: str, truth: str, found: str, kind: str):
-    """Micro scores on the joined parts and macro means over parts at the same place, rounded to 4 digits."""
-    rows = df.select(F.col(key), parts(F.col(truth), kind).alias("_t"), parts(F.col(found), kind).alias("_f"))
-    t, f = F.array_join("_t", " "), F.array_join("_f", " ")
-    micro = rows.select(key, sentence_bleu(t, f).alias("bleu_micro"), rouge_n(t, f, 1).alias("rouge1_micro"), rouge_n(t, f, 2).alias("rouge2_micro"), rouge_l(t, f).alias("rougeL_micro"))
-    pairs = rows.select(key, F.explode(F.arrays_zip(F.slice("_t", F.lit(1), F.least(F.size("_t"), F.size("_f"))), F.slice("_f", F.lit(1), F.least(F.size("_t"), F.size("_f"))))).alias("_p")).select(key, F.col("_p.0").alias("_a"), F.col("_p.1").alias("_b"))
-    each = {"bleu_macro": sentence_bleu(F.col("_a"), F.col("_b")), "rouge1_macro": rouge_n(F.col("_a"), F.col("_b"), 1), "rouge2_macro": rouge_n(F.col("_a"), F.col("_b"), 2), "rougeL_macro": rouge_l(F.col("_a"), F.col("_b"))}
-    macro = pairs.select(key, *(c.alias(n) for n, c in each.items())).groupBy(key).agg(*(F.avg(n).alias(n) for n in each))
-    both = micro.join(macro, key, "left")
-    return both.select(key, *(F.round(F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)), 4).alias(c) for c in both.columns if c != key))
+    """A08 as columns beside the key."""
+    return df.select(key, token_accuracy(F.col(truth), F.col(found), kind).alias("_s")).select(key, "_s.*")
 
 
 def means(df, skip: tuple[str, ...] = ()):

@@ -38,6 +38,11 @@ class ToolSpec:
         return cls(base, frozenset(rest))
 
 
+def is_kind(perturbation: Column, kind: str) -> Column:
+    """A perturbation struct of a type, chemical or genetic."""
+    return F.coalesce(perturbation["type"] == kind, F.lit(False))
+
+
 def concat_in_order(df: DataFrame, keys: list[str], text: str, *order: str, separator: str = "", into: str = "text") -> DataFrame:
     """Texts of a key joined in an explicit order."""
     parts = F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
@@ -50,7 +55,7 @@ def fan_in(results: DataFrame, key: str = "index") -> DataFrame:
 
 
 def gene_document(name: Column, symbol: Column, description: Column, synonyms: Column, proteins: Column) -> Column:
-    """a gene as text; '' without a name. Nulls inside are left empty."""
+    """a gene as text; '' without a name. Nulls inside are left empty. The wording."""
     none = lambda c: F.coalesce(c, F.lit(""))
     lines = F.concat(
         F.lit("\nThe gene name is "), none(name), F.lit(" and the gene symbol is "), none(symbol), F.lit(".\n"), none(description),
@@ -66,7 +71,7 @@ def related_genes(associations: DataFrame, gene_set: str, symbol: str, pos: str,
 
 
 def subgraph_text(edges: DataFrame, nodes: DataFrame, types: DataFrame, most: int = 500) -> DataFrame:
-    """one row with the text of an edge list (edge_id, src, dst, type_id; pos orders it), its first edges only."""
+    """one row with the text of an edge list (edge_id, src, dst, type_id; pos orders it), its first edges only. The wording."""
     chosen = edges.orderBy("pos").limit(most)
     ends = chosen.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
     node = ends.join(nodes, "node_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node_id", "doc"))), lambda r: F.concat(F.lit("- Node ID: "), r["node_id"].cast("string"), F.lit(", Doc Info: "), r["doc"])), "\n").alias("node_lines"))
@@ -90,6 +95,29 @@ def node_records(info: Column) -> Column:
     return F.transform(blocks, lambda b: F.transform(fields(b), pair))
 
 
+def schema_text(info: Column, tool: str) -> Column:
+    """F16: evidence of a tool with the modifier schema, as JSON. Gene and paper evidence are arrays of structs already."""
+    if "kg" in tool:
+        return F.to_json(F.struct(node_records(info).alias("KG nodes")))
+    if "harmonizome" in tool:
+        return F.to_json(F.struct(info.alias("Gene information")), {"ignoreNullFields": "false"})
+    if "wikipedia" in tool:
+        return F.to_json(F.struct(heading_records(info).alias("wikipedia_info")))
+    if "paperqa" in tool:
+        return F.to_json(F.struct(info.alias("paperqa_info")), {"ignoreNullFields": "false"})
+    return F.when(info.isNotNull(), F.lit("{}"))
+
+
+def gene_records(genes: DataFrame, sets: DataFrame, related: DataFrame, key: str = "index") -> DataFrame:
+    """F16 of gene evidence: key, info: an array of structs, genes (key, name, symbol, description) first, then gene sets
+    (key, name) with their related genes (name, pos, symbol)."""
+    lists = related.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "symbol"))), lambda r: r["symbol"]).alias("related_genes"))
+    one = genes.select(key, F.lit(0).alias("part"), F.col("name").alias("gene_name"), F.lit(None).cast("string").alias("gene_set_name"), "symbol", "description", F.lit(None).cast("array<string>").alias("related_genes"))
+    two = sets.join(lists, "name", "left").select(key, F.lit(1).alias("part"), F.lit(None).cast("string").alias("gene_name"), F.col("name").alias("gene_set_name"), F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("string").alias("description"), "related_genes")
+    rows = one.unionByName(two).withColumn("r", F.struct("part", F.coalesce("gene_name", "gene_set_name").alias("name"), F.struct("gene_name", "gene_set_name", "symbol", "description", "related_genes").alias("v")))
+    return rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["v"]).alias("info"))
+
+
 def heading_records(info: Column) -> Column:
     """F16 of encyclopedia text: array of (entity_name, context) of the ## sections."""
     parts = F.filter(F.split(info, "##", -1), lambda p: F.length(p) > 0)

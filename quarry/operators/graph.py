@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,23 +21,26 @@ def degree(edges: DataFrame) -> DataFrame:
     return undirected(edges).groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("degree"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, hops: int, each: bool = False) -> DataFrame:
-    """node_id, dist (and source, if each) within so many hops of the sources, ignoring direction.
+def distances(edges: DataFrame, sources: DataFrame, hops: int | None, each: bool = False) -> DataFrame:
+    """node_id, dist (and source, if each) within so many hops (None: any) of the sources, ignoring direction.
 
-    A hop joins the frontier alone with the edges; nodes seen before leave by an anti join. Stops when nothing is new.
+    A hop joins the frontier alone with the edges; nodes of the last two rings leave by anti joins. Stops when nothing is new.
     """
     both = undirected(edges)
     key = ["source", "node_id"] if each else ["node_id"]
     start = sources.select("node_id").distinct()
     seen = (start.withColumn("source", F.col("node_id")) if each else start).withColumn("dist", F.lit(0))
-    seen = frontier = cut(seen.select(*key, "dist"))
-    for hop in range(1, hops + 1):
+    frontier = cut(seen.select(*key, "dist"))
+    rings = [frontier]
+    for hop in count(1) if hops is None else range(1, hops + 1):
         step = frontier.join(both, frontier["node_id"] == both["src"]).select(*([frontier["source"]] if each else []), F.col("dst").alias("node_id")).distinct()
-        frontier = cut(step.join(seen, key, "left_anti").withColumn("dist", F.lit(hop)).select(*key, "dist"))
+        for ring in rings[-2:]:  # neighbours of a ring lie in it or in the rings beside it
+            step = step.join(ring, key, "left_anti")
+        frontier = cut(step.withColumn("dist", F.lit(hop)).select(*key, "dist"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        rings.append(frontier)
+    return reduce(DataFrame.unionByName, rings)
 
 
 def k_hop_edges(edges: DataFrame, sources: DataFrame, k: int) -> DataFrame:
@@ -48,10 +54,11 @@ def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
     return edges.join(ends.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ends.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
 
 
-def connecting_subgraph(edges: DataFrame, terminals: list[int], hops: int = 8) -> DataFrame:
+def connecting_subgraph(edges: DataFrame, terminals: list[int], hops: int | None = None) -> DataFrame:
     """Edges of a small subgraph that connects the terminals (metric closure, spanning tree, its paths).
 
-    The terminals are given by the caller and few; distances and predecessors are tables. Unreachable ones are left out.
+    The terminals are given by the caller and few; distances and predecessors are tables. Unreachable ones are left out;
+    hops: leave out those that are farther, by default none.
     """
     spark = edges.sparkSession
     both = undirected(edges)
@@ -72,7 +79,7 @@ def connecting_subgraph(edges: DataFrame, terminals: list[int], hops: int = 8) -
             lead[b] = a
             tree.append((r.source, r.node_id, r.dist))
     walk = cut(spark.createDataFrame(tree, "source long, node_id long, dist int"))
-    nodes = walk.select("node_id").unionByName(walk.select(F.col("source").alias("node_id")))
+    nodes = walk.select("node_id").unionByName(walk.select(F.col("source").alias("node_id"))).unionByName(start)
     while not walk.where("dist > 1").isEmpty():  # one step back on a shortest path, by the least predecessor
         back = walk.alias("w").join(both.alias("b"), F.col("w.node_id") == F.col("b.src")).join(reach.alias("r"), (F.col("r.source") == F.col("w.source")) & (F.col("r.node_id") == F.col("b.dst")) & (F.col("r.dist") == F.col("w.dist") - 1))
         walk = cut(back.groupBy(F.col("w.source").alias("source"), F.col("w.node_id").alias("_at"), F.col("w.dist").alias("_d")).agg(F.min("b.dst").alias("node_id")).select("source", "node_id", (F.col("_d") - 1).alias("dist")))

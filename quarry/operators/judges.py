@@ -12,7 +12,7 @@ from quarry.operators import evidence, providers
 def ask(rows: DataFrame, template: str, make, into: str, replay: DataFrame | None = None, **values: str) -> DataFrame:
     """rows with the reply to the template filled with columns; one call per distinct prompt."""
     asked = rows.withColumn("_prompt", evidence.explain_prompt(template, **{k: F.col(c) for k, c in values.items()}))
-    return providers.join_back(asked, "_prompt", providers.call_once(asked, "_prompt", make, replay), into).drop("_prompt")
+    return providers.ask(asked, "_prompt", make, replay, into).drop("_prompt")
 
 
 def rephrase(rows: DataFrame, template: str, make, info: str, into: str = "rephrased") -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry import cut
+
 
 class Provider(Protocol):
     """One reply per request; made once per task, so it may hold a client."""
@@ -46,7 +48,9 @@ def call_once(requests: DataFrame, column: str, make: Callable[[], Provider], re
             for i in range(0, len(rows), batch):
                 part = rows[i : i + batch]
                 try:
-                    got = provider(part)
+                    got = list(provider(part))
+                    if len(got) != len(part):
+                        raise ValueError(f"{len(got)} replies to {len(part)} requests")
                     replies += got
                     errors += [None] * len(part)
                 except Exception:
@@ -54,7 +58,7 @@ def call_once(requests: DataFrame, column: str, make: Callable[[], Provider], re
                         reply, error = None, None
                         for _ in range(tries):
                             try:
-                                reply, error = provider([one])[0], None
+                                (reply,), error = provider([one]), None
                                 break
                             except Exception as e:  # kept in the row
                                 error = f"{type(e).__name__}: {e}"
@@ -71,6 +75,11 @@ def call_once(requests: DataFrame, column: str, make: Callable[[], Provider], re
     return old.unionByName(new)
 
 
+def ask(rows: DataFrame, column: str, make: Callable[[], Provider], replay: DataFrame | None = None, into: str = "reply") -> DataFrame:
+    """Every row with the reply to its request. Replies are kept before they are used, so none is asked for again."""
+    return join_back(rows, column, cut(call_once(rows, column, make, replay)), into)
+
+
 def join_back(rows: DataFrame, column: str, replies: DataFrame, into: str = "reply") -> DataFrame:
     """Every row with the reply to its request."""
     named = replies.select(F.col("key").alias("_key"), F.col("reply").alias(into), F.col("error").alias(f"{into}_error"))

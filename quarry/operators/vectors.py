@@ -2,6 +2,7 @@
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,3 +57,59 @@ def embed(texts: DataFrame, text: str, make: Callable[[], Callable[[list[str]],
             yield pd.Series([v for i in range(0, len(rows), batch) for v in run(rows[i : i + batch])])
 
     return texts.withColumn(into, encode(F.col(text)))
+
+
+def nearest_blocks(nodes: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", key: str = "node_id", vector: str = "embedding", query_key: str = "query_id", blocks: int = 64) -> DataFrame:
+    """V02 for any number of queries: nodes are dealt into blocks, every query goes over each block once, and the k best of
+    the blocks meet per query. Queries are shuffled once a block and never broadcast; groups are bounded by the blocks."""
+    many = queries.select(query_key, F.col(vector).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    own = nodes.select(key, F.col(vector).alias("_v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block"))
+    columns = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {nodes.schema[key].dataType.simpleString()}, score double"
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = {query_key: [], key: [], "score": []}
+        by_size = {n: part for n, part in left.groupby(left["_v"].map(len))}
+        for name, q in zip(right[query_key], right["_q"]):
+            part = by_size.get(len(q))
+            if part is None:
+                continue
+            x, y = np.stack(part["_v"].to_numpy()).astype(np.float64), np.asarray(q, np.float64)
+            s = {"dot": lambda: x @ y, "cosine": lambda: x @ y / (np.linalg.norm(x, axis=1) * np.linalg.norm(y)), "l2": lambda: 1 / (1 + np.linalg.norm(x - y, axis=1))}[metric]()  # noqa: B023
+            ids = part[key].to_numpy()
+            order = np.lexsort((ids, -np.nan_to_num(s, nan=-np.inf)))[:k]
+            found[query_key] += [name] * len(order)
+            found[key] += ids[order].tolist()
+            found["score"] += s[order].tolist()
+        return pd.DataFrame(found)
+
+    near = own.groupBy("_block").cogroup(many.groupBy("_block")).applyInPandas(best, columns)
+    place = F.row_number().over(Window.partitionBy(query_key).orderBy(F.col("score").desc_nulls_last(), key))
+    return near.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def argument_similarity(rows: DataFrame, truth: str, found: str, make, into: str = "similarity") -> DataFrame:
+    """Rows with the cosine of the vectors of two text columns, rounded to 4 digits."""
+    both = embed(embed(rows, truth, make, into="_a"), found, make, into="_b")
+    return both.withColumn(into, F.round(cosine(F.col("_a"), F.col("_b")), 4)).drop("_a", "_b")
+
+
+def greedy_similarity(rows: DataFrame, truth: str, found: str, make, into: str = "similarity") -> DataFrame:
+    """V06 by tokens: make() gives a function from texts to arrays of token vectors; every token is matched with its most
+    similar one on the other side, and the F of the two means is rounded to 4 digits."""
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        run = make()
+        for a, b in parts:
+            out = []
+            for x, y in zip(run(a.fillna("").tolist()), run(b.fillna("").tolist())):
+                if not len(x) or not len(y):
+                    out.append(0.0)
+                    continue
+                unit = lambda v: (m := np.asarray(v, np.float64)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+                near = unit(y) @ unit(x).T
+                p, r = near.max(1).mean(), near.max(0).mean()
+                out.append(2 * p * r / (p + r) if p + r else 0.0)
+            yield pd.Series(out)
+
+    return rows.withColumn(into, F.round(score(F.col(truth), F.col(found)), 4))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quarry import ship
 from quarry.functions import dsl, metrics
-from quarry.operators import evidence, graph, providers, resolve, vectors
+from quarry.operators import chains, evidence, graph, providers, resolve, vectors
+from quarry.sources import readers
 from quarry.streaming import resume
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +128,94 @@ def entity_unmatched(spark, sf_dir):
     return resolve.unmatched(_cascade(spark, sf_dir))
 
 
+_NAMED = """
+nodes AS (SELECT 1000 + p_partkey AS id, p_name AS name FROM part UNION ALL SELECT 100 + n_nationkey, n_name FROM nation),
+folded AS (SELECT lower(name) AS key, max(id) AS id FROM nodes GROUP BY 1), named AS (SELECT name AS key, max(id) AS id FROM nodes GROUP BY 1)"""
+_FIRST = "SELECT entity, CAST(coalesce(f.id, n.id, x.id, -1) AS BIGINT) AS node_id FROM mentions m LEFT JOIN folded f ON f.key = lower(entity) LEFT JOIN named n ON n.key = entity LEFT JOIN other x USING (entity)"
+
+
+def _nodes(t: Tables) -> DataFrame:
+    return t.part.select((F.col("p_partkey") + 1000).cast("long").alias("node_id"), F.col("p_name").alias("name")).unionByName(t.nation.select((F.col("n_nationkey") + 100).cast("long").alias("node_id"), F.col("n_name").alias("name")))
+
+
+def _resolved(mentions: DataFrame, tag: str, nodes: DataFrame, more: list[DataFrame]) -> DataFrame:
+    rows = mentions.distinct().withColumn("tag", F.lit(tag))
+    return resolve.resolve(rows, [*chains.by_name(nodes), *more]).select("entity", F.coalesce("node_id", F.lit(-1).cast("long")).alias("node_id"))
+
+
+# labels are regions and nations; synonyms are suppliers, and the regions, which are labels already but of no node
+@query(f"""
+WITH {_NAMED}, mentions AS (SELECT s_name AS entity FROM supplier UNION SELECT n_name FROM nation UNION SELECT lower(n_name) FROM nation UNION SELECT r_name FROM region),
+labels AS (SELECT n_name AS label FROM nation UNION SELECT r_name FROM region),
+syn AS (SELECT s_name AS synonym, max(n_name) AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT r_name, min(n_name) FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1),
+other AS (SELECT label AS entity, id FROM labels JOIN named ON key = label UNION ALL SELECT synonym, id FROM syn JOIN labels USING (label) JOIN named ON key = label WHERE synonym NOT IN (SELECT label FROM labels))
+{_FIRST}""")
+def cascade_disease(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    name = lambda c: F.col(c).alias("entity")
+    mentions = t.supplier.select(name("s_name")).unionByName(t.nation.select(name("n_name"))).unionByName(t.nation.select(F.lower("n_name").alias("entity"))).unionByName(t.region.select(name("r_name")))
+    labels = t.nation.select(F.col("n_name").alias("label")).unionByName(t.region.select(F.col("r_name").alias("label")))
+    own = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("s_name").alias("synonym")).agg(F.max("n_name").alias("label"))
+    odd = t.region.join(t.nation, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("synonym")).agg(F.min("n_name").alias("label"))
+    return _resolved(mentions, "Disease", _nodes(t), chains.for_diseases(labels, own.unionByName(odd), _nodes(t)))
+
+
+# drugs are suppliers, named as parts; customers are known to the compound service alone
+@query(f"""
+WITH {_NAMED}, mentions AS (SELECT upper(s_name) AS entity FROM supplier UNION SELECT c_name FROM customer UNION SELECT p_name FROM part),
+drugs AS (SELECT 'DB' || s_suppkey AS drug_id, p_name AS name FROM supplier JOIN part ON p_partkey = 2 * s_suppkey),
+alias AS (SELECT lower(s_name) AS entity, min('DB' || s_suppkey) AS drug_id FROM supplier GROUP BY 1),
+comp AS (SELECT lower(c_name) AS entity, min('DB' || c_nationkey) AS drug_id FROM customer GROUP BY 1),
+ids AS (SELECT * FROM alias UNION ALL SELECT * FROM comp WHERE entity NOT IN (SELECT entity FROM alias)),
+found AS (SELECT entity, max(id) AS id FROM ids JOIN drugs USING (drug_id) JOIN named ON key = name GROUP BY 1), other AS (SELECT m.entity, id FROM mentions m JOIN found f ON lower(m.entity) = f.entity)
+{_FIRST}""")
+def cascade_chemical(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    mentions = t.supplier.select(F.upper("s_name").alias("entity")).unionByName(t.customer.select(F.col("c_name").alias("entity"))).unionByName(t.part.select(F.col("p_name").alias("entity")))
+    drug = F.concat(F.lit("DB"), F.col("s_suppkey").cast("string"))
+    aliases = t.supplier.groupBy(F.lower("s_name").alias("alias_lc")).agg(F.min(drug).alias("drug_id")).withColumn("priority", F.lit(1))
+    drugs = t.supplier.join(t.part, F.col("p_partkey") == 2 * F.col("s_suppkey")).select(drug.alias("drug_id"), F.col("p_name").alias("name"))
+    compounds = t.customer.select(F.col("c_name").alias("name"), F.array(F.lit("x"), F.concat(F.lit("DB"), F.col("c_nationkey").cast("string"))).alias("synonyms"))
+    return _resolved(mentions, "Chemical", _nodes(t), chains.for_chemicals(aliases, drugs, _nodes(t), compounds))
+
+
+@query(f"""
+WITH {_NAMED}, mentions AS (SELECT s_name AS entity FROM supplier UNION SELECT lower(s_name) FROM supplier UNION SELECT n_name FROM nation),
+other AS (SELECT s_name AS entity, arg_max(id, n_nationkey) AS id FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN named ON key = n_name WHERE n_regionkey < 3 GROUP BY 1)
+{_FIRST}""")
+def cascade_gene(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    mentions = t.supplier.select(F.col("s_name").alias("entity")).unionByName(t.supplier.select(F.lower("s_name").alias("entity"))).unionByName(t.nation.select(F.col("n_name").alias("entity")))
+    listed = t.supplier.groupBy("s_nationkey").agg(F.collect_set("s_name").alias("aliases"))
+    info = t.nation.join(listed, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"), F.when(F.col("n_regionkey") < 3, "gene/protein").otherwise("drug").alias("type"), "aliases")
+    return _resolved(mentions, "Gene", _nodes(t), chains.for_genes(chains.gene_aliases(info, _nodes(t))))
+
+
+def _lengths():
+    """A stand-in encoder: the length of a text and one."""
+    return lambda texts: [[float(len(x)), 1.0] for x in texts]
+
+
+# each region's record names its nations and, unknown to the graph, itself, which brings the nearest nation
+@query("""
+WITH mentions AS (SELECT r_regionkey AS index, upper(n_name) AS entity FROM region JOIN nation ON n_regionkey = r_regionkey UNION SELECT r_regionkey, 'Region ' || r_name || repeat('x', CAST(r_regionkey AS INT)) FROM region),
+known AS (SELECT index, 100 + n_nationkey AS node_id FROM mentions JOIN nation ON lower(n_name) = lower(entity)),
+lost AS (SELECT index, entity FROM mentions WHERE lower(entity) NOT IN (SELECT lower(n_name) FROM nation)),
+near AS (SELECT index, node_id FROM (SELECT index, 100 + n_nationkey AS node_id, row_number() OVER (PARTITION BY index, entity ORDER BY list_cosine_similarity([length(entity)::DOUBLE, 1.0::DOUBLE], [(100 + n_nationkey)::DOUBLE / 4, 1.0::DOUBLE]) DESC, n_nationkey) AS r FROM lost, nation) WHERE r = 1),
+every AS (SELECT * FROM known UNION SELECT * FROM near)
+SELECT index, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY node_id) AS node_list, string_agg('doc ' || node_id || chr(10) || chr(10), '' ORDER BY node_id) AS info FROM every GROUP BY index""")
+def kg_info(spark, sf_dir):
+    ship(spark)
+    t = Tables(spark, sf_dir)
+    own = t.region.join(t.nation, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_regionkey").alias("index"), F.upper("n_name").alias("entity"))
+    lost = t.region.select(F.col("r_regionkey").alias("index"), F.concat(F.lit("Region "), "r_name", F.repeat(F.lit("x"), F.col("r_regionkey").cast("int"))).alias("entity"))
+    node = (F.col("n_nationkey") + 100).cast("long")
+    nodes = t.nation.select(node.alias("node_id"), F.col("n_name").alias("name"), F.array((node / 4).cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    docs = nodes.select("node_id", F.concat(F.lit("doc "), F.col("node_id").cast("string")).alias("doc"))
+    found = chains.kg_info(own.unionByName(lost).withColumn("tag", F.lit("Other")), chains.by_name(nodes), nodes, _lengths, docs)
+    return found.select("index", F.array_join("node_list", ",").alias("node_list"), "info")
+
+
 @query("""
 WITH e AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INT) AS entity, event_type AS tag, CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS side, event_id FROM events)
 SELECT user_id, entity, arg_max(tag, side * 1000000000 + event_id) AS tag FROM e GROUP BY user_id, entity""")
@@ -155,14 +244,13 @@ def eval_mismatches(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_quantity = 1
-  UNION SELECT p_partkey, 0 FROM part WHERE p_size = 1),
+WITH w AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem UNION SELECT p_partkey, 0 FROM part),
 e AS (SELECT l_partkey AS src, l_suppkey AS dst, min(l_orderkey * 10 + l_linenumber) AS edge_id, count(*) AS n FROM lineitem GROUP BY ALL)
 SELECT w.src, w.dst, coalesce(edge_id, -1) AS edge_id, coalesce(n, 0) AS n FROM w LEFT JOIN e USING (src, dst)""")
 def edge_lookup(spark, sf_dir):
     t = Tables(spark, sf_dir)
     edges = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"))
-    wanted = t.lineitem.where("l_quantity = 1").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).unionByName(t.part.where("p_size = 1").select(F.col("p_partkey").alias("src"), F.lit(0).cast("long").alias("dst"))).distinct()
+    wanted = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).unionByName(t.part.select(F.col("p_partkey").alias("src"), F.lit(0).cast("long").alias("dst"))).distinct()
     return resolve.edge_ids(edges, wanted)
 
 
@@ -221,12 +309,12 @@ def graph_k_hop_2(spark, sf_dir):
 
 @query(f"""
 WITH RECURSIVE {_EDGES}, walk AS (
-  SELECT CAST(100 + n_nationkey AS BIGINT) AS source, CAST(100 + n_nationkey AS BIGINT) AS node_id, 0 AS dist FROM nation WHERE n_nationkey < 3
+  SELECT CAST(100 + n_nationkey AS BIGINT) AS source, CAST(100 + n_nationkey AS BIGINT) AS node_id, 0 AS dist FROM nation
   UNION SELECT w.source, b.dst, w.dist + 1 FROM walk w JOIN both_ways b ON b.src = w.node_id WHERE w.dist < 3
 ) SELECT source, node_id, min(dist) AS dist FROM walk GROUP BY source, node_id""")
 def graph_shortest_path_len(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    sources = t.nation.where("n_nationkey < 3").select((F.col("n_nationkey") + 100).cast("long").alias("node_id"))
+    sources = t.nation.select((F.col("n_nationkey") + 100).cast("long").alias("node_id"))
     return graph.distances(_edges(t), sources, 3, each=True)
 
 
@@ -240,19 +328,27 @@ def induced_subgraph(spark, sf_dir):
     return graph.induced(edges, keep).groupBy("src", (-F.col("dst") - 1).alias("dst")).agg(F.count("*").alias("n"))
 
 
-@query()
+_TERMINALS = [0, 100, 105, 1000001, 2000001]
+
+
+@query(f"""
+WITH RECURSIVE {_EDGES}, walk AS (
+  SELECT CAST(t AS BIGINT) AS source, CAST(t AS BIGINT) AS node_id, [CAST(t AS BIGINT)] AS path FROM (SELECT unnest({_TERMINALS}) AS t)
+  UNION ALL SELECT source, b.dst, list_append(path, b.dst) FROM walk w JOIN both_ways b ON b.src = w.node_id WHERE len(path) < 7 AND NOT list_contains(path, b.dst)
+), on_paths AS (SELECT DISTINCT unnest(path) AS id FROM walk WHERE list_contains({_TERMINALS}, node_id) AND len(path) > 1)
+SELECT src, dst FROM edges WHERE src IN (SELECT id FROM on_paths) AND dst IN (SELECT id FROM on_paths)""")
 def graph_steiner_edges(spark, sf_dir):
-    return graph.connecting_subgraph(_edges(Tables(spark, sf_dir)), [100, 101, 105, 0], 4)
+    return graph.connecting_subgraph(_edges(Tables(spark, sf_dir)), _TERMINALS)
 
 
 @query(f"""
-WITH {_EDGES}, picked AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS pos FROM edges WHERE dst < 1000000),
+WITH {_EDGES}, picked AS (SELECT src, dst, pos FROM (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS pos FROM edges) WHERE pos < 500),
 ends AS (SELECT src AS id FROM picked UNION SELECT dst FROM picked)
 SELECT 'The retrieved subgraph contains ' || (SELECT count(*) FROM ends) || ' nodes and ' || (SELECT count(*) FROM picked) || ' edges.' || chr(10) || chr(10) || 'Nodes:' || chr(10)
   || (SELECT string_agg('- Node ID: ' || id || ', Doc Info: doc ' || id, chr(10) ORDER BY id) FROM ends) || chr(10) || chr(10) || 'Connections:' || chr(10)
   || (SELECT string_agg('- Node ID ' || src || ' is connected to Node ID ' || dst || ' with edge type: has', chr(10) ORDER BY pos) FROM picked) AS text""")
 def subgraph_text(spark, sf_dir):
-    edges = _edges(Tables(spark, sf_dir)).where("dst < 1000000").withColumns({"pos": F.struct("src", "dst"), "type_id": F.lit(1)})
+    edges = _edges(Tables(spark, sf_dir)).withColumns({"pos": F.struct("src", "dst"), "type_id": F.lit(1)})
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct().withColumn("doc", F.concat(F.lit("doc "), F.col("node_id").cast("string")))
     return evidence.subgraph_text(edges, nodes, spark.range(1, 2).select(F.col("id").cast("int").alias("type_id"), F.lit("has").alias("label")))
 
@@ -283,9 +379,11 @@ def dsl_primitives(spark, sf_dir):
     return _texts(Tables(spark, sf_dir)).select("l_orderkey", F.explode(dsl.primitives(F.col("explain"))).alias("primitive")).groupBy("l_orderkey", "primitive").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_LINES} SELECT l_orderkey, 'n' || l_linenumber AS src, 'n' || (l_linenumber + 1) AS tgt, max(relation) AS relation FROM lines GROUP BY l_orderkey, l_linenumber")
+@query(f"WITH {_LINES} SELECT l_orderkey, 'n' || l_linenumber AS src, 'n' || (l_linenumber + 1) AS tgt, max(relation) AS relation FROM lines WHERE l_linenumber <> 2 AND l_linenumber <> 3 AND l_linenumber <> 4 GROUP BY l_orderkey, l_linenumber")
 def dsl_edges(spark, sf_dir):
-    rows = _texts(Tables(spark, sf_dir)).select("l_orderkey", F.explode(dsl.edges(F.col("dag"))).alias("e"))
+    # lines 2 to 4 are almost edges: single quotes, a blank too many, blanks around the equals sign
+    odd = F.regexp_replace(F.regexp_replace(F.regexp_replace("dag", 'edge\\("n2", "n3"', "edge('n2', 'n3'"), 'edge\\("n3"', 'edge( "n3"'), '"n4", "n5", relation=', '"n4", "n5", relation = ')
+    rows = _texts(Tables(spark, sf_dir)).select("l_orderkey", F.explode(dsl.edges(odd)).alias("e"))
     return rows.select("l_orderkey", "e.src", "e.tgt", "e.relation")
 
 
@@ -301,10 +399,17 @@ def id_coherence(spark, sf_dir):
     return _texts(Tables(spark, sf_dir)).select("l_orderkey", metrics.id_coherence(F.col("explain"), F.col("dag")).alias("coherent"))
 
 
-@query(f"WITH {_LINES} SELECT l_orderkey, 1 AS acyclic FROM texts")
+@query(f"""
+WITH RECURSIVE {_LINES}, arcs AS (
+  SELECT DISTINCT l_orderkey, l_linenumber AS a, l_linenumber + 1 AS b FROM lines
+  UNION SELECT l_orderkey, CASE WHEN l_orderkey % 3 = 0 THEN 4 ELSE 1 END, CASE WHEN l_orderkey % 3 = 0 THEN 2 ELSE 4 END FROM texts
+), reach AS (SELECT l_orderkey, a, b FROM arcs UNION SELECT r.l_orderkey, r.a, x.b FROM reach r JOIN arcs x ON x.l_orderkey = r.l_orderkey AND x.a = r.b)
+SELECT l_orderkey, 1 - max(CAST(a = b AS INT)) AS acyclic FROM reach GROUP BY l_orderkey""")
 def dag_acyclic(spark, sf_dir):
-    ship(spark)
-    return _texts(Tables(spark, sf_dir)).select("l_orderkey", metrics.acyclic(F.col("dag")).alias("acyclic"))
+    # a third of the graphs get an edge back, which closes a cycle where lines 2 and 3 are there; the others one ahead
+    more = F.when(F.col("l_orderkey") % 3 == 0, '\nedge("n4", "n2", relation="causal")').otherwise('\nedge("n1", "n4", relation="causal")')
+    rows = _texts(Tables(spark, sf_dir)).select("l_orderkey", dsl.edges(F.concat("dag", more)).alias("edges"))
+    return rows.select("l_orderkey", metrics.acyclic(F.col("edges")).alias("acyclic"))
 
 
 @query(f"WITH {_LINES} SELECT l_orderkey, round(1.0::DOUBLE * sum(CASE WHEN l.line LIKE 'binds_to%' THEN 1 ELSE 0 END) / (count(*) + 1) + 1.0::DOUBLE / (count(*) + 1), 6) AS validity FROM lines l GROUP BY l_orderkey")
@@ -333,11 +438,9 @@ s AS (SELECT user_id, sum(least(gt, gen))::DOUBLE AS tp, sum(gt)::DOUBLE AS g, s
 r AS (SELECT user_id, coalesce(tp / nullif(h, 0), 0) AS p, coalesce(tp / nullif(g, 0), 0) AS r FROM s)
 SELECT user_id, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM r""")
 def primitive_multiset_f1(spark, sf_dir):
-    events = Tables(spark, sf_dir).events
-    half = lambda k: F.sum((F.col("event_id") % 2 == k).cast("long"))
-    counts = events.groupBy("user_id", "event_type").agg(half(0).alias("gt"), half(1).alias("gen"))
-    sums = counts.groupBy("user_id").agg(F.sum(F.least("gt", "gen")).alias("tp"), F.sum("gt").alias("g"), F.sum("gen").alias("h"))
-    return sums.select("user_id", metrics.f1(F.col("tp"), F.col("h") - F.col("tp"), F.col("g") - F.col("tp")).alias("s")).select("user_id", "s.*")
+    half = lambda k: F.collect_list(F.when(F.col("event_id") % 2 == k, F.col("event_type")))
+    rows = Tables(spark, sf_dir).events.groupBy("user_id").agg(half(0).alias("gt"), half(1).alias("gen"))
+    return rows.select("user_id", metrics.multiset_f1(F.col("gt"), F.col("gen")).alias("s")).select("user_id", "s.*")
 
 
 @query(f"""
@@ -347,16 +450,16 @@ m AS (SELECT x.l_orderkey, count(y.l_orderkey)::DOUBLE AS tp FROM a x LEFT JOIN
 r AS (SELECT l_orderkey, coalesce(tp / nullif(h.g, 0), 0) AS p, tp / s.g AS r FROM m JOIN s USING (l_orderkey) JOIN (SELECT l_orderkey - 1 AS l_orderkey, g FROM s) h USING (l_orderkey))
 SELECT l_orderkey, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM r""")
 def edge_set_f1(spark, sf_dir):
-    texts = _texts(Tables(spark, sf_dir)).select("l_orderkey", "dag")
-    after = texts.select((F.col("l_orderkey") - 1).alias("l_orderkey"), F.col("dag").alias("other"))
-    return texts.join(after, "l_orderkey").select("l_orderkey", metrics.edge_f1(F.col("dag"), F.col("other"))["f1"].alias("f1"))
+    graphs = _texts(Tables(spark, sf_dir)).select("l_orderkey", dsl.edges(F.col("dag")).alias("edges"))
+    after = graphs.select((F.col("l_orderkey") - 1).alias("l_orderkey"), F.col("edges").alias("other"))
+    return graphs.join(after, "l_orderkey").select("l_orderkey", metrics.edge_f1(F.col("edges"), F.col("other"))["f1"].alias("f1"))
 
 
 # ---- text metrics -------------------------------------------------------------------------------------------------------
 
 
 def _pairs(t: Tables) -> DataFrame:
-    return t.benchmark.join(t.documents.select("doc_id", F.col("text").alias("found")), F.col("item_id") == F.col("doc_id"))
+    return t.benchmark.join(t.documents.select("doc_id", F.col("text").alias("found")), F.col("item_id") == F.col("doc_id")).select("item_id", "text", "found")
 
 
 @query("""
@@ -369,9 +472,10 @@ SELECT item_id, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM r
 def token_unigram_f1(spark, sf_dir):
     t = Tables(spark, sf_dir)
     grams = lambda df, key, text, n: df.select(F.col(key).alias("item_id"), F.explode(metrics.tokens(F.col(text))).alias("w")).groupBy("item_id", "w").agg(F.count("*").alias(n))
-    both = grams(t.benchmark, "item_id", "text", "a").join(grams(t.documents, "doc_id", "text", "b"), ["item_id", "w"])
+    pairs = _pairs(t)  # only documents that are asked for are taken apart
+    both = grams(pairs, "item_id", "text", "a").join(grams(pairs, "item_id", "found", "b"), ["item_id", "w"])
     tp = both.groupBy("item_id").agg(F.sum(F.least("a", "b")).alias("tp"))
-    rows = _pairs(t).join(tp, "item_id", "left").select("item_id", F.coalesce("tp", F.lit(0)).alias("tp"), F.size(metrics.tokens(F.col("text"))).alias("x"), F.size(metrics.tokens(F.col("found"))).alias("y"))
+    rows = pairs.join(tp, "item_id", "left").select("item_id", F.coalesce("tp", F.lit(0)).alias("tp"), F.size(metrics.tokens(F.col("text"))).alias("x"), F.size(metrics.tokens(F.col("found"))).alias("y"))
     return rows.select("item_id", metrics.f1(F.col("tp"), F.col("y") - F.col("tp"), F.col("x") - F.col("tp"))["f1"].alias("f1"))
 
 
@@ -438,9 +542,11 @@ def string_sort_limit(spark, sf_dir):
     return Tables(spark, sf_dir).orders.select(F.concat(F.lit("tahoe_"), F.col("o_orderkey").cast("string")).alias("idx")).orderBy("idx").limit(20)
 
 
-@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE text IS NOT NULL AND lang <> 'en') WHERE r <= 3")
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE text IS NOT NULL AND coalesce(lang, '') <> 'en') WHERE r <= 3")
 def filter_sentinel_topn(spark, sf_dir):
-    rows = Tables(spark, sf_dir).documents.where("text is not null and lang <> 'en'").select("source", "doc_id", "n_chars")
+    abstract = F.when(F.coalesce("lang", F.lit("")) == "en", "Abstract not found").otherwise(F.col("text"))
+    papers = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("pmid"), "source", "n_chars", abstract.alias("abstract"))
+    rows = readers.usable_papers(papers).select("source", F.col("pmid").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"))
     return resolve.first_n(rows, ["source"], 3, F.col("n_chars").desc(), F.col("doc_id")).select("source", "doc_id")
 
 
@@ -473,7 +579,10 @@ def prompt_dedupe_join_back(spark, sf_dir):
     return providers.join_back(rows, "text", replies).select("conv_id", "turn", F.col("reply").cast("long").alias("n"))
 
 
-@query()
+@query("""
+WITH h AS (SELECT doc_id, CASE WHEN NOT contains(text, 'the') THEN NULL WHEN NOT contains(text, 'that') THEN 2 WHEN NOT contains(text, 'worthless') THEN 1 ELSE 0 END AS round FROM documents),
+n AS (SELECT count(*) FILTER (WHERE round = 0) AS a, count(*) FILTER (WHERE round <= 1) AS b FROM h)
+SELECT doc_id, round FROM h, n WHERE round = 0 OR round = 1 AND a < 100 OR round = 2 AND b < 100 ORDER BY round, doc_id LIMIT 100""")
 def query_relaxation(spark, sf_dir):
     docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
 
@@ -493,9 +602,10 @@ def compound_key_positional(spark, sf_dir):
     return resolve.positions(Tables(spark, sf_dir).lineitem.select(*order), "pos", *map(F.col, order)).select("l_orderkey", "l_linenumber", "l_quantity", "pos")
 
 
-@query("SELECT p_partkey, replace(p_name, ' ', '+') AS plus, replace(p_name, ' ', '%20') AS percent FROM part")
+@query("SELECT p_partkey, replace(p_name, ' ', '+') || '%2FC%3DC%2A~+-_.%C3%A9%25' AS plus, replace(p_name, ' ', '%20') || '/C%3DC%2A~%20-_.%C3%A9%25' AS percent FROM part")
 def url_quote(spark, sf_dir):
-    return Tables(spark, sf_dir).part.select("p_partkey", dsl.quote(F.col("p_name"), plus=True).alias("plus"), dsl.quote(F.col("p_name")).alias("percent"))
+    odd = F.concat("p_name", F.lit("/C=C*~ -_.é%"))
+    return Tables(spark, sf_dir).part.select("p_partkey", dsl.quote(odd, plus=True).alias("plus"), dsl.quote(odd).alias("percent"))
 
 
 @query("SELECT p_name, p_partkey FROM (SELECT p_name, max(p_partkey) AS p_partkey FROM part GROUP BY p_name)")

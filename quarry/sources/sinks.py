@@ -1,8 +1,10 @@
-"""Sinks (K01-K07): partitioned tables; a rerun replaces only the partitions it holds."""
+"""Sinks (K01-K08): partitioned tables; a rerun replaces only the partitions it holds."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -21,3 +23,11 @@ def write_json(df: DataFrame, path: str) -> None:
 def write_metrics(means: DataFrame, path: str, run: str) -> None:
     """Metric, value of a run."""
     write_table(means.withColumn("run", F.lit(run)), path, by="run")
+
+
+def write_timed(df: DataFrame, path: str, step: str, log: str, by: str | None = None) -> None:
+    """Write a table and add step, rows and seconds to a log table; rows are counted on the way."""
+    seen, began = Observation(step), time.time()
+    write_table(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, by)
+    row = [(step, int(seen.get["rows"]), round(time.time() - began, 3))]
+    write_table(df.sparkSession.createDataFrame(row, "step string, rows long, seconds double"), log, mode="append")
