@@ -557,18 +557,100 @@ def test_language_undetermined(odd):
 # ---- 8 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_lm_base_and_counts(odd, monkeypatch):
-    for top in (pitman_yor.TOP, 40):  # with the second most words go through the join
-        monkeypatch.setattr(pitman_yor, "TOP", top)
-        rows = [(r.doc_id, WORD.findall(lower(r.text)) + ["\0end"]) for r in odd.collect()]
-        held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
-        counts = Counter(w for i, t in rows if not held(i) for w in t)
-        n, v = sum(counts.values()), len(counts)
-        base = lambda t: sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
-        want = sorted((str(i), held(i), len(t), sum(counts[w] > 0 for w in t), n, round(base(t), 6)) for i, t in rows)
-        got = pitman_yor.score(odd).collect()
-        assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-        assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+@pytest.mark.parametrize(("top", "part"), [(pitman_yor.TOP, pitman_yor.PART_TOKENS), (40, 5000), (0, 20_000)])  # fewer frequent words, more parts
+def test_lm_base_and_counts(odd, monkeypatch, top, part):
+    monkeypatch.setattr(pitman_yor, "TOP", top)
+    monkeypatch.setattr(pitman_yor, "PART_TOKENS", part)
+    rows = [(r.doc_id, WORD.findall(lower(r.text)) + ["\0end"]) for r in odd.collect()]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    counts = Counter(w for i, t in rows if not held(i) for w in t)
+    n, v = sum(counts.values()), len(counts)
+    base = lambda t: sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
+    want = sorted((str(i), held(i), len(t), sum(counts[w] > 0 for w in t), n, round(base(t), 6)) for i, t in rows)
+    got = pitman_yor.score(odd).collect()
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    assert all(math.isfinite(r.score) and r.score < 0 and r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens)) for r in got)
+
+
+def plain_pitman_yor(texts, d, sweeps=60, burn_in=20, seed=0):
+    """P(word | word before) by a sampler that takes customer after customer up and seats it again, tables one by one."""
+    rng = np.random.default_rng(seed)
+    kinds = {w for t in texts for w in t}
+    base = 1 / (len(kinds) + 1)
+    rooms, top = defaultdict(lambda: defaultdict(list)), defaultdict(list)  # tables by restaurant and dish: customers
+    strength = pitman_yor.STRENGTH
+
+    def p_top(w):
+        n, t = sum(map(sum, top.values())), sum(map(len, top.values()))
+        return (max(0, sum(top[w]) - d * len(top[w])) + (strength + d * t) * base) / (strength + n)
+
+    def sit(where, w, new):
+        weight = [c - d for c in where[w]] + [new]
+        k = rng.choice(len(weight), p=np.array(weight) / sum(weight))
+        if k == len(where[w]):
+            where[w].append(0)
+        where[w][k] += 1
+        return where[w][k] == 1
+
+    def rise(where, w):
+        k = rng.choice(len(where[w]), p=np.array(where[w]) / sum(where[w]))
+        where[w][k] -= 1
+        if not where[w][k]:
+            where[w].pop(k)
+            return True
+        return False
+
+    def seat(u, w):
+        room = rooms[u]
+        if sit(room, w, (strength + d * sum(map(len, room.values()))) * p_top(w)):
+            sit(top, w, (strength + d * sum(map(len, top.values()))) * base)
+
+    pairs = [(u, w) for t in texts for u, w in zip(["\0end", *t], t)]
+    for u, w in pairs:
+        seat(u, w)
+    mean, kept = defaultdict(float), 0
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            if rise(rooms[u], w):
+                rise(top, w)
+            seat(u, w)
+        if sweep >= burn_in:
+            kept += 1
+            chance = {w: p_top(w) for w in kinds}
+            for u in rooms:
+                n, t = sum(map(sum, rooms[u].values())), sum(map(len, rooms[u].values()))
+                for w in kinds:
+                    mean[u, w] += (sum(rooms[u][w]) - d * len(rooms[u][w]) + (strength + d * t) * chance[w]) / (strength + n)
+    return {k: v / kept for k, v in mean.items()}
+
+
+@pytest.mark.parametrize(("top", "near"), [(pitman_yor.TOP, 0.06), (3, 0.3)])
+def test_lm_against_a_plain_sampler(spark, monkeypatch, top, near):
+    """Scores of one-word steps against averaged predictive probabilities of the customer-by-customer sampler; less near
+    for words that aren't frequent, which bring the parent one customer a context."""
+    monkeypatch.setattr(pitman_yor, "TOP", top)
+    rng = np.random.default_rng(2)
+    names = [f"w{k}" for k in range(9)]
+    chain = rng.dirichlet(np.full(9, 0.4), 9)
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1][:40]
+    texts_ = []
+    for _ in ids:
+        walk = [int(rng.integers(9))]
+        for _ in range(12):
+            walk.append(int(rng.choice(9, p=chain[walk[-1]])))
+        texts_.append([names[k] for k in walk])
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    asked = [names[int(a)] + " " + names[int(b)] for a, b in rng.integers(0, 9, (40, 2))]
+    rows = [(i, " ".join(t)) for i, t in zip(ids, texts_)] + list(zip(held, asked))
+    got = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    pairs = Counter(p for t in texts_ for p in zip(["\0end", *t], [*t, "\0end"]))
+    ones, twos = sum(n == 1 for n in pairs.values()), sum(n == 2 for n in pairs.values())
+    want = plain_pitman_yor([[*t, "\0end"] for t in texts_], min(0.95, max(0.05, ones / max(1, ones + 2 * twos))))
+    error = []
+    for i, text in zip(held, asked):
+        a, b = text.split()
+        error.append(got[i] - sum(math.log10(want[p]) for p in (("\0end", a), (a, b), (b, "\0end"))))
+    assert abs(np.mean(error)) < near and np.std(error) < 0.1 + near
 
 
 def test_lm_knows_what_follows_rare_words(spark, monkeypatch):
@@ -578,28 +660,56 @@ def test_lm_knows_what_follows_rare_words(spark, monkeypatch):
     rows = [(i, " ".join(f"a{k}zzz b{k}zzz" for k in range(1500))) for i in free]
     rows += [(i, f"a{1400 + k}zzz b{1400 + k + k % 2}zzz") for k, i in enumerate(held)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = []
-    for top in (pitman_yor.TOP, 40):
+    for top, part in ((pitman_yor.TOP, pitman_yor.PART_TOKENS), (40, 1000)):
         monkeypatch.setattr(pitman_yor, "TOP", top)
-        found.append({r.doc_id: r.score for r in pitman_yor.score(df).collect()})
-    assert found[0] == pytest.approx(found[1], abs=1e-6)
-    right, wrong = ([found[0][i] for k, i in enumerate(held) if k % 2 == odd] for odd in (0, 1))
-    assert min(right) > max(wrong) + 0.5
-
-
-def test_gibbs_gives_probabilities_and_beats_the_unigram():
-    rng = np.random.default_rng(3)
-    k = 12
-    chain = rng.dirichlet(np.full(k, 0.2), k)
-    walk = [0]
-    for _ in range(6000):
-        walk.append(rng.choice(k, p=chain[walk[-1]]))
-    cell, n = np.unique(np.array(walk[:-1][:4000]) * k + np.array(walk[1:][:4000]), return_counts=True)
-    p = pitman_yor.gibbs(cell, n, k)
-    assert np.allclose(p.sum(1), 1, atol=1e-4) and p.min() > 0
-    uni = np.bincount(walk[:4000], minlength=k) / 4000
-    test = list(zip(walk[4000:-1], walk[4001:]))
-    assert np.mean([math.log(p[a, b]) for a, b in test]) > np.mean([math.log(uni[b] + 1e-9) for _, b in test]) + 0.3
+        monkeypatch.setattr(pitman_yor, "PART_TOKENS", part)
+        found = {r.doc_id: r.score for r in pitman_yor.score(df).collect()}
+        right, wrong = ([found[i] for k, i in enumerate(held) if k % 2 == odd] for odd in (0, 1))
+        assert min(right) > max(wrong) + 0.5
+
+
+def test_scores_do_not_depend_on_the_layout(odd):
+    one, other = (sorted((str(r.doc_id), r.n_tokens, r.score) for r in pitman_yor.score(df).collect()) for df in (odd, odd.repartition(7, "n_chars")))
+    assert one == other
+
+
+def test_stirling_numbers():
+    """Against sums over all ways to seat customers."""
+
+    def ways(c, t, d):
+        total = 0.0
+
+        def place(sizes, left):
+            nonlocal total
+            if not left:
+                if len(sizes) == t:
+                    weight = 1.0
+                    for n in sizes:
+                        for k in range(1, n):
+                            weight *= k - d
+                    total += weight
+                return
+            for k in range(len(sizes)):
+                place([n + (i == k) for i, n in enumerate(sizes)], left - 1)
+            place([*sizes, 1], left - 1)
+
+        place([1], c - 1)
+        return total
+
+    table = pitman_yor.stirling(0.4, 7)
+    for c in range(1, 8):
+        for t in range(1, c + 1):
+            assert math.exp(table[c, t]) == pytest.approx(ways(c, t, 0.4))
+
+
+def test_drawn_tables_follow_their_distribution():
+    d, room, p = 0.4, 9, 0.07
+    for c in (2, 3, 6):
+        n = 40_000
+        got = pitman_yor.draw_tables(np.full(n, c), np.full(n, 2), np.full(n, room), np.full(n, p), d, pitman_yor.stirling(d), np.arange(n, dtype=np.uint64) * np.uint64(7919))
+        ways = pitman_yor.stirling(d)
+        want = np.array([math.exp(ways[c, t]) * p**t * math.prod(pitman_yor.STRENGTH + d * (room - 2 + j) for j in range(t)) for t in range(1, c + 1)])
+        assert np.allclose(np.bincount(got, minlength=c + 1)[1:] / n, want / want.sum(), atol=0.012)
 
 
 def test_tables_follow_the_restaurant():
