@@ -11,9 +11,9 @@ d values with probability 1 - (1 - s^d)^TREES, so it stands for the inverse of t
 links found reach the target recall of that sum. Pairs of two nodes that are done aren't compared any more. Nodes without
 a link go on to the prefix with which a pair of just the threshold's similarity meets with the target recall.
 
-Neighbours chain to components; those up to `ITEM_SHINGLES` are verified in one piece, larger ones prefix by prefix (or as
-one, if that is less work), split into pairs of blocks of that size, so no task holds an unbounded group and pairs are
-never rows. Verification counts the common shingles of all candidate pairs.
+Neighbours chain to components; those up to `ITEM_SHINGLES` are matched and verified in one piece, from the full prefix to
+the last one; larger ones in rounds, prefix by prefix (or as one, if that is less work), split into pairs of blocks of that
+size, so no task holds an unbounded group and pairs are never rows. Verification counts the common shingles of all candidate pairs.
 
 Shingles are compared by 64-bit hashes and sets by 128-bit digests.
 
@@ -181,7 +181,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = saved(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
-        large = saved(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = saved(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = saved(small.unionByName(least.withColumnRenamed("m", "b")).distinct())
@@ -287,36 +287,71 @@ def verify(sets: list[np.ndarray], now: np.ndarray, before: np.ndarray | None, c
     return links, np.array([root(i) for i in range(m)], np.int64), pairs, missing
 
 
-def _check(lengths: list[int], step: int, trees: int, similarity: float):
-    """The kernel that verifies tasks: rows come by key."""
+def settle(sets: list[np.ndarray], labels: np.ndarray, copies: np.ndarray, similarity: float, lengths: list[int], recall: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per node of one component: documents linked to it, the node that leads its group, its links. The full prefix first,
+    then shorter ones, each node until its links found reach the recall of those it is likely to have."""
+    m = len(sets)
+    links, pairs, missing, lead = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros((m, len(lengths))), np.arange(m)
+    live, before = np.ones(m, bool), None
+    for step, prefix in enumerate(lengths):
+        now = codes(labels, prefix)
+        more = verify(sets, now, before, copies, live, np.full(m, 3), -1, similarity, lengths)
+        links, pairs, missing, before = links + more[0], pairs + more[2], missing + more[3], now
+        for k in np.flatnonzero(more[1] != np.arange(m)).tolist():
+            a, b = sorted((lead[k], lead[more[1][k]]))
+            lead[lead == b] = a
+        live = (pairs == 0) | (missing[:, step] > (1 - recall) * pairs)
+        if not live.any():
+            break
+    return links, lead, pairs
+
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[tuple]) -> pa.RecordBatch:
-            names = [r[0] for r in rows]
-            now = np.stack([r[6] for r in rows])
-            before = np.stack([r[7] for r in rows]) if step else None
-            numbers = [np.array([r[k] for r in rows]) for k in (2, 3, 4)]
-            links, lead, pairs, missing = verify([np.frombuffer(r[5], np.uint64) for r in rows], now, before, *numbers, rows[0][1], similarity, lengths)
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([names[k] for k in lead], pa.binary()), pa.array(links), pa.array(pairs), pa.array(list(missing), pa.list_(pa.float64()))], ["node", "lead", "links", "pairs", "missing"])
+def _tasks_done(kernel, columns: list[str]):
+    """Rows that come by key, given to the kernel a key at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                labels = np.frombuffer(b"".join(part.column("labels").to_pylist()), ">u2").reshape(part.num_rows, trees, DEPTH).astype(np.uint64)
-                now = codes(labels, lengths[step])
-                before = codes(labels, lengths[step - 1]) if step else now
-                columns = [part.column(c).to_pylist() for c in ("key", "node", "tree", "copies", "live", "side", "own")]
-                for k, (own_key, *rest) in enumerate(zip(*columns)):
+                for own_key, *rest in zip(*(part.column(c).to_pylist() for c in ["key", *columns])):
                     if own_key != key and rows:
-                        yield done(rows)
+                        yield kernel(rows)
                         rows = []
                     key = own_key
-                    rows.append((*rest, now[k], before[k]))
+                    rows.append(rest)
         if rows:
-            yield done(rows)
+            yield kernel(rows)
+
+    return run
+
+
+def _labels(rows: list[list], at: int, trees: int) -> np.ndarray:
+    return np.frombuffer(b"".join(r[at] for r in rows), ">u2").reshape(len(rows), trees, DEPTH).astype(np.uint64)
+
 
-    return check
+def _whole(lengths: list[int], trees: int, similarity: float, recall: float):
+    """The kernel for components that are verified in one piece."""
+
+    def kernel(rows: list[list]) -> pa.RecordBatch:
+        names = [r[0] for r in rows]
+        links, lead, _ = settle([np.frombuffer(r[3], np.uint64) for r in rows], _labels(rows, 1, trees), np.array([r[2] for r in rows], np.int64), similarity, lengths, recall)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([names[k] for k in lead], pa.binary()), pa.array(links)], ["node", "lead", "links"])
+
+    return _tasks_done(kernel, ["node", "labels", "copies", "own"])
+
+
+def _split(lengths: list[int], step: int, trees: int, similarity: float):
+    """The kernel for prefixes and blocks of large components."""
+
+    def kernel(rows: list[list]) -> pa.RecordBatch:
+        names, labels = [r[0] for r in rows], _labels(rows, 1, trees)
+        now, before = codes(labels, lengths[step]), codes(labels, lengths[step - 1]) if step else None
+        copies, live, side = (np.array([r[k] for r in rows]) for k in (2, 4, 5))
+        links, lead, pairs, missing = verify([np.frombuffer(r[3], np.uint64) for r in rows], now, before, copies, live, side, rows[0][6], similarity, lengths)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([names[k] for k in lead], pa.binary()), pa.array(links), pa.array(pairs), pa.array(list(missing), pa.list_(pa.float64()))], ["node", "lead", "links", "pairs", "missing"])
+
+    return _tasks_done(kernel, ["node", "labels", "copies", "own", "live", "side", "tree"])
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -334,33 +369,20 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(sets, "node binary, own binary").dropDuplicates(["node"])
 
 
-def _tasks(nodes: DataFrame, links: DataFrame, prefix: int, longer: int | None, trees: int, item: int) -> DataFrame:
-    """node, deal, key, tree, side: where each node (node, n, labels, live) is verified. Links: neighbours that share the prefix.
-
-    Once with its component, or once per shared prefix and pair of blocks. Components without a live node or without a
-    pair that shares less than the longer prefix are left out.
-    """
-    comp = saved(components(links))
-    fresh = links.where(F.col("shared") < longer) if longer else links
-    fresh = fresh.select(F.col("a").alias("node"), F.lit(True).alias("new"))
-    member = nodes.join(comp, "node").join(fresh.distinct(), "node", "left")
-    member = saved(member.select("node", "n", "live", "comp", "new"))
-    sizes = member.groupBy("comp").agg(F.sum("n").alias("weight"), F.count("*").alias("k"), F.max("live").alias("any"), F.max("new").alias("new"))
-    sizes = saved(sizes.where("any and new").select("comp", "weight", "k", ((F.col("weight") <= item) & (F.col("k") <= 4 * BLOCK_NODES) | (F.col("k") <= 2)).alias("whole")))
-    whole = member.join(sizes.where("whole").select("comp"), "comp").select("node", F.hash("comp").cast("long").alias("deal"), F.col("comp").alias("key"), F.lit(-1).alias("tree"), F.lit(3).alias("side"))
-    big = sizes.where("not whole")
-    if big.isEmpty():
-        return whole
+def _blocks(member: DataFrame, prefix: int, longer: int | None, trees: int, item: int) -> DataFrame:
+    """node, deal, key, tree, side: where each node (node, n, labels, live, comp) of large components is verified: once per
+    shared prefix, or once with its component if that is less work, and per pair of blocks. Prefixes without a live node, or
+    whose nodes all share the longer prefix, are left out."""
     at = F.col("tree") * (2 * DEPTH) + 1
-    leaf = member.join(big.select("comp"), "comp").select("node", "n", "live", "comp").join(nodes.select("node", "labels"), "node")
-    leaf = leaf.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    leaf = saved(leaf.select("node", "n", "live", "comp", "tree", F.substring("labels", at, F.lit(2 * prefix)).alias("label"), F.substring("labels", at, F.lit(2 * (longer or prefix))).alias("long")))
-    groups = leaf.groupBy("comp", "tree", "label").agg(F.count("*").alias("k"), F.sum("n").alias("weight"), F.max("live").alias("any"), (F.min("long") < F.max("long")).alias("new")).where("k > 1 and any" + (" and new" if longer else ""))
-    groups = saved(groups)
-    dense = groups.groupBy("comp").agg(F.sum(F.col("k") * F.col("k")).alias("work")).join(big.select("comp", F.col("k").alias("all"), F.col("weight").alias("sum")), "comp")
+    leaf = member.select("node", "n", "live", "comp", "labels").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    leaf = leaf.select("node", "n", "live", "comp", "tree", F.substring("labels", at, F.lit(2 * prefix)).alias("label"), F.substring("labels", at, F.lit(2 * (longer or prefix))).alias("long"))
+    groups = leaf.groupBy("comp", "tree", "label").agg(F.count("*").alias("k"), F.sum("n").alias("weight"), F.max("live").alias("any"), (F.min("long") < F.max("long")).alias("new"))
+    groups = saved(groups.where("k > 1 and any" + (" and new" if longer else "")))
+    sizes = member.groupBy("comp").agg(F.count("*").alias("all"), F.sum("n").alias("sum"))
+    dense = groups.groupBy("comp").agg(F.sum(F.col("k") * F.col("k")).alias("work")).join(sizes, "comp")
     dense = saved(dense.select("comp", "all", "sum", (F.col("all") * F.col("all") <= F.col("work")).alias("dense")))
     one = member.join(dense.where("dense"), "comp").select("node", F.col("comp").alias("label"), F.lit(-1).alias("tree"), F.col("all").alias("k"), F.col("sum").alias("weight"))
-    each = leaf.join(groups.join(dense.where("not dense").select("comp"), "comp").select("tree", "label", "k", "weight"), ["tree", "label"]).select("node", "label", "tree", "k", "weight")
+    each = leaf.join(saved(groups.join(dense.where("not dense").select("comp"), "comp").select("tree", "label", "k", "weight")), ["tree", "label"]).select("node", "label", "tree", "k", "weight")
     large = one.unionByName(each)
     blocks = F.least(F.col("k"), F.greatest(F.ceil(F.col("weight") * 2 / item), F.ceil(F.col("k") / BLOCK_NODES)))
     large = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")))
@@ -368,35 +390,48 @@ def _tasks(nodes: DataFrame, links: DataFrame, prefix: int, longer: int | None,
     low, high = F.least("block", "other"), F.greatest("block", "other")
     side = F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2)
     key = F.unhex(F.sha1(F.concat_ws("/", "tree", F.hex("label"), low, high).cast("binary")))
-    return whole.unionByName(large.select("node", F.xxhash64("tree", "label", low, high).alias("deal"), key.alias("key"), "tree", side.alias("side")))
+    return large.select("node", F.xxhash64("tree", "label", low, high).alias("deal"), key.alias("key"), "tree", side.alias("side"))
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, recall: float = RECALL, item: int = ITEM_SHINGLES) -> DataFrame:
-    """doc_id, key, node, comp, class_id, n_links per document; node and comp are null where nothing can be linked."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
-    lengths = prefixes(similarity, trees, DEPTH, recall)
-    signed = kept(signatures(docs, trees))
-    named = signed.where("node is not null and doc_id is not null")
-    nodes = kept(named.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("labels").alias("labels")))
-    links = kept(neighbours(nodes, lengths[-1], trees))
-    near = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    near = kept(nodes.join(near, "node"))
-    own = kept(_sets(docs, near.select(F.col("rep").alias("doc_id"), "node")))
-    checked, live = None, near.select("node", F.lit(True).alias("live"))
+def _large(member: DataFrame, own: DataFrame, lengths: list[int], trees: int, similarity: float, recall: float, item: int) -> DataFrame:
+    """node, lead, links of the nodes of large components: round by round from the full prefix to shorter ones."""
+    checked, live = None, member.select("node", F.lit(True).alias("live"))
     for step, prefix in enumerate(lengths):
-        now = near.join(live, "node")
-        tasks = _tasks(now, links.where(F.col("shared") >= prefix), prefix, lengths[step - 1] if step else None, trees, item)
+        now = saved(member.join(live, "node"))
+        tasks = _blocks(now, prefix, lengths[step - 1] if step else None, trees, item)
         tasks = tasks.join(now.select("node", "labels", "copies", "live"), "node").join(own, "node").repartition("deal").sortWithinPartitions("key", "node")
-        found = tasks.select("key", "node", "tree", "side", "labels", "copies", "live", "own").mapInArrow(_check(lengths, step, trees, similarity), "node binary, lead binary, links long, pairs long, missing array<double>")
-        checked = kept(found.where("pairs > 0")) if checked is None else checked.unionByName(kept(found.where("pairs > 0")))
+        found = tasks.select("key", "node", "labels", "copies", "own", "live", "side", "tree").mapInArrow(_split(lengths, step, trees, similarity), "node binary, lead binary, links long, pairs long, missing array<double>")
+        found = kept(found.where("pairs > 0"))
+        checked = found if checked is None else checked.unionByName(found)
         if prefix != lengths[-1]:
             state = checked.groupBy("node").agg(F.sum("pairs").alias("pairs"), F.sum(F.get("missing", F.lit(step))).alias("missing"))
             done = state.where(F.col("missing") <= (1 - recall) * F.col("pairs")).select("node", F.lit(False).alias("live"))
-            live = saved(near.select("node").join(done, "node", "left").select("node", F.coalesce("live", F.lit(True)).alias("live")))
+            live = member.select("node").join(done, "node", "left").select("node", F.coalesce("live", F.lit(True)).alias("live"))
     groups = components(checked.select(F.col("node").alias("a"), F.col("lead").alias("b")))
     count = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    named = nodes.select("node", "rep", "copies").join(groups, "node", "left").join(count, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = saved(named.select("node", "rep", "comp", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    return count.join(groups, "node").select("node", F.col("comp").alias("lead"), "links")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, recall: float = RECALL, item: int = ITEM_SHINGLES) -> DataFrame:
+    """doc_id, key, node, comp, class_id, n_links per document; node and comp are null where nothing can be linked."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
+    lengths = prefixes(similarity, trees, DEPTH, recall)
+    signed = kept(signatures(docs, trees))
+    named = signed.where("node is not null and doc_id is not null")
+    nodes = kept(named.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("labels").alias("labels")))
+    comp = saved(components(neighbours(nodes, lengths[-1], trees)))
+    member = kept(nodes.join(comp, "node"))
+    own = kept(_sets(docs, member.select(F.col("rep").alias("doc_id"), "node")))
+    sizes = member.groupBy("comp").agg(F.sum("n").alias("weight"), F.count("*").alias("k"))
+    sizes = saved(sizes.select("comp", ((F.col("weight") <= item) & (F.col("k") <= 4 * BLOCK_NODES) | (F.col("k") <= 2)).alias("whole")))
+    tasks = member.join(sizes.where("whole").select("comp"), "comp").select("node", F.col("comp").alias("key"), "labels", "copies").join(own, "node").repartition("key").sortWithinPartitions("key", "node")
+    linked = tasks.select("key", "node", "labels", "copies", "own").mapInArrow(_whole(lengths, trees, similarity, recall), "node binary, lead binary, links long").where("links > 0")
+    big = sizes.where("not whole").select("comp")
+    if not big.isEmpty():
+        linked = linked.unionByName(_large(kept(member.join(big, "comp")), own, lengths, trees, similarity, recall, item))
+    linked = kept(linked)
+    named = nodes.select("node", "rep", "copies").join(linked, "node", "left")
+    named = saved(named.select("node", "rep", F.coalesce("lead", "node").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     least = saved(named.groupBy("comp").agg(F.min("rep").alias("class_id")))
     named = named.join(least, "comp").select("node", "comp", "class_id", "n_links")
     rows = signed.select("doc_id", "key", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
