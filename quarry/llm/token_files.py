@@ -2,15 +2,15 @@
 
 A file holds some 2 million ids of documents in ascending id order: a header, the document ids and the document ends,
 both as Elias-Fano sequences (low bits packed, high bits in unary), then the concatenated token ids in 16 or 32 bits.
-`select(i)` finds the i-th set bit of the unary part with counts kept per 512 bits, so the offset of a document comes
-from about 2 + log2(ids / documents) bits per document and no 64-bit table. Files are written and read by Spark (text
+`select(i)` finds set bits of the unary part with counts stored per 512 bits, so the offsets of some documents come from
+about 2.1 + log2(ids / documents) bits per document and no 64-bit table; reading back asks for them in that way. Files are written and read by Spark (text
 sink with one value a file, binary source), so they go wherever Spark writes and are safe to retry.
 
 Layout, numbers big-endian: magic "QTOK", u8 bytes per id, 3 zero bytes, then u64: first document id, documents, ids,
 documents without id, byte length of the two Elias-Fano parts, of all before the newline that the sink adds, and the
 task and sequence number that order the files.
 
-Defined results: null and empty text have only the end id; documents of equal id are in order of their text; those of
+Defined results: null and empty text have only the end id; documents of equal id are in order of the md5 of their text, null first; those of
 null id come first; an empty table gives no file and no rows; white space only separates; other columns are ignored.
 """
 
@@ -33,19 +33,23 @@ END_ID = 1
 FILE_IDS = 2_000_000
 #: Distinct space-delimited strings whose ids a worker remembers; others are encoded again.
 CACHE = 600_000
+#: Documents whose offsets are looked up at once.
+AT_ONCE = 1024
 #: Text encoded at once.
 RUN_BYTES = 2 << 20
 _HEAD = struct.Struct(">4sB3x9Q")
 
 
 class EliasFano:
-    """A non-decreasing sequence of n integers from 0 to top, in about n * (2 + log2(top / n)) bits."""
+    """A non-decreasing sequence of n integers from 0 to top, in about n * (2.1 + log2(top / n)) bits.
 
-    def __init__(self, n: int, top: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.top, self.low, self.high = n, top, low, high
-        self.shift = self.width(n, top)
-        ones = np.bitwise_count(high).astype(np.int64)
-        self.ranks = np.concatenate([[0], np.cumsum(np.add.reduceat(ones, np.arange(0, len(high), 64)))]) if len(high) else np.zeros(1, np.int64)
+    Per BLOCK bits of the unary part the number of set bits before it is kept (ranks), which select() starts from.
+    """
+
+    BLOCK = 512
+
+    def __init__(self, n: int, top: int, low: np.ndarray, high: np.ndarray, ranks: np.ndarray):
+        self.n, self.top, self.low, self.high, self.ranks, self.shift = n, top, low, high, ranks, self.width(n, top)
 
     @staticmethod
     def width(n: int, top: int) -> int:
@@ -57,35 +61,38 @@ class EliasFano:
         n, top = len(values), int(values[-1]) if len(values) else 0
         w = cls.width(n, top)
         bits = ((values[:, None] >> np.arange(w, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-        high = np.zeros(n + (top >> w) + 1 if n else 0, np.uint8)
+        high = np.zeros(-(-(n + (top >> w) + 1) // cls.BLOCK) * cls.BLOCK if n else 0, np.uint8)
         high[(values >> np.uint64(w)).astype(np.int64) + np.arange(n)] = 1
-        return cls(n, top, np.packbits(bits.ravel(), bitorder="little"), np.packbits(high, bitorder="little"))
+        ranks = np.cumsum(high.reshape(-1, cls.BLOCK).sum(1, dtype=np.int64)) - high.reshape(-1, cls.BLOCK).sum(1, dtype=np.int64)
+        return cls(n, top, np.packbits(bits.ravel(), bitorder="little"), np.packbits(high, bitorder="little"), ranks.astype("<u4"))
 
     def tobytes(self) -> bytes:
-        return struct.pack(">QQQQ", self.n, self.top, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        return struct.pack(">QQQQ", self.n, self.top, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.ranks.tobytes()
 
     @classmethod
     def read(cls, data: memoryview) -> tuple[EliasFano, memoryview]:
         n, top, a, b = struct.unpack(">QQQQ", data[:32])
-        return cls(n, top, np.frombuffer(data[32 : 32 + a], np.uint8), np.frombuffer(data[32 + a : 32 + a + b], np.uint8)), data[32 + a + b :]
-
-    def select(self, i: int) -> int:
-        """The i-th value."""
-        block = int(np.searchsorted(self.ranks, i, "right")) - 1
-        bits = np.unpackbits(self.high[block * 64 : block * 64 + 64], bitorder="little")
-        at = block * 512 + int(np.flatnonzero(bits)[i - int(self.ranks[block])])
-        low = 0
+        c = 8 * b // cls.BLOCK * 4
+        low, high, ranks = data[32 : 32 + a], data[32 + a : 32 + a + b], data[32 + a + b : 32 + a + b + c]
+        return cls(n, top, np.frombuffer(low, np.uint8), np.frombuffer(high, np.uint8), np.frombuffer(ranks, "<u4")), data[32 + a + b + c :]
+
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """The values at places i: only the blocks that hold them are opened."""
+        i = np.asarray(i, np.int64)
+        if not len(i):
+            return i
+        block = np.searchsorted(self.ranks, i, "right") - 1
+        opened, back = np.unique(block, return_inverse=True)
+        bits = np.unpackbits(self.high.reshape(-1, self.BLOCK // 8)[opened], axis=1, bitorder="little")
+        row, place = np.nonzero(bits)  # set bits in order, those of a block together
+        before = np.concatenate([[0], np.cumsum(bits.sum(1, dtype=np.int64))])
+        at = place[before[back] + i - self.ranks[block]] + block * self.BLOCK
+        low = np.zeros(len(i), np.int64)
         for k in range(self.shift):
             bit = i * self.shift + k
-            low |= (int(self.low[bit >> 3]) >> (bit & 7) & 1) << k
+            low |= (self.low[bit >> 3].astype(np.int64) >> (bit & 7) & 1) << k
         return (at - i) << self.shift | low
 
-    def values(self) -> np.ndarray:
-        """All values, as select() gives them one by one."""
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        low = np.unpackbits(self.low, bitorder="little")[: self.n * self.shift].reshape(self.n, self.shift).astype(np.int64)
-        return (high << self.shift) + (low << np.arange(self.shift)).sum(1)
-
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[*range(65, 91), *range(97, 123)]] = 1
@@ -214,8 +221,8 @@ def pack_file(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, wi
     return _HEAD.pack(b"QTOK", 4 if wide else 2, first & (1 << 64) - 1, len(doc_ids), len(ids), len(doc_ids) - len(known), len(body), len(ends), size, task, number) + body + ends + data
 
 
-def open_file(blob: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
-    """Document ids, document ends and token ids of a file."""
+def open_file(blob: bytes) -> tuple[list[None], EliasFano, int, EliasFano, np.ndarray]:
+    """Of a file: documents without id, the ids of the others less the first, the first id, document ends and token ids."""
     magic, width, first, docs, n, nameless, body, ends, _, _, _ = _HEAD.unpack(blob[: _HEAD.size])
     if magic != b"QTOK":
         raise ValueError("not a token file")
@@ -224,7 +231,7 @@ def open_file(blob: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
     names, _ = EliasFano.read(view[:body])
     bounds, _ = EliasFano.read(view[body : body + ends])
     ids = np.frombuffer(view[body + ends :][: n * width], "<u4" if width == 4 else "<u2")
-    return [None] * nameless + (names.values() + first).tolist(), bounds, ids
+    return [None] * nameless, names, first, bounds, ids
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end: int = END_ID) -> str:
@@ -254,7 +261,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END_ID) -> str:
         if held:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("sum", F.md5(F.col("text").cast("binary")))
+    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "sum").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "sum").drop("sum")
     blobs = rows.mapInArrow(files, "value binary").select(F.col("value").cast("string").alias("value"))
     blobs.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
     return path
@@ -267,12 +275,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 blob = batch.column("content")[k].as_buffer().to_pybytes()
-                names, bounds, ids = open_file(blob)
-                ends = bounds.values()
-                starts = np.concatenate([[0], ends[:-1]])
-                sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
+                nameless, names, first, bounds, ids = open_file(blob)
                 key = batch.column("base")[k].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(starts + key, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                for a in range(0, bounds.n, AT_ONCE):  # offsets are asked for some documents at a time
+                    b = min(a + AT_ONCE, bounds.n)
+                    ends = bounds.select(np.arange(max(0, a - 1), b))
+                    starts = ends[:-1] if a else np.concatenate([[0], ends[:-1]])
+                    ends = ends[1:] if a else ends
+                    sums = [zlib.crc32(ids[p:q].astype("<u4").tobytes()) for p, q in zip(starts.tolist(), ends.tolist())]
+                    n = len(nameless)
+                    own = nameless[a:b] + (names.select(np.arange(max(0, a - n), max(0, b - n))) + first).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(starts + key, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     try:
         files = spark.read.format("binaryFile").load(path).where("length > 1")
