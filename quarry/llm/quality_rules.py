@@ -16,16 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LETTERS, buffers, mix, runs, saved, sums, words
+from .common import LETTERS, buffers, kept, mix, runs, saved, sums, words
 
 MAX_LABELLED = 4000
+#: Distinct n-grams, summed over the sampled documents, that the driver learns from at most.
+MAX_GRAMS = 16_000_000
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 18, 1 << 16
 MIN_QUALITY, MAX_TOXICITY = 0.5, 0.5
 MIN_WORDS, MAX_REPEAT = 50, 50
 LASSO, CALM = 1e-3, 1e-2
+#: Steps at most; steps between looks at the texts kept apart; looks without such a fall of their loss that end the training.
+STEPS, LOOK, PATIENCE, FALL = 200, 10, 2, 0.02
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -64,21 +68,36 @@ def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
     return np.concatenate([a, b + WORD_BUCKETS]).astype(np.int32), np.concatenate([n, m]).astype(np.int32), len(word), len(char)
 
 
-def _descend(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, steps: int, rate: float, lasso: float, calm: float = 1e-8) -> tuple[np.ndarray, float]:
+def _descend(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, apart: np.ndarray, steps: int, rate: float, lasso: float, calm: float = 1e-8) -> tuple[np.ndarray, float]:
     """Logistic regression by Adagrad with an L1 step; classes weigh the same. calm: squared gradients to begin with, so
-    that n-grams of weak evidence move less."""
+    that n-grams of weak evidence move less. Texts that are apart don't teach; when their loss no longer falls it ends."""
     w, b, grown, grown_b = np.zeros(WORD_BUCKETS + CHAR_BUCKETS), 0.0, np.full(WORD_BUCKETS + CHAR_BUCKETS, calm), 1e-8
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
-    for _ in range(steps):
-        z = np.bincount(rows, vals * w[cols], len(y)) + b
-        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight
-        grad = np.bincount(cols, vals * g[rows], len(w))
+    learn, weight = ~apart, np.zeros(len(y))
+    for part in (apart, learn):
+        if part.any():
+            share = y[part].mean()
+            weight[part] = np.where(y[part] == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / part.sum()
+    own = learn[rows]
+    here, there = (rows[own], cols[own], vals[own]), (rows[~own], cols[~own], vals[~own])
+    least, since = np.inf, 0
+    for step in range(1, steps + 1):
+        at, col, val = here
+        z = np.bincount(at, val * w[col], len(y)) + b
+        g = np.where(learn, (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight, 0.0)
+        grad = np.bincount(col, val * g[at], len(w))
         grown += grad**2
         pace = rate / np.sqrt(grown)
         w = w - pace * grad
         w = np.sign(w) * np.maximum(np.abs(w) - pace * lasso, 0)
         grown_b += g.sum() ** 2
         b -= rate / np.sqrt(grown_b) * g.sum()
+        if step % LOOK == 0 and len(there[0]):
+            at, col, val = there
+            z = np.clip(np.bincount(at, val * w[col], len(y)) + b, -40, 40)[apart]
+            loss = (weight[apart] * np.log1p(np.exp(np.where(y[apart] == 1, -z, z)))).sum()
+            least, since = (loss, 0) if loss < (1 - FALL) * least else (least, since + 1)
+            if since >= PATIENCE:
+                break
     return w, b
 
 
@@ -116,9 +135,7 @@ class Head:
         else:
             use = cols < WORD_BUCKETS
             rows, cols, vals = rows[use], cols[use], np.ones(int(use.sum()), np.float32)
-        old = ~apart[rows]
-        at = (np.cumsum(~apart) - 1).astype(np.int32)
-        w, b = _descend(at[rows[old]], cols[old], vals[old], y[~apart], 200, 0.3 if self.mean else 0.5, 1e-5 if self.mean else LASSO, 1e-8 if self.mean else CALM)
+        w, b = _descend(rows, cols, vals, y, apart, STEPS, 0.3 if self.mean else 0.5, 1e-5 if self.mean else LASSO, 1e-8 if self.mean else CALM)
         z = np.bincount(rows, vals * w[cols], len(y)) + b
         if apart.any() and y[apart].min() != y[apart].max():
             self.a, self.c = _calibrate(z[apart], y[apart])
@@ -152,7 +169,11 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
                 cols, counts, n, m = features(data[at[k] : at[k + 1]])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in ("_doc", "quality", "toxic")), pa.array([n]), pa.array([m]), pa.array([cols.tobytes()]), pa.array([counts.tobytes()])], ["doc", "quality", "toxic", "words", "chars", "cols", "counts"])
 
-    got = rows.mapInArrow(extract, "doc long, quality int, toxic int, words long, chars long, cols binary, counts binary").toArrow().sort_by([("doc", "ascending"), ("words", "ascending"), ("chars", "ascending")])
+    found = kept(rows.mapInArrow(extract, "doc long, quality int, toxic int, words long, chars long, cols binary, counts binary").withColumn("id", F.monotonically_increasing_id()))
+    # so many n-grams at most go to the driver, however long the documents are: whole documents, by the same hash; the window sees a row a sampled document
+    upto = F.sum(F.length("cols") / 4).over(Window.orderBy(F.xxhash64("doc"), "doc", "words", "chars", "id"))
+    few = found.select("id", "doc", "words", "chars", "cols").withColumn("upto", upto).where(F.col("upto") <= MAX_GRAMS).select("id")
+    got = found.join(F.broadcast(few), "id").drop("id").toArrow().sort_by([("doc", "ascending"), ("words", "ascending"), ("chars", "ascending")])
     size = np.array([len(x) // 4 for x in got["cols"].to_pylist()], np.int64)
     at = np.repeat(np.arange(len(size), dtype=np.int32), size)
     cols, counts = (np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in got[c]] or [np.zeros(0, np.int32)]) for c in ("cols", "counts"))
