@@ -13,29 +13,33 @@ MIN_LANG_SCORE = 0.35
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a recognised language, unchanged."""
+    """Documents of a recognised language, unchanged. Null text and text without a letter go; equal rows fare alike; null ids stay."""
     ship(spark)
     return langid.identify(docs, accept=MIN_LANG_SCORE)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that occurred before; those left without a word go."""
+    """Documents without lines that occurred before; those left without a word, or with a remnant only (what is left of a
+    near copy), go. Null text stays; rows equal in id and text are one document; null ids come first."""
     return line_dedup.dedup(docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the least id, then the least md5 of the text. Rows equal in both are
+    one document; rows without id or without a word are in no group and stay."""
     ship(spark)
     return ngram_join.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, the last time of a few cut to the words left. Null text is never taken; a
+    null source is a source; equal rows are taken together."""
     return mixing.take(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in bins: doc_id, piece, n_tokens, bin, position, capacity."""
+    """Pieces of documents in bins: doc_id, piece, n_tokens, bin, position, capacity. Empty text is a piece without bin; equal
+    rows are packed separately."""
     ship(spark)
     return packing.pack(docs)
 
