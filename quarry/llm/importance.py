@@ -30,12 +30,13 @@ MAX_LABELLED = 50_000
 SMOOTHING = 1.0
 
 
-def _grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _grams(data: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of unigrams, buckets of bigrams (that end at each word but the first of a text: mask), first words."""
     h, _, _, first = words(data, at)
-    one = (mix(h) >> np.uint64(48)).astype(np.int64)
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
+    one = (mix(h) >> shift).astype(np.int64)
     before = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) if len(h) else h
-    two = (mix(h * np.uint64(0x9E3779B97F4A7C15) + before) >> np.uint64(48)).astype(np.int64)
+    two = (mix(h * np.uint64(0x9E3779B97F4A7C15) + before) >> shift).astype(np.int64)
     inner = np.ones(len(h), bool)
     inner[first[:-1][first[:-1] < len(h)]] = False
     return one, two, inner if len(h) else inner, first
@@ -50,7 +51,7 @@ def fit(docs: DataFrame) -> np.ndarray:
             data, at = buffers(batch.column("text"))
             flag = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
             for i, j in runs(at):
-                one, two, inner, first = _grams(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                one, two, inner, first = _grams(data[at[i] : at[j]], at[i : j + 1] - at[i], BUCKETS)
                 mine = np.repeat(flag[i:j], np.diff(first))
                 raw += np.bincount(one, minlength=BUCKETS) + np.bincount(two[inner], minlength=BUCKETS)
                 good += np.bincount(one[mine], minlength=BUCKETS) + np.bincount(two[inner & mine], minlength=BUCKETS)
@@ -80,7 +81,7 @@ def resample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
             data, at = buffers(batch.column("text"))
             total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for i, j in runs(at):
-                one, two, inner, first = _grams(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                one, two, inner, first = _grams(data[at[i] : at[j]], at[i : j + 1] - at[i], BUCKETS)
                 total[i:j] = sums(ratio[one] + np.where(inner, ratio[two], 0.0), first)
                 n[i:j] = np.diff(first)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, mask=n == 0)], ["doc_id", "log_weight"])
