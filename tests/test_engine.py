@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import dsl, metrics, text
-from quarry.operators import chains, evidence, graph, providers, resolve, vectors
+from quarry.operators import chains, client, evidence, graph, providers, resolve, vectors
 from quarry.plans import catalogue, lifecycle
 from quarry.sources import convert, readers, sinks
 from quarry.streaming import resume
@@ -346,6 +346,22 @@ def test_nearest_in_blocks(spark):
         assert a == b and len(a) == 10
 
 
+def test_messages_and_settings(spark, monkeypatch):
+    rows = spark.createDataFrame([("hi", '{"content": "so", "tool_calls": [{"id": "1", "name": "look", "arguments": "{}"}]}'), ("ho", "plain")], "q string, r string")
+    tools = [client.tool("look", "d", {"x": "string"})]
+    asked = rows.select("q", client.as_request(client.conversation(F.col("q"), "be brief"), tools).alias("a"), client.parsed_reply(F.col("r")).alias("p"))
+    got = {r.q: r for r in asked.collect()}
+    body = json.loads(got["hi"].a)
+    assert [m["role"] for m in body["messages"]] == ["system", "user"] and body["messages"][1]["content"] == "hi" and body["tools"] == tools
+    assert got["hi"].p.tool_calls[0].name == "look" and got["ho"].p.content == "plain" and got["ho"].p.tool_calls is None
+    more = rows.select("q", client.continued(client.conversation(F.col("q")), client.parsed_reply(F.col("r")), F.array(F.lit("seen"))).alias("m")).collect()
+    assert {r.q: [(m.role, m.content) for m in r.m] for r in more} == {"hi": [("user", "hi"), ("assistant", "so"), ("tool", "seen")], "ho": [("user", "ho"), ("assistant", "plain")]}
+    monkeypatch.setenv("QUARRY_KEY", "x")
+    assert client.setting(spark, "QUARRY_KEY") == "x" and client.setting(spark, "QUARRY_NONE") is None and client.setting(spark, "QUARRY_NONE", "d") == "d"
+    with pytest.warns(UserWarning):
+        assert client.optional(lambda: spark.read.parquet("/nowhere"), "index") is None
+
+
 def test_distances_without_a_limit(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(12)], "src long, dst long")
     got = {r.node_id: r.dist for r in graph.distances(edges, spark.createDataFrame([(0,)], "node_id long"), None).collect()}
