@@ -479,6 +479,16 @@ def token_unigram_f1(spark, sf_dir):
     return rows.select("item_id", metrics.f1(F.col("tp"), F.col("y") - F.col("tp"), F.col("x") - F.col("tp"))["f1"].alias("f1"))
 
 
+@query("""
+WITH p AS (SELECT item_id, regexp_extract_all(lower(b.text), '([a-z0-9]+)', 1) AS a, regexp_extract_all(lower(d.text), '([a-z0-9]+)', 1) AS f FROM benchmark b JOIN documents d ON doc_id = item_id),
+x AS (SELECT item_id, g, count(*) AS n FROM (SELECT item_id, unnest([a[i] || ' ' || a[i + 1] FOR i IN range(1, len(a))]) AS g FROM p) GROUP BY ALL),
+y AS (SELECT item_id, g, count(*) AS n FROM (SELECT item_id, unnest([f[i] || ' ' || f[i + 1] FOR i IN range(1, len(f))]) AS g FROM p) GROUP BY ALL),
+t AS (SELECT item_id, sum(least(x.n, y.n))::DOUBLE AS tp FROM x JOIN y USING (item_id, g) GROUP BY 1)
+SELECT item_id, round(coalesce(2 * tp / nullif(greatest(len(a) - 1, 0) + greatest(len(f) - 1, 0), 0), 0), 4) AS f1 FROM p LEFT JOIN t USING (item_id)""")
+def token_rouge2(spark, sf_dir):
+    return _pairs(Tables(spark, sf_dir)).select("item_id", F.round(metrics.rouge_n(F.col("text"), F.col("found"), 2), 4).alias("f1"))
+
+
 @query()
 def token_rougeL(spark, sf_dir):  # noqa: N802
     ship(spark)
