@@ -40,7 +40,12 @@ _PLACE = ["_doc", "_sum", "_pos"]
 
 def _lines(text: Column) -> Column:
     """Lines with the blank lines that follow them; blank lines at the start are one more, without a word."""
-    return F.split(text, r"\n(?=[^\n]*[^\x20\x09-\x0D])", -1)
+    return F.split(text, r"\n(?=[\x20\x09\x0B-\x0D]*+[^\x20\x09-\x0D])", -1)
+
+
+def _count(line: Column, most: int) -> Column:
+    """Words of the line, as far as so many: more decide nothing."""
+    return n_words(F.regexp_extract(line, rf"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){{0,{most}}}+", 0))
 
 
 def _interval(rows: DataFrame, name: list[str], rank: str | None = "_rank") -> DataFrame | None:
@@ -78,7 +83,7 @@ def _shortest(words: Column, i: Column, least: int) -> list[tuple[Column, Column
 def _copies(docs: DataFrame, least: int) -> tuple[DataFrame, bool]:
     """_doc, _sum, _copies of texts of enough words that several documents have: the first one's row has their number,
     the others have 0. And whether any rows are equal in id and text."""
-    rows = docs.where("text is not null").select(F.col("doc_id").alias("_doc"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("_sum"), (n_words(F.col("text")) >= least).alias("_whole"))
+    rows = docs.where("text is not null").select(F.col("doc_id").alias("_doc"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("_sum"), (_count(F.col("text"), least) >= least).alias("_whole"))
     rows = kept(rows.groupBy("_doc", "_sum", "_whole").agg(F.count("*").alias("_rows")).withColumn("_pos", F.lit(0)).withColumn("_copies", F.lit(1).cast("long")))
     again = _interval(rows.where("_whole"), ["_sum"], None)
     twins = (rows.agg(F.max("_rows")).first()[0] or 0) > 1
@@ -95,7 +100,7 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, common_words: int = CO
     copies, twins = _copies(docs, min_words)
     texts = docs.where("text is not null").select(F.col("doc_id").alias("_doc"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("_sum"), _lines(F.col("text")).alias("_units"))
     names = F.transform("_units", lambda x: F.unhex(F.md5(F.substring_index(x, "\n", 1).cast("binary"))))
-    texts = texts.select("_doc", "_sum", names.alias("_names"), F.transform("_units", n_words).alias("_counts"))
+    texts = texts.select("_doc", "_sum", names.alias("_names"), F.transform("_units", lambda x: _count(x, max(min_words, common_words))).alias("_counts"))
     marks = copies.select(F.col("_doc").alias("_d"), F.col("_sum").alias("_s"), "_copies")
     texts = texts.join(marks, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_sum") == F.col("_s")), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1).cast("long"))).where("_copies > 0")
     lines = texts.select("_doc", "_sum", "_copies", "_counts", F.posexplode("_names").alias("_pos", "_name"))
