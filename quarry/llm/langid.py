@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import buffers, doc_fold, mix, runs, saved, sums
 
-MAX_DOCS, DOC_WINDOWS, SPAN = 3000, 10, 64
+MAX_DOCS, DOC_WINDOWS, SPAN = 3000, 10, 48
 WINDOW, MARGIN = 256, 16
 HIDDEN = 8
-STEPS, BATCH, RATE = 900, 192, 0.015
+STEPS, BATCH, RATE = 900, 128, 0.02
 #: Steps between looks at the loss on stretches kept apart, and how many looks without a fall end the training.
-LOOK, PATIENCE, FALL = 50, 3, 0.01
+LOOK, PATIENCE, FALL = 40, 2, 0.03
 #: Windows that are read side by side.
 ABREAST = 1024
 UNKNOWN = "und"
