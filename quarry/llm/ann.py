@@ -8,7 +8,8 @@ blocks of bounded size. A query goes to the parts whose centres have the largest
 codes a lookup; the best of a block are scored again with four more bits of what the codes left, and the `SHORTLIST` best
 of a query are ranked by exact products in doubles.
 
-So codes move once, and a query moves once for each block that it asks. Codebooks and centres are fitted on the `SAMPLE`
+So codes move once, and a query moves once for each block that it asks. A block gives back what scores no less than
+some vectors of a sample do, so that all blocks together give some twice the shortlist. Codebooks and centres are fitted on the `SAMPLE`
 and `CENTRE_SAMPLE` vectors of least id hash.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components
@@ -38,10 +39,12 @@ SHORTLIST = 100
 WIDER = 4
 BLOCK, QUERY_BLOCK = 32_768, 256
 #: Parts have so many rows on average, and are so many at most.
-PART_ROWS, PARTS = 2048, 1024
+PART_ROWS, PARTS = 4096, 1024
 CENTRE_SAMPLE, COVER = 32_768, 0.985
 #: What a block gives of each query, beside the neighbours asked for.
 SPARE = 20
+#: A query takes the best of its first parts whatever they score, and of the others what isn't below its floor by so many times the codes' error.
+FIRST, SLACK = 4, 3.0
 
 
 class Quantiser(NamedTuple):
@@ -145,6 +148,14 @@ def nearest(x: np.ndarray, found: np.ndarray) -> np.ndarray:
     return np.concatenate([((found**2).sum(1)[None, :] - 2 * x[a : a + 4096] @ found.T).argmin(1) for a in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
 
 
+def error(quantiser: Quantiser, x: np.ndarray, asked: int = 256) -> float:
+    """Root mean square of what both levels of codes miss of a product with a query, as a share of the query's length."""
+    code = quantiser.assign(x)
+    missed = quantiser.rest(x, code) - quantiser.unrefined(quantiser.refined(x, code))
+    q = x[:asked] / np.sqrt((x[:asked] ** 2).sum(1, keepdims=True))
+    return float(np.sqrt(((q @ missed.T) ** 2).mean()))
+
+
 def probes(x: np.ndarray, found: np.ndarray, k: int, asked: int = 512) -> int:
     """How many parts, in order of their centres' products, hold COVER of the k nearest of sample queries in the sample."""
     if len(found) == 1:
@@ -205,10 +216,13 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = SH
     x = _matrix(sample["embedding"], dim).astype(np.float64)
     middle = centres(x, max(1, min(PARTS, n // PART_ROWS)))
     asks, most = probes(x, middle, k), k + SPARE
-    model = spark.sparkContext.broadcast((fit(x[:SAMPLE]), middle))
+    # a query takes no vector whose score is below that of so many vectors of the sample: on average some twice the shortlist are above
+    above = -(-2 * shortlist * len(x) // n) + 8
+    quantiser = fit(x[:SAMPLE])
+    model = spark.sparkContext.broadcast((quantiser, middle, x.astype(np.float32), error(quantiser, x[:SAMPLE])))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quantiser, found = model.value
+        quantiser, found, _, _ = model.value
         for batch in batches:
             if batch.num_rows:
                 v = _matrix(batch.column("embedding"), dim).astype(np.float64)
@@ -216,20 +230,24 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = SH
                 yield pa.RecordBatch.from_arrays([pa.array(nearest(v, found).astype(np.int32)), batch.column("g"), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array([r.tobytes() for r in fine], pa.binary())], ["part", "id", "body", "fine"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, found = model.value
+        _, found, drawn, slack = model.value
         for batch in batches:
-            if batch.num_rows:
-                v = _matrix(batch.column("embedding"), dim).astype(np.float64)
+            for a in range(0, batch.num_rows, 256):
+                rows_ = batch.slice(a, 256)
+                v = _matrix(rows_.column("embedding"), dim).astype(np.float64)
                 parts = np.argsort(-(v @ found.T), axis=1, kind="stable")[:, :asks].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.list_(pa.int32())), batch.column("vec_id"), pa.array([r.tobytes() for r in v.astype("<f4")], pa.binary())], ["parts", "id", "body"])
+                floor = np.partition(v.astype(np.float32) @ drawn.T, -above, axis=1)[:, -above] if above < len(drawn) else np.full(len(v), -np.inf)
+                floor = floor - SLACK * slack * np.sqrt((v**2).sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.list_(pa.int32())), rows_.column("vec_id"), pa.array([np.append(r, f).astype("<f4").tobytes() for r, f in zip(v, floor)], pa.binary())], ["parts", "id", "body"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by block: first its codes, then the queries that ask it, some at a time."""
-        quantiser, _ = model.value
+        quantiser, _, _, _ = model.value
         block, held, asked, ids, codes, rest = None, [], [], None, None, None
 
         def answer() -> pa.RecordBatch:
-            x32 = np.frombuffer(b"".join(v for _, v in asked), "<f4").reshape(len(asked), dim)
+            x32 = np.frombuffer(b"".join(v for _, v, _ in asked), "<f4").reshape(len(asked), dim + 1)
+            x32, floor = np.ascontiguousarray(x32[:, :dim]), x32[:, dim]
             lut = quantiser.tables(x32.astype(np.float64))
             scores = np.zeros((len(asked), len(ids)), np.float32)
             for j, byte in enumerate(codes):
@@ -237,10 +255,12 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = SH
             names, near = [], []
             for r, found in enumerate(_best(scores, WIDER * most)):
                 score = scores[r, found] + rest[found] @ x32[r]
+                high = (score >= floor[r]) | asked[r][2]
+                found, score = found[high], score[high]
                 keep = np.lexsort((ids[found], -score))[:most]
                 names.append(ids[found][keep])
                 near.append(score[keep])
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in asked], pa.int64()), pa.array(names, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.float32()))], ["query_id", "g", "near"])
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in asked], pa.int64()), pa.array(names, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.float32()))], ["query_id", "g", "near"])
 
         def close() -> None:
             nonlocal ids, codes, rest, held
@@ -262,7 +282,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = SH
                     continue
                 close()
                 if ids is not None:
-                    asked.append((i, body))
+                    asked.append((i, body, kind == 1))
                 if len(asked) >= QUERY_BLOCK:
                     yield answer()
                     asked = []
@@ -277,8 +297,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = SH
     coded = kept(rows.select("g", "embedding").mapInArrow(encode, "part int, id long, body binary, fine binary"))
     sizes = coded.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # PARTS rows at most
     up_to = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    asked = asking.mapInArrow(route, "parts array<int>, id long, body binary").select(F.explode("parts").alias("part"), "id", "body")
-    asked = asked.join(F.broadcast(sizes), "part").select("part", up_to, F.lit(1).alias("kind"), "id", "body", F.lit(None).cast("binary").alias("fine"))
+    asked = asking.mapInArrow(route, "parts array<int>, id long, body binary").select(F.posexplode("parts").alias("pos", "part"), "id", "body")
+    asked = asked.join(F.broadcast(sizes), "part").select("part", up_to, F.when(F.col("pos") < FIRST, 1).otherwise(2).alias("kind"), "id", "body", F.lit(None).cast("binary").alias("fine"))
     coded = coded.join(F.broadcast(sizes), "part").select("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "body", "fine")
     both = coded.unionByName(asked).repartition("part", "block").sortWithinPartitions("part", "block", "kind", "id")
     near = both.mapInArrow(scan, "query_id long, g array<long>, near array<float>").select("query_id", F.explode(F.arrays_zip("g", "near")).alias("e")).select("query_id", "e.g", "e.near")
