@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, importance, langid, line_dedup, mixing, ngram_join, packing, pitman_yor, quality_rules, token_files
+from . import ann, html_text, importance, langid, lexical, line_dedup, mixing, ngram_join, packing, pitman_yor, quality_rules, snapshot, token_files
 from .common import table
 
 
@@ -50,9 +50,36 @@ def op10_anisotropic_ann(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_line_dedup, op4_fair_queue_mixing, op5_token_files, op6_importance_resampling, op7_language_id, op8_pitman_yor_scoring, op9_quality_rules, op10_anisotropic_ann)}
+def op11_html_extraction(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_snapshot_difference(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return snapshot.difference(docs, snapshot.later_documents(docs), "doc_id", ["text", "lang", "source"])
+
+
+def op13_lexical_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_line_dedup, op4_fair_queue_mixing, op5_token_files, op6_importance_resampling, op7_language_id, op8_pitman_yor_scoring, op9_quality_rules, op10_anisotropic_ann, op11_html_extraction, op12_snapshot_difference, op13_lexical_search)}
 _WORDS = r"len(regexp_extract_all({}, '[^\x20\x09-\x0D]+'))"
 
+_CONTENT = "md5(concat(coalesce(upper(md5(text)), '~'), coalesce(upper(md5(lang)), '~'), coalesce(upper(md5(source)), '~')))"
+#: crc32 of the decimal doc_id: four bits at a time, by the 16 remainders of the reflected polynomial 0xEDB88320.
+_STEPS = [0]
+for _n in range(1, 16):
+    _c = _n
+    for _ in range(4):
+        _c = (_c >> 1) ^ (0xEDB88320 if _c & 1 else 0)
+    _STEPS.append(_c)
+_HALF = "xor(({c}) >> 4, [" + ", ".join(f"{c}::BIGINT" for c in _STEPS) + "][(({c}) & 15) + 1])"
+_CRC = (
+    "xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda a, b: "
+    + _HALF.format(c=_HALF.format(c="xor(a, b)")) + "))"
+)
+
 ORACLE = {
     "op3_line_dedup": f"""
 WITH lines AS (
@@ -113,5 +140,56 @@ targets AS (
   SELECT row_no, sum(greatest(0, least(words, floor(budget) - (upto - words)))) AS taken FROM timed GROUP BY row_no
 )
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM queued LEFT JOIN mixed USING (row_no)
+""",
+    "op12_snapshot_difference": f"""
+WITH numbers AS (
+  SELECT doc_id, text, lang, source, {_CRC} % 10 AS kind FROM documents
+), later AS (
+  SELECT unnest(CASE WHEN kind IN (3, 4) THEN [-1 - doc_id] WHEN kind = 5 THEN [doc_id, -1 - doc_id] ELSE [doc_id] END) AS key,
+    CASE WHEN kind = 1 THEN concat(coalesce(text, ''), '+') ELSE text END AS text, CASE WHEN kind = 2 THEN source ELSE lang END AS lang,
+    CASE WHEN kind = 2 THEN lang WHEN kind = 4 THEN NULL ELSE source END AS source
+  FROM numbers WHERE kind IS DISTINCT FROM 0
+), old AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_CONTENT}) AS n FROM documents
+), new AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {_CONTENT}) AS n FROM later
+), met AS (
+  SELECT a.n AS was, b.n AS now, a.doc_id AS old_key, b.key, a.text AS old_text, a.lang AS old_lang, a.source AS old_source, b.text, b.lang, b.source
+  FROM old a FULL JOIN new b ON a.doc_id IS NOT DISTINCT FROM b.key AND a.n = b.n
+), gone AS (
+  SELECT *, row_number() OVER (PARTITION BY old_text, old_lang, old_source ORDER BY old_key) AS place FROM met WHERE now IS NULL
+), come AS (
+  SELECT *, row_number() OVER (PARTITION BY text, lang, source ORDER BY key) AS place FROM met WHERE was IS NULL
+), moved AS (
+  SELECT a.was, b.now, a.old_key, b.key, a.old_text, a.old_lang, a.old_source, b.text, b.lang, b.source
+  FROM gone a FULL JOIN come b ON a.place = b.place AND a.old_text IS NOT DISTINCT FROM b.text AND a.old_lang IS NOT DISTINCT FROM b.lang
+    AND a.old_source IS NOT DISTINCT FROM b.source
+), pairs AS (
+  SELECT *, TRUE AS same_key FROM met WHERE was IS NOT NULL AND now IS NOT NULL UNION ALL SELECT *, FALSE FROM moved
+)
+SELECT CASE WHEN now IS NULL THEN old_key ELSE key END AS key, old_key,
+  CASE WHEN now IS NULL THEN 'delete' WHEN was IS NULL THEN 'insert' WHEN NOT same_key THEN 'rekey'
+    WHEN old_text IS DISTINCT FROM text OR old_lang IS DISTINCT FROM lang OR old_source IS DISTINCT FROM source THEN 'update' ELSE 'same' END AS op,
+  CASE WHEN now IS NULL OR was IS NULL THEN '' ELSE concat_ws(',', CASE WHEN old_text IS DISTINCT FROM text THEN 'text' END,
+    CASE WHEN old_lang IS DISTINCT FROM lang THEN 'lang' END, CASE WHEN old_source IS DISTINCT FROM source THEN 'source' END) END AS changed,
+  CASE WHEN now IS NOT NULL THEN sha256(concat(coalesce(text, '~'), chr(10), coalesce(lang, '~'), chr(10), coalesce(source, '~'))) END AS row_sha256
+FROM pairs
+""",
+    "op13_lexical_search": r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row_no, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), lengths AS (SELECT row_no, doc_id, len(terms) AS n FROM d WHERE len(terms) > 0
+), totals AS (SELECT CAST(count(*) AS BIGINT) AS N_docs, CAST(sum(n) AS BIGINT) AS L FROM lengths
+), asked AS (
+  SELECT item_id, term, count(*) AS often FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+  ) GROUP BY item_id, term
+), postings AS (SELECT row_no, term, count(*) AS tf FROM (SELECT row_no, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY row_no, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(N_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM postings, totals GROUP BY term
+), impacts AS (
+  SELECT row_no, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * N_docs) // L))) AS impact
+  FROM postings JOIN lengths USING (row_no) JOIN weights USING (term), totals
+), scores AS (SELECT item_id, row_no, doc_id, CAST(sum(often * impact) AS BIGINT) AS score FROM impacts JOIN asked USING (term) GROUP BY item_id, row_no, doc_id
+), best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM best WHERE rank <= 10
 """,
 }
