@@ -1,10 +1,10 @@
 """Approximate nearest neighbours for the largest inner product, with score-aware anisotropic quantisation.
 
-Vectors are product-quantised, one component and 4 bits a subspace. Codebooks and codes minimise the anisotropic loss
+Vectors are product-quantised, two components and 4 bits a subspace. Codebooks and codes minimise the anisotropic loss
 |r|^2 + (eta - 1) (u.r)^2 with u = x / |x|: an error parallel to the vector, which changes large inner products, costs
 eta times as much as one across it. Every row is encoded and belongs to the part of its nearest centre; a part is held in
 blocks of bounded size. A query goes to the parts whose centres have the largest products with it, to as many as held
-`COVER` of the neighbours of sample queries. There it scans the 4-bit codes through its table of partial products, two
+`COVER` of the neighbours of sample queries, and to more, in that order, until they hold enough vectors to answer. There it scans the 4-bit codes through its table of partial products, two
 codes a lookup; the best of a block are scored again with four more bits of what the codes left, and the `SHORTLIST` best
 of a query are ranked by exact products in doubles.
 
@@ -33,17 +33,17 @@ from .common import kept, saved
 SAMPLE, ROUNDS, THRESHOLD = 8192, 8, 0.2
 CODES = 16
 #: Components of a subspace.
-WIDTH = 1
+WIDTH = 2
 SHORTLIST = 100
 #: Times the shortlist that the scan of a block keeps for the finer codes.
 WIDER = 4
 BLOCK, QUERY_BLOCK = 32_768, 256
 #: Parts have so many rows on average, and are so many at most.
-PART_ROWS, PARTS = 4096, 1024
+PART_ROWS, PARTS = 4096, 4096
 CENTRE_SAMPLE, COVER = 32_768, 0.985
 #: What a block gives of each query, beside the neighbours asked for.
 SPARE = 20
-#: A query takes the best of its first parts whatever they score, and of the others what isn't below its floor by so many times the codes' error.
+#: A query takes the best of its first parts, and of those it needs to have enough, whatever they score, and of the others what isn't below its floor by so many times the codes' error.
 FIRST, SLACK = 4, 3.0
 
 
@@ -214,7 +214,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = SH
     n = rows.count()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(CENTRE_SAMPLE).toArrow()
     x = _matrix(sample["embedding"], dim).astype(np.float64)
-    middle = centres(x, max(1, min(PARTS, n // PART_ROWS)))
+    middle = centres(x, max(1, min(PARTS, n // PART_ROWS, len(x) // 8)))
     asks, most = probes(x, middle, k), k + SPARE
     # a query takes no vector whose score is below that of so many vectors of the sample: on average some twice the shortlist are above
     above = -(-2 * shortlist * len(x) // n) + 8
@@ -235,10 +235,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = SH
             for a in range(0, batch.num_rows, 256):
                 rows_ = batch.slice(a, 256)
                 v = _matrix(rows_.column("embedding"), dim).astype(np.float64)
-                parts = np.argsort(-(v @ found.T), axis=1, kind="stable")[:, :asks].astype(np.int32)
+                parts = np.argsort(-(v @ found.T), axis=1, kind="stable").astype(np.int32)
+                before = np.cumsum(held[parts], axis=1) - held[parts]  # vectors in the parts before
+                first = (before < most) | (np.arange(parts.shape[1]) < FIRST)
+                take = (first | (np.arange(parts.shape[1]) < asks)) & (held[parts] > 0)
+                ways = [[{"part": int(p), "kind": 1 if one else 2} for p, one in zip(r[t], f[t])] for r, f, t in zip(parts, first, take)]
                 floor = np.partition(v.astype(np.float32) @ drawn.T, -above, axis=1)[:, -above] if above < len(drawn) else np.full(len(v), -np.inf)
                 floor = floor - SLACK * slack * np.sqrt((v**2).sum(1))
-                yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.list_(pa.int32())), rows_.column("vec_id"), pa.array([np.append(r, f).astype("<f4").tobytes() for r, f in zip(v, floor)], pa.binary())], ["parts", "id", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(ways, pa.list_(pa.struct([("part", pa.int32()), ("kind", pa.int32())]))), rows_.column("vec_id"), pa.array([np.append(r, f).astype("<f4").tobytes() for r, f in zip(v, floor)], pa.binary())], ["ways", "id", "body"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by block: first its codes, then the queries that ask it, some at a time."""
@@ -295,10 +299,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = SH
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(s)], ["query_id", "vec_id", "score"])
 
     coded = kept(rows.select("g", "embedding").mapInArrow(encode, "part int, id long, body binary, fine binary"))
-    sizes = coded.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # PARTS rows at most
+    sizes = saved(coded.groupBy("part").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))  # PARTS rows at most
+    held = np.zeros(len(middle), np.int64)
+    for row in sizes.collect():
+        held[row.part] = row["rows"]
+    sizes = sizes.select("part", "blocks")
     up_to = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    asked = asking.mapInArrow(route, "parts array<int>, id long, body binary").select(F.posexplode("parts").alias("pos", "part"), "id", "body")
-    asked = asked.join(F.broadcast(sizes), "part").select("part", up_to, F.when(F.col("pos") < FIRST, 1).otherwise(2).alias("kind"), "id", "body", F.lit(None).cast("binary").alias("fine"))
+    asked = asking.mapInArrow(route, "ways array<struct<part:int,kind:int>>, id long, body binary").select(F.inline("ways"), "id", "body")
+    asked = asked.join(F.broadcast(sizes), "part").select("part", up_to, "kind", "id", "body", F.lit(None).cast("binary").alias("fine"))
     coded = coded.join(F.broadcast(sizes), "part").select("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "body", "fine")
     both = coded.unionByName(asked).repartition("part", "block").sortWithinPartitions("part", "block", "kind", "id")
     near = both.mapInArrow(scan, "query_id long, g array<long>, near array<float>").select("query_id", F.explode(F.arrays_zip("g", "near")).alias("e")).select("query_id", "e.g", "e.near")

@@ -846,6 +846,22 @@ def test_parts_and_blocks_lose_nothing(spark, monkeypatch):
     assert hits / (20 * len(got)) >= 0.93
 
 
+def test_queries_in_a_small_far_cluster_are_answered(spark):
+    """Queries whose own part holds fewer vectors than they ask for go on to others."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(9000, 16)) + 8 * np.eye(16)[0], 0.1 * rng.normal(size=(10, 16)) - 8 * np.eye(16)[0]]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    asked = (F.col("vec_id") % 400 == 0) | (F.col("vec_id") >= 9000)
+    got = defaultdict(list)
+    for r in ann.search(df, asked).collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    assert set(got) == {*range(0, 9000, 400), *range(9000, 9010)}
+    for q, found in got.items():
+        assert sorted(n for n, _ in found) == list(range(1, 21)) and len({v for _, v in found} - {q}) == 20
+        if q >= 9000:
+            assert {v for _, v in found} >= set(range(9000, 9010)) - {q}
+
+
 def test_fold(spark):
     got = [r.f for r in spark.createDataFrame([(5,), (None,)], "i long").select(doc_fold(F.col("i"), 3).alias("f")).collect()]
     assert got == [zlib.crc32(b"5") % 3, 0]
