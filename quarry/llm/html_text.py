@@ -26,7 +26,7 @@ MOST, LEAST = 4.0, 0.1
 # HTML's elements by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr script style template noscript svg math canvas select button object iframe input textarea".split())
 NEVER = frozenset("script style title textarea xmp iframe noembed noframes head template noscript svg math canvas audio video object nav aside footer form button select option dialog menu".split())
 MARKED = frozenset(("article", "main"))
 #: Elements that are closed by name only; their end tags close what was left open inside.
@@ -174,6 +174,12 @@ def _kind(name: str, text: str | None, quiet: bool, inside: bool | None) -> str:
     return "w:quiet" if quiet else "w:beside" if inside is False else f"w:{name}"
 
 
+def _kinds(name: str, text: str | None, quiet: bool, inside: bool | None) -> list[str]:
+    """As _kind(), and for words inside the one marked element that kind as well: it stands in where the other was never seen."""
+    kind = _kind(name, text, quiet, inside)
+    return [kind, "w:inside"] if inside and text is not None and not quiet else [kind]
+
+
 def counted(pages) -> dict[str, list[int]]:
     """Tokens by kind inside and outside the marked element, over labelled pages; words count each."""
     total: dict[str, list[int]] = {}
@@ -183,7 +189,8 @@ def counted(pages) -> dict[str, list[int]]:
             continue
         for name, n, text, quiet, inside in found:
             if text is None or n:
-                total.setdefault(_kind(name, text, quiet, inside), [0, 0])[0 if inside and not quiet else 1] += n if text is not None else 1
+                for kind in _kinds(name, text, quiet, inside):
+                    total.setdefault(kind, [0, 0])[0 if inside and not quiet else 1] += n if text is not None else 1
     return total
 
 
@@ -200,9 +207,11 @@ def weights(counts: dict[str, list[int]]) -> dict[str, float]:
     return out | {"w:quiet": -LEAST, "t:quiet": -LEAST}
 
 
-def _weight(weight: dict[str, float], kind: str) -> float:
-    if kind in weight:
-        return weight[kind]
+def _weight(weight: dict[str, float], kinds: list[str]) -> float:
+    kind = kinds[0]
+    for known in kinds:
+        if known in weight:
+            return weight[known]
     if kind.startswith("t:"):
         return weight["t:"]
     return (weight["w:p"] if kind == "w:p/a" and "w:p" in weight else weight["w:/a"]) if kind.endswith("/a") else weight["w:"]
@@ -225,7 +234,7 @@ def best_run(scores: np.ndarray) -> tuple[int, int]:
 def main_text(page: str | None, weight: dict[str, float]) -> str:
     """Blocks of the best run, white space in a block as one space, joined by two line feeds."""
     found = read(page)
-    scores = np.array([_weight(weight, _kind(name, text, quiet, inside)) * (1 if text is None else n) for name, n, text, quiet, inside in found])
+    scores = np.array([_weight(weight, _kinds(name, text, quiet, inside)) * (1 if text is None else n) for name, n, text, quiet, inside in found])
     first, last = best_run(scores)
     blocks: list[list[str]] = [[]]
     for name, _, text, quiet, _ in found[first:last]:
@@ -242,7 +251,7 @@ def main_text(page: str | None, weight: dict[str, float]) -> str:
 def learn(pages: DataFrame, labelled: int = LABELLED) -> dict[str, float]:
     """Weights from about so many of the pages that mark their article, dealt by a hash of the page. A row a kind of token comes back;
     kinds are element names that HTML knows, the others count together."""
-    known = {"quiet", "beside", *VOID, *INLINE, *NEVER, *HOLDS, *MARKED, *"p h1 h2 h3 h4 h5 h6 li dt dd pre hr address figcaption caption summary".split()}
+    known = {"quiet", "beside", "inside", *VOID, *INLINE, *NEVER, *HOLDS, *MARKED, *"p h1 h2 h3 h4 h5 h6 li dt dd pre hr address figcaption caption summary".split()}
     marked = pages.where(F.lower("html").contains("<article") | F.lower("html").contains("<main"))
     deal = max(1, -(-marked.count() // labelled))
     marked = marked.where(F.pmod(F.xxhash64("html"), F.lit(deal)) == 0).select("html")
