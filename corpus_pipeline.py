@@ -26,9 +26,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the least id, then the least md5 of the text. Rows equal in both are
-    one document; rows without id or without a word are in no group and stay."""
+    one document; rows without id or without a word are in no group and stay. Groups are those of the texts as they are, and
+    those of the texts as they came, before lines were taken out of them, if sf_dir has them."""
     ship(spark)
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, before=as_they_came(spark, sf_dir))
+
+
+def as_they_came(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """doc_id, text of the table documents, None if the folder has none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

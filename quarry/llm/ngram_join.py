@@ -443,8 +443,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, trees: int
     return classes(docs, similarity, trees, recall, item).select("doc_id", "class_id", "n_links")
 
 
-def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The columns of docs; of each class the row of the least id, then of the least md5 of its text. Rows equal in both are one document."""
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, before: DataFrame | None = None) -> DataFrame:
+    """The columns of docs; of each class the row of the least id, then of the least md5 of its text. Rows equal in both are one document.
+
+    before: the same documents as they came (doc_id, text), for texts that lost lines since: what is left of two near copies may
+    resemble each other no more. Of each class of those texts the least id that is still in docs stays, too. Ids that stand there
+    more than once, and documents that aren't made of lines they had, are left to their text of now.
+    """
+    if before is not None:
+        docs = _first_as_they_came(docs, before, similarity)
     found = kept(classes(docs, similarity).where("comp is not null").groupBy("comp", "doc_id", "key").agg(F.count("*").alias("rows")))
     first = saved(found.groupBy("comp").agg(F.min(F.struct("doc_id", "key")).alias("first")))
     gone = found.join(first, "comp").where(F.struct("doc_id", "key") != F.col("first")).select(F.col("doc_id").alias("id"), "key")
@@ -453,3 +460,15 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     if found.where("rows > 1").limit(1).count():
         rows = rows.where("id is not null").dropDuplicates(["id", "key"]).unionByName(rows.where("id is null"))
     return rows.select("row.*")
+
+
+def _first_as_they_came(docs: DataFrame, before: DataFrame, similarity: float) -> DataFrame:
+    """docs without those whose text in `before` resembles that of a lesser id in docs."""
+    came = before.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    single = came.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows = 1").select("doc_id")
+    now = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("now")).where("doc_id is not null and now is not null")
+    part = F.size(F.array_except(F.split("now", "\n", -1), F.split("text", "\n", -1))) == 0
+    came = kept(came.join(single, "doc_id", "left_semi").join(now, "doc_id").where(part).select("doc_id", "text").distinct())
+    found = kept(classes(came, similarity).where("comp is not null").select("comp", "doc_id"))
+    gone = found.join(found.groupBy("comp").agg(F.min("doc_id").alias("first")), "comp").where("doc_id <> first").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
