@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,6 +31,13 @@ def cut(df):
     return df.checkpoint(eager=True)
 
 
+def stored(df):
+    """As cut(), by a table in the shared folder: written in one pass, and read by column."""
+    path = f"{shared_base(df.sparkSession)}/quarry-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark) -> None:
     """Send this package to the executors' Python, once per application; the same as --py-files with a zip of it."""
     context = spark.sparkContext

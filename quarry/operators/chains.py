@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry import stored
 from quarry.functions import dsl
-from quarry.operators import evidence, graph, resolve, vectors
+from quarry.operators import cells, evidence, graph, resolve, vectors
 
 
 def names(nodes: DataFrame, fold: bool = True) -> DataFrame:
@@ -62,16 +63,17 @@ def for_genes(aliases: DataFrame) -> list[DataFrame]:
     return [resolve.candidate(aliases, F.col("alias"), F.col("node_id"), 3, "Gene", fold=False)]
 
 
-def kg_nodes(mentions: DataFrame, candidates: list[DataFrame], nodes: DataFrame, encoder, k: int = 1) -> DataFrame:
+def kg_nodes(mentions: DataFrame, candidates: list[DataFrame], nodes: DataFrame, encoder, k: int = 1, index: cells.Index | None = None) -> DataFrame:
     """index, node_id: the nodes of each record's entities (index, entity, tag); an entity that no lookup knows brings the
-    k nodes (node_id, embedding) nearest to its own vector, made once per distinct entity."""
+    k nodes (node_id, embedding) nearest to its own vector, made once per distinct entity, by the index of the nodes (made here if
+    none is given)."""
     found = resolve.resolve(mentions, candidates)
     rows = mentions.select("index", "entity", "tag").distinct()
     same = (F.col("m.entity") == F.col("f.entity")) & F.col("m.tag").eqNullSafe(F.col("f.tag"))
     known = rows.alias("m").join(found.where("node_id is not null").alias("f"), same).select("index", "node_id")
     missing = resolve.unmatched(found).select("entity").distinct()
     asked = vectors.embed(missing, "entity", encoder).select(F.col("entity").alias("query_id"), "embedding")
-    near = vectors.similar_each(nodes, asked, k).select(F.col("query_id").alias("entity"), "node_id")
+    near = cells.search(index or cells.build(nodes), asked, k).select(F.col("query_id").alias("entity"), "node_id")
     guessed = rows.alias("m").join(resolve.unmatched(found).alias("f"), same).select("index", "m.entity").join(near, "entity").select("index", "node_id")
     return known.unionByName(guessed).distinct()
 
@@ -84,10 +86,17 @@ def kg_info(mentions: DataFrame, candidates: list[DataFrame], nodes: DataFrame,
     return ids.join(text, "index")
 
 
-def kg_subgraph(node_ids: list[int], edges: DataFrame, docs: DataFrame, types: DataFrame, most: int = 500) -> DataFrame:
-    """X09 of one record, as text of the graph that connects its nodes; edges: edge_id, src, dst, type_id."""
-    found = graph.connecting_subgraph(edges, node_ids).withColumn("pos", F.col("edge_id"))
-    return evidence.subgraph_text(found, docs, types, most)
+def kg_subgraph_info(nodes: DataFrame, edges: DataFrame, docs: DataFrame, types: DataFrame, most: int = 500, hops: int | None = None) -> DataFrame:
+    """X09 of all records at once: index, node_list, subgraph (edge ids in order), info: the text of the graph that connects a record's
+    nodes (index, node_id, as of kg_nodes). edges: edge_id, src, dst, type_id. A record without an edge between its nodes has
+    the text of none."""
+    found = stored(graph.connecting_subgraphs(edges.select("edge_id", "src", "dst", "type_id"), nodes, hops))
+    text = evidence.subgraph_texts(found.withColumn("pos", F.col("edge_id")), docs, types, most)
+    ids = found.groupBy("index").agg(F.sort_array(F.collect_list("edge_id")).alias("subgraph"))
+    listed = nodes.select("index", "node_id").distinct().groupBy("index").agg(F.transform(F.sort_array(F.collect_list("node_id")), lambda x: x.cast("string")).alias("node_list"))
+    none = F.lit("The retrieved subgraph contains 0 nodes and 0 edges.\n\nNodes:\n\nConnections:")  # Fixed value: the wording for no edges
+    rows = listed.join(ids, "index", "left").join(text, "index", "left")
+    return rows.select("index", "node_list", F.coalesce("subgraph", F.array().cast("array<long>")).alias("subgraph"), F.coalesce("text", none).alias("info"))
 
 
 def gene_evidence(records: DataFrame, genes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -117,3 +126,45 @@ def gene_set_text(related: DataFrame, genes: DataFrame) -> DataFrame:
     both = rows.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("pos", "symbol", "doc"))).alias("r"))
     listed = F.array_join(F.transform("r", lambda x: x["symbol"]), ", ")
     return both.select("name", F.concat(F.lit("\nThe related genes are "), listed, F.lit(".\n\nThe gene information is as follows:\n"), F.array_join(F.transform("r", lambda x: x["doc"]), "")).alias("text"))
+
+
+def disease_model_evidence(records: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """X08 of records of one perturbation: index, info: the gene set of the first word of the disease model that has one.
+
+    records: index, disease_model; found: index, word, as of providers.first_success over words(); sets: name, text. Records without
+    such a word, and words without a text, have no row.
+    """
+    rows = records.where("disease_model is not null").join(found.select("index", "word"), "index").join(sets.select(F.col("name").alias("word"), "text"), "word")
+    # Fixed value: the heading.
+    return rows.select("index", F.concat(F.lit("### DISEASE MODEL INFORMATION\nThe disease model of the context is "), "disease_model", F.lit(". "), "text").alias("info"))
+
+
+def words(records: DataFrame, column: str) -> DataFrame:
+    """index, pos, word of a text column, cut at white space."""
+    return records.select("index", F.posexplode(F.split(dsl.strip(F.col(column)), r"\s+")).alias("pos", "word")).where("word <> ''")
+
+
+def paper_list(entities: DataFrame, postings: DataFrame, papers: DataFrame, most: int = 10) -> DataFrame:
+    """X09 of literature by search: index, papers: the first papers (title, abstract, by round and doc_id) that hold a record's
+    entities (index, pos, entity), the last one dropped again and again until there are enough.
+
+    postings: term, doc_id; papers: doc_id, title, abstract; those without either count among the most, and are left out after.
+    """
+    asked = entities.select("index", "pos", F.col("entity").alias("term"))
+    hits = evidence.relax_each(asked, postings, most).join(papers.select("doc_id", "title", "abstract"), "doc_id")
+    return _listed(hits.where("title is not null and abstract is not null"), "place")
+
+
+def nearest_paper_list(queries: DataFrame, corpus: DataFrame, encoder, most: int = 30, spare: int = 10, index: cells.Index | None = None) -> DataFrame:
+    """X09 of literature by vectors: index, papers: of the most + spare papers (node_id, title, abstract, embedding) nearest to each query
+    (index, query), the first `most` that have an abstract."""
+    asked = vectors.embed(queries.select("query").where("query is not null").distinct(), "query", encoder)
+    near = cells.search(index or cells.build(corpus), asked, most + spare, query_key="query")
+    usable = corpus.select("node_id", "title", "abstract").where("abstract is not null and abstract <> 'Abstract not found'")
+    rows = queries.select("index", "query").join(near, "query").join(usable, "node_id")
+    return _listed(resolve.first_n(rows, ["index"], most, F.col("rank")), "rank")
+
+
+def _listed(rows: DataFrame, order: str) -> DataFrame:
+    """index, papers: structs of title and abstract in order; a bounded number a record."""
+    return rows.groupBy("index").agg(F.transform(F.sort_array(F.collect_list(F.struct(order, "title", "abstract"))), lambda r: F.struct(r["title"].alias("title"), r["abstract"].alias("abstract"))).alias("papers"))

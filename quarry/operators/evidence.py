@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry import stored
 from quarry.functions.dsl import strip
+from quarry.operators.resolve import first_n
 
 # Headings of the tools' sections and marks in the templates.
 HEADINGS = {
@@ -81,6 +83,20 @@ def subgraph_text(edges: DataFrame, nodes: DataFrame, types: DataFrame, most: in
     return node.join(edge, F.lit(True)).select(text.alias("text"))  # one row on either side
 
 
+def subgraph_texts(edges: DataFrame, nodes: DataFrame, types: DataFrame, most: int = 500) -> DataFrame:
+    """F14 of all records: index, text of edges (index, edge_id, src, dst, type_id; pos orders them), the first of each record only,
+    so a record's text is gathered from so many edges at most. Fixed values: the wording is that of subgraph_text."""
+    chosen = stored(first_n(edges, ["index"], most, F.col("pos")))
+    ends = chosen.select("index", F.explode(F.array("src", "dst")).alias("node_id")).distinct().join(nodes.select("node_id", "doc"), "node_id")
+    lines = lambda parts: F.array_join(F.transform(F.sort_array(F.collect_list(parts)), lambda r: r["t"]), "\n")
+    doc = F.concat(F.lit("- Node ID: "), F.col("node_id").cast("string"), F.lit(", Doc Info: "), "doc")
+    node = ends.groupBy("index").agg(F.count("*").alias("n"), lines(F.struct("node_id", doc.alias("t"))).alias("node_lines"))
+    label = F.concat(F.lit("- Node ID "), F.col("src").cast("string"), F.lit(" is connected to Node ID "), F.col("dst").cast("string"), F.lit(" with edge type: "), "label")
+    edge = chosen.join(types.select("type_id", "label"), "type_id").groupBy("index").agg(F.count("*").alias("m"), lines(F.struct("pos", label.alias("t"))).alias("edge_lines"))
+    text = F.concat(F.lit("The retrieved subgraph contains "), F.col("n").cast("string"), F.lit(" nodes and "), F.col("m").cast("string"), F.lit(" edges.\n\nNodes:\n"), "node_lines", F.lit("\n\nConnections:\n"), "edge_lines")
+    return node.join(edge, "index").select("index", text.alias("text"))
+
+
 def section(info: Column, tool: ToolSpec) -> Column:
     """F16 without schema: heading, text, blank line."""
     return F.concat(F.lit(f"## {HEADINGS[tool.base]}\n"), F.coalesce(info, F.lit("None")), F.lit("\n\n"))
@@ -157,3 +173,24 @@ def relax(entities: list[str], search: Callable[[str], DataFrame], enough: int,
         names.pop()
     first = found.groupBy(key).agg(F.min("_round").alias("round"))
     return first.orderBy("round", key).limit(enough)
+
+
+def relax_each(queries: DataFrame, postings: DataFrame, enough: int, key: str = "doc_id") -> DataFrame:
+    """T07 of all records in one plan: index, key, round, place of the first `enough` hits of each record.
+
+    queries: index, pos, term, in order of pos from 0; postings: term, key. A hit of round r holds all terms but the last r. How many
+    leading terms a document holds says in which round it is first found, and rounds only grow, so the first by round and
+    key are what a search for fewer and fewer terms gives until it has enough: each record stops where it has. Counting
+    goes over documents of a record's first term alone. Records without a hit have no row; null terms match nothing, and
+    rows that repeat count once.
+    """
+    asked = queries.select("index", "pos", "term").distinct()
+    terms = asked.groupBy("index").agg((F.max("pos") + 1).alias("_terms"))
+    held = postings.where(F.col(key).isNotNull()).join(asked.select("term").distinct(), "term", "left_semi").select("term", key).distinct()
+    met = stored(asked.join(held, "term").select("index", "pos", key))
+    first = met.where("pos = 0").select("index", key)
+    rows = met.join(first, ["index", key], "left_semi").groupBy("index", key).agg(F.sort_array(F.collect_set("pos")).alias("_at"))  # no more than a record's terms
+    lead = F.aggregate("_at", F.lit(0), lambda n, p: F.when(p == n, n + 1).otherwise(n))
+    hits = rows.select("index", key, lead.alias("_lead")).join(terms, "index").select("index", key, (F.col("_terms") - F.col("_lead")).alias("round"))
+    place = F.row_number().over(Window.partitionBy("index").orderBy("round", key))
+    return hits.withColumn("place", place).where(F.col("place") <= enough)

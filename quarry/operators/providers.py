@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry import cut
+from quarry import cut, stored
 
 
 class Provider(Protocol):
@@ -32,16 +32,30 @@ def table_lookup(table: dict[str, dict]) -> Callable[[], Provider]:
     return lambda: lambda requests: [json.dumps(table[r], ensure_ascii=False) for r in requests]
 
 
+class ProviderError(Exception):
+    """A provider that couldn't be made."""
+
+
+def _broken(why: str) -> Provider:
+    def fail(requests: list[str]) -> list[str]:
+        raise ProviderError(why)
+
+    return fail
+
+
 def call_once(requests: DataFrame, column: str, make: Callable[[], Provider], replay: DataFrame | None = None, tries: int = 3, batch: int = 64) -> DataFrame:
     """Key, request, reply, error of each distinct non-null request.
 
-    Replies in `replay` (key, reply) are used again; the rest is called in batches. Failures go to `error`, after so many
-    tries, and never end the job. Write the result to extend the replay table: a task that runs again repeats its calls.
+    Replies in `replay` (key, reply) are used again; the rest is called in batches. Failures, of the provider's making too, go to `error`,
+    after so many tries, and never end the job. Write the result to extend the replay table: a task that runs again repeats its calls.
     """
     asked = requests.select(F.col(column).alias("request")).where("request is not null").distinct().withColumn("key", F.md5(F.col("request").cast("binary")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider = make()
+        try:
+            provider = make()
+        except Exception as e:  # no provider: every request of the task fails with it
+            provider = _broken(f"{type(e).__name__}: {e}")
         for frame in frames:
             replies, errors = [], []
             rows = frame["request"].tolist()
@@ -86,6 +100,28 @@ def join_back(rows: DataFrame, column: str, replies: DataFrame, into: str = "rep
     return rows.withColumn("_key", F.md5(F.col(column).cast("binary"))).join(named, "_key", "left").drop("_key")
 
 
+def first_success(words: DataFrame, make: Callable[[], Provider], ok: Callable[[Column], Column], replay: DataFrame | None = None) -> DataFrame:
+    """Index, pos, word, reply of each record's first word (index, pos, word) whose reply is ok; records without one have no row.
+
+    Rounds of keyed calls: each round asks for the next word of the records that have no answer yet, once per distinct word, so
+    no word is asked for that comes after a success. Replies are kept, so a word that several records reach later isn't asked again.
+    """
+    place = F.row_number().over(Window.partitionBy("index").orderBy("pos", "word"))
+    left = stored(words.where("word <> ''").select("index", "pos", "word").distinct().withColumn("_turn", place))
+    found, known = None, replay.select("key", "reply") if replay is not None else None
+    turn = 1
+    while not left.isEmpty():
+        now = left.where(F.col("_turn") == turn).select("index", "pos", "word")
+        replies = stored(call_once(now, "word", make, known))
+        answers = replies.where(F.col("error").isNull()).select("key", "reply")
+        known = answers if known is None else known.unionByName(answers).dropDuplicates(["key"])
+        hits = stored(join_back(now, "word", replies).where(F.col("reply_error").isNull() & F.coalesce(ok(F.col("reply")), F.lit(False))).select("index", "pos", "word", "reply"))
+        found = hits if found is None else found.unionByName(hits)
+        left = stored(left.where(F.col("_turn") > turn).join(hits.select("index"), "index", "left_anti"))
+        turn += 1
+    return found if found is not None else left.select("index", "pos", "word", F.lit(None).cast("string").alias("reply"))
+
+
 def dictionary_tagger(terms: dict[str, str]) -> Callable[[str], list[tuple[str, str]]]:
     """X01 offline: (entity, tag) of known terms in order of their places; longer terms win."""
     if not terms:

@@ -32,17 +32,20 @@ def candidate(df: DataFrame, key: Column, node: Column, priority: int, tag: str
 
 
 def resolve(mentions: DataFrame, candidates: list[DataFrame]) -> DataFrame:
-    """Entity, tag, node_id, priority of the first lookup that knows the entity; null where none does.
+    """Entity, tag, node_id, priority of the first lookup that knows the entity; null where none does, or without any lookup.
 
     mentions: entity, tag. Each distinct mention is looked up once: by its lower case where `fold`, else as it is, in
-    the lookups without tag or of its own. The order is data, so the optimiser is free to pick join strategies.
+    the lookups without tag or of its own. The order is data: one left join over all lookups and one aggregation.
     """
     asked = mentions.select("entity", "tag").distinct()
-    keys = asked.withColumn("key", F.lower("entity")).withColumn("fold", F.lit(True)).unionByName(asked.withColumn("key", F.col("entity")).withColumn("fold", F.lit(False)))
+    if not candidates:
+        return asked.select("entity", "tag", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("int").alias("priority"))
+    both = F.array(F.struct(F.lower("entity").alias("key"), F.lit(True).alias("fold")), F.struct(F.col("entity").alias("key"), F.lit(False).alias("fold")))
+    keys = asked.select("entity", "tag", F.inline(both))
     table = reduce(DataFrame.unionByName, candidates)
-    hits = keys.join(table, ["key", "fold"]).where(F.col("for_tag").isNull() | F.col("for_tag").eqNullSafe(F.col("tag")))
-    best = hits.groupBy("entity", "tag").agg(F.min_by("node_id", "priority").alias("node_id"), F.min("priority").alias("priority"))
-    return asked.alias("a").join(best.alias("b"), (F.col("a.entity") == F.col("b.entity")) & F.col("a.tag").eqNullSafe(F.col("b.tag")), "left").select("a.entity", "a.tag", "node_id", "priority")
+    same = (keys["key"] == table["key"]) & (keys["fold"] == table["fold"]) & (table["for_tag"].isNull() | table["for_tag"].eqNullSafe(keys["tag"]))
+    hits = keys.join(table, same, "left").select("entity", "tag", "node_id", "priority")
+    return hits.groupBy("entity", "tag").agg(F.min_by("node_id", "priority").alias("node_id"), F.min("priority").alias("priority"))
 
 
 def unmatched(resolved: DataFrame) -> DataFrame:
@@ -66,15 +69,36 @@ def misaligned(truth: DataFrame, found: DataFrame, key: str) -> DataFrame:
 
 
 def edge_ids(edges: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The least edge id of each wanted (src, dst) and how many parallel edges there are; -1 and 0 if missing."""
-    found = edges.join(wanted.select("src", "dst").distinct(), ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.min("edge_id").alias("edge_id"), F.count("*").alias("n"))
-    return wanted.join(found, ["src", "dst"], "left").select("src", "dst", F.coalesce("edge_id", F.lit(-1)).alias("edge_id"), F.coalesce("n", F.lit(0)).alias("n"))
+    """The least edge id of each distinct wanted (src, dst) and how many parallel edges there are; -1 and 0 if missing.
+
+    The aggregation is by the keys of the join, so it needs no shuffle of its own; edges nobody wants don't pass the join.
+    """
+    rows = wanted.select("src", "dst").distinct().join(edges.select("src", "dst", "edge_id"), ["src", "dst"], "left")
+    return rows.groupBy("src", "dst").agg(F.coalesce(F.min("edge_id"), F.lit(-1)).alias("edge_id"), F.count("edge_id").alias("n"))
+
+
+def without(df: DataFrame, ignore: tuple[str, ...] = ("index",)) -> DataFrame:
+    """The columns, and the fields of nested structs, that aren't ignored."""
+
+    def stripped(column: Column, kind) -> Column:
+        if kind.typeName() == "struct":
+            fields = [stripped(column[f.name], f.dataType).alias(f.name) for f in kind.fields if f.name not in ignore]
+            return F.when(column.isNotNull(), F.struct(*fields)) if fields else column
+        if kind.typeName() == "array":
+            return F.transform(column, lambda x: stripped(x, kind.elementType))
+        if kind.typeName() == "map":
+            return F.transform_values(column, lambda _, v: stripped(v, kind.valueType))
+        return column
+
+    return df.select(*(stripped(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema if f.name not in ignore))
 
 
-def dedupe(df: DataFrame, pos: str, keep: str = "first", ignore: tuple[str, ...] = ("index",), multiset: bool = False) -> DataFrame:
+def dedupe(df: DataFrame, pos: str, keep: str = "first", ignore: tuple[str, ...] = ("index",), multiset: bool = False, drop_ignored: bool = False) -> DataFrame:
     """One of the rows that agree in all but the ignored columns and pos; the first or last by pos, order kept.
 
-    Nested fields are compared in order of their names, ignored at every depth; multiset: arrays as multisets.
+    Nested fields are compared in order of their names, ignored at every depth; multiset: arrays as multisets. A null pos comes
+    after all others; of equal positions the row of least (or largest) digest stays. drop_ignored takes the ignored columns
+    and fields out of the result.
     """
 
     def frozen(column: Column, kind) -> Column | None:
@@ -92,9 +116,15 @@ def dedupe(df: DataFrame, pos: str, keep: str = "first", ignore: tuple[str, ...]
     columns = {f.name: frozen(F.col(f"`{f.name}`"), f.dataType) for f in df.schema if f.name != pos and f.name not in ignore}
     # partial aggregation on a digest of the key; whole rows aren't moved for a window
     digest = F.sha2(F.to_json(F.struct(*(c.alias(n) for n, c in sorted(columns.items()))), {"ignoreNullFields": "false"}), 256)
+    if keep not in ("first", "last"):
+        raise ValueError("keep is first or last")
     pick = F.min if keep == "first" else F.max
-    chosen = df.select(digest.alias("_key"), F.col(pos)).groupBy("_key").agg(pick(pos).alias(pos)).select(pos)
-    return df.join(chosen, pos, "left_semi")
+    whole = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}), 256)
+    rows = df.withColumns({"_key": digest, "_row": whole})
+    chosen = rows.groupBy("_key").agg(pick(F.struct(F.col(pos).isNull().alias("last"), F.col(pos).alias("pos"), "_row")).alias("_p")).select("_key", F.col("_p.pos").alias("_pos"), F.col("_p._row").alias("_row"))
+    here = (rows["_key"] == chosen["_key"]) & (rows["_row"] == chosen["_row"]) & rows[pos].eqNullSafe(chosen["_pos"])
+    kept = rows.join(chosen, here, "left_semi").dropDuplicates(["_key", "_row"]).drop("_key", "_row")
+    return without(kept, ignore) if drop_ignored else kept
 
 
 def first_n(df: DataFrame, group: list[str], n: int, *order: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry import ship
 from quarry.functions import dsl, metrics
-from quarry.operators import chains, evidence, graph, providers, resolve, vectors
+from quarry.operators import cells, chains, evidence, graph, providers, resolve, tagging, vectors
 from quarry.sources import readers
 from quarry.streaming import resume
 
@@ -353,6 +353,57 @@ def subgraph_text(spark, sf_dir):
     return evidence.subgraph_text(edges, nodes, spark.range(1, 2).select(F.col("id").cast("int").alias("type_id"), F.lit("has").alias("label")))
 
 
+# a supplier's record names it, a customer and a nation; all hang on one root, so the connecting set is the tree up to the deepest node above all
+@query(r"""
+WITH RECURSIVE edges AS (
+  SELECT CAST(-1 AS BIGINT) AS src, CAST(r_regionkey AS BIGINT) AS dst FROM region UNION ALL SELECT n_regionkey, 100 + n_nationkey FROM nation
+  UNION ALL SELECT 100 + c_nationkey, 1000000 + c_custkey FROM customer UNION ALL SELECT 100 + s_nationkey, 2000000 + s_suppkey FROM supplier
+), terminals AS (
+  SELECT s_suppkey AS index, 2000000 + s_suppkey AS node_id FROM supplier UNION SELECT c_custkey // 10, 1000000 + c_custkey FROM customer WHERE c_custkey % 10 = 0 AND c_custkey // 10 IN (SELECT s_suppkey FROM supplier)
+  UNION SELECT s_suppkey, 100 + s_suppkey % 25 FROM supplier
+), walk AS (
+  SELECT index, node_id AS terminal, node_id, 0 AS up FROM terminals UNION ALL SELECT w.index, w.terminal, e.src, w.up + 1 FROM walk w JOIN edges e ON e.dst = w.node_id
+), above AS (SELECT index, node_id, count(*) AS n, max(up) AS up FROM walk GROUP BY ALL
+), lowest AS (SELECT a.index, min(a.up) AS up FROM above a WHERE a.n = (SELECT count(*) FROM terminals t WHERE t.index = a.index) GROUP BY a.index
+), keep AS (SELECT a.index, a.node_id FROM above a JOIN lowest l USING (index) WHERE a.up <= l.up
+), found AS (
+  SELECT k.index, e.src, e.dst, row_number() OVER (PARTITION BY k.index ORDER BY e.dst) AS pos FROM keep k JOIN edges e ON e.dst = k.node_id JOIN keep o ON o.index = k.index AND o.node_id = e.src
+), ends AS (SELECT index, src AS id FROM found UNION SELECT index, dst FROM found
+), nodes AS (SELECT index, count(*) AS n, string_agg('- Node ID: ' || id || ', Doc Info: doc ' || id, chr(10) ORDER BY id) AS lines FROM ends GROUP BY index
+), links AS (
+  SELECT index, count(*) AS m, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS subgraph,
+    string_agg('- Node ID ' || src || ' is connected to Node ID ' || dst || ' with edge type: ' || CASE WHEN dst >= 1000000 THEN 'has' ELSE 'holds' END, chr(10) ORDER BY dst) AS lines FROM found GROUP BY index
+), listed AS (SELECT index, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY node_id) AS node_list FROM terminals GROUP BY index)
+SELECT index, node_list, subgraph, 'The retrieved subgraph contains ' || n || ' nodes and ' || m || ' edges.' || chr(10) || chr(10) || 'Nodes:' || chr(10) || nodes.lines || chr(10) || chr(10) || 'Connections:' || chr(10) || links.lines AS info
+FROM listed JOIN nodes USING (index) JOIN links USING (index)""")
+def kg_subgraph_info(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    root = t.region.select(F.lit(-1).cast("long").alias("src"), F.col("r_regionkey").cast("long").alias("dst"))
+    edges = _edges(t).unionByName(root).select(F.col("dst").alias("edge_id"), "src", "dst", F.when(F.col("dst") >= 1000000, 1).otherwise(2).alias("type_id"))
+    suppliers = t.supplier.select(F.col("s_suppkey").alias("index"), (F.col("s_suppkey") + 2000000).alias("node_id"))
+    customers = t.customer.where("c_custkey % 10 = 0").select((F.col("c_custkey") / 10).cast("long").alias("index"), (F.col("c_custkey") + 1000000).alias("node_id")).join(suppliers.select("index"), "index", "left_semi")
+    nations = t.supplier.select(F.col("s_suppkey").alias("index"), (F.col("s_suppkey") % 25 + 100).alias("node_id"))
+    docs = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct().withColumn("doc", F.concat(F.lit("doc "), F.col("node_id").cast("string")))
+    types = spark.createDataFrame([(1, "has"), (2, "holds")], "type_id int, label string")
+    found = chains.kg_subgraph_info(suppliers.unionByName(customers).unionByName(nations), edges, docs, types)
+    return found.select("index", F.array_join("node_list", ",").alias("node_list"), F.array_join(F.transform("subgraph", lambda e: e.cast("string")), ",").alias("subgraph"), "info")
+
+
+_SMALL = """
+links AS (SELECT DISTINCT l_orderkey, l_suppkey % 5 AS src, l_partkey % 5 AS dst FROM lineitem),
+reach AS (SELECT l_orderkey, src, dst FROM links UNION SELECT r.l_orderkey, r.src, e.dst FROM reach r JOIN links e ON e.l_orderkey = r.l_orderkey AND e.src = r.dst)"""
+
+
+def _small(spark, sf_dir) -> DataFrame:
+    """A graph of five nodes an order."""
+    return Tables(spark, sf_dir).lineitem.select("l_orderkey", (F.col("l_suppkey") % 5).alias("src"), (F.col("l_partkey") % 5).alias("dst"))
+
+
+@query(f"WITH RECURSIVE {_SMALL} SELECT l_orderkey, CASE WHEN count(*) FILTER (WHERE src = dst) > 0 THEN 0 ELSE 1 END AS dag FROM reach GROUP BY l_orderkey")
+def graphs_acyclic(spark, sf_dir):
+    return graph.acyclic(_small(spark, sf_dir), ["l_orderkey"])
+
+
 # ---- explanation language -----------------------------------------------------------------------------------------------
 
 _LINES = """
@@ -658,6 +709,70 @@ def dictionary_tags(spark, sf_dir):
     return providers.tag(Tables(spark, sf_dir).documents, "doc_id", "text", lambda: providers.dictionary_tagger(terms)).select("doc_id", "entity")
 
 
+_LETTERS = r"[\p{L}\p{N}_]+"
+
+
+@query(rf"""
+WITH names AS (
+  SELECT p_name AS name FROM part UNION SELECT c_name FROM customer UNION SELECT s_name FROM supplier
+  UNION SELECT w FROM (SELECT unnest(regexp_extract_all(text, '{_LETTERS}')) AS w FROM benchmark) WHERE length(w) >= 6
+), words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{_LETTERS}')) AS w FROM documents)
+SELECT doc_id, name AS entity FROM words JOIN names ON w = name
+UNION SELECT d.doc_id, n.name FROM documents d JOIN (SELECT name FROM names WHERE NOT regexp_full_match(name, '{_LETTERS}')) n ON contains(d.text, n.name)""")
+def name_tags(spark, sf_dir):
+    ship(spark)
+    t = Tables(spark, sf_dir)
+    named = [t.part.select(F.col("p_name").alias("name")), t.customer.select("c_name"), t.supplier.select("s_name")]
+    spoken = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit(_LETTERS), F.lit(0))).alias("name")).where(F.length("name") >= 6)
+    names = named[0].union(named[1]).union(named[2]).union(spoken).withColumn("tag", F.lit("Name"))
+    return tagging.tag_names(t.documents, "doc_id", "text", names).select("doc_id", "entity").distinct()
+
+
+@query("SELECT count(*) AS asked, sum(least(10, (SELECT count(*) FROM embeddings))) AS found, TRUE AS recalled FROM embeddings WHERE vec_id % 20 = 0")
+def index_search(spark, sf_dir):
+    """The index's neighbours against exact ones: ten for every query, and a recall of 0.9 or more."""
+    ship(spark)
+    rows = Tables(spark, sf_dir).embeddings
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    near = cells.search(cells.build(rows, key="vec_id"), asked, 10)
+    truth = vectors.nearest_blocks(rows, asked, 10, key="vec_id").select("query_id", "vec_id", F.lit(1).alias("hit"))
+    both = near.join(truth, ["query_id", "vec_id"], "left").agg(F.count_distinct("query_id").alias("asked"), F.count("*").alias("found"), (F.sum("hit") >= 0.9 * F.count("*")).alias("recalled"))
+    return both
+
+
+# a query an item: its first words of three letters or more, the last one dropped until five documents hold all that are left
+@query(rf"""
+WITH spoken AS (
+  SELECT item_id AS index, w, min(i) AS i FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{_LETTERS}')) AS w, generate_subscripts(regexp_extract_all(lower(text), '{_LETTERS}'), 1) AS i FROM benchmark) WHERE length(w) >= 3 GROUP BY ALL
+), asked AS (SELECT index, row_number() OVER (PARTITION BY index ORDER BY i) - 1 AS pos, w FROM spoken QUALIFY pos < 4
+), words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{_LETTERS}')) AS w FROM documents
+), m AS (SELECT index, count(*) AS n FROM asked GROUP BY index
+), prefixes AS (SELECT a.index, a.pos, b.w FROM asked a JOIN asked b ON a.index = b.index AND b.pos <= a.pos
+), hits AS (SELECT p.index, p.pos, w.doc_id FROM prefixes p JOIN words w USING (w) GROUP BY p.index, p.pos, w.doc_id HAVING count(*) = p.pos + 1
+), best AS (SELECT h.index, h.doc_id, n - 1 - max(pos) AS round FROM hits h JOIN m USING (index) GROUP BY h.index, h.doc_id, n)
+SELECT index, doc_id, round, row_number() OVER (PARTITION BY index ORDER BY round, doc_id) AS place FROM best QUALIFY place <= 5""")
+def relaxation_each(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    letters = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_LETTERS), F.lit(0))
+    spoken = t.benchmark.select(F.col("item_id").alias("index"), F.posexplode(letters("text")).alias("i", "term")).where(F.length("term") >= 3)
+    first = spoken.groupBy("index", "term").agg(F.min("i").alias("i"))
+    asked = first.withColumn("pos", F.row_number().over(Window.partitionBy("index").orderBy("i")) - 1).where("pos < 4").select("index", "pos", "term")
+    postings = t.documents.select("doc_id", F.explode(F.array_distinct(letters("text"))).alias("term"))
+    return evidence.relax_each(asked, postings, 5).select("index", "doc_id", "round", "place")
+
+
+@query(r"""
+WITH spoken AS (SELECT p_partkey AS index, unnest(string_split(p_name || ' ' || p_type, ' ')) AS word, generate_subscripts(string_split(p_name || ' ' || p_type, ' '), 1) - 1 AS pos FROM part)
+SELECT index, arg_min(word, pos) AS word, min(pos) AS pos FROM spoken WHERE length(word) >= 5 GROUP BY index""")
+def first_success_word(spark, sf_dir):
+    """The first word of each part's name and type that a service knows; this one knows words of five characters or more."""
+    ship(spark)
+    rows = Tables(spark, sf_dir).part.select(F.col("p_partkey").alias("index"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    service = lambda: lambda asked: ['{"name":"set"}' if len(w) >= 5 else '{"status":"error"}' for w in asked]
+    found = providers.first_success(chains.words(rows, "text"), service, lambda r: F.get_json_object(r, "$.status").isNull())
+    return found.select("index", "word", "pos")
+
+
 # ---- streaming extension on tables ------------------------------------------------------------------------------------------
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quarry import cut, shared_base
 from quarry.functions import dsl
-from quarry.operators import evidence, providers, resolve, vectors
+from quarry.operators import cells, evidence, providers, resolve
 
 GENE = "name string, symbol string, description string, synonyms array<string>, proteins array<struct<symbol:string>>, status string"
 GENE_SET = "geneSets array<struct<name:string,href:string>>, status string"
@@ -178,8 +178,8 @@ def papers(queries: DataFrame, make, most: int = 30, at_once: int = 100) -> Data
 
 
 def nearest_papers(corpus: DataFrame, queries: DataFrame, most: int = 30) -> DataFrame:
-    """S23 without a server: exact search over papers (node_id, embedding, abstract); filters come before the limit."""
-    return vectors.similar_each(corpus.where("abstract is not null and abstract <> 'Abstract not found'"), queries, most)
+    """S23 without a server: the index of papers (node_id, embedding, abstract) for any number of queries; filters come before the limit."""
+    return cells.search(cells.build(corpus.where("abstract is not null and abstract <> 'Abstract not found'"), k=most), queries, most)
 
 
 def encyclopedia(entities: DataFrame, make) -> DataFrame:
