@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import buffers, doc_fold, mix, runs, saved, sums
 
-MAX_DOCS, DOC_WINDOWS, SPAN = 3000, 10, 48
+MAX_DOCS, DOC_WINDOWS, SPAN = 3000, 10, 64
 WINDOW, MARGIN = 256, 16
-HIDDEN = 8
-STEPS, BATCH, RATE = 900, 128, 0.02
+HIDDEN = 16
+STEPS, BATCH, RATE = 900, 256, 0.015
 #: Steps between looks at the loss on stretches kept apart, and how many looks without a fall end the training.
-LOOK, PATIENCE, FALL = 40, 2, 0.03
+LOOK, PATIENCE, FALL = 50, 3, 0.01
 #: Windows that are read side by side.
 ABREAST = 1024
 UNKNOWN = "und"
@@ -42,8 +42,18 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
+def _bent(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), between -1 and 1: a sigmoid of three cheap steps. Its slope is (1 - |y|)^2 where it gives y."""
+    return x / (1 + np.abs(x))
+
+
+def _gate(x: np.ndarray) -> np.ndarray:
+    """The same between 0 and 1."""
+    return np.float32(0.5) * (_bent(x) + np.float32(1))
+
+
+def _slope(gate: np.ndarray) -> np.ndarray:
+    return np.float32(0.5) * (1 - np.abs(2 * gate - 1)) ** 2
 
 
 class Network:
@@ -63,40 +73,46 @@ class Network:
         table, u, c = p[f"W{d}"] + p[f"b{d}"], p[f"U{d}"], p[f"c{d}"]
         for t in range(len(x)):
             a, r_in = table[x[t]], state @ u
-            gates = _sigmoid(a[:, : 2 * h] + r_in[:, : 2 * h])
+            gates = _gate(a[:, : 2 * h] + r_in[:, : 2 * h])
             z, r = gates[:, :h], gates[:, h:]
             s = r_in[:, 2 * h :] + c
-            n = np.tanh(a[:, 2 * h :] + r * s)
+            n = _bent(a[:, 2 * h :] + r * s)
             keep.append((state, z, r, s, n))
             out[t] = state = n + z * (state - n)
         return out
 
     def _states(self, x: np.ndarray, d: int) -> np.ndarray:
-        """As _run(), for labelling: sigmoids as halves of tanh, the halves taken into the weights, no copies."""
+        """As _run(), for labelling: twice the gates, the halves taken into the weights, no copies."""
         h, p, half = self.h, self.p, np.float32(0.5)
         table = p[f"W{d}"] + p[f"b{d}"]
         wz, wr, wn = (np.ascontiguousarray(table[:, k * h : (k + 1) * h]) for k in range(3))
-        uz, ur, un = (np.ascontiguousarray(p[f"U{d}"][:, k * h : (k + 1) * h]) * half for k in range(3))
-        wz, wr, c = wz * half, wr * half, p[f"c{d}"] * half
+        uz, ur, un = (np.ascontiguousarray(p[f"U{d}"][:, k * h : (k + 1) * h]) for k in range(3))
+        un, c = un * half, p[f"c{d}"] * half
         out = np.empty((*x.shape, h), np.float32)
         state = np.zeros((x.shape[1], h), np.float32)
-        z, r, n, m = (np.empty_like(state) for _ in range(4))
+        z, r, n, m, whole = (np.empty_like(state) for _ in range(5))
+
+        def bend(v: np.ndarray) -> None:
+            np.abs(v, whole)
+            np.add(whole, 1, whole)
+            np.divide(v, whole, v)
+
         for t in range(len(x)):
             np.take(wz, x[t], 0, z, "clip")
             np.take(wr, x[t], 0, r, "clip")
             np.take(wn, x[t], 0, n, "clip")
             np.matmul(state, uz, m)
             z += m
-            np.tanh(z, z)
+            bend(z)
             np.matmul(state, ur, m)
             r += m
-            np.tanh(r, r)
+            bend(r)
             r += 1
             np.matmul(state, un, m)
             m += c
             r *= m
             n += r
-            np.tanh(n, n)
+            bend(n)
             np.subtract(state, n, m)
             m *= half
             z += 1
@@ -148,9 +164,9 @@ class Network:
             for t in range(len(xs) - 1, -1, -1):
                 state, z, r, s, n = memory[d][t]
                 whole = carry + top[t]
-                dn = whole * (1 - z) * (1 - n * n)
-                dz = whole * (state - n) * z * (1 - z)
-                dr = dn * s * r * (1 - r)
+                dn = whole * (1 - z) * (1 - np.abs(n)) ** 2
+                dz = whole * (state - n) * _slope(z)
+                dr = dn * s * _slope(r)
                 inputs[t] = np.concatenate([dz, dr, dn], 1)
                 inner = np.concatenate([dz, dr, dn * r], 1)
                 gc += inner[:, 2 * h :].sum(0)
@@ -221,16 +237,18 @@ def pooled(net: Network, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
 def sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Training stretches (row, SPAN), the class of each and the classes in code-point order."""
     rows = docs.where("text is not null and lang is not null and doc_id is not null").where(doc_fold(F.col("doc_id"), 3) != 1)
-    some = saved(rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).distinct())
-    rows = rows.join(F.broadcast(some), "doc_id").select("lang", "text")  # of max_docs ids at most
+    rows = rows.select("doc_id", "lang", "text", F.xxhash64("text").alias("_key"))
+    same = ["doc_id", "lang", "_key"]
+    some = saved(rows.groupBy(*same).agg(F.lit(1).alias("_one")).drop("_one").orderBy(F.xxhash64(*same), *same).limit(max_docs))
+    rows = rows.join(F.broadcast(some), same).dropDuplicates(same).select("lang", "text")  # max_docs rows at most
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = buffers(batch.column("text"))
             langs, found = [], []
             for k, lang in enumerate(batch.column("lang").to_pylist()):
-                text = data[at[k] : at[k + 1]]
-                seeds = mix(np.arange(DOC_WINDOWS, dtype=np.uint64) + np.uint64(zlib.crc32(text)) * np.uint64(1 << 16))
+                seeds = mix(np.arange(DOC_WINDOWS, dtype=np.uint64) + np.uint64(zlib.crc32(data[at[k] : at[k + 1]])) * np.uint64(1 << 16))
+                text = np.pad(data[at[k] : at[k + 1]], MARGIN, constant_values=_BLANK)  # as it is read later, blanks at its ends
                 for first in np.unique(seeds % np.uint64(max(1, len(text) - SPAN + 1))).tolist():
                     part = text[first : first + SPAN]
                     if _LETTER[part].any():

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -17,6 +18,7 @@ from quarry.llm.common import Slots, buffers, doc_fold, ranked, runs, words
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
 BPE = public.path("word_bpe_49k.json")
+TABLES = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # extra columns, some with names that operators use themselves
@@ -593,6 +595,14 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
+def test_language_of_the_held_out_documents(spark):
+    """The real table: documents of the fold that training never saw."""
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text", "lang")
+    got = langid.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 250 and np.mean([r.lang == r.lang_pred for r in got]) >= 0.98
+
+
 def test_language_undetermined(odd):
     got = {r.doc_id: r.lang_pred for r in langid.identify(odd, steps=5).collect()}
     assert all(got[k] == "und" for k in (400, 401, 402, 403)) and got[405] != "und" and got[404] != "und"
