@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 from importlib import import_module
 
 from pyspark.sql import SparkSession
@@ -17,6 +16,12 @@ from quarry.plans import lifecycle
 from quarry.sources import readers, sinks
 
 
+def _named(name: str):
+    """What module:function names: it makes a provider or an encoder."""
+    module, _, function = name.partition(":")
+    return getattr(import_module(module), function)
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="quarry", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -28,6 +33,12 @@ def main(args: list[str] | None = None) -> None:
         evaluate.add_argument(f"--{name}", required=True)
     evaluate.add_argument("--run", default="run")
     evaluate.add_argument("--metrics", default=",".join(lifecycle.OFFLINE), help="names, by comma")
+    evaluate.add_argument("--encoder", action="append", default=[], metavar="MODE=MODULE:FUNCTION", help="an encoder of texts for argument_similarity")
+    evaluate.add_argument("--token-encoder", action="append", default=[], metavar="MODE=MODULE:FUNCTION", help="an encoder of texts' tokens")
+    evaluate.add_argument("--judge", help="module:function of the provider that judges")
+    evaluate.add_argument("--correctness-template", help="file")
+    evaluate.add_argument("--plausibility-template", help="file")
+    evaluate.add_argument("--rubric", default="", help="keys of the judge's scores, by comma")
     generate = commands.add_parser("generate")
     for name in ("records", "output", "report-template", "explain-template", "primitives", "model"):
         generate.add_argument(f"--{name}", required=True)
@@ -43,23 +54,28 @@ def main(args: list[str] | None = None) -> None:
         sinks.write_table(readers.records(readers.table(spark, got.input, readers.RECORD)), got.output)
         return
     if got.command == "generate":
-        module, _, function = got.model.partition(":")  # module:function, which makes a provider
-        model = getattr(import_module(module), function)
+        model = _named(got.model)
         records = readers.table(spark, got.records)
         if "perturbations" in records.columns:
             records = records.select("index", F.to_json("perturbations").alias("perturbation"))
         records = records.orderBy("index").limit(got.max_items) if got.max_items else records
-        if os.path.exists(f"{got.output}/explanations") and "://" not in got.output:
-            records = resolve.remaining(records, spark.read.parquet(f"{got.output}/explanations"), "index")  # go on where a former run ended
+        if (done := sinks.latest(spark, f"{got.output}/explanations", "index")) is not None:
+            records = resolve.remaining(records, done, "index")  # go on where a former run ended
         tools = [(name, readers.table(spark, path)) for name, path in got.tools.items()]
         templates = [readers.text_file(spark, p).first().value for p in (got.report_template, got.explain_template, got.primitives)]
         reports = readers.table(spark, got.reports, readers.REPORT) if got.mode == "explain-only" else None
         made = lifecycle.generate(records, tools, *templates, got.question, model, reports=reports)
+        number = sinks.next_commit(spark, f"{got.output}/explanations")  # explanations come last: without them a run repeats its number
         for name, rows in zip(("reports", "explanations"), made):
-            sinks.write_table(rows, f"{got.output}/{name}", mode="append")
+            sinks.commit(rows, f"{got.output}/{name}", number)
         return
     words = [r.action for r in readers.json_list(spark, got.vocabulary, readers.PRIMITIVES).select("action").collect()]  # a small dictionary
-    scores = lifecycle.evaluate(readers.table(spark, got.truth, readers.EXPLANATION), readers.table(spark, got.found, readers.EXPLANATION), words, tuple(got.metrics.split(",")))
+    by_mode = lambda given: {mode: _named(name) for mode, _, name in (x.partition("=") for x in given)}
+    template = lambda path: readers.text_file(spark, path).first().value if path else ""
+    scores = lifecycle.evaluate(
+        readers.table(spark, got.truth, readers.EXPLANATION), readers.table(spark, got.found, readers.EXPLANATION), words, tuple(got.metrics.split(",")),
+        by_mode(got.encoder), by_mode(got.token_encoder), _named(got.judge) if got.judge else None, template(got.correctness_template), template(got.plausibility_template), tuple(k for k in got.rubric.split(",") if k),
+    )
     sinks.write_table(scores, f"{got.output}/scores")
     sinks.write_metrics(metrics.means(scores, skip=("index",)), f"{got.output}/metrics", got.run)
 

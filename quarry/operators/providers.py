@@ -2,10 +2,14 @@
 
 import json
 import re
+import threading
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +36,65 @@ def table_lookup(table: dict[str, dict]) -> Callable[[], Provider]:
     return lambda: lambda requests: [json.dumps(table[r], ensure_ascii=False) for r in requests]
 
 
+class _Pace:
+    """Calls of a task begin no sooner than its share of the rate allows."""
+
+    def __init__(self, per_second: float | None):
+        self.gap, self.lock, self.next = 1 / per_second if per_second else 0.0, threading.Lock(), 0.0
+
+    def wait(self) -> None:
+        if self.gap:
+            with self.lock:
+                now = time.monotonic()
+                at = max(now, self.next)
+                self.next = at + self.gap
+            time.sleep(at - now)
+
+
+def _patient(provider: Provider, request: str, tries: int, backoff: float, pace: _Pace) -> tuple[str | None, str | None]:
+    """The reply and the error of one request."""
+    error = None
+    for turn in range(tries):
+        if turn and backoff:
+            time.sleep(backoff * 2 ** (turn - 1))
+        pace.wait()
+        try:
+            (reply,) = provider([request])
+            return reply, None
+        except Exception as e:  # kept in the row
+            error = f"{type(e).__name__}: {e}"
+    return None, error
+
+
+# Tokens of the first cut of a request that is refused, and by how many each further cut is shorter.
+CUT, SHORTER = 850_000, 5_000
+
+
+def shrinking(make: Callable[[], Provider], encode: Callable[[str], list], decode: Callable[[list], str], refused: tuple[type[Exception], ...] = (Exception,), most: int = CUT, step: int = SHORTER) -> Callable[[], Provider]:
+    """a provider that cuts a request it is refused for to its first tokens, fewer and fewer, until it has a reply; the last
+    refusal is raised when no token is left."""
+
+    def build() -> Provider:
+        ask_ = make()
+
+        def one(request: str) -> str:
+            try:
+                return ask_([request])[0]
+            except refused as e:
+                tokens, size, last = encode(request), most, e
+            while size > 0:
+                try:
+                    return ask_([decode(tokens[:size])])[0]
+                except refused as e:
+                    last = e
+                    size = min(size, len(tokens)) - step if size >= len(tokens) else size - step  # cuts longer than the request change nothing
+            raise last
+
+        return lambda requests: [one(r) for r in requests]
+
+    return build
+
+
 class ProviderError(Exception):
     """A provider that couldn't be made."""
 
@@ -43,11 +106,13 @@ def _broken(why: str) -> Provider:
     return fail
 
 
-def call_once(requests: DataFrame, column: str, make: Callable[[], Provider], replay: DataFrame | None = None, tries: int = 3, batch: int = 64) -> DataFrame:
+def call_once(requests: DataFrame, column: str, make: Callable[[], Provider], replay: DataFrame | None = None, tries: int = 3, batch: int = 64, at_once: int = 1, backoff: float = 0.0, per_second: float | None = None) -> DataFrame:
     """Key, request, reply, error of each distinct non-null request.
 
     Replies in `replay` (key, reply) are used again; the rest is called in batches. Failures, of the provider's making too, go to `error`,
-    after so many tries, and never end the job. Write the result to extend the replay table: a task that runs again repeats its calls.
+    after so many tries, and never end the job.
+    at_once: a task has so many calls of one request each in the air, and gives the replies in order; the wait before a try
+    begins at `backoff` seconds and doubles. per_second: calls of all tasks together, at most. Write the result to extend the replay table: a task that runs again repeats its calls.
     """
     asked = requests.select(F.col(column).alias("request")).where("request is not null").distinct().withColumn("key", F.md5(F.col("request").cast("binary")))
 
@@ -56,6 +121,13 @@ def call_once(requests: DataFrame, column: str, make: Callable[[], Provider], re
             provider = make()
         except Exception as e:  # no provider: every request of the task fails with it
             provider = _broken(f"{type(e).__name__}: {e}")
+        if at_once > 1 or per_second:
+            pace = _Pace(per_second and per_second / max(1, TaskContext.get().numPartitions()))
+            with ThreadPoolExecutor(at_once) as pool:
+                for frame in frames:
+                    got = list(pool.map(lambda r: _patient(provider, r, tries, backoff, pace), frame["request"].tolist()))
+                    yield pd.DataFrame({"key": frame["key"], "request": frame["request"], "reply": [a for a, _ in got], "error": [b for _, b in got]})
+            return
         for frame in frames:
             replies, errors = [], []
             rows = frame["request"].tolist()

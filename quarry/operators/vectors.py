@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources import readers
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -59,6 +61,21 @@ def embed(texts: DataFrame, text: str, make: Callable[[], Callable[[list[str]],
     return texts.withColumn(into, encode(F.col(text)))
 
 
+def embed_cached(texts: DataFrame, text: str, make, model: str, path: str, batch: int = 128, into: str = "embedding") -> DataFrame:
+    """As embed(), by a table at `path` that keeps every vector under its model and the digest of its text: the encoder
+    is asked for texts that the table doesn't have, once each, and they are added. Null texts have a null vector."""
+    spark = texts.sparkSession
+    key = F.sha2(F.col(text).cast("binary"), 256)
+    asked = texts.where(F.col(text).isNotNull()).select(key.alias("digest"), F.col(text).alias("_text")).groupBy("digest").agg(F.any_value("_text").alias("_text"))
+    read = lambda: spark.read.schema("digest string, vector array<float>, model string").parquet(path).where(F.col("model") == model)
+    if readers.exists(spark, f"{path}/_SUCCESS"):
+        asked = asked.join(read().select("digest"), "digest", "left_anti")
+    new = embed(asked, "_text", make, batch, "vector").select("digest", "vector", F.lit(model).alias("model"))
+    new.write.mode("append").partitionBy("model").parquet(path)
+    known = read().groupBy("digest").agg(F.any_value("vector").alias(into))  # a task that ran twice may have left a vector twice
+    return texts.withColumn("_digest", key).join(known.withColumnRenamed("digest", "_digest"), "_digest", "left").drop("_digest")
+
+
 def nearest_blocks(nodes: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", key: str = "node_id", vector: str = "embedding", query_key: str = "query_id", blocks: int = 64) -> DataFrame:
     """V02 for any number of queries: nodes are dealt into blocks, every query goes over each block once, and the k best of
     the blocks meet per query. Queries are shuffled once a block and never broadcast; groups are bounded by the blocks."""

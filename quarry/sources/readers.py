@@ -72,10 +72,15 @@ def drugs(spark: SparkSession, path: str) -> DataFrame:
     return alias.where("alias_lc is not null").groupBy("alias_lc", "priority").agg(F.max_by("drug_id", "pos").alias("drug_id"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, or one that matches the pattern, on any file system that Spark reads."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop))
+
+
 def cached(spark: SparkSession, path: str, make) -> DataFrame:
     """A Parquet table that is made once."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

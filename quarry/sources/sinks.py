@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources import readers
+
 
 def write_table(df: DataFrame, path: str, by: str | None = None, mode: str = "overwrite") -> None:
     """K01-K03, K05, K06."""
@@ -16,6 +18,28 @@ def write_table(df: DataFrame, path: str, by: str | None = None, mode: str = "ov
     writer.parquet(path)
 
 
+def commit(df: DataFrame, path: str, number: int) -> None:
+    """Rows as one numbered commit of a table. A commit that is written again replaces itself, so a job that was killed can
+    be run again; what was there before is never touched."""
+    df.withColumn("commit", F.lit(number).cast("long")).write.mode("overwrite").partitionBy("commit").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def latest(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """The rows of a table of commits, the last commit's where several have a key; None if there is no commit yet."""
+    if not readers.exists(spark, f"{path}/commit=*"):
+        return None
+    rows = spark.read.parquet(path)
+    last = rows.groupBy(key).agg(F.max("commit").alias("commit"))
+    return rows.join(last, [key, "commit"], "left_semi").drop("commit")
+
+
+def next_commit(spark: SparkSession, path: str) -> int:
+    """One more than the last commit's number; partitions' names alone are read."""
+    if not readers.exists(spark, f"{path}/commit=*"):
+        return 0
+    return int(spark.read.parquet(path).agg(F.max("commit")).first()[0]) + 1
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 

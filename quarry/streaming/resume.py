@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources import sinks
+
 
 def process_new(spark: SparkSession, source: str, schema: str, work, target: str, checkpoint: str) -> None:
     """Run work(DataFrame) on the files that came since the last call; the checkpoint makes it exactly once."""
@@ -13,6 +15,14 @@ def process_new(spark: SparkSession, source: str, schema: str, work, target: str
     query.awaitTermination()
 
 
+def commit_new(spark: SparkSession, source: str, schema: str, work, target: str, checkpoint: str) -> None:
+    """As process_new, for any work on a batch and any file system: each batch is the commit of its number (sinks.commit), so a batch that
+    runs again after a failure replaces what it had written, and sinks.latest gives each key once."""
+    stream = spark.readStream.schema(schema).parquet(source)
+    query = stream.writeStream.foreachBatch(lambda rows, number: sinks.commit(work(rows), target, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Count and sum by window and type, for streams and tables; ts may be without zone."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
