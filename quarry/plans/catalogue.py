@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry import ship
 from quarry.functions import dsl, metrics
-from quarry.operators import cells, chains, evidence, graph, providers, resolve, tagging, vectors
+from quarry.operators import cells, chains, evidence, graph, providers, resolve, retrieval, tagging, vectors
 from quarry.sources import readers
 from quarry.streaming import resume
 
@@ -761,6 +761,23 @@ def relaxation_each(spark, sf_dir):
     return evidence.relax_each(asked, postings, 5).select("index", "doc_id", "round", "place")
 
 
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents WHERE doc_id IS NOT NULL
+), words AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d
+), totals AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS DOUBLE) AS total FROM d WHERE len(t) > 0
+), asked AS (SELECT index, term, count(*) AS times FROM (SELECT item_id AS index, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark) GROUP BY ALL
+), held AS (SELECT term, doc_id, n, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (SELECT term, floor(1e6::DOUBLE * ln(1 + (any_value(docs) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE))) AS w FROM held, totals GROUP BY term
+), impacts AS (
+  SELECT term, doc_id, CAST(floor(w * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / (total / docs))))) AS BIGINT) AS impact FROM held JOIN weights USING (term), totals
+), scores AS (SELECT index, doc_id, CAST(sum(times * impact) AS BIGINT) AS score FROM impacts JOIN asked USING (term) GROUP BY index, doc_id)
+SELECT index, doc_id, score, row_number() OVER (PARTITION BY index ORDER BY score DESC, doc_id) AS rank FROM scores QUALIFY rank <= 10""")
+def question_passages(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    questions = t.benchmark.select(F.col("item_id").alias("index"), F.col("text").alias("question"))
+    return retrieval.best_passages(questions, t.documents)
+
+
 @query(r"""
 WITH spoken AS (SELECT p_partkey AS index, unnest(string_split(p_name || ' ' || p_type, ' ')) AS word, generate_subscripts(string_split(p_name || ' ' || p_type, ' '), 1) - 1 AS pos FROM part)
 SELECT index, arg_min(word, pos) AS word, min(pos) AS pos FROM spoken WHERE length(word) >= 5 GROUP BY index""")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import ship
-from quarry.operators import cells, chains, evidence, graph, providers, resolve, tagging
+from quarry.operators import cells, chains, evidence, graph, providers, resolve, retrieval, tagging
 
 # ---- connecting subgraphs ---------------------------------------------------------------------------------------------
 
@@ -157,6 +157,36 @@ def test_papers_near_a_query(spark):
     assert got == {1: want(5), 2: want(5), 3: want(11)}
 
 
+def test_passages_and_answers(spark):
+    ship(spark)
+    rng = random.Random(9)
+    word = lambda: f"t{int(rng.paretovariate(0.7)) % 60}"
+    docs = [(k, " ".join(word() for _ in range(rng.randrange(1, 40)))) for k in range(200)] + [(900, None), (901, " ,"), (None, "t1")]
+    questions = [(k, " ".join(word() for _ in range(rng.randrange(1, 12)))) for k in range(25)] + [(90, None), (91, "nowhere"), (92, "T1 t1")]
+    held = {k: t.split() for k, t in docs if k is not None and t and t.strip(" ,")}
+    mean = sum(map(len, held.values())) / len(held)
+    df = {w: sum(w in t for t in held.values()) for t in held.values() for w in t}
+
+    def score(q, t):
+        return sum(int(int(1e6 * np.log(1 + (len(held) - df[w] + 0.5) / (df[w] + 0.5))) * (t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean)))) for w in q if w in t)
+
+    frame = spark.createDataFrame(docs, "doc_id int, text string").withColumn("n", F.lit("clash"))
+    asked = spark.createDataFrame(questions, "index int, question string")
+    got = defaultdict(list)
+    for r in retrieval.best_passages(asked, frame, 5).orderBy("index", "rank").collect():
+        got[r["index"]].append((r.doc_id, r.score))
+    want = {}
+    for k, q in questions:
+        q = (q or "").lower().split()
+        top = sorted((-score(q, t), d) for d, t in held.items() if set(q) & set(t))[:5]
+        if top:
+            want[k] = [(d, -s) for s, d in top]
+    assert {k: [d for d, _ in v] for k, v in got.items()} == {k: [d for d, _ in v] for k, v in want.items()}
+    assert all(abs(a - b) <= 3 for k in want for (_, a), (_, b) in zip(got[k], want[k], strict=True))
+    told = {r["index"]: r for r in retrieval.answers(asked.where("index in (0, 90, 91)"), frame, lambda: lambda prompts: [p[-3:] for p in prompts], 2).collect()}
+    assert told[0].passages == [d for d, _ in want[0][:2]] and told[0].answer == questions[0][1][-3:] and told[91].passages is None and told[90].answer is None
+
+
 # ---- relaxation and first successes ---------------------------------------------------------------------------------------
 
 
