@@ -448,7 +448,7 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, before: DataFra
 
     before: the same documents as they came (doc_id, text), for texts that lost lines since: what is left of two near copies may
     resemble each other no more. Of each class of those texts the least id that is still in docs stays, too. Ids that stand there
-    more than once, and documents that aren't made of lines they had, are left to their text of now.
+    more than once, and documents that are longer now, are left to their text of now.
     """
     if before is not None:
         docs = _first_as_they_came(docs, before, similarity)
@@ -463,12 +463,15 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, before: DataFra
 
 
 def _first_as_they_came(docs: DataFrame, before: DataFrame, similarity: float) -> DataFrame:
-    """docs without those whose text in `before` resembles that of a lesser id in docs."""
-    came = before.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    single = came.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows = 1").select("doc_id")
-    now = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("now")).where("doc_id is not null and now is not null")
-    part = F.size(F.array_except(F.split("now", "\n", -1), F.split("text", "\n", -1))) == 0
-    came = kept(came.join(single, "doc_id", "left_semi").join(now, "doc_id").where(part).select("doc_id", "text").distinct())
-    found = kept(classes(came, similarity).where("comp is not null").select("comp", "doc_id"))
-    gone = found.join(found.groupBy("comp").agg(F.min("doc_id").alias("first")), "comp").where("doc_id <> first").select(F.col("doc_id").alias("_gone")).distinct()
+    """docs without those whose text in `before` resembles that of a lesser id in docs. Only ids and lengths meet; no text moves for it."""
+    now = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("now")).where("doc_id is not null and now is not null")
+    came = before.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("came")).where("doc_id is not null")
+    found = classes(before, similarity).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("comp").alias("comp"))
+    found = found.where("rows = 1 and comp is not null").select("doc_id", "comp")
+    found = kept(found.join(now, "doc_id").join(came, "doc_id").where("now <= came").select("doc_id", "comp").distinct())
+    gone = found.join(found.groupBy("comp").agg(F.min("doc_id").alias("first")), "comp").where("doc_id <> first").select(F.col("doc_id").alias("_gone"))
+    gone = kept(gone.distinct())
+    docs.sparkSession._jvm.System.gc()  # lets Spark delete the shuffles of the classes
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
