@@ -1,7 +1,9 @@
-"""Scores of explanations. A01-A06, A14, A15 and ROUGE-N are Column expressions; BLEU, ROUGE-L and METEOR are Arrow UDFs."""
+"""Scores of explanations. A01-A06, A14, A15 and ROUGE-N are Column expressions, BLEU of a table is a plan; ROUGE-L and METEOR are Arrow UDFs."""
+
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -107,6 +109,60 @@ def _bleu(truth: pd.Series, found: pd.Series) -> pd.Series:
     return pd.Series([text.corpus_bleu([b or ""], [a or ""]) for a, b in zip(truth, found)])
 
 
+# The marks that the 13a tokenizer parts from words, by code points, and its rules for points, commas and hyphens, in order.
+MARKS = r"([\x7B-\x7E\x5B-\x60\x20-\x26\x28-\x2B\x3A-\x40\x2F])"
+RULES = ((MARKS, " $1 "), (r"([^0-9])([.,])", "$1 $2 "), (r"([.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 "))
+ENTITIES = (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+
+
+def tokens_13a(column: Column) -> Column:
+    """Words and marks as the 13a tokenizer parts them; null counts as empty."""
+    out = F.coalesce(column, F.lit(""))
+    for old, new in ENTITIES:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    out = F.concat(F.lit(" "), out, F.lit(" "))
+    for rule, to in RULES:
+        out = F.regexp_replace(out, rule, to)
+    return F.filter(F.split(out, r"(?U)\s+"), lambda x: x != "")
+
+
+def _grams(words: Column, n: int) -> Column:
+    place = F.sequence(F.lit(1), F.size(words) - (n - 1))
+    return F.when(F.size(words) >= n, F.transform(place, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def ngram_overlap(rows: DataFrame, key: list[str], truth: str, found: str, most: int = 4) -> DataFrame:
+    """key, n, hits, total: how many n-grams of `found` are in `truth` too (as multisets), and how many it has, for n to `most`; rows of one
+    key count together. Each n-gram of a key is a row that is counted by aggregation, so no text's n-grams meet in one task."""
+    words = rows.select(*key, tokens_13a(F.col(truth)).alias("_a"), tokens_13a(F.col(found)).alias("_b"), F.monotonically_increasing_id().alias("_row"))
+
+    def marked(side: str, n: int) -> Column:
+        return F.transform(_grams(F.col(side), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(int(side == "_a")).alias("a"), F.lit(int(side == "_b")).alias("b")))
+
+    listed = F.flatten(F.array(*(marked(side, n) for n in range(1, most + 1) for side in ("_a", "_b"))))
+    grams = words.select(*key, "_row", F.inline(listed))
+    grams = grams.groupBy(*key, "_row", "n", "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return grams.groupBy(*key, "n").agg(F.sum(F.least("a", "b")).alias("hits"), F.sum("b").alias("total"))
+
+
+def bleu_table(rows: DataFrame, key: list[str], truth: str, found: str, most: int = 4) -> DataFrame:
+    """Key, bleu of the rows of each key together (a row a part): counts summed over them, effective order, exponential smoothing,
+    from 0 to 1. Null texts count as empty; without common words it is 0."""
+    size = rows.groupBy(*key).agg(F.sum(F.size(tokens_13a(F.col(truth)))).alias("_other"), F.sum(F.size(tokens_13a(F.col(found)))).alias("_own"))
+    at = lambda c, n: F.coalesce(F.max(F.when(F.col("n") == n, F.col(c))), F.lit(0))
+    wide = ngram_overlap(rows, key, truth, found, most).groupBy(*key).agg(*(at(c, n).alias(f"{c}{n}") for n in range(1, most + 1) for c in ("hits", "total")))
+    same = reduce(lambda x, y: x & y, (F.col(f"s.{k}").eqNullSafe(F.col(f"w.{k}")) for k in key))
+    both = size.alias("s").join(wide.alias("w"), same, "left").select(*(F.col(f"s.{k}").alias(k) for k in key), "_own", "_other", *(F.coalesce(c, F.lit(0)).alias(c) for c in wide.columns if c not in key))
+    logs, orders, misses, hits = F.lit(0.0), F.lit(0), F.lit(0), F.lit(0)
+    for n in range(1, most + 1):
+        h, t = F.col(f"hits{n}"), F.col(f"total{n}")
+        misses = misses + F.when((t > 0) & (h == 0), 1).otherwise(0)
+        logs = logs + F.when(t == 0, 0.0).when(h > 0, F.ln(h / t)).otherwise(F.ln(1 / (F.pow(F.lit(2.0), misses) * t)))
+        orders, hits = orders + F.when(t > 0, 1).otherwise(0), hits + h
+    brief = F.when(F.col("_own") >= F.col("_other"), 1.0).otherwise(F.exp(1 - F.col("_other") / F.col("_own")))
+    return both.select(*key, F.when(hits == 0, 0.0).otherwise(brief * F.exp(logs / orders)).alias("bleu"))
+
+
 def sentence_bleu(truth: Column, found: Column) -> Column:
     """BLEU of one pair on 13a tokens, with effective order and exponential smoothing, from 0 to 1."""
     return _bleu(truth, found)

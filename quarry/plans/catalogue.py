@@ -546,10 +546,33 @@ def token_rougeL(spark, sf_dir):  # noqa: N802
     return _pairs(Tables(spark, sf_dir)).select("item_id", F.round(metrics.rouge_l(F.col("text"), F.col("found")), 4).alias("f1"))
 
 
-@query()
+def _bleu_sql(pairs: str) -> str:
+    """BLEU by plain SQL: key, a (truth) and f (found) of pairs."""
+    text = "replace(replace(replace(replace(replace(replace(replace(coalesce({c}, ''), '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '), '&quot;', chr(34)), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')"
+    for rule, to in metrics.RULES:
+        text = f"regexp_replace({text if 'regexp' in text else f"' ' || {text} || ' '"}, '{rule}', '{to.replace('$', chr(92))}', 'g')"
+    cut = "list_filter(string_split_regex(" + text + ", '\\s+'), lambda x: x <> '')"
+    grams = lambda side: " UNION ALL ".join(f"SELECT key, {n} AS n, unnest([array_to_string({side}[i:i + {n - 1}], ' ') FOR i IN range(1, len({side}) - {n - 2})]) AS g FROM w" for n in range(1, 5))
+    return f"""
+WITH p AS ({pairs}), w AS (SELECT key, {cut.format(c='a')} AS a, {cut.format(c='f')} AS f FROM p),
+x AS (SELECT key, n, g, count(*) AS k FROM ({grams('a')}) GROUP BY ALL), y AS (SELECT key, n, g, count(*) AS k FROM ({grams('f')}) GROUP BY ALL),
+c AS (SELECT y.key, y.n, sum(CASE WHEN x.k IS NULL THEN 0 ELSE least(x.k, y.k) END)::DOUBLE AS hits, sum(y.k)::DOUBLE AS total FROM y LEFT JOIN x ON x.key = y.key AND x.n = y.n AND x.g = y.g GROUP BY ALL),
+m AS (SELECT *, sum(CASE WHEN hits = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY n) AS misses, sum(hits) OVER (PARTITION BY key) AS any_hit FROM c),
+s AS (SELECT key, max(any_hit) AS any_hit, avg(ln(CASE WHEN hits > 0 THEN hits / total ELSE 1 / (pow(2, misses) * total) END)) AS mean FROM m GROUP BY key)
+SELECT w.key AS {{key}}, round(CASE WHEN coalesce(any_hit, 0) = 0 THEN 0 ELSE exp(mean) * CASE WHEN len(f) >= len(a) THEN 1 ELSE exp(1 - len(a) / len(f)) END END, 4) AS bleu FROM w LEFT JOIN s USING (key)"""
+
+
+@query(_bleu_sql("SELECT item_id AS key, b.text AS a, d.text AS f FROM benchmark b JOIN documents d ON doc_id = item_id").format(key="item_id"))
 def token_bleu(spark, sf_dir):
-    ship(spark)
-    return _pairs(Tables(spark, sf_dir)).select("item_id", F.round(metrics.sentence_bleu(F.col("text"), F.col("found")), 4).alias("bleu"))
+    return metrics.bleu_table(_pairs(Tables(spark, sf_dir)), ["item_id"], "text", "found").select("item_id", F.round("bleu", 4).alias("bleu"))
+
+
+# every document against the one of the next id
+@query(_bleu_sql("SELECT d.doc_id AS key, d.text AS a, n.text AS f FROM documents d JOIN documents n ON n.doc_id = d.doc_id + 1").format(key="doc_id"))
+def document_bleu(spark, sf_dir):
+    docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
+    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("found")), "doc_id")
+    return metrics.bleu_table(pairs, ["doc_id"], "text", "found").select("doc_id", F.round("bleu", 4).alias("bleu"))
 
 
 @query()

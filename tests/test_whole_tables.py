@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import ship
+from quarry.functions import metrics, text
 from quarry.operators import cells, chains, evidence, graph, providers, resolve, retrieval, tagging
 
 # ---- connecting subgraphs ---------------------------------------------------------------------------------------------
@@ -187,6 +188,19 @@ def test_passages_and_answers(spark):
     assert told[0].passages == [d for d, _ in want[0][:2]] and told[0].answer == questions[0][1][-3:] and told[91].passages is None and told[90].answer is None
 
 
+def test_bleu_of_a_table_is_the_plain_one(spark):
+    rng = random.Random(12)
+    bits = ["a", "b", "b.", "3,5", "x-y", "9-z", "(c)", "&quot;q&quot;", "é", "d-\n", "\n", "<skipped>", "$1"]
+    line = lambda: " ".join(rng.choice(bits) for _ in range(rng.randrange(0, 12)))
+    rows = [(k, line(), line()) for k in range(40)] + [(k, line(), line()) for k in range(0, 40, 2)] + [(90, None, "a"), (91, "a b", None), (None, "a b c", "a b c")]
+    df = spark.createDataFrame(rows, "k int, t string, f string").withColumn("n", F.lit("clash")).repartition(3)
+    got = {r.k: r.bleu for r in metrics.bleu_table(df, ["k"], "t", "f").collect()}
+    assert set(got) == {k for k, *_ in rows}
+    for k, bleu in got.items():
+        parts = [(t or "", f or "") for key, t, f in rows if key == k]
+        assert bleu == pytest.approx(text.corpus_bleu([f for _, f in parts], [t for t, _ in parts]), abs=1e-9), (k, parts)
+
+
 # ---- relaxation and first successes ---------------------------------------------------------------------------------------
 
 
