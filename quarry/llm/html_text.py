@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -92,20 +93,30 @@ def tokens(page: str):
 def _extents(flat: list) -> tuple[dict[int, int], set[int], set[int]]:
     """Which start tags have an end tag, and where; those around a marked element; those around a heading of first order."""
     opened: list[tuple[str, int]] = []
+    number: Counter[str] = Counter()
     closes, marked, headed = {}, set(), set()
+
+    def all_around(found: set[int]) -> None:
+        for _, at in reversed(opened):
+            if at in found:  # then those further out are there, too
+                break
+            found.add(at)
+
     for k, t in enumerate(flat):
         if t[0] == "text" or t[3].endswith("/"):
             continue
         if t[2] == "h1" and not t[1]:
-            headed.update(at for _, at in opened)
+            all_around(headed)
         if t[2] in HOLDS:
             if not t[1]:
                 if t[2] in MARKED:
-                    marked.update(at for _, at in opened)
+                    all_around(marked)
                 opened.append((t[2], k))
-            elif any(name == t[2] for name, _ in opened):
+                number[t[2]] += 1
+            elif number[t[2]]:
                 while opened[-1][0] != t[2]:
-                    opened.pop()
+                    number[opened.pop()[0]] -= 1
+                number[t[2]] -= 1
                 closes[opened.pop()[1]] = k
     return closes, marked, headed
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -62,6 +63,16 @@ def test_layouts(weight, page, text):
     assert html_text.main_text(page, weight) == text
 
 
+def test_deep_and_broken_pages_are_read_once(weight):
+    """What is nested or left open a hundred thousand times takes no longer than its length asks for."""
+    began = time.monotonic()
+    assert html_text.main_text("<div>" * 100_000 + "x" + "</span>" * 100_000, {"w:": 1.0, "w:/a": -0.5, "t:": -1.0}) == "x"
+    assert html_text.main_text("<article>" * 60_000 + "<h1>" * 60_000 + "y", weight) == "y"
+    assert html_text.main_text("<p>word here" + '<a href="x' * 50_000, weight) == "word here"
+    assert html_text.main_text("<script>" * 50_000 + "<!--" * 50_000, weight) == ""
+    assert time.monotonic() - began < 60
+
+
 def test_best_run_is_the_best_of_all():
     rng = np.random.default_rng(0)
     for _ in range(300):
