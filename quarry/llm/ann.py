@@ -1,21 +1,23 @@
 """Approximate nearest neighbours for the largest inner product, with score-aware anisotropic quantisation.
 
-Vectors are product-quantised, two components and 4 bits a subspace. Codebooks and codes minimise the anisotropic loss
-|r|^2 + (eta - 1) (u.r)^2 with u = x / |x|: an error parallel to the vector, which changes large inner products, costs
-eta times as much as one across it. Every row is encoded and belongs to the part of its nearest centre; a part is held in
-blocks of bounded size. A query goes to the parts whose centres have the largest products with it, to as many as held
-`COVER` of the neighbours of sample queries, and to more, in that order, until they hold enough vectors to answer. There it scans the 4-bit codes through its table of partial products, two
-codes a lookup; the best of a block are scored again with four more bits of what the codes left, and the `SHORTLIST` best
-of a query are ranked by exact products in doubles.
-
-So codes move once, and a query moves once for each block that it asks. A block gives back what scores no less than
-some vectors of a sample do, so that all blocks together give some twice the shortlist. Codebooks and centres are fitted on the `SAMPLE`
-and `CENTRE_SAMPLE` vectors of least id hash.
+Vectors are product-quantised, two components and 4 bits a subspace, with four more bits a component of what these codes
+leave. Codebooks and codes minimise the anisotropic loss |r|^2 + (eta - 1) (u.r)^2 with u = x / |x|: an error parallel to
+the vector, which changes large inner products, costs eta times as much as one across it. Every row is encoded and belongs
+to the part of its nearest centre; a part is held in blocks of bounded size.
+
+No vector is lost to an estimate. A query's floor is its k-th product with a sample, which the k-th of all can't be below. It goes
+to every part that can reach the floor: the product with the centre and the query's length times the part's radius. There it
+scans the codes through its table of partial products, two codes a lookup. A row keeps the length of what its codes miss,
+so each estimate has bounds; rows whose upper bound reaches the floor and the block's k-th lower bound are ranked by
+their exact products in doubles. So results are those of brute force whatever the rows are, and how well codes
+and parts fit decides the time alone: where parts don't separate, all queries scan all codes.
+
+Vectors move once, with their codes, and a query once for each block that it asks; a block gives back k rows of it at most. Codebooks and
+centres are fitted on the `SAMPLE` and `CENTRE_SAMPLE` vectors of least id hash.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components
 take no part, nor do rows without an id; of equal queries by id one asks; rows that share an id are separate candidates,
 but never for the query of that id; ties go to the smaller id; other columns are ignored; an empty table gives no rows.
-Entries are named by a 64-bit hash of the vector: two vectors of one hash are candidates together, and both ranked exactly.
 """
 
 from __future__ import annotations
@@ -28,23 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, saved
+from .common import kept
 
 SAMPLE, ROUNDS, THRESHOLD = 8192, 8, 0.2
 CODES = 16
 #: Components of a subspace.
 WIDTH = 2
-SHORTLIST = 100
-#: Times the shortlist that the scan of a block keeps for the finer codes.
-WIDER = 4
 BLOCK, QUERY_BLOCK = 32_768, 256
 #: Parts have so many rows on average, and are so many at most.
 PART_ROWS, PARTS = 4096, 4096
-CENTRE_SAMPLE, COVER = 32_768, 0.985
-#: What a block gives of each query, beside the neighbours asked for.
-SPARE = 20
-#: A query takes the best of its first parts, and of those it needs to have enough, whatever they score, and of the others what isn't below its floor by so many times the codes' error.
-FIRST, SLACK = 4, 3.0
+CENTRE_SAMPLE = 32_768
 
 
 class Quantiser(NamedTuple):
@@ -76,11 +71,6 @@ class Quantiser(NamedTuple):
                 total = other + along[:, j]
         return code.astype(np.uint8)
 
-    def packed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Both levels of codes, two a byte."""
-        code = self.assign(x)
-        return code[:, 0::2] | code[:, 1::2] << 4, self.refined(x, code)
-
     def rest(self, x: np.ndarray, code: np.ndarray) -> np.ndarray:
         """What the codes leave of the vectors."""
         return x - self.books[np.arange(len(self.books)), code].reshape(len(x), -1)[:, : self.dim]
@@ -148,44 +138,13 @@ def nearest(x: np.ndarray, found: np.ndarray) -> np.ndarray:
     return np.concatenate([((found**2).sum(1)[None, :] - 2 * x[a : a + 4096] @ found.T).argmin(1) for a in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
 
 
-def error(quantiser: Quantiser, x: np.ndarray, asked: int = 256) -> float:
-    """Root mean square of what both levels of codes miss of a product with a query, as a share of the query's length."""
-    code = quantiser.assign(x)
-    missed = quantiser.rest(x, code) - quantiser.unrefined(quantiser.refined(x, code))
-    q = x[:asked] / np.sqrt((x[:asked] ** 2).sum(1, keepdims=True))
-    return float(np.sqrt(((q @ missed.T) ** 2).mean()))
-
-
-def probes(x: np.ndarray, found: np.ndarray, k: int, asked: int = 512) -> int:
-    """How many parts, in order of their centres' products, hold COVER of the k nearest of sample queries in the sample."""
-    if len(found) == 1:
-        return 1
-    home = nearest(x, found)
-    q = x[:asked]
-    scores = q @ x.T
-    scores[np.arange(len(q)), np.arange(len(q))] = -np.inf
-    best = np.argpartition(-scores, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)]
-    place = np.empty((len(q), len(found)), np.int64)
-    place[np.arange(len(q))[:, None], np.argsort(-(q @ found.T), axis=1)] = np.arange(len(found))
-    needed = np.sort(place[np.arange(len(q))[:, None], home[best]].ravel())
-    return int(needed[min(len(needed) - 1, int(np.ceil(COVER * len(needed))))]) + 1
-
-
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _best(scores: np.ndarray, k: int) -> list[np.ndarray]:
-    """Per row the places of the k largest, of equal ones the first."""
-    if scores.shape[1] <= k:
-        return [np.arange(scores.shape[1])] * len(scores)
-    limit = np.partition(scores, -k, axis=1)[:, -k]
-    out = []
-    for row, low in zip(scores, limit):
-        above = np.flatnonzero(row > low)
-        out.append(np.concatenate([above, np.flatnonzero(row == low)[: k - len(above)]]))
-    return out
+def _lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x**2).sum(1))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -198,7 +157,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("embedding") == (length[0].k if length else 0))
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = SHORTLIST + 1) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row for which `queries` (on vec_id) holds."""
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -206,113 +165,146 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, shortlist: int = SH
     if rows.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = rows.select(F.size("embedding")).first()[0]
-    # Equal vectors are one entry of the index; no more than k + 1 of their rows, of least ids, can be among the k nearest.
-    copy = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    rows = rows.withColumn("copy", copy).where(F.col("copy") <= k + 1).withColumn("g", F.xxhash64("embedding"))
-    members = saved(rows)
-    rows = members.where("copy = 1")
+    # Equal vectors are one entry of the index. Of its k + 1 least ids, k rows each, k are left whichever id asks.
+    place = F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    copy = F.row_number().over(Window.partitionBy("embedding", "vec_id").orderBy("vec_id"))
+    rows = rows.withColumn("place", place).where(F.col("place") <= k + 1).withColumn("copy", copy).where(F.col("copy") <= k)
+    rows = kept(rows.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     n = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(CENTRE_SAMPLE).toArrow()
-    x = _matrix(sample["embedding"], dim).astype(np.float64)
+    sample = rows.select(F.get("ids", F.lit(0)).alias("id"), "embedding").orderBy(F.xxhash64("id"), "id", "embedding").limit(CENTRE_SAMPLE).toArrow()
+    drawn = _matrix(sample["embedding"], dim)
+    x, kind = drawn.astype(np.float64), drawn.dtype
     middle = centres(x, max(1, min(PARTS, n // PART_ROWS, len(x) // 8)))
-    asks, most = probes(x, middle, k), k + SPARE
-    # a query takes no vector whose score is below that of so many vectors of the sample: on average some twice the shortlist are above
-    above = -(-2 * shortlist * len(x) // n) + 8
     quantiser = fit(x[:SAMPLE])
-    model = spark.sparkContext.broadcast((quantiser, middle, x.astype(np.float32), error(quantiser, x[:SAMPLE])))
+    model = spark.sparkContext.broadcast((quantiser, middle, drawn, sample["id"].to_numpy()))
+    width = len(quantiser.books) // 2
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows and radius of the parts; a vector as near to other centres counts for these as well, wherever rounding puts it."""
+        _, found, _, _ = model.value
+        rows_, radius = np.zeros(len(found), np.int64), np.zeros(len(found))
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                v = _matrix(batch.slice(a, 1024).column("embedding"), dim).astype(np.float64)
+                away = (v**2).sum(1)[:, None] + (found**2).sum(1)[None, :] - 2 * v @ found.T
+                least = away.min(1)
+                row, part = np.nonzero(~(away > (least + 1e-9 * ((v**2).sum(1) + (found**2).sum(1).max()))[:, None]))
+                np.add.at(rows_, part, 1)
+                np.maximum.at(radius, part, _lengths(v[row] - found[part]))
+        some = np.flatnonzero(rows_)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(rows_[some]), pa.array(radius[some])], ["part", "rows", "radius"])
+
+    parts = rows.select("embedding").mapInArrow(measure, "part int, rows long, radius double")
+    held, radius = np.zeros(len(middle), np.int64), np.zeros(len(middle))
+    for row in parts.groupBy("part").agg(F.sum("rows").alias("rows"), F.max("radius").alias("radius")).collect():  # PARTS rows at most
+        held[row.part], radius[row.part] = row["rows"], row["radius"]
+    blocks = -(-held // BLOCK)
+    columns, schema = ["part", "block", "kind", "id", "number", "body", "ids"], "part int, block int, kind int, id long, number double, body binary, ids array<long>"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantiser, found, _, _ = model.value
         for batch in batches:
             if batch.num_rows:
-                v = _matrix(batch.column("embedding"), dim).astype(np.float64)
-                codes, fine = quantiser.packed(v)
-                yield pa.RecordBatch.from_arrays([pa.array(nearest(v, found).astype(np.int32)), batch.column("g"), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array([r.tobytes() for r in fine], pa.binary())], ["part", "id", "body", "fine"])
+                own = np.ascontiguousarray(_matrix(batch.column("embedding"), dim))
+                v = own.astype(np.float64)
+                code = quantiser.assign(v)
+                fine = quantiser.refined(v, code)
+                rest = quantiser.rest(v, code)
+                # what both codes miss, and the rounding of sums in floats
+                missed = _lengths(rest - quantiser.unrefined(fine)) + (1e-5 + 1e-7 * dim) * (2 * _lengths(v) + 2 * _lengths(rest))
+                part = nearest(v, found)
+                block = batch.column("g").to_numpy() % np.maximum(1, blocks[part])
+                body = np.concatenate([code[:, 0::2] | code[:, 1::2] << 4, fine, own.view(np.uint8).reshape(len(own), -1)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(np.zeros(len(v), np.int32)), batch.column("g"), pa.array(missed), pa.array([r.tobytes() for r in body], pa.binary()), batch.column("ids").cast(pa.list_(pa.int64()))], columns)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, found, drawn, slack = model.value
+        _, found, drawn, names = model.value
+        drawn = drawn.astype(np.float64)
+        longest = _lengths(drawn).max()
+        reach = radius + 1e-6 * (radius + _lengths(found))
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                rows_ = batch.slice(a, 256)
-                v = _matrix(rows_.column("embedding"), dim).astype(np.float64)
-                parts = np.argsort(-(v @ found.T), axis=1, kind="stable").astype(np.int32)
-                before = np.cumsum(held[parts], axis=1) - held[parts]  # vectors in the parts before
-                first = (before < most) | (np.arange(parts.shape[1]) < FIRST)
-                take = (first | (np.arange(parts.shape[1]) < asks)) & (held[parts] > 0)
-                ways = [[{"part": int(p), "kind": 1 if one else 2} for p, one in zip(r[t], f[t])] for r, f, t in zip(parts, first, take)]
-                floor = np.partition(v.astype(np.float32) @ drawn.T, -above, axis=1)[:, -above] if above < len(drawn) else np.full(len(v), -np.inf)
-                floor = floor - SLACK * slack * np.sqrt((v**2).sum(1))
-                yield pa.RecordBatch.from_arrays([pa.array(ways, pa.list_(pa.struct([("part", pa.int32()), ("kind", pa.int32())]))), rows_.column("vec_id"), pa.array([np.append(r, f).astype("<f4").tobytes() for r, f in zip(v, floor)], pa.binary())], ["ways", "id", "body"])
+            for a in range(0, batch.num_rows, 64):
+                rows_ = batch.slice(a, 64)
+                own = np.ascontiguousarray(_matrix(rows_.column("embedding"), dim))
+                v, ids = own.astype(np.float64), rows_.column("vec_id").to_numpy()
+                floor = np.full(len(v), -np.inf)
+                if len(drawn) >= k:
+                    score = v @ drawn.T
+                    score[ids[:, None] == names[None, :]] = -np.inf
+                    floor = np.partition(score, -k, axis=1)[:, -k] - 1e-9 * _lengths(v) * longest
+                asks = ~(v @ found.T + _lengths(v)[:, None] * reach < floor[:, None]) & (held > 0)
+                row, part = np.nonzero(asks)
+                row, part = np.repeat(row, blocks[part]), np.repeat(part, blocks[part])
+                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])))
+                block = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) if len(row) else row
+                body = [r.tobytes() for r in own]
+                for b in range(0, len(row), 4096):
+                    r, p = row[b : b + 4096], part[b : b + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(block[b : b + 4096].astype(np.int32)), pa.array(np.ones(len(r), np.int32)), pa.array(ids[r]), pa.array(floor[r]), pa.array([body[i] for i in r], pa.binary()), pa.nulls(len(r), pa.list_(pa.int64()))], columns)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by block: first its codes, then the queries that ask it, some at a time."""
         quantiser, _, _, _ = model.value
-        block, held, asked, ids, codes, rest = None, [], [], None, None, None
+        at, entries, asked, block = None, [], [], None
+
+        def close() -> tuple:
+            body = np.frombuffer(b"".join(b for b, _, _ in entries), np.uint8).reshape(len(entries), -1)
+            codes, fine = body[:, :width].T.copy(), body[:, width : width + -(-dim // 2)]
+            own = np.frombuffer(body[:, width + fine.shape[1] :].tobytes(), kind).reshape(-1, dim)
+            least = np.array([i[0] for _, _, i in entries], np.int64)
+            second = np.array([next((j for j in i if j != i[0]), i[0]) for _, _, i in entries], np.int64)
+            return codes, quantiser.unrefined(fine), np.array([m for _, m, _ in entries], np.float32), own, least, second, [i for _, _, i in entries]
 
         def answer() -> pa.RecordBatch:
-            x32 = np.frombuffer(b"".join(v for _, v, _ in asked), "<f4").reshape(len(asked), dim + 1)
-            x32, floor = np.ascontiguousarray(x32[:, :dim]), x32[:, dim]
-            lut = quantiser.tables(x32.astype(np.float64))
-            scores = np.zeros((len(asked), len(ids)), np.float32)
+            codes, rest, missed, own, least, second, ids = block
+            q = np.frombuffer(b"".join(v for _, v, _ in asked), kind).reshape(len(asked), dim).astype(np.float64)
+            size = _lengths(q)
+            unit = q / size[:, None]
+            lut = quantiser.tables(unit)
+            scores = unit.astype(np.float32) @ rest.T
             for j, byte in enumerate(codes):
                 scores += np.take(lut[:, j], byte, axis=1)
             names, near = [], []
-            for r, found in enumerate(_best(scores, WIDER * most)):
-                score = scores[r, found] + rest[found] @ x32[r]
-                high = (score >= floor[r]) | asked[r][2]
-                found, score = found[high], score[high]
-                keep = np.lexsort((ids[found], -score))[:most]
-                names.append(ids[found][keep])
-                near.append(score[keep])
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in asked], pa.int64()), pa.array(names, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.float32()))], ["query_id", "g", "near"])
-
-        def close() -> None:
-            nonlocal ids, codes, rest, held
-            if held:
-                ids = np.array([i for i, _, _ in held], np.int64)
-                codes = np.frombuffer(b"".join(b for _, b, _ in held), np.uint8).reshape(len(ids), -1).T.copy()
-                rest = quantiser.unrefined(np.frombuffer(b"".join(f for _, _, f in held), np.uint8).reshape(len(ids), -1))
-                held = []
+            for r, (i, _, floor) in enumerate(asked):
+                high = scores[r] + missed
+                # a comparison with what isn't a number leaves the row in
+                some = np.flatnonzero(~(high < np.float32(floor / size[r] - 1e-6 * abs(floor / size[r]))) & ((least != i) | (second != i)))
+                if len(some) > k:
+                    some = some[~(high[some] < np.partition(scores[r, some] - missed[some], -k)[-k])]
+                score = np.einsum("nd,d->n", own[some].astype(np.float64), q[r])
+                name = np.where(least[some] == i, second[some], least[some])
+                best = np.lexsort((name, -score))[:k]
+                best = best[~(score[best] < floor)]
+                if any(len(ids[some[b]]) > 1 for b in best):
+                    pairs = sorted((-score[b], j) for b in best for j in [j for j in ids[some[b]] if j != i][:k])[:k]
+                    names.append([j for _, j in pairs])
+                    near.append([-s for s, _ in pairs])
+                else:
+                    names.append(name[best])
+                    near.append(score[best])
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in asked], pa.int64()), pa.array(names, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.float64()))], ["query_id", "vec_id", "score"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("part", "block", "kind", "id", "body", "fine")]
-            for part, number, kind, i, body, fine in zip(*columns):
-                if (part, number) != block:
-                    if asked and ids is not None:
+            for part, number, kind_, i, value, body, ids in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if (part, number) != at:
+                    if asked and block:
                         yield answer()
-                    block, held, asked, ids = (part, number), [], [], None
-                if kind == 0:
-                    held.append((i, body, fine))
+                    at, entries, asked, block = (part, number), [], [], None
+                if kind_ == 0:
+                    entries.append((body, value, ids))
                     continue
-                close()
-                if ids is not None:
-                    asked.append((i, body, kind == 1))
+                if entries:
+                    block, entries = close(), []
+                if block:
+                    asked.append((i, body, value))
                 if len(asked) >= QUERY_BLOCK:
                     yield answer()
                     asked = []
-        if asked and ids is not None:
+        if asked and block:
             yield answer()
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = np.einsum("nd,nd->n", _matrix(batch.column("x"), dim).astype(np.float64), _matrix(batch.column("y"), dim).astype(np.float64)) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(s)], ["query_id", "vec_id", "score"])
-
-    coded = kept(rows.select("g", "embedding").mapInArrow(encode, "part int, id long, body binary, fine binary"))
-    sizes = saved(coded.groupBy("part").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))  # PARTS rows at most
-    held = np.zeros(len(middle), np.int64)
-    for row in sizes.collect():
-        held[row.part] = row["rows"]
-    sizes = sizes.select("part", "blocks")
-    up_to = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    asked = asking.mapInArrow(route, "ways array<struct<part:int,kind:int>>, id long, body binary").select(F.inline("ways"), "id", "body")
-    asked = asked.join(F.broadcast(sizes), "part").select("part", up_to, "kind", "id", "body", F.lit(None).cast("binary").alias("fine"))
-    coded = coded.join(F.broadcast(sizes), "part").select("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "body", "fine")
-    both = coded.unionByName(asked).repartition("part", "block").sortWithinPartitions("part", "block", "kind", "id")
-    near = both.mapInArrow(scan, "query_id long, g array<long>, near array<float>").select("query_id", F.explode(F.arrays_zip("g", "near")).alias("e")).select("query_id", "e.g", "e.near")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("near").desc(), "g"))
-    short = near.withColumn("r", place).where(F.col("r") <= shortlist).select("query_id", "g").distinct()
-    pairs = short.join(asking.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x")), "query_id").join(members.select("g", "vec_id", F.col("embedding").alias("y")), "g").where("vec_id <> query_id")
-    ranked = pairs.mapInArrow(exact, "query_id long, vec_id long, score double")
+    coded = rows.select("embedding", "ids", F.xxhash64("embedding").alias("g")).mapInArrow(encode, schema)
+    both = coded.unionByName(asking.mapInArrow(route, schema)).repartition("part", "block").sortWithinPartitions("part", "block", "kind", "id")
+    near = both.mapInArrow(scan, "query_id long, vec_id array<long>, score array<double>").select("query_id", F.explode(F.arrays_zip("vec_id", "score")).alias("e")).select("query_id", "e.vec_id", "e.score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return ranked.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -884,6 +884,39 @@ def test_queries_in_a_small_far_cluster_are_answered(spark):
             assert {v for _, v in found} >= set(range(9000, 9010)) - {q}
 
 
+@pytest.mark.parametrize("kind", ["tight", "norms", "queries"])
+def test_no_neighbour_is_lost_whatever_the_rows_are(spark, monkeypatch, kind):
+    """Clusters far tighter than the codes tell, lengths of many sizes, and queries unlike the rest: as by brute force."""
+    monkeypatch.setattr(ann, "PART_ROWS", 500)
+    monkeypatch.setattr(ann, "CENTRE_SAMPLE", 1000)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 32))
+    if kind == "tight":
+        x = x[:4][rng.integers(4, size=len(x))] + 1e-3 * x
+    elif kind == "norms":
+        x *= rng.lognormal(0, 1.5, (len(x), 1))
+    else:
+        x[::200] = 0.1 * x[::200] + 3 * x[0]
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 200 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    x = x.astype(np.float64)
+    for q in range(0, len(x), 200):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert got[q] == set(np.argsort(-s, kind="stable")[:20].tolist())
+
+
+def test_copies_of_the_own_id_leave_room(spark):
+    """Rows that share the query's id are no answers, however many, and don't take the places of others."""
+    rng = np.random.default_rng(13)
+    rows = [(0, v) for v in (5 + rng.normal(size=(60, 4))).tolist()] + [(0, [1.0] * 4)] * 40 + [(k, [1.0] * 4) for k in range(1, 31)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0).collect()
+    assert sorted((r["rank"], r.vec_id) for r in got) == [(k, k) for k in range(1, 21)]
+
+
 def test_fold(spark):
     got = [r.f for r in spark.createDataFrame([(5,), (None,)], "i long").select(doc_fold(F.col("i"), 3).alias("f")).collect()]
     assert got == [zlib.crc32(b"5") % 3, 0]
