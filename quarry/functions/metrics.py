@@ -1,12 +1,13 @@
-"""Scores of explanations. A01-A06, A14, A15 and ROUGE-N are Column expressions, BLEU of a table is a plan; ROUGE-L and METEOR are Arrow UDFs."""
-
-from functools import reduce
+"""Scores of explanations. A01-A06, A14, A15 and ROUGE-N are Column expressions, BLEU of a table is an aggregation of counts; ROUGE-L and METEOR are Arrow UDFs."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quarry import ship
+
 from . import dsl, text
 
 
@@ -126,33 +127,51 @@ def tokens_13a(column: Column) -> Column:
     return F.filter(F.split(out, r"(?U)\s+"), lambda x: x != "")
 
 
-def _grams(words: Column, n: int) -> Column:
-    place = F.sequence(F.lit(1), F.size(words) - (n - 1))
-    return F.when(F.size(words) >= n, F.transform(place, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+def lines_13a(column: Column) -> Column:
+    """The tokens, a line each; none holds white space."""
+    return F.array_join(tokens_13a(column), "\n")
 
 
-def ngram_overlap(rows: DataFrame, key: list[str], truth: str, found: str, most: int = 4) -> DataFrame:
-    """key, n, hits, total: how many n-grams of `found` are in `truth` too (as multisets), and how many it has, for n to `most`; rows of one
-    key count together. Each n-gram of a key is a row that is counted by aggregation, so no text's n-grams meet in one task."""
-    words = rows.select(*key, tokens_13a(F.col(truth)).alias("_a"), tokens_13a(F.col(found)).alias("_b"), F.monotonically_increasing_id().alias("_row"))
+def _numbered(truth: str, found: str) -> list[np.ndarray]:
+    """The tokens of both texts, a line each, by numbers: equal ones have one."""
+    sides = [x.split("\n") if x else [] for x in (truth, found)]
+    codes = pd.factorize(np.array([*sides[0], *sides[1]], object))[0].astype(np.int64)
+    return [codes[: len(sides[0])], codes[len(sides[0]) :]]
 
-    def marked(side: str, n: int) -> Column:
-        return F.transform(_grams(F.col(side), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(int(side == "_a")).alias("a"), F.lit(int(side == "_b")).alias("b")))
 
-    listed = F.flatten(F.array(*(marked(side, n) for n in range(1, most + 1) for side in ("_a", "_b"))))
-    grams = words.select(*key, "_row", F.inline(listed))
-    grams = grams.groupBy(*key, "_row", "n", "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    return grams.groupBy(*key, "n").agg(F.sum(F.least("a", "b")).alias("hits"), F.sum("b").alias("total"))
+def _overlap(truth: str, found: str, most: int) -> list[int]:
+    """Tokens of either text, then for each n the n-grams of `found` that `truth` has too (as multisets), and all of `found`. An n-gram is
+    the number of its first n - 1 tokens with that of its last, numbered anew, so different ones never share a number."""
+    words = _numbered(truth, found)
+    out, grams, kinds = [len(words[0]), len(words[1])], words, max((int(w.max()) for w in words if len(w)), default=0) + 1
+    for n in range(1, most + 1):
+        if n > 1:
+            grams = [g[:-1] * kinds + w[n - 1 :] for g, w in zip(grams, words)]
+        size = len(grams[0])
+        both = pd.factorize(np.concatenate(grams))[0]
+        grams = [both[:size], both[size:]]
+        many = int(both.max()) + 1 if len(both) else 0
+        out += [int(np.minimum(np.bincount(grams[0], minlength=many), np.bincount(grams[1], minlength=many)).sum()), len(grams[1])]
+    return out
 
 
 def bleu_table(rows: DataFrame, key: list[str], truth: str, found: str, most: int = 4) -> DataFrame:
     """Key, bleu of the rows of each key together (a row a part): counts summed over them, effective order, exponential smoothing,
     from 0 to 1. Null texts count as empty; without common words it is 0."""
-    size = rows.groupBy(*key).agg(F.sum(F.size(tokens_13a(F.col(truth)))).alias("_other"), F.sum(F.size(tokens_13a(F.col(found)))).alias("_own"))
-    at = lambda c, n: F.coalesce(F.max(F.when(F.col("n") == n, F.col(c))), F.lit(0))
-    wide = ngram_overlap(rows, key, truth, found, most).groupBy(*key).agg(*(at(c, n).alias(f"{c}{n}") for n in range(1, most + 1) for c in ("hits", "total")))
-    same = reduce(lambda x, y: x & y, (F.col(f"s.{k}").eqNullSafe(F.col(f"w.{k}")) for k in key))
-    both = size.alias("s").join(wide.alias("w"), same, "left").select(*(F.col(f"s.{k}").alias(k) for k in key), "_own", "_other", *(F.coalesce(c, F.lit(0)).alias(c) for c in wide.columns if c not in key))
+    return bleu_of_lines(rows.select(*key, lines_13a(F.col(truth)).alias("_a"), lines_13a(F.col(found)).alias("_b")), key, "_a", "_b", most)
+
+
+def bleu_of_lines(rows: DataFrame, key: list[str], truth: str, found: str, most: int = 4) -> DataFrame:
+    """As bleu_table(), of texts as lines_13a() gives them: a text that is in many rows need be parted but once. N-grams are counted where
+    the two texts of a row are, and only counts are shuffled."""
+    ship(rows.sparkSession)
+    names = ["_other", "_own", *(f"{c}{n}" for n in range(1, most + 1) for c in ("hits", "total"))]
+
+    @F.pandas_udf(", ".join(f"{n} long" for n in names))
+    def counted(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_overlap(x, y, most) for x, y in zip(a, b)], columns=names, dtype=np.int64)
+
+    both = rows.select(*key, counted(F.col(truth), F.col(found)).alias("_c")).groupBy(*key).agg(*(F.sum(f"_c.{n}").alias(n) for n in names))
     logs, orders, misses, hits = F.lit(0.0), F.lit(0), F.lit(0), F.lit(0)
     for n in range(1, most + 1):
         h, t = F.col(f"hits{n}"), F.col(f"total{n}")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry import ship
+from quarry import ship, stored
 from quarry.functions import dsl, metrics
 from quarry.operators import cells, chains, evidence, graph, providers, resolve, retrieval, tagging, vectors
 from quarry.sources import readers
@@ -570,9 +570,9 @@ def token_bleu(spark, sf_dir):
 # every document against the one of the next id
 @query(_bleu_sql("SELECT d.doc_id AS key, d.text AS a, n.text AS f FROM documents d JOIN documents n ON n.doc_id = d.doc_id + 1").format(key="doc_id"))
 def document_bleu(spark, sf_dir):
-    docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
-    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("found")), "doc_id")
-    return metrics.bleu_table(pairs, ["doc_id"], "text", "found").select("doc_id", F.round("bleu", 4).alias("bleu"))
+    docs = stored(Tables(spark, sf_dir).documents.select("doc_id", metrics.lines_13a(F.col("text")).alias("truth")))
+    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("truth").alias("found")), "doc_id")
+    return metrics.bleu_of_lines(pairs, ["doc_id"], "truth", "found").select("doc_id", F.round("bleu", 4).alias("bleu"))
 
 
 @query()

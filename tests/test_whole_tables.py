@@ -201,6 +201,16 @@ def test_bleu_of_a_table_is_the_plain_one(spark):
         assert bleu == pytest.approx(text.corpus_bleu([f for _, f in parts], [t for t, _ in parts]), abs=1e-9), (k, parts)
 
 
+def test_bleu_moves_counts_not_ngrams(spark):
+    """What is shuffled of a long text is a row of counts, however many n-grams it has."""
+    df = spark.createDataFrame([(1, "a b c d " * 5000, "b c d e " * 5000), (1, "a b", "a c")], "k int, t string, f string")
+    found = metrics.bleu_table(df, ["k"], "t", "f")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == 1
+    pairs = [("a b c d " * 5000, "b c d e " * 5000), ("a b", "a c")]
+    assert found.first().bleu == pytest.approx(text.corpus_bleu([f for _, f in pairs], [t for t, _ in pairs]), abs=1e-9)
+
+
 # ---- relaxation and first successes ---------------------------------------------------------------------------------------
 
 
