@@ -102,16 +102,24 @@ def connecting_nodes(edges: DataFrame, records: DataFrame, hops: int | None = No
     metric closure. After ring h all bridges up to the length 2h + 1 are known, so a record whose terminals they connect is
     done and grows no further: it never walks beyond half of its longest link. Trees are joined by rounds of aggregation, and
     paths are walked back by joins. Nothing is collected. Terminals out of reach, or farther than `hops`, stay by themselves.
+    A node with one neighbour is on no way between others, so a record goes to those alone that are its terminals: a hub's
+    leaves aren't walked by every record.
     """
     both = stored(undirected(edges))
+    leaves = stored(both.where("src <> dst").groupBy(F.col("src").alias("_leaf")).agg(F.count("*").alias("_n")).where("_n = 1").select("_leaf"))
+    inner = stored(both.join(leaves, F.col("dst") == F.col("_leaf"), "left_anti"))
     start = stored(records.select("index", F.col("node_id").cast("long").alias("node_id")).where("node_id is not null").distinct())
+    own = start.join(leaves, F.col("node_id") == F.col("_leaf"), "left_semi").select(F.col("index").alias("_own"), F.col("node_id").alias("_leaf"))
+    own = stored(own.join(both, F.col("_leaf") == F.col("src")).select("_own", F.col("dst").alias("_by"), "_leaf"))
     labels = start.select("index", F.col("node_id").alias("terminal"), F.col("node_id").alias("comp"))
     frontier = start.select("index", "node_id", F.col("node_id").alias("terminal"), F.lit(0).alias("dist"), F.lit(None).cast("long").alias("pred"))
     rings, trees = [frontier], []
     for hop in count():
         counted = labels.groupBy("index").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select(F.col("index").alias("_open"))
         frontier = frontier.join(counted, F.col("index").eqNullSafe(F.col("_open")), "left_semi")
-        step = stored(frontier.join(both, F.col("node_id") == F.col("src")).select("index", "terminal", F.col("node_id").alias("u"), F.col("dst").alias("v"), "dist"))
+        onward = frontier.join(inner, F.col("node_id") == F.col("src")).select("index", "terminal", F.col("node_id").alias("u"), F.col("dst").alias("v"), "dist")
+        ends = frontier.join(own, F.col("index").eqNullSafe(F.col("_own")) & (F.col("node_id") == F.col("_by"))).select("index", "terminal", F.col("node_id").alias("u"), F.col("_leaf").alias("v"), "dist")
+        step = stored(onward.unionByName(ends))
         if step.isEmpty():
             break
         near = reduce(DataFrame.unionByName, rings[-2:]).select(F.col("index").alias("_i"), F.col("node_id").alias("_n"), F.col("terminal").alias("_t"), F.col("dist").alias("_d"))
@@ -141,11 +149,18 @@ def connecting_nodes(edges: DataFrame, records: DataFrame, hops: int | None = No
 
 
 def connecting_subgraphs(edges: DataFrame, records: DataFrame, hops: int | None = None) -> DataFrame:
-    """G02-G05 of all records: index and the columns of the edges between nodes of each record's connecting set."""
+    """G02-G05 of all records: index and the columns of the edges between nodes of each record's connecting set. A record asks for the edges
+    by their end of fewer edges, so a hub among its nodes doesn't bring all of the hub's edges."""
     nodes = stored(connecting_nodes(edges, records, hops))
-    own = nodes.select("index", F.col("node_id").alias("src")).join(edges, "src")
+    many = edges.select(F.explode(F.array("src", "dst")).alias("_node")).groupBy("_node").agg(F.count("*").alias("_many"))
+    held = edges
+    for end in ("src", "dst"):
+        held = held.join(many.select(F.col("_node").alias(f"_{end}"), F.col("_many").alias(f"_many_{end}")), F.col(end) == F.col(f"_{end}"))
+    fewer = F.col("_many_src") <= F.col("_many_dst")
+    held = held.select(*edges.columns, F.when(fewer, F.col("src")).otherwise(F.col("dst")).alias("_by"), F.when(fewer, F.col("dst")).otherwise(F.col("src")).alias("_to"))
+    own = nodes.select("index", F.col("node_id").alias("_by")).join(held, "_by")
     other = nodes.select(F.col("index").alias("_i"), F.col("node_id").alias("_n"))
-    return own.join(other, F.col("index").eqNullSafe(F.col("_i")) & (F.col("dst") == F.col("_n")), "left_semi").select("index", *edges.columns)
+    return own.join(other, F.col("index").eqNullSafe(F.col("_i")) & (F.col("_to") == F.col("_n")), "left_semi").select("index", *edges.columns)
 
 
 def connecting_subgraph(edges: DataFrame, terminals: list[int], hops: int | None = None) -> DataFrame:

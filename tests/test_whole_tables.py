@@ -298,3 +298,14 @@ def test_edge_ids_of_repeated_and_missing_pairs(spark):
     edges = spark.createDataFrame([(5, 1, 2), (4, 1, 2), (6, 2, 1)], "edge_id long, src long, dst long")
     got = resolve.edge_ids(edges, spark.createDataFrame([(1, 2), (1, 2), (3, 3)], "src long, dst long"))
     assert {tuple(r) for r in got.collect()} == {(1, 2, 4, 2), (3, 3, -1, 0)} and got.count() == 2
+
+
+def test_subgraphs_do_not_walk_a_hubs_leaves(spark, monkeypatch):
+    """Records that hang on one hub of many leaves: what is stored grows with the records, not with records times leaves."""
+    edges = spark.range(2000).select(F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst")).withColumn("edge_id", F.col("dst"))
+    records = spark.range(40).select("id", F.explode(F.array(F.col("id"), F.col("id") + 100, F.lit(-1).cast("long"))).alias("node_id")).withColumnRenamed("id", "index")
+    sizes, plain = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: (out := plain(df), sizes.append(out.count()))[0])
+    got = sorted((r["index"], r.edge_id) for r in graph.connecting_subgraphs(edges, records).collect())
+    assert got == sorted((k, k + d) for k in range(40) for d in (0, 100))
+    assert max(sizes) <= 2 * 2000
