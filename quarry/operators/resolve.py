@@ -71,10 +71,13 @@ def misaligned(truth: DataFrame, found: DataFrame, key: str) -> DataFrame:
 def edge_ids(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """The least edge id of each distinct wanted (src, dst) and how many parallel edges there are; -1 and 0 if missing.
 
-    The aggregation is by the keys of the join, so it needs no shuffle of its own; edges nobody wants don't pass the join.
+    Wanted pairs and edges are counted together by one aggregation that begins before the shuffle, so parallel edges neither meet nor are
+    sorted in one task. Null ends match nothing.
     """
-    rows = wanted.select("src", "dst").distinct().join(edges.select("src", "dst", "edge_id"), ["src", "dst"], "left")
-    return rows.groupBy("src", "dst").agg(F.coalesce(F.min("edge_id"), F.lit(-1)).alias("edge_id"), F.count("edge_id").alias("n"))
+    asked = wanted.select("src", "dst", F.lit(None).cast(edges.schema["edge_id"].dataType).alias("edge_id"), F.lit(True).alias("_asked"))
+    held = edges.where("src is not null and dst is not null").select("src", "dst", "edge_id", F.lit(False).alias("_asked"))
+    rows = asked.unionByName(held).groupBy("src", "dst").agg(F.coalesce(F.min("edge_id"), F.lit(-1)).alias("edge_id"), F.count("edge_id").alias("n"), F.max("_asked").alias("_asked"))
+    return rows.where("_asked").drop("_asked")
 
 
 def without(df: DataFrame, ignore: tuple[str, ...] = ("index",)) -> DataFrame:

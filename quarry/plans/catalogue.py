@@ -250,7 +250,7 @@ SELECT w.src, w.dst, coalesce(edge_id, -1) AS edge_id, coalesce(n, 0) AS n FROM
 def edge_lookup(spark, sf_dir):
     t = Tables(spark, sf_dir)
     edges = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"))
-    wanted = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).unionByName(t.part.select(F.col("p_partkey").alias("src"), F.lit(0).cast("long").alias("dst"))).distinct()
+    wanted = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).unionByName(t.part.select(F.col("p_partkey").alias("src"), F.lit(0).cast("long").alias("dst")))
     return resolve.edge_ids(edges, wanted)
 
 

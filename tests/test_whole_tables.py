@@ -309,3 +309,12 @@ def test_subgraphs_do_not_walk_a_hubs_leaves(spark, monkeypatch):
     got = sorted((r["index"], r.edge_id) for r in graph.connecting_subgraphs(edges, records).collect())
     assert got == sorted((k, k + d) for k in range(40) for d in (0, 100))
     assert max(sizes) <= 2 * 2000
+
+
+def test_edges_of_a_hot_pair_are_counted_before_they_move(spark):
+    """One pair with very many parallel edges: nothing is sorted or joined, and odd pairs are as by a left join."""
+    edges = spark.range(5000).select(F.lit(1).alias("src"), F.lit(2).alias("dst"), F.col("id").alias("edge_id")).union(spark.createDataFrame([(3, 4, 7), (None, 4, 8)], "src int, dst int, edge_id long"))
+    wanted = spark.createDataFrame([(1, 2), (1, 2), (5, 6), (None, 4)], "src int, dst int")
+    found = resolve.edge_ids(edges, wanted)
+    assert sorted((str(r.src), r.dst, r.edge_id, r.n) for r in found.collect()) == [("1", 2, 0, 5000), ("5", 6, -1, 0), ("None", 4, -1, 0)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
