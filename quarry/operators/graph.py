@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry import cut, stored
+from quarry.functions import metrics
+
+#: Edges of a graph that are taken as one row.
+SMALL = 64
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -188,6 +192,12 @@ def core(edges: DataFrame, key: list[str]) -> DataFrame:
 
 def acyclic(edges: DataFrame, key: list[str]) -> DataFrame:
     """G05 of any number of graphs in one edge table: key, dag (1 without a cycle, else 0), of every key with an edge row. Edges
-    with a null end are none, and keys must not be null."""
-    rest = core(edges, key).select(*key).distinct().withColumn("_cyclic", F.lit(True))
-    return edges.select(*key).distinct().join(rest, key, "left").select(*key, F.when(F.col("_cyclic"), 0).otherwise(1).alias("dag"))
+    with a null end are none, and keys must not be null. Graphs of up to `SMALL` edges are peeled in their own rows, in one pass for
+    all; larger ones by rounds of joins, so no group is gathered beyond that."""
+    live = stored(edges.select(*key, "src", "dst").where("src is not null and dst is not null").distinct())
+    large = stored(live.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > SMALL).select(*key))
+    small = live.join(large, key, "left_anti").groupBy(*key).agg(F.collect_list(F.struct("src", F.col("dst").alias("tgt"))).alias("_e"))
+    rest = small.where(metrics.acyclic(F.col("_e")) == 0).select(*key)
+    if not large.isEmpty():
+        rest = rest.unionByName(core(live.join(large, key, "left_semi"), key).select(*key).distinct())
+    return edges.select(*key).distinct().join(rest.withColumn("_cyclic", F.lit(True)), key, "left").select(*key, F.when(F.col("_cyclic"), 0).otherwise(1).alias("dag"))

@@ -318,3 +318,16 @@ def test_edges_of_a_hot_pair_are_counted_before_they_move(spark):
     found = resolve.edge_ids(edges, wanted)
     assert sorted((str(r.src), r.dst, r.edge_id, r.n) for r in found.collect()) == [("1", 2, 0, 5000), ("5", 6, -1, 0), ("None", 4, -1, 0)]
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_graphs_take_no_rounds(spark, monkeypatch):
+    """Graphs of a few edges go by in one pass, however long their chains; larger ones still by rounds, with the same results."""
+    chain = [(1, k, k + 1) for k in range(12)]
+    rows = [*chain, *((2, a, b) for _, a, b in chain), (2, 12, 0), (3, 5, 5), (4, None, 1), (5, 1, 2), (5, 1, 2)]
+    want = {1: 1, 2: 0, 3: 0, 4: 1, 5: 1}
+    df = spark.createDataFrame(rows, "k int, src int, dst int")
+    with monkeypatch.context() as patch:
+        patch.setattr(graph, "SMALL", 4)
+        assert {r.k: r.dag for r in graph.acyclic(df, ["k"]).collect()} == want
+    monkeypatch.setattr(graph, "core", None)
+    assert {r.k: r.dag for r in graph.acyclic(df, ["k"]).collect()} == want
