@@ -11,8 +11,10 @@ both words, so a hot restaurant or a hot pair is no part of its own. Gibbs sweep
 are drawn from their conditional distribution given its customers, the other tables of its restaurant and the parent
 (generalised Stirling numbers; beyond `EXACT` customers by seating them one after the other, with jumps to the next new
 table). Cells are drawn side by side, given the sweep before. Between sweeps the tables of frequent words, by word before
-and by word, are summed up to two vectors of `TOP` numbers, and the parent's seating is drawn; a rarer word brings the
-parent one customer for each of its contexts. Predictive probabilities are averaged over the sweeps after burn-in.
+and by word, are summed up to two vectors of `TOP` numbers, those of rarer words in a table, and the parent's seating is
+drawn. Cells of rarer words, and the restaurants that they are in, move once a sweep to meet what the parent knows of those
+words; all other cells stay where they are. The rules are the same for all words, so `TOP` and `PART_TOKENS` change the layout
+alone. Predictive probabilities are averaged over the sweeps after burn-in.
 
 Scoring sends the cells of all texts to the parts again, runs of texts at a time, and gets the sums of their logarithms
 back by run. Words that aren't among the frequent ones go on to the parts of the table of all words, and come back likewise.
@@ -209,6 +211,13 @@ class Words(NamedTuple):
         at, hit = _find(self.hash, h)
         return np.where(hit, at.astype(np.uint64), (h >> np.uint64(1)) | _RARE)
 
+    def names(self, codes: np.ndarray) -> np.ndarray:
+        """What draws are made from: the same number for a word, whether it is frequent or not."""
+        often = codes < _RARE
+        out = codes & ~_RARE
+        out[often] = self.hash[codes[often].astype(np.int64)] >> np.uint64(1)
+        return out
+
 
 def _route(u: np.ndarray, w: np.ndarray, parts: int) -> np.ndarray:
     return (np.where(u < _RARE, _cell(u, w), mix(u)) % np.uint64(parts)).astype(np.int32)
@@ -256,6 +265,8 @@ def cells(train: DataFrame, top, parts: int) -> DataFrame:
 
 _OUT = "kind byte, part int, code long, cells long, blob binary"
 _NAMES = ["kind", "part", "code", "cells", "blob"]
+#: Kinds of rows: cells that stay, cells that move once a sweep, tables of words that aren't frequent.
+_STAY, _MOVE, _SUMS = 0, 5, 4
 
 
 def _rows(kind: int, part=None, code=None, cells=None, blob=None) -> pa.RecordBatch:
@@ -293,7 +304,7 @@ def _vectors(rows: DataFrame, number: int, size: int) -> list[np.ndarray]:
     return out
 
 
-_STATE = ("<u8", "<u8", "<i8", "<u4", "<u4", "<u4", "<u4")
+_STATE = ("<u8", "<u8", "<i8", "<u4", "<u4", "<u4")
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -310,11 +321,19 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
         yield part, held
 
 
+def _sums(part: int, w: np.ndarray, t: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """kind 4: the tables in this part of each word that isn't frequent."""
+    rare = w >= _RARE
+    code, back = np.unique(w[rare], return_inverse=True)
+    if len(code):
+        yield _rows(_SUMS, [part] * len(code), code.view(np.int64), np.bincount(back, t[rare], len(code)).astype(np.int64))
+
+
 def seated(found: DataFrame, size: int) -> DataFrame:
-    """From the cells of all runs, by part. kind 0: part, blob of the cells of two customers or more (word before, word,
-    customers, single cells of a rare word before, contexts of a rare word, tables, tables of the kept sweeps); kind 1: by
-    frequent word before and by frequent word the single cells and the other cells; kind 2: code, cells: contexts of a rare
-    word, with the part where it has such a cell; kind 3: cells of one and of two customers."""
+    """From the cells of all runs, by part. kinds 0 and 5: part, blob of the cells of two customers or more (word before, word,
+    customers, single cells of a rare word before, tables, tables of the kept sweeps), 5 for those of rare words and of restaurants
+    they are in; kind 1: by frequent word before and by frequent word the single cells and the other cells; kind 2: code, cells:
+    single cells of a rare word; kind 4: part, code, cells: its tables in other cells; kind 3: cells of one and of two customers."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, ones, twos = [np.zeros(size, np.int64) for _ in range(4)], 0, 0
@@ -325,15 +344,18 @@ def seated(found: DataFrame, size: int) -> DataFrame:
             ones, twos = ones + int(one.sum()), twos + int((n == 2).sum())
             for v, which, keys in ((0, one & often_u, u), (1, one & often_w, w), (2, ~one & often_u, u), (3, ~one & often_w, w)):
                 vectors[v] += np.bincount(keys[which].astype(np.int64), minlength=size)
-            rare, k = np.unique(w[~often_w], return_counts=True)
-            more = np.isin(rare, w[~one & ~often_w])
+            rare, k = np.unique(w[one & ~often_w], return_counts=True)
             if len(rare):
-                yield _rows(2, [part if m else None for m in more], rare.view(np.int64), k)
+                yield _rows(2, code=rare.view(np.int64), cells=k)
             first = _starts(u)
-            alone = np.add.reduceat(one.astype(np.int64), first)[_per(first, len(u))] * ~often_u
-            some = ~one
-            empty = np.zeros(int(some.sum()), np.uint32)
-            yield _rows(0, [part], blob=[_pack(u[some], w[some], n[some], alone[some].astype(np.uint32), empty, empty + np.uint32(1), empty[:0])])
+            of = _per(first, len(u))
+            alone = np.add.reduceat(one.astype(np.int64), first)[of] * ~often_u
+            far = ~one & ~often_w
+            far |= ~one & ~often_u & np.logical_or.reduceat(far, first)[of]
+            for kind, some in ((_STAY, ~one & ~far), (_MOVE, far)):
+                if some.any():
+                    yield _rows(kind, [part], blob=[_pack(u[some], w[some], n[some], alone[some].astype(np.uint32), np.ones(int(some.sum()), np.uint32), np.zeros(0, np.uint32))])
+            yield from _sums(part, w[far], np.ones(int(far.sum()), np.int64))
         if (out := _slices(vectors)) is not None:
             yield out
         yield _rows(3, code=[ones], cells=[twos])
@@ -361,13 +383,13 @@ class _Files:
 
 
 class Fit(NamedTuple):
-    state: DataFrame  # kind 0 of seated(), after the last sweep
-    rare: DataFrame  # code, n, served, top of the words that aren't frequent
+    state: DataFrame  # kinds 0 and 5 of seated(), after the last sweep
+    rare: DataFrame  # code, n, extra (by kept sweep: the parent's customers less its discounts) of the words that aren't frequent
     d: float
     room: np.ndarray  # by kept sweep and frequent word: tables of its restaurant
     p: np.ndarray  # by kept sweep and frequent word: the parent's probability
     whole: np.ndarray  # by kept sweep: the parent's customers and strength
-    fresh: np.ndarray  # by kept sweep: the parent's probability of a word never seen
+    rest: np.ndarray  # by kept sweep: the parent's part of every word, seen or not
 
 
 def fit(train: DataFrame, counts: DataFrame, top, files: _Files, seed: int = 11) -> Fit:
@@ -379,84 +401,114 @@ def fit(train: DataFrame, counts: DataFrame, top, files: _Files, seed: int = 11)
     ones, twos = found.where("kind = 3").agg(F.coalesce(F.sum("code"), F.lit(0)), F.coalesce(F.sum("cells"), F.lit(0))).first()
     d = min(0.95, max(0.05, ones / max(1, ones + 2 * twos)))
     some = STRENGTH + d * kinds
+    more = kinds > size  # words that aren't frequent
 
-    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k, h = batch.column("served").to_numpy(), batch.column("code").to_numpy().view(np.uint64)
-            drawn = tables(k.astype(np.float64), d, np.full(len(k), some * base), None, mix(h + np.uint64(seed))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.minimum(drawn, k))], ["code", "n", "served", "top"])
+    def drawn(k: np.ndarray, name: np.ndarray, turn: int) -> np.ndarray:
+        """The parent's tables of words with k customers."""
+        out, two = np.minimum(k, 1), np.flatnonzero(k > 1)
+        out[two] = np.minimum(tables(k[two].astype(np.float64), d, np.full(len(two), some * base), None, mix(name[two] + np.uint64(1000 * seed + turn))), k[two]).astype(np.int64)
+        return out
+
+    def known(sums: DataFrame, before: DataFrame, turn: int, keep: bool) -> tuple[DataFrame, str, int, int, int]:
+        """The words that aren't frequent after a sweep (or before the first): code, n, single, extra, served, now and next (tables
+        drawn at this turn and at the next); where it is; the sums of the last three."""
+
+        def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                served = batch.column("served").to_numpy()
+                name = batch.column("code").to_numpy().view(np.uint64) & ~_RARE
+                now, after = (drawn(served, name, turn + k) for k in range(2))
+                extra = batch.column("extra")
+                if keep:
+                    held = extra.flatten().to_numpy().reshape(len(served), -1)
+                    held = np.concatenate([held, (served - d * now)[:, None]], 1)
+                    extra = pa.ListArray.from_arrays(pa.array(np.arange(len(served) + 1, dtype=np.int32) * held.shape[1]), pa.array(held.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("code", "n", "single")), extra, batch.column("served"), pa.array(now), pa.array(after)], ["code", "n", "single", "extra", "served", "now", "next"])
+
+        held = before.join(sums.groupBy("code").agg(F.sum("cells").alias("t")), "code", "left")
+        held = held.select("code", "n", "single", "extra", (F.col("single") + F.coalesce("t", F.lit(0))).alias("served"))
+        out, path = files.keep(held.mapInArrow(seat, "code long, n long, single long, extra array<double>, served long, now long, next long"))
+        return out, path, *(x + alone_ for x in out.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("served", "now", "next"))).first())
 
     mark = lambda c: F.shiftrightunsigned(c, 1).bitwiseOR(F.lit(-(1 << 63)))
     often = spark.createDataFrame(pa.table({"h": pa.array(words_.hash.view(np.int64))}))
     rare = counts.join(F.broadcast(often), "h", "left_anti").select(mark(F.col("h")).alias("code"), "n")  # TOP rows at most
-    contexts = found.where("kind = 2").groupBy("code").agg(F.sum("cells").alias("served"))
-    rare, _ = files.keep(rare.join(contexts, "code").select("code", "n", "served").mapInArrow(seat, "code long, n long, served long, top long"))
-    rare_served, rare_top = rare.agg(F.coalesce(F.sum("served"), F.lit(0)), F.coalesce(F.sum("top"), F.lit(0))).first()
-
-    def know(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, held in _by_part(batches):
-            names = [(c, k) for kind, c, k, _ in held if kind == 2]
-            code = np.array([c for c, _ in names], np.int64).view(np.uint64)
-            order, k = np.argsort(code), np.array([k for _, k in names], np.uint32)
-            for kind, _, _, blob in held:
-                if kind == 0:
-                    u, w, n, alone, contexts, t, past = _unpack(blob, *_STATE)
-                    at, hit = _find(code[order], w)
-                    contexts = np.where(hit, k[order][at], 0).astype(np.uint32) if len(code) else contexts
-                    yield _rows(0, [part], blob=[_pack(u, w, n, alone, contexts, t, past)])
-
-    asked = found.where("kind = 2 and part is not null").select("part", "kind", "code").join(rare.select("code", F.col("served").alias("cells")), "code").select("part", "kind", "code", "cells", F.lit(None).cast("binary").alias("blob"))
-    state = found.where("kind = 0").select("part", "kind", "code", "cells", "blob").unionByName(asked)
-    state, state_at = files.keep(state.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(know, _OUT))
-    files.drop(found_at)
-    ways, rooms, ps, wholes, fresh = stirling(d), [], [], [], []
-
-    def parent(sweep: int) -> tuple[np.ndarray, float, float]:
-        """The parent's probabilities of the frequent words, its customers and strength, and what a word never seen gets of them."""
-        k = (single_served + served).astype(np.float64)
-        top_ = np.zeros(size)
-        top_[k > 0] = np.minimum(tables(k[k > 0], d, np.full(int((k > 0).sum()), some * base), None, mix(words_.hash[k > 0] + np.uint64(1000 * seed + sweep))), k[k > 0])
-        whole = STRENGTH + k.sum() + rare_served
-        rest = (STRENGTH + d * (top_.sum() + rare_top)) * base
-        return (k - d * top_ + rest) / whole, whole, rest / whole
+    single = found.where("kind = 2").groupBy("code").agg(F.sum("cells").alias("single"))
+    seats = found.where(F.col("kind") == _SUMS).select("code", F.lit(True).alias("seats")).distinct()
+    rare = rare.join(single, "code", "left").join(seats, "code", "left").select("code", "n", F.coalesce("single", F.lit(0)).alias("single"), "seats", F.array().cast("array<double>").alias("extra"))
+    once, rare_at, rare_served, rare_next = None, None, 0, 0
+    if more:
+        rare, _ = files.keep(rare)
+        once, rare = rare.where("seats is null and single = 1"), rare.where("seats is not null or single > 1")  # one customer has one table, whatever is drawn
+        alone_ = once.count()
+        rare, rare_at, rare_served, _, rare_next = known(found.where(F.col("kind") == _SUMS), rare, -1, False)
+    state, state_at = found, found_at
+    ways, rooms, ps, wholes, rests = stirling(d), [], [], [], []
+
+    def parent(turn: int, rare_top: int) -> tuple[np.ndarray, float, float]:
+        """The parent's probabilities of the frequent words, its customers and strength, and every word's part of them."""
+        k = single_served + served
+        top_ = drawn(k, words_.hash >> np.uint64(1), turn)
+        whole, rest = STRENGTH + float(k.sum() + rare_served), (STRENGTH + d * float(top_.sum() + rare_top)) * base
+        return (k - d * top_ + rest) / whole, whole, rest
 
     for sweep in range(SWEEPS):
-        p, whole, unseen = parent(2 * sweep)
+        p, whole, rest = parent(2 * sweep, rare_next)
         shared = spark.sparkContext.broadcast((single_room + room, p))
 
-        def sit(batches: Iterator[pa.RecordBatch], sweep=sweep, shared=shared, whole=whole, unseen=unseen) -> Iterator[pa.RecordBatch]:
+        def sit(batches: Iterator[pa.RecordBatch], sweep=sweep, shared=shared, whole=whole, rest=rest) -> Iterator[pa.RecordBatch]:
             room_, p_ = shared.value
             vectors = [np.zeros(size, np.int64) for _ in range(2)]
-            for batch in batches:
-                for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
-                    u, w, n, alone, contexts, t, past = _unpack(blob, *_STATE)
+            for part, held in _by_part(batches):
+                told = sorted((code, served, top_) for kind, code, served, top_, _ in held if kind == _SUMS)
+                code, *numbers = (np.array(x, np.int64) for x in zip(*told)) if told else [np.zeros(0, np.int64)] * 3
+                code, far = code.view(np.uint64), (numbers[0] - d * numbers[1] + rest) / whole  # ascending as marked hashes, all of one sign
+                for kind, _, _, _, blob in held:
+                    if kind == _SUMS:
+                        continue
+                    u, w, n, alone, t, past = _unpack(blob, *_STATE)
                     often_u, often_w = u < _RARE, w < _RARE
                     first = _starts(u)
-                    own = (np.add.reduceat(t.astype(np.int64), first)[_per(first, len(u))] if len(u) else t.astype(np.int64)) + alone
+                    own = np.add.reduceat(t.astype(np.int64), first)[_per(first, len(u))] + alone
                     tables_ = np.where(often_u, room_[np.where(often_u, u, 0).astype(np.int64)], own) if size else own
-                    chance = np.maximum(contexts - d, 0.0) / whole + unseen
+                    at, hit = _find(code, w)
+                    chance = np.where(hit, far[at], 0.0) if len(code) else np.zeros(len(w))
                     chance = np.where(often_w, p_[np.where(often_w, w, 0).astype(np.int64)], chance) if size else chance
-                    t = draw_tables(n, t.astype(np.int64), tables_, chance, d, ways, mix(_cell(u, w) + np.uint64(1000 * seed + sweep))).astype(np.uint32)
+                    key = mix(_cell(top.value.names(u), top.value.names(w)) + np.uint64(1000 * seed + sweep))
+                    t = draw_tables(n, t.astype(np.int64), tables_, chance, d, ways, key).astype(np.uint32)
                     for v, which, keys in ((0, often_u, u), (1, often_w, w)):
                         vectors[v] += np.bincount(keys[which].astype(np.int64), t[which], size).astype(np.int64)
                     if sweep >= BURN_IN:
                         past = np.concatenate([past, t])
-                    yield _rows(0, [part], blob=[_pack(u, w, n, alone, contexts, t, past)])
+                    yield _rows(kind, [part], blob=[_pack(u, w, n, alone, t, past)])
+                    yield from _sums(part, w, t)
             if (out := _slices(vectors)) is not None:
                 yield out
 
-        new, new_at = files.keep(state.where("kind = 0").mapInArrow(sit, _OUT))
+        columns = ["part", "kind", "code", "cells", "top", "blob"]
+        own = state.withColumn("top", F.lit(None).cast("long")).select(*columns)
+        new = own.where(F.col("kind") == _STAY).mapInArrow(sit, _OUT)
+        if more:
+            asked = state.where(F.col("kind") == _SUMS).select("part", "kind", "code").join(rare.select("code", F.col("served").alias("cells"), F.col("next").alias("top")), "code")
+            moved = own.where(F.col("kind") == _MOVE).unionByName(asked.select("part", "kind", "code", "cells", "top", F.lit(None).cast("binary").alias("blob")))
+            new = new.unionByName(moved.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(sit, _OUT))
+        new, new_at = files.keep(new)
         room, served = _vectors(new, 2, size)
-        files.drop(state_at)
+        rare_top, old = 0, rare_at
+        if more:
+            rare, rare_at, rare_served, rare_top, rare_next = known(new.where(F.col("kind") == _SUMS), rare.select("code", "n", "single", "extra"), 2 * sweep + 1, sweep >= BURN_IN)
+        files.drop(state_at, *([old] if old else []))
         state, state_at = new, new_at
         shared.unpersist()
         if sweep >= BURN_IN:
-            p, whole, unseen = parent(2 * sweep + 1)
+            p, whole, rest = parent(2 * sweep + 1, rare_top)
             rooms.append(single_room + room)
             ps.append(p)
             wholes.append(whole)
-            fresh.append(unseen)
-    return Fit(state.where("kind = 0"), rare, d, np.array(rooms), np.array(ps), np.array(wholes), np.array(fresh))
+            rests.append(rest)
+    rare = rare.select("code", "n", "extra")
+    rare = rare.unionByName(once.select("code", "n", F.array_repeat(F.lit(1 - d), KEPT).alias("extra"))) if more else rare.limit(0)
+    return Fit(state.where(F.col("kind").isin(_STAY, _MOVE)), rare, d, np.array(rooms), np.array(ps), np.array(wholes), np.array(rests))
 
 
 def _packed_cells(u: np.ndarray, w: np.ndarray, doc: np.ndarray, times: np.ndarray) -> bytes:
@@ -515,6 +567,13 @@ def _asked(docs: DataFrame, top, parts: int, floor: float) -> DataFrame:
 
 
 _ANSWER = "key int, kind byte, run long, blob binary"
+#: In place of the code of a word before that isn't frequent.
+_NONE = np.uint64(0xFFFFFFFF)
+
+
+def _share(d: float, rooms: np.ndarray, customers: np.ndarray) -> np.ndarray:
+    """What restaurants leave to the parent."""
+    return (STRENGTH + d * rooms) / (STRENGTH + customers)
 
 
 def _answers(key, kind: int, run, blob) -> pa.RecordBatch:
@@ -523,19 +582,20 @@ def _answers(key, kind: int, run, blob) -> pa.RecordBatch:
 
 def _answered(rows: DataFrame, model, parts: int) -> DataFrame:
     """From the state and the cells asked for, by part. kind 2: run, blob as above; kind 1: run, blob of texts and the sums
-    of their logarithms; kind 0, dealt by key: code, run, text, times, x, a, b of words that aren't frequent, whose
-    probability is x + a * (served - d * top) + b."""
+    of their logarithms; kind 0, dealt by key: code, run, text, times, x of words that aren't frequent, and by word before how many
+    of them there are and its code, and by rare word before its share of the parent in each kept sweep; a word's probability is x +
+    the mean of share * the parent's."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, room, p, whole, fresh, d = model.value
+        m, room, p, d = model.value
         total = m.count
         for _, held in _by_part(batches):
-            past = None
+            seats = []
             runs_, blobs = [], []
             for kind, run, blob in held:
-                if kind == 0:
-                    _, _, n, _, _, _, past = _unpack(blob, *_STATE)
-                    past = past.reshape(KEPT, len(n)).astype(np.float64)
+                if kind == _STAY:
+                    cu, cw, n, _, _, past = _unpack(blob, *_STATE)
+                    seats.append((cu, cw, past.reshape(KEPT, len(n)).astype(np.float64)))
                 elif kind == 2:
                     yield _answers([run % parts], 2, [run], [blob])
                 else:
@@ -556,8 +616,9 @@ def _answered(rows: DataFrame, model, parts: int) -> DataFrame:
             cu, cw = u[order][first], w[order][first]
             del order, u
             t = np.tile(np.minimum(n, 1), (KEPT, 1))
-            if past is not None:
-                t[:, n > 1] = past
+            if seats:  # those that stayed and those that moved
+                past = np.concatenate([x[2] for x in seats], 1)
+                t[:, n > 1] = past[:, np.lexsort((np.concatenate([x[1] for x in seats]), np.concatenate([x[0] for x in seats])))]
             by = _starts(cu)
             group, often_u, often_w = _per(by, len(cu)), cu < _RARE, cw < _RARE
             here = np.where(often_u, cu, 0).astype(np.int64)
@@ -567,7 +628,7 @@ def _answered(rows: DataFrame, model, parts: int) -> DataFrame:
                 customers = np.where(often_u, total[here], customers)
                 rooms = np.where(often_u, room[:, here], rooms)
             x = ((n - d * t) / (STRENGTH + customers)).mean(0)
-            share = (STRENGTH + d * rooms) / (STRENGTH + customers)
+            share = _share(d, rooms, customers)
             del rooms, t
             smooth = (share * p[:, np.where(often_w, cw, 0).astype(np.int64)]).mean(0) if len(total) else np.zeros(len(cu))
             value = np.where(often_w, np.rint(np.log10(np.maximum(x + smooth, 1e-300)) / STEP), 0).astype(np.int64)
@@ -582,48 +643,61 @@ def _answered(rows: DataFrame, model, parts: int) -> DataFrame:
                 key = (mix(w[rare]) % np.uint64(parts)).astype(np.int32)
                 order = np.lexsort((w[rare], group[cell[rare]], key))  # what depends on the word before alone stands together
                 rare, key = rare[order], key[order]
-                a, b = (share / whole[:, None]).mean(0), (share * fresh[:, None]).mean(0)
                 edge = np.append(starts := _starts(key), len(key))
-                names = np.array(runs_, np.int64)
-                yield _answers(key[starts], 0, [None] * len(starts), [_pack(w[r], names[of[r]], doc[r], times[r], *(v[cell[r]].astype(np.float32) for v in (x, a, b))) for r in (rare[i:j] for i, j in zip(edge[:-1], edge[1:]))])
+                names, out = np.array(runs_, np.int64), []
+                for i, j in zip(edge[:-1], edge[1:]):
+                    r = rare[i:j]
+                    new = _starts(group[cell[r]])
+                    heads = cell[r[new]]
+                    before = np.where(often_u[heads], cu[heads], _NONE).astype(np.uint32)
+                    out.append(_pack(w[r], names[of[r]], doc[r], times[r], x[cell[r]], np.diff(np.append(new, len(r))).astype(np.uint32), before, share[:, heads[before == _NONE]]))
+                yield _answers(key[starts], 0, [None] * len(starts), out)
 
     return rows.repartition("part").sortWithinPartitions("part", "kind").select("part", "kind", "run", "blob").mapInArrow(answer, _ANSWER)
 
 
-def _looked_up(answered: DataFrame, rare: DataFrame, parts: int, d: float, floor: float) -> DataFrame:
+def _looked_up(answered: DataFrame, rare: DataFrame, model, parts: int, whole: np.ndarray, rest: np.ndarray, floor: float) -> DataFrame:
     """kinds 1 and 2 as they are; kind 3: run, blob of text, sum of logarithms, known tokens and score of the base of its
-    words that aren't frequent; rare: code, n, served, top of those that training has."""
+    words that aren't frequent; rare: code, n, extra of those that training has; whole, rest: by kept sweep, as in Fit."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            code, n, served, top = (batch.column(c).to_numpy() for c in ("code", "n", "served", "top"))
+            code, n, extra = *(batch.column(c).to_numpy() for c in ("code", "n")), batch.column("extra").flatten().to_numpy().reshape(-1, KEPT)
             key = (mix(code.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(key, kind="stable")
             if len(order):
                 edge = np.append(starts := _starts(key[order]), len(order))
-                yield _answers(key[order][starts], -1, [None] * len(starts), [_pack(code[r].view(np.uint64), n[r], served[r], top[r]) for r in (order[i:j] for i, j in zip(edge[:-1], edge[1:]))])
+                yield _answers(key[order][starts], -1, [None] * len(starts), [_pack(code[r].view(np.uint64), n[r], extra[r]) for r in (order[i:j] for i, j in zip(edge[:-1], edge[1:]))])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, room, _, d = model.value
+        total = m.count
         for key, held in _by_part(batches):
-            known = [_unpack(blob, "<u8", "<i8", "<i8", "<i8") for kind, _, blob in held if kind == -1]
-            code, n, served, top = (np.concatenate([k[c] for k in known]) for c in range(4)) if known else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+            known = [_unpack(blob, "<u8", "<i8", "<f8") for kind, _, blob in held if kind == -1]
+            code, n, more = (np.concatenate([k[c] for k in known]) for c in range(3)) if known else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
+            more = more.reshape(-1, KEPT)
             order = np.argsort(code)
             parts_ = []
             for kind, run, blob in held:
                 if kind > 0:
                     yield _answers([key], kind, [run], [blob])
                 elif kind == 0:
-                    parts_.append(_unpack(blob, "<u8", "<i8", "<u4", "<u4", "<f4", "<f4", "<f4"))
+                    *one, many, before, own = _unpack(blob, "<u8", "<i8", "<u4", "<u4", "<f8", "<u4", "<u4", "<f8")
+                    share, often = np.empty((KEPT, len(many))), before < _NONE
+                    share[:, ~often] = own.reshape(KEPT, -1)
+                    share[:, often] = _share(d, room[:, before[often]], total[before[often]])
+                    parts_.append((*one, np.repeat(share, many, 1).T))
             del held
             if not parts_:
                 continue
-            asked, run, doc, times, x, a, b = (np.concatenate(c) for c in zip(*parts_))
+            asked, run, doc, times, x, share = (np.concatenate(c) for c in zip(*parts_))
             at, hit = _find(code[order], asked)
-            seen, extra = np.zeros(len(asked)), np.zeros(len(asked))
+            seen, extra = np.zeros(len(asked)), np.zeros((len(asked), KEPT))
             if len(code):
                 seen = np.where(hit, n[order][at], 0)
-                extra = np.where(hit, np.maximum(served[order][at] - d * top[order][at], 0.0), 0.0)
-            lm = times * np.rint(np.log10(x.astype(np.float64) + a * extra + b) / STEP).astype(np.int64)
+                extra[hit] = more[order[at[hit]]]
+            chance = x + (share * ((extra + rest) / whole)).mean(1)
+            lm = times * np.rint(np.log10(np.maximum(chance, 1e-300)) / STEP).astype(np.int64)
             own = np.lexsort((asked, doc, run))  # sums in the same order, whatever the layout
             first = _starts(run[own], doc[own])
             add = lambda v: np.add.reduceat(v[own], first)  # noqa: B023, E731
@@ -649,9 +723,9 @@ def score(docs: DataFrame, seed: int = 11) -> DataFrame:
     n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor, d = float(np.log10(n_all + 0.5 * (v_all + 1))), fitted.d
     parts = max(1, -(-n_all // PART_TOKENS))
-    model = spark.sparkContext.broadcast((words_, fitted.room, fitted.p, fitted.whole, fitted.fresh, d))
-    state = fitted.state.select("part", "kind", F.lit(None).cast("long").alias("run"), "blob")
-    found = _looked_up(_answered(state.unionByName(_asked(docs, top, parts, floor)), model, parts), fitted.rare, parts, d, floor)
+    model = spark.sparkContext.broadcast((words_, fitted.room, fitted.p, d))
+    state = fitted.state.select("part", F.lit(_STAY).cast("byte").alias("kind"), F.lit(None).cast("long").alias("run"), "blob")
+    found = _looked_up(_answered(state.unionByName(_asked(docs, top, parts, floor)), model, parts), fitted.rare, model, parts, fitted.whole, fitted.rest, floor)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _by_part(batches):

@@ -727,6 +727,18 @@ def test_scores_do_not_depend_on_the_layout(odd):
     assert one == other
 
 
+def test_scores_do_not_depend_on_how_many_words_are_frequent(odd, monkeypatch):
+    """The same rules hold for all words, so neither their number nor the number of parts changes a score."""
+    found = []
+    for top, part in ((pitman_yor.TOP, pitman_yor.PART_TOKENS), (40, 3000), (0, 20_000)):
+        monkeypatch.setattr(pitman_yor, "TOP", top)
+        monkeypatch.setattr(pitman_yor, "PART_TOKENS", part)
+        found.append(sorted((str(r.doc_id), r.n_tokens, r.score) for r in pitman_yor.score(odd).collect()))
+    for other in found[1:]:
+        assert [r[:2] for r in other] == [r[:2] for r in found[0]]
+        assert all(a[2] == pytest.approx(b[2], abs=1e-8 * a[1]) for a, b in zip(found[0], other))
+
+
 def test_stirling_numbers():
     """Against sums over all ways to seat customers."""
 
