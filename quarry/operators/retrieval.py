@@ -1,21 +1,24 @@
 """Passages for questions by BM25 over an inverted index, and answers from them by a provider.
 
-Scores are sums of whole numbers, so they don't depend on the order of adding. Frequent terms are kept from pairing every
-question with most passages: by a first bound for a question's k-th score, from its rarest terms alone, those of its terms
-whose largest impacts together stay below it can't bring a passage in. Passages come in by the other terms, and only those that
-are in get their whole scores.
+Scores are sums of whole numbers, so they don't depend on the order of adding. Passages are dealt into shards of bounded postings
+and questions into blocks of bounded terms; where a shard and a block meet, each question adds up the lists of its terms, and only
+its k best passages leave the shard. Pairs of questions and passages are never rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry import stored
+from quarry import ship, stored
 from quarry.operators import providers
-from quarry.operators.resolve import first_n
 
 K1, B = 1.2, 0.75
+#: Postings of a shard and terms of a block of questions, on average.
+SHARD, ASKED = 1_000_000, 200_000
 TERM = r"[\p{L}\p{N}]+"
 
 
@@ -28,7 +31,8 @@ def postings(passages: DataFrame, asked: DataFrame, key: str = "doc_id", text: s
 
     Frequencies and lengths are of all passages that have a term; terms nobody asks for are dropped before anything is shuffled.
     """
-    words = passages.where(F.col(key).isNotNull()).select(key, terms(F.col(text)).alias("t")).where(F.size("t") > 0).select(key, "t", F.size("t").alias("n"))
+    some = passages.where(F.col(key).isNotNull() & F.lower(text).rlike(TERM))
+    words = some.select(key, terms(F.col(text)).alias("t")).select(key, "t", F.size("t").alias("n"))
     many, length = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     held = words.select(key, "n", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     held = stored(held.groupBy("term", key, "n").agg(F.count("*").alias("tf")))
@@ -46,20 +50,57 @@ def best_passages(questions: DataFrame, passages: DataFrame, k: int = 10, key: s
     asked = questions.select("index", F.explode(terms(F.col(question))).alias("term")).groupBy("index", "term").agg(F.count("*").alias("times"))
     asked = stored(asked)
     found = stored(postings(passages, asked, key, text))
-    most = found.groupBy("term").agg(F.max("impact").alias("most"), F.count("*").alias("df"))
-    bound = F.col("times") * F.col("most")
-    onward = Window.partitionBy("index").orderBy("df", "term")
-    rest = F.sum(bound).over(onward.rowsBetween(Window.currentRow, Window.unboundedFollowing))  # what a term and the more frequent ones can give
-    asked = stored(asked.join(most, "term").select("index", "term", "times", rest.alias("rest"), F.sum(bound).over(Window.partitionBy("index")).alias("whole")))
-    add = F.sum(F.col("times") * F.col("impact")).alias("score")
-    rare = asked.where(F.col("rest") * 2 > F.col("whole")).select("index", "term", "times")  # the rarest terms, worth half of all
-    first = rare.join(found, "term").groupBy("index", key).agg(add)
-    least = first_n(first, ["index"], k, F.col("score").desc(), F.col(key)).groupBy("index").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k).select("index", "least")
-    bring = asked.join(least, "index", "left").where(F.col("rest") >= F.coalesce("least", F.lit(0))).select("index", "term")
-    come = stored(bring.join(found, "term").select("index", key).distinct())
-    scores = come.join(found, key).join(asked.select("index", "term", "times"), ["index", "term"]).groupBy("index", key).agg(add)
-    rank = F.row_number().over(Window.partitionBy("index").orderBy(F.col("score").desc(), key))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
+    spark = found.sparkSession
+    ship(spark)
+    shards, blocks = (max(1, -(-rows.count() // most)) for rows, most in ((found, SHARD), (asked, ASKED)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = found.select(F.col(key).alias("key"), "term", "impact", deal(key, shards).alias("shard"), each(blocks).alias("block"))
+    right = asked.select("index", "term", "times", each(shards).alias("shard"), deal("index", blocks).alias("block"))
+    kinds = {c: df.schema[n].dataType.simpleString() for c, df, n in (("index", questions, "index"), ("key", passages, key))}
+    near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_best(k), f"index {kinds['index']}, key {kinds['key']}, score long")
+    rank = F.row_number().over(Window.partitionBy("index").orderBy(F.col("score").desc(), "key"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("index", F.col("key").alias(key), "score", "rank")
+
+
+def _best(k: int):
+    """From the postings of a shard and the terms of some questions: the k best passages of each question there."""
+
+    def best(postings: pa.Table, asked: pa.Table) -> pa.Table:
+        terms_ = pc.unique(asked.column("term"))
+        code = pc.index_in(postings.column("term"), value_set=terms_)
+        postings = postings.append_column("code", code).filter(pc.is_valid(code))
+        names = pc.unique(postings.column("key"))
+        names = names.take(pc.sort_indices(names))  # ascending, so that equal scores go by place
+        at = pc.index_in(postings.column("key"), value_set=names).to_numpy()
+        code = postings.column("code").to_numpy()
+        order = np.lexsort((at, code))
+        at, code, impact = at[order], code[order], postings.column("impact").to_numpy()[order]
+        edge = np.searchsorted(code, np.arange(len(terms_) + 1))
+        asked = asked.append_column("code", pc.index_in(asked.column("term"), value_set=terms_)).sort_by("index")
+        question = pc.index_in(asked.column("index"), value_set=(asks := pc.unique(asked.column("index")))).to_numpy()
+        turns = np.searchsorted(question, np.arange(len(asks) + 1))
+        term, times = asked.column("code").to_numpy(), asked.column("times").to_numpy()
+        which, where, score = [], [], []
+        for q, (i, j) in enumerate(zip(turns[:-1].tolist(), turns[1:].tolist())):
+            total = np.zeros(len(names), np.int64)
+            met = np.zeros(len(names), bool)
+            for t, n in zip(term[i:j].tolist(), times[i:j].tolist()):
+                own = slice(edge[t], edge[t + 1])
+                np.add.at(total, at[own], n * impact[own])  # an id of several lengths stands there more than once
+                met[at[own]] = True
+            here = np.flatnonzero(met)
+            if len(here) > k:
+                least = np.partition(total[here], -k)[-k]
+                here = here[total[here] >= least]
+            here = here[np.lexsort((here, -total[here]))][:k]
+            which.append(np.full(len(here), q))
+            where.append(here)
+            score.append(total[here])
+        which, where, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (which, where, score))
+        return pa.table({"index": asks.take(pa.array(which)), "key": names.take(pa.array(where)), "score": score})
+
+    return best
 
 
 def answers(questions: DataFrame, passages: DataFrame, make, k: int = 10, key: str = "doc_id", text: str = "text", replay: DataFrame | None = None) -> DataFrame:

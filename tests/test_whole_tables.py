@@ -331,3 +331,18 @@ def test_small_graphs_take_no_rounds(spark, monkeypatch):
         assert {r.k: r.dag for r in graph.acyclic(df, ["k"]).collect()} == want
     monkeypatch.setattr(graph, "core", None)
     assert {r.k: r.dag for r in graph.acyclic(df, ["k"]).collect()} == want
+
+
+def test_passages_of_many_shards_and_blocks(spark, monkeypatch):
+    """Shards of few postings and blocks of few questions give what plain adding gives; an id of two texts adds up, equal scores go by id."""
+    monkeypatch.setattr(retrieval, "SHARD", 7)
+    monkeypatch.setattr(retrieval, "ASKED", 3)
+    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(1, 3 + i % 5))) for i in range(40)] + [(3, "w1 w1 w2 Zoë"), (None, "w1"), (50, None), (51, "...")]
+    passages = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"w{q % 7} W{(q + 2) % 7} w{q % 7} zoë") for q in range(9)] + [(90, "nothing"), (91, None)], "index long, question string")
+    words = asked.select("index", F.explode(retrieval.terms(F.col("question"))).alias("term")).groupBy("index", "term").agg(F.count("*").alias("times"))
+    plain = {}
+    for r in words.join(retrieval.postings(passages, words), "term").collect():
+        plain.setdefault(r["index"], {}).setdefault(r.doc_id, []).append(r.times * r.impact)
+    want = {(q, d, s, n + 1) for q, found in plain.items() for n, (s, d) in enumerate(sorted(((sum(v), d) for d, v in found.items()), key=lambda x: (-x[0], x[1]))[:4])}
+    assert {(r["index"], r.doc_id, r.score, r["rank"]) for r in retrieval.best_passages(asked, passages, 4).collect()} == want
