@@ -346,3 +346,13 @@ def test_passages_of_many_shards_and_blocks(spark, monkeypatch):
         plain.setdefault(r["index"], {}).setdefault(r.doc_id, []).append(r.times * r.impact)
     want = {(q, d, s, n + 1) for q, found in plain.items() for n, (s, d) in enumerate(sorted(((sum(v), d) for d, v in found.items()), key=lambda x: (-x[0], x[1]))[:4])}
     assert {(r["index"], r.doc_id, r.score, r["rank"]) for r in retrieval.best_passages(asked, passages, 4).collect()} == want
+
+
+def test_texts_are_walked_once_however_many_names_there_are(spark):
+    """Rows that share an id keep their own places, also with more names than one filter is made for."""
+    names = [(f"Name#{i:09d}", "N") for i in range(3000)] + [("red", "C"), ("red 7", "C")]
+    texts = [(1, "x Name#000000007 red 7"), (1, "Name#000000007 red 8 Name#0000000071"), (2, None), (3, "")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    for most in (tagging.NAMES, 10):
+        found = tagging.tag_names(df, "id", "text", spark.createDataFrame(names, "name string, tag string"), most)
+        assert sorted((r.id, r.start, r.end, r.entity) for r in found.collect()) == [(1, 0, 14, "Name#000000007"), (1, 2, 16, "Name#000000007"), (1, 15, 18, "red"), (1, 17, 22, "red 7")]
