@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -40,6 +41,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles and checkpoints of tables that nothing refers to any more; many small files are much disk."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ranked(df: DataFrame, *order: Column) -> DataFrame:
     """_rank: the place of a row in a total order, from 0, without any single-task sort."""
     rows = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))

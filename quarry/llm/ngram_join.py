@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, kept, mix, runs, saved, words
+from .common import buffers, kept, mix, runs, saved, tidy, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 24, 10, 0.999
@@ -185,6 +185,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = saved(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = saved(small.unionByName(least.withColumnRenamed("m", "b")).distinct())
+        del both, least, large, small
+        tidy(edges.sparkSession)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
@@ -402,6 +404,8 @@ def _large(member: DataFrame, own: DataFrame, lengths: list[int], trees: int, si
         tasks = tasks.join(now.select("node", "labels", "copies", "live"), "node").join(own, "node").repartition("deal").sortWithinPartitions("key", "node")
         found = tasks.select("key", "node", "labels", "copies", "own", "live", "side", "tree").mapInArrow(_split(lengths, step, trees, similarity), "node binary, lead binary, links long, pairs long, missing array<double>")
         found = kept(found.where("pairs > 0"))
+        del tasks
+        tidy(found.sparkSession)
         checked = found if checked is None else checked.unionByName(found)
         if prefix != lengths[-1]:
             state = checked.groupBy("node").agg(F.sum("pairs").alias("pairs"), F.sum(F.get("missing", F.lit(step))).alias("missing"))
@@ -422,6 +426,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES,
     comp = saved(components(neighbours(nodes, lengths[-1], trees)))
     member = kept(nodes.join(comp, "node"))
     own = kept(_sets(docs, member.select(F.col("rep").alias("doc_id"), "node")))
+    tidy(own.sparkSession)
     sizes = member.groupBy("comp").agg(F.sum("n").alias("weight"), F.count("*").alias("k"))
     sizes = saved(sizes.select("comp", ((F.col("weight") <= item) & (F.col("k") <= 4 * BLOCK_NODES) | (F.col("k") <= 2)).alias("whole")))
     tasks = member.join(sizes.where("whole").select("comp"), "comp").select("node", F.col("comp").alias("key"), "labels", "copies").join(own, "node").repartition("key").sortWithinPartitions("key", "node")
@@ -430,6 +435,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES,
     if not big.isEmpty():
         linked = linked.unionByName(_large(kept(member.join(big, "comp")), own, lengths, trees, similarity, recall, item))
     linked = kept(linked)
+    del tasks
+    tidy(linked.sparkSession)
     named = nodes.select("node", "rep", "copies").join(linked, "node", "left")
     named = saved(named.select("node", "rep", F.coalesce("lead", "node").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     least = saved(named.groupBy("comp").agg(F.min("rep").alias("class_id")))
@@ -471,7 +478,8 @@ def _first_as_they_came(docs: DataFrame, before: DataFrame, similarity: float) -
     found = kept(found.join(now, "doc_id").join(came, "doc_id").where("now <= came").select("doc_id", "comp").distinct())
     gone = found.join(found.groupBy("comp").agg(F.min("doc_id").alias("first")), "comp").where("doc_id <> first").select(F.col("doc_id").alias("_gone"))
     gone = kept(gone.distinct())
-    docs.sparkSession._jvm.System.gc()  # lets Spark delete the shuffles of the classes
+    del found
+    tidy(docs.sparkSession)
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

@@ -978,3 +978,14 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
         packed_words = sum(len(WORD.findall(r.text)) for r in after) if k < 4 else 0
     assert docs.columns == ["doc_id", "piece", "n_tokens", "bin", "position", "capacity"]
     assert pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_components_leave_no_shuffles(spark):
+    """Rounds of stars are tidied up behind: only what the last one may still hold is left of their shuffles."""
+    tidied, kept_ = [], ngram_join.tidy
+    ngram_join.tidy = lambda s: tidied.append(1) or kept_(s)
+    try:
+        found = ngram_join.components(spark.createDataFrame([(k, k + 1) for k in range(12)], "a long, b long"))
+        assert {(r.node, r.comp) for r in found.collect()} == {(k, 0) for k in range(13)} and len(tidied) >= 2
+    finally:
+        ngram_join.tidy = kept_
