@@ -73,8 +73,9 @@ def _cell(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(a.tobytes() for a in arrays)
-    return struct.pack(f"<B{len(arrays)}I", len(arrays), *(a.nbytes for a in arrays)) + pa.compress(raw, codec="zstd", asbytes=True)
+    """Arrays as one blob, byte by byte of all numbers: the upper bytes of small numbers are runs of zeros."""
+    raw = [np.ascontiguousarray(np.ascontiguousarray(a).ravel().view(np.uint8).reshape(-1, a.itemsize).T).ravel() for a in arrays]
+    return struct.pack(f"<B{len(arrays)}I", len(arrays), *(a.nbytes for a in arrays)) + pa.compress(pa.py_buffer(np.concatenate(raw)), codec="zstd", asbytes=True)
 
 
 def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
@@ -82,7 +83,8 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     sizes = struct.unpack(f"<{n}I", blob[1 : 1 + 4 * n])
     raw, out, at = pa.decompress(blob[1 + 4 * n :], decompressed_size=sum(sizes), codec="zstd", asbytes=True), [], 0
     for kind, size in zip(kinds, sizes, strict=True):
-        out.append(np.frombuffer(raw[at : at + size], kind))
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(np.dtype(kind).itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
         at += size
     return out
 
@@ -126,14 +128,19 @@ def tables(c: np.ndarray, d: float, a: np.ndarray, rng: np.random.Generator | No
             return t
         new = a[live] / (a[live] + n - d * t[live])
         t[live] += draw(live, n) < new
-    at, jump = np.full(len(live), 33.0), 33
+    at, jump, most, weight, own = np.full(len(live), 33.0), 33, c[live], a[live], t[live]
+    keys = None if key is None else key[live]
     while len(live):
-        wait = -np.log1p(-draw(live, jump))
-        rest = at - d * t[live] + a[live]
-        at = at + rest * np.expm1(np.minimum(wait / np.maximum(a[live], 1e-12), 700))
-        go = at < c[live]
-        live, at, jump = live[go], at[go] + 1, jump + 1
-        t[live] += 1
+        if keys is not None and (jump - 33) % 1024 == 0:
+            salts = mix(np.arange(jump + 1, jump + 1025, dtype=np.uint64))
+        u = rng.random(len(live)) if keys is None else (mix(keys + salts[(jump - 33) % 1024]) >> np.uint64(11)) * 2.0**-53
+        at = at + (at - d * own + weight) * np.expm1(np.minimum(-np.log1p(-u) / np.maximum(weight, 1e-12), 700))
+        go = at < most
+        if not go.all():
+            t[live[~go]] = own[~go]
+            live, at, most, weight, own = (x[go] for x in (live, at, most, weight, own))
+            keys = None if keys is None else keys[go]
+        at, own, jump = at + 1, own + 1, jump + 1
     return np.minimum(t, c)
 
 
@@ -149,25 +156,50 @@ def stirling(d: float, most: int = EXACT) -> np.ndarray:
     return out
 
 
+def _weights(a: np.ndarray, p: np.ndarray, d: float, ways: np.ndarray) -> np.ndarray:
+    """Running sums of the weights of 1, 2, ... tables (rows) of each cell (columns), as multiples of that of one table; a: STRENGTH + d * other tables."""
+    n = len(ways)
+    out = np.empty((n, len(p)))
+    out[0] = 1.0
+    if len(p) < 64:
+        out[1:] = (a + d * np.arange(1, n)[:, None]) * p
+        np.multiply.accumulate(out, 0, out=out)
+    else:
+        for k in range(1, n):
+            np.multiply(out[k - 1], (a + d * k) * p, out=out[k])
+    out *= np.exp(ways - ways[0])[:, None]
+    for k in range(1, n):
+        out[k] += out[k - 1]
+    return out
+
+
 def draw_tables(c: np.ndarray, t: np.ndarray, room: np.ndarray, p: np.ndarray, d: float, ways: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Tables of each cell drawn given its customers c, the other tables of its restaurant (room, its own t included) and
     the parent's probability p of its word: P(k) is in proportion to ways[c, k] * p^k * prod over j < k of (STRENGTH + d * (room - t + j))."""
     out = np.ones(len(c), np.int64)
     other = room - t
-    order = np.argsort(c, kind="stable")
-    for c0 in np.unique(c):
-        a, b = np.searchsorted(c[order], [c0, c0 + 1])
+    order, number = np.argsort(c, kind="stable"), _unit(key, 0)
+    sizes, at = np.unique(c[order], return_index=True)
+    for c0, i, end in zip(sizes.tolist(), at.tolist(), np.append(at, len(c))[1:].tolist()):
         if c0 < 2:
             continue
         if c0 > EXACT:
-            these = order[a:]
+            these = order[i:]
             out[these] = tables(c[these].astype(np.float64), d, (STRENGTH + d * other[these]) * p[these], None, key[these]).astype(np.int64)
             break
-        for i in range(a, b, max(1, (1 << 20) // int(c0))):
-            these = order[i : min(b, i + max(1, (1 << 20) // int(c0)))]
-            weight = np.cumsum(np.log((STRENGTH + d * (other[these][:, None] + np.arange(c0)[None, :])) * p[these][:, None]), 1) + ways[c0, 1 : c0 + 1]
-            weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
-            out[these] = 1 + (weight < (_unit(key[these], 0) * weight[:, -1])[:, None]).sum(1)
+        step = max(1, (1 << 17) // c0)
+        for b in range(i, end, step):
+            these = order[b : min(end, b + step)]
+            a, chance = STRENGTH + d * other[these], p[these]
+            large = (a + d * c0) * chance > 10.0 ** (200 / (c0 - 1))  # beyond what products can hold
+            if large.any():
+                own = these[large]
+                weight = np.cumsum(np.log((a[large][:, None] + d * np.arange(c0)) * chance[large][:, None]), 1) + ways[c0, 1 : c0 + 1]
+                weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
+                out[own] = 1 + (weight < (number[own] * weight[:, -1])[:, None]).sum(1)
+                these, a, chance = these[~large], a[~large], chance[~large]
+            weight = _weights(a, chance, d, ways[c0, 1 : c0 + 1])
+            out[these] = 1 + (weight < number[these] * weight[-1]).sum(0)
     return out
 
 
@@ -181,8 +213,7 @@ def word_counts(train: DataFrame) -> DataFrame:
         for batch in batches:
             data, at = buffers(batch.column("text"))
             for i, j in runs(at):
-                h, _, _, _ = words(data[at[i] : at[j]], at[i : j + 1] - at[i], lower=True)
-                u, n = np.unique(h, return_counts=True)
+                u, n = np.unique(words(data[at[i] : at[j]], at[i : j + 1] - at[i], lower=True)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(u, END).view(np.int64)), pa.array(np.append(n, j - i))], ["h", "n"])
 
     return train.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -224,22 +255,69 @@ def _route(u: np.ndarray, w: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _tokens(data: np.ndarray, at: np.ndarray, top: Words):
-    """Codes of the word before and of the word of each token, ends included, its text; the words' hashes and the first of each text."""
-    h, _, _, first = words(data, at, lower=True)
+    """The codes of these texts, ascending; of each token, ends included, the places there of the word before and of the word,
+    and its text; the first word of each text."""
+    h, *_, first = words(data, at, lower=True)
+    del _
     texts = len(at) - 1
-    distinct, back = np.unique(h, return_inverse=True)
-    end = top.codes(np.array([END]))[0]
-    now = np.full(len(h) + texts, end, np.uint64)
+    named = pa.array(h).dictionary_encode()
+    codes, back = np.unique(top.codes(np.append(named.dictionary.to_numpy(), END)), return_inverse=True)
+    back, end = back.astype(np.uint32), np.uint32(back[-1])
+    now = np.full(len(h) + texts, end, np.uint32)
     real = np.ones(len(now), bool)
     real[first[1:] + np.arange(texts)] = False
-    now[real] = top.codes(distinct)[back]
-    before = np.concatenate([np.full(1, end, np.uint64), now[:-1]]) if len(now) else now
-    return before, now, np.repeat(np.arange(texts), np.diff(first) + 1), h, first
+    now[real] = back[named.indices.to_numpy()]
+    before = np.concatenate([np.full(1, end, np.uint32), now[:-1]])
+    return codes, before, now, np.repeat(np.arange(texts, dtype=np.uint32), np.diff(first) + 1), first
+
+
+def _counted(*keys: np.ndarray) -> list[np.ndarray]:
+    """The combinations of small numbers, in order, once each, and last how often each is there."""
+    bits = [np.uint64(int(k.max(initial=0)).bit_length()) for k in keys]
+    if sum(map(int, bits)) > 64:
+        order = np.lexsort(keys[::-1])
+        keys = [k[order] for k in keys]
+        first = _starts(*keys)
+        return [*(k[first] for k in keys), np.diff(np.append(first, len(order)))]
+    packed = keys[0].astype(np.uint64)
+    for k, b in zip(keys[1:], bits[1:]):
+        packed <<= b
+        packed |= k
+    packed.sort()
+    first = _starts(packed)
+    many, packed, out = np.diff(np.append(first, len(packed))), packed[first], []
+    for b in bits[:0:-1]:
+        out.append(packed & ((np.uint64(1) << b) - np.uint64(1)))
+        packed >>= b
+    return [packed, *out[::-1], many]
+
+
+def _places(code: np.ndarray) -> np.ndarray:
+    """Small numbers in the order of the codes: frequent words' codes, and beyond them the places of the others among each other."""
+    rare = np.flatnonzero(code >= _RARE)
+    out = code.copy()
+    out[rare] = 0
+    out[rare] = np.unique(code[rare], return_inverse=True)[1].astype(np.uint64) + out.max(initial=0) + np.uint64(1)
+    return out
+
+
+def _order(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Rows by u and w; rows of one cell in any order."""
+    key, last = _places(u), _places(w)
+    key <<= np.uint64(int(last.max(initial=0)).bit_length())
+    key |= last
+    return np.argsort(key)
+
+
+def _by(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by part, else as they come, and where each part begins (one more at the end)."""
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+    return order, np.append(_starts(part[order]), len(order))
 
 
 def _merged(u: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cells in order, once each."""
-    order = np.lexsort((w, u))
+    order = _order(u, w)
     u, w, n = u[order], w[order], n[order]
     first = _starts(u, w)
     return u[first], w[first], (np.add.reduceat(n, first) if len(first) else n)
@@ -252,13 +330,13 @@ def cells(train: DataFrame, top, parts: int) -> DataFrame:
         for batch in batches:
             data, at = buffers(batch.column("text"))
             for i, j in runs(at, RUN_BYTES):
-                u, w, *_ = _tokens(data[at[i] : at[j]], at[i : j + 1] - at[i], top.value)
-                u, w, n = _merged(u, w, np.ones(len(u), np.int64))
+                codes, before, now, *_ = _tokens(data[at[i] : at[j]], at[i : j + 1] - at[i], top.value)
+                before, now, n = _counted(before, now)
+                u, w = codes[before], codes[now]
                 part = _route(u, w, parts)
-                order = np.argsort(part, kind="stable")
-                edge = np.append(first := _starts(part[order]), len(order))
+                order, edge = _by(part, parts)
                 blobs = [_pack(u[own], w[own], n[own].astype(np.uint32)) for own in (order[a:b] for a, b in zip(edge[:-1], edge[1:]))]
-                yield pa.RecordBatch.from_arrays([pa.array(part[order][first]), pa.array(blobs, pa.binary())], ["part", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[order[edge[:-1]]]), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     return train.select("text").mapInArrow(count, "part int, blob binary")
 
@@ -542,25 +620,27 @@ def _asked(docs: DataFrame, top, parts: int, floor: float) -> DataFrame:
             data, at = buffers(batch.column("text"))
             held_out, ids = batch.column("held_out").to_numpy(zero_copy_only=False), batch.column("doc_id")
             for i, j in runs(at, RUN_BYTES):
-                u, w, doc, _, first = _tokens(data[at[i] : at[j]], at[i : j + 1] - at[i], m)
+                codes, before, now, doc, first = _tokens(data[at[i] : at[j]], at[i : j + 1] - at[i], m)
                 run, number = task << 32 | number, number + 1
-                often = w < _RARE
-                often[first[1:] + np.arange(j - i)] = False  # the ends
-                value = np.zeros(len(w))
-                value[often] = np.log10(m.count[w[often].astype(np.int64)] + 0.5) - floor
+                frequent = codes < _RARE
+                each = np.zeros(len(codes))
+                each[frequent] = np.log10(m.count[codes[frequent].astype(np.int64)] + 0.5) - floor
+                often, value = frequent[now], each[now]
+                ends = first[1:] + np.arange(j - i)
+                often[ends], value[ends] = False, 0.0
                 base = np.bincount(doc, value, j - i) + (np.log10(end + 0.5) - floor if end_hit[0] else 0.0)
                 known = np.bincount(doc, often, j - i).astype(np.int64) + int(end_hit[0])
                 own, null = ids.slice(i, j - i), ids.slice(i, j - i).is_null().to_numpy(zero_copy_only=False)
                 main = _pack(own.fill_null(0).to_numpy().astype("<i8"), null.astype(np.uint8), held_out[i:j].astype(np.uint8), np.diff(first) + 1, known, base)
-                order = np.lexsort((doc, w, u))
-                new = _starts(u[order], w[order], doc[order])
-                a, times = order[new], np.diff(np.append(new, len(order)))
-                part = _route(u[a], w[a], parts)
-                deal = np.argsort(part, kind="stable")
-                edge = np.append(_starts(part[deal]), len(deal))
+                del often, value, ends
+                before, now, doc, times = _counted(before, now, doc)
+                u, w, doc = codes[before], codes[now], doc.astype(np.uint32)
+                del before, now
+                part = _route(u, w, parts)
+                deal, edge = _by(part, parts)
                 train = (~held_out[i:j]).astype(np.uint32)
-                blobs = [_packed_cells(u[a[x]], w[a[x]], doc[a[x]].astype(np.uint32) << 1 | train[doc[a[x]]], times[x]) for x in (deal[p:q] for p, q in zip(edge[:-1], edge[1:]))]
-                where = [*part[deal][edge[:-1]].tolist(), int(run % parts)]
+                blobs = [_packed_cells(u[x], w[x], doc[x] << 1 | train[doc[x]], times[x]) for x in (deal[p:q] for p, q in zip(edge[:-1], edge[1:]))]
+                where = [*part[deal[edge[:-1]]].tolist(), int(run % parts)]
                 yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array([1] * len(blobs) + [2], pa.int8()), pa.array([run] * len(where), pa.int64()), pa.array([*blobs, main], pa.binary())], ["part", "kind", "run", "blob"])
 
     return docs.mapInArrow(ask, "part int, kind byte, run long, blob binary")
@@ -595,7 +675,7 @@ def _answered(rows: DataFrame, model, parts: int) -> DataFrame:
             for kind, run, blob in held:
                 if kind == _STAY:
                     cu, cw, n, _, _, past = _unpack(blob, *_STATE)
-                    seats.append((cu, cw, past.reshape(KEPT, len(n)).astype(np.float64)))
+                    seats.append((cu, cw, past.reshape(KEPT, len(n))))
                 elif kind == 2:
                     yield _answers([run % parts], 2, [run], [blob])
                 else:
@@ -608,29 +688,29 @@ def _answered(rows: DataFrame, model, parts: int) -> DataFrame:
             u, w, doc, times, own = (np.concatenate([b[k] for b in blobs]) for k in range(5))
             of = np.repeat(np.arange(len(blobs), dtype=np.int64), sizes)
             del blobs
-            order = np.lexsort((w, u))
+            order = _order(u, w)
             first = _starts(u[order], w[order])
             cell = np.empty(len(u), np.int64)
             cell[order] = _per(first, len(order))
             n = np.bincount(cell, times * own.astype(np.float64), len(first))
             cu, cw = u[order][first], w[order][first]
             del order, u
-            t = np.tile(np.minimum(n, 1), (KEPT, 1))
+            t = np.tile(np.minimum(n, 1).astype(np.uint32), (KEPT, 1))
             if seats:  # those that stayed and those that moved
-                past = np.concatenate([x[2] for x in seats], 1)
-                t[:, n > 1] = past[:, np.lexsort((np.concatenate([x[1] for x in seats]), np.concatenate([x[0] for x in seats])))]
+                t[:, n > 1] = np.concatenate([x[2] for x in seats], 1)[:, _order(*(np.concatenate([x[k] for x in seats]) for k in range(2)))]
             by = _starts(cu)
             group, often_u, often_w = _per(by, len(cu)), cu < _RARE, cw < _RARE
             here = np.where(often_u, cu, 0).astype(np.int64)
-            customers = np.add.reduceat(n, by)[group]
-            rooms = np.add.reduceat(t, by, axis=1)[:, group]
+            customers, rooms = np.add.reduceat(n, by), np.add.reduceat(t, by, axis=1, dtype=np.float64)  # by word before
             if len(total):
-                customers = np.where(often_u, total[here], customers)
-                rooms = np.where(often_u, room[:, here], rooms)
-            x = ((n - d * t) / (STRENGTH + customers)).mean(0)
+                customers = np.where(often_u[by], total[here[by]], customers)
+                rooms = np.where(often_u[by], room[:, here[by]], rooms)
+            x = (n - d * t.mean(0)) / (STRENGTH + customers)[group]
             share = _share(d, rooms, customers)
-            del rooms, t
-            smooth = (share * p[:, np.where(often_w, cw, 0).astype(np.int64)]).mean(0) if len(total) else np.zeros(len(cu))
+            del rooms, t, here
+            smooth, to = np.zeros(len(cu)), np.where(often_w, cw, 0).astype(np.int64)
+            for k in range(KEPT if len(total) else 0):
+                smooth += share[k][group] * p[k][to] / KEPT
             value = np.where(often_w, np.rint(np.log10(np.maximum(x + smooth, 1e-300)) / STEP), 0).astype(np.int64)
             texts, back = np.unique(of << 32 | doc, return_inverse=True)
             lm = np.zeros(len(texts), np.int64)
@@ -650,7 +730,7 @@ def _answered(rows: DataFrame, model, parts: int) -> DataFrame:
                     new = _starts(group[cell[r]])
                     heads = cell[r[new]]
                     before = np.where(often_u[heads], cu[heads], _NONE).astype(np.uint32)
-                    out.append(_pack(w[r], names[of[r]], doc[r], times[r], x[cell[r]], np.diff(np.append(new, len(r))).astype(np.uint32), before, share[:, heads[before == _NONE]]))
+                    out.append(_pack(w[r], names[of[r]], doc[r], times[r], x[cell[r]], np.diff(np.append(new, len(r))).astype(np.uint32), before, share[:, group[heads[before == _NONE]]]))
                 yield _answers(key[starts], 0, [None] * len(starts), out)
 
     return rows.repartition("part").sortWithinPartitions("part", "kind").select("part", "kind", "run", "blob").mapInArrow(answer, _ANSWER)

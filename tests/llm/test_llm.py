@@ -4,11 +4,14 @@ import hashlib
 import math
 import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -722,6 +725,32 @@ def test_lm_knows_what_follows_rare_words(spark, monkeypatch):
         assert min(right) > max(wrong) + 0.5
 
 
+def test_lm_memory_of_a_run(monkeypatch):
+    """What asking for the cells of a run of texts holds at once, and that each cell is there with its times."""
+
+    class Taken:
+        mapInArrow = lambda self, f, _: f  # noqa: E731, N815
+
+    monkeypatch.setattr(pitman_yor, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(3)
+    names = np.array([f"w{k}" for k in range(50_000)])
+    texts = [" ".join(names[np.minimum(rng.zipf(1.3, 400), 50_000) - 1]) for _ in range(2500)]
+    hashes = np.sort(words(*buffers(pa.array(names.tolist())), lower=True)[0])
+    top = SimpleNamespace(value=pitman_yor.Words(hashes, np.ones(50_000, np.int64)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500)), pa.array(texts), pa.array([False] * 2500)], ["doc_id", "text", "held_out"])
+    tracemalloc.start()
+    try:
+        found = list(pitman_yor._asked(Taken(), top, 40, 1.0)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    blobs = [b.as_py() for out in found for b, kind in zip(out.column("blob"), out.column("kind").to_pylist()) if kind == 1]
+    cells = Counter((*p, d) for d, t in enumerate(texts) for w in [t.split()] for p in zip(["\0end", *w], [*w, "\0end"]))
+    times = np.concatenate([pitman_yor._unpacked_cells(b)[3] for b in blobs])
+    assert sorted(times.tolist()) == sorted(cells.values())
+    assert peak < 80 * 401 * len(texts)  # bytes a token
+
+
 def test_scores_do_not_depend_on_the_layout(odd):
     one, other = (sorted((str(r.doc_id), r.n_tokens, r.score) for r in pitman_yor.score(df).collect()) for df in (odd, odd.repartition(7, "n_chars")))
     assert one == other
