@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import shared_base, stored
+from quarry.operators import vectors
 
 SAMPLE, CELL_ROWS, CELLS = 20_000, 1_000, 2_048
 #: Rows of a cell and queries that meet in one task.
@@ -52,11 +53,6 @@ def _scores(metric: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return s
 
 
-def _exact(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Scores of all rows of x with one query; l2 from the differences themselves."""
-    return 1 / (1 + np.linalg.norm(x - q, axis=1)) if metric == "l2" else _scores(metric, q[None], x)[0]
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
@@ -171,17 +167,10 @@ def search(index: Index, queries: DataFrame, k: int = 10, vector: str = "embeddi
         out: dict[str, list] = {query_key: [], key: [], "score": []}
         if len(rows) and len(by):
             x, ids = np.stack(rows["vector"].to_numpy()), rows[key].to_numpy()
-            for name, q in zip(by[query_key], by["q"]):
-                s = _exact(metric, x, np.asarray(q, np.float64))
-                top = np.lexsort((ids, -np.nan_to_num(s, nan=-np.inf)))[:k] if len(s) <= 4 * k else None
-                if top is None:
-                    some = np.nan_to_num(s, nan=-np.inf)
-                    edge = np.partition(some, -k)[-k]
-                    near = np.flatnonzero(some >= edge)
-                    top = near[np.lexsort((ids[near], -some[near]))[:k]]
+            for name, (top, s) in zip(by[query_key], vectors.best_of(x, ids, np.stack(by["q"].to_numpy()).astype(np.float64), k, metric)):
                 out[query_key] += [name] * len(top)
                 out[key] += ids[top].tolist()
-                out["score"] += [None if np.isnan(z) else float(z) for z in s[top]]
+                out["score"] += [None if np.isnan(z) else float(z) for z in s]
         return pd.DataFrame(out)
 
     near = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(best, f"{query_key} {asks_as}, {key} {index.kind}, score double")

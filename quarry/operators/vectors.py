@@ -76,30 +76,68 @@ def embed_cached(texts: DataFrame, text: str, make, model: str, path: str, batch
     return texts.withColumn("_digest", key).join(known.withColumnRenamed("digest", "_digest"), "_digest", "left").drop("_digest")
 
 
+def best_of(x: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int, metric: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each row of asked, where its k best rows of x are and their scores, ties to the smaller id. Products of whole blocks tell which
+    rows can be among them, within what rounding can change; those are scored exactly, alike wherever they stand."""
+    square = (x**2).sum(1)
+    norms, few = np.sqrt(square), 8 * (x.shape[1] + 4) * np.finfo(np.float64).eps
+    step = max(1, (1 << 21) // max(1, len(x)))
+    for a in range(0, len(asked), step):
+        q = asked[a : a + step]
+        size = np.sqrt((q**2).sum(1))
+        with np.errstate(all="ignore"):
+            near = q @ x.T
+            if metric == "cosine":
+                near /= norms
+                near /= size[:, None]
+                slack = np.full(len(q), few)
+            elif metric == "l2":
+                near *= 2
+                near -= square
+                slack = few * (np.fmax.reduce(square, initial=0) + size**2)
+            else:
+                slack = few * np.fmax.reduce(norms, initial=0) * size
+            near[np.isnan(near)] = -np.inf
+            edge = np.partition(near, len(x) - k, axis=1)[:, len(x) - k] - slack if len(x) > k else np.full(len(q), -np.inf)
+            edge[~np.isfinite(edge)] = -np.inf
+            for one, row, least in zip(q, near, edge):
+                some = np.flatnonzero(row >= least)
+                part = x[some]
+                s = 1 / (1 + np.linalg.norm(part - one, axis=1)) if metric == "l2" else (part * one).sum(1)
+                s = s / (np.linalg.norm(part, axis=1) * np.linalg.norm(one)) if metric == "cosine" else s
+                top = np.lexsort((ids[some], -np.nan_to_num(s, nan=-np.inf)))[:k]
+                yield some[top], s[top]
+
+
+#: Rows of a block and queries that meet in one task.
+BLOCK, ASKING = 20_000, 16_384
+
+
 def nearest_blocks(nodes: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", key: str = "node_id", vector: str = "embedding", query_key: str = "query_id", blocks: int = 64) -> DataFrame:
-    """V02 for any number of queries: nodes are dealt into blocks, every query goes over each block once, and the k best of
-    the blocks meet per query. Queries are shuffled once a block and never broadcast; groups are bounded by the blocks."""
-    many = queries.select(query_key, F.col(vector).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    own = nodes.select(key, F.col(vector).alias("_v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block"))
+    """V02 for any number of queries: nodes are dealt into blocks, at least so many and more if they are large, queries into turns; each block
+    meets each turn, and the k best of the blocks meet per query. Nothing is broadcast; what meets in a task is of bounded size."""
+    blocks, turns = max(blocks, -(-nodes.count() // BLOCK)), max(1, -(-queries.count() // ASKING))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    many = queries.where(F.col(vector).isNotNull()).select(query_key, F.col(vector).alias("_q"), deal(query_key, turns).alias("_turn"), each(blocks).alias("_block"))
+    own = nodes.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("_v"), deal(key, blocks).alias("_block"), each(turns).alias("_turn"))
     columns = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {nodes.schema[key].dataType.simpleString()}, score double"
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = {query_key: [], key: [], "score": []}
         by_size = {n: part for n, part in left.groupby(left["_v"].map(len))}
-        for name, q in zip(right[query_key], right["_q"]):
-            part = by_size.get(len(q))
+        for n, asked in right.groupby(right["_q"].map(len)):
+            part = by_size.get(n)
             if part is None:
                 continue
-            x, y = np.stack(part["_v"].to_numpy()).astype(np.float64), np.asarray(q, np.float64)
-            s = {"dot": lambda: x @ y, "cosine": lambda: x @ y / (np.linalg.norm(x, axis=1) * np.linalg.norm(y)), "l2": lambda: 1 / (1 + np.linalg.norm(x - y, axis=1))}[metric]()  # noqa: B023
-            ids = part[key].to_numpy()
-            order = np.lexsort((ids, -np.nan_to_num(s, nan=-np.inf)))[:k]
-            found[query_key] += [name] * len(order)
-            found[key] += ids[order].tolist()
-            found["score"] += s[order].tolist()
+            x, y, ids = np.stack(part["_v"].to_numpy()).astype(np.float64), np.stack(asked["_q"].to_numpy()).astype(np.float64), part[key].to_numpy()
+            for name, (top, s) in zip(asked[query_key], best_of(x, ids, y, k, metric)):
+                found[query_key] += [name] * len(top)
+                found[key] += ids[top].tolist()
+                found["score"] += s.tolist()
         return pd.DataFrame(found)
 
-    near = own.groupBy("_block").cogroup(many.groupBy("_block")).applyInPandas(best, columns)
+    near = own.groupBy("_block", "_turn").cogroup(many.groupBy("_block", "_turn")).applyInPandas(best, columns)
     place = F.row_number().over(Window.partitionBy(query_key).orderBy(F.col("score").desc_nulls_last(), key))
     return near.withColumn("rank", place).where(F.col("rank") <= k)
 

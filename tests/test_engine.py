@@ -346,6 +346,27 @@ def test_nearest_in_blocks(spark):
         assert a == b and len(a) == 10
 
 
+def test_best_rows_of_a_block(monkeypatch):
+    """All metrics against sorting all scores, with ties, rows without a length and missing parts; and norms are taken once a block, not once a query."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 6)) * np.exp(rng.normal(size=(700, 1)) * 3)
+    x[100:140], x[200], x[201, 2] = x[0], 0, np.nan
+    ids, asked = rng.permutation(700), np.concatenate([x[:60], np.zeros((1, 6))])
+    passed, norm = [], np.linalg.norm
+    monkeypatch.setattr(np.linalg, "norm", lambda v, **a: passed.append(np.size(v)) or norm(v, **a))
+    for metric, k in (("cosine", 7), ("l2", 7), ("dot", 7), ("cosine", 900)):
+        passed.clear()
+        got = list(vectors.best_of(x, ids, asked, k, metric))
+        assert k == 900 or sum(passed) < asked.size + 0.1 * len(asked) * x.size
+        assert len(got) == len(asked)
+        for q, (top, s) in zip(asked, got):
+            with np.errstate(all="ignore"):
+                want = 1 / (1 + norm(x - q, axis=1)) if metric == "l2" else (x * q).sum(1)
+                want = want / (norm(x, axis=1) * norm(q)) if metric == "cosine" else want
+            order = np.lexsort((ids, -np.nan_to_num(want, nan=-np.inf)))[:k]
+            assert top.tolist() == order.tolist() and np.array_equal(s, want[order], equal_nan=True)
+
+
 def test_messages_and_settings(spark, monkeypatch):
     rows = spark.createDataFrame([("hi", '{"content": "so", "tool_calls": [{"id": "1", "name": "look", "arguments": "{}"}]}'), ("ho", "plain")], "q string, r string")
     tools = [client.tool("look", "d", {"x": "string"})]
